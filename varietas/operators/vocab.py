@@ -102,7 +102,7 @@ SPECIAL_TOKENS = ("<blank>", "<s>", "</s>")
 
 def build_vocab(lines: DataFrame, text_col: str = "text", max_size: int = 80000, min_freq: int = 2,
                 specials: tuple[str, ...] = SPECIAL_TOKENS) -> DataFrame:
-    """(id, token, freq): specials first, then whitespace tokens with freq ≥ min_freq, most frequent
+    """(id, token, freq): specials first (freq 0), then whitespace tokens with freq ≥ min_freq, most frequent
     first (ties by token), at most ``max_size`` of them (A6, F6).
 
     The cut is a distributed top-k (TakeOrderedAndProject); numbering runs over at most
@@ -118,5 +118,20 @@ def build_vocab(lines: DataFrame, text_col: str = "text", max_size: int = 80000,
                          + F.lit(len(specials) - 1)).alias("id"), "token", "freq")
     spark = lines.sparkSession
     head = spark.createDataFrame([(i, t) for i, t in enumerate(specials)], "id int, token string")
-    head = head.select(F.col("id").cast("int"), "token", F.lit(None).cast("long").alias("freq"))
+    head = head.select(F.col("id").cast("int"), "token", F.lit(0).cast("long").alias("freq"))
     return head.unionByName(ranked.select(F.col("id").cast("int"), "token", "freq"))
+
+
+def unigram_lines(unigram_table: DataFrame, decimals: int = 5) -> DataFrame:
+    """``word p`` lines with p to ``decimals`` places.
+
+    The rounding is done on the exact ratio n/total in integer arithmetic (half up), so the text
+    does not depend on how a double is printed.
+    """
+    scale = 10 ** decimals
+    total = unigram_table.select(F.sum("n")).scalar()
+    q = ((F.col("n") * F.lit(2 * scale) + total) / (F.lit(2) * total)).cast("long")
+    frac = F.lpad((q % F.lit(scale)).cast("string"), decimals, "0")
+    return unigram_table.select(F.concat_ws(" ", F.col("word"),
+                                            F.concat((q / F.lit(scale)).cast("long").cast("string"),
+                                                     F.lit("."), frac)).alias("line"))
