@@ -137,8 +137,9 @@ def _katz_discounts(counts: DataFrame, bins: int) -> DataFrame:
 
 def _abs_discounts(counts: DataFrame, discount: float | None) -> DataFrame:
     cc = _cc_wide(counts, "c", 2)
+    # D = n1 / (n1 + 2 n2); an order with neither singletons nor doubletons falls back to 0.5
     d = F.lit(float(discount)) if discount is not None and discount >= 0 else \
-        _div(F.col("cc1"), F.col("cc1") + 2 * F.col("cc2"))
+        F.coalesce(_div(F.col("cc1"), F.col("cc1") + 2 * F.col("cc2")), F.lit(0.5))
     return cc.select("ord", d.alias("dabs"))
 
 
@@ -298,20 +299,47 @@ def sentence_perplexity(lines: DataFrame, lm: LM, key: str = "sent_id", text_col
 # Pruning (L7)
 # ------------------------------------------------------------------------------------------------
 
+def lookup_prob(keys: DataFrame, lm: LM) -> DataFrame:
+    """p(w | h) under ``lm`` for distinct keys (h, w), ``h`` of up to order-1 words (C4 form of L6).
+
+    Returns (h, w, p); the same backoff cascade as :func:`score`.
+    """
+    k = keys.select("h", "w").distinct()
+    words = F.when(F.col("h") == "", F.array().cast("array<string>")).otherwise(F.split("h", " "))
+    hs = F.transform(F.sequence(F.lit(1), F.size(words) + 1),
+                     lambda m: F.struct(m.alias("ord"), F.array_join(F.slice(words, F.size(words) - m + 2, m - 1), " ")
+                                        .alias("hm")))
+    long = k.select("h", "w", F.inline(hs))
+    long = long.where(F.col("ord") <= F.lit(lm.order))
+    j = (long.join(lm.probs.withColumnRenamed("h", "hm"), ["ord", "hm", "w"], "left")
+         .join(lm.gammas.withColumnRenamed("h", "hm"), ["ord", "hm"], "left"))
+    per = j.groupBy("h", "w").agg(F.max(F.when(F.col("p").isNotNull(), F.col("ord"))).alias("nstar"),
+                                  F.collect_list(F.struct("ord", "p", "g")).alias("os"))
+    nstar = F.coalesce(F.col("nstar"), F.lit(0))
+    p_at = F.filter("os", lambda o: o["ord"] == nstar)
+    base = F.when(nstar == 0, F.lit(1.0) / lm.vocab_size()).otherwise(p_at[0]["p"])
+    above = F.filter("os", lambda o: (o["ord"] > nstar) & o["g"].isNotNull())
+    per = per.withColumn("_base", base)
+    prob = F.aggregate(above, F.col("_base"), lambda acc, o: acc * o["g"])
+    return per.select("h", "w", prob.alias("p"))
+
+
 def prune_lm(lm: LM, counts: DataFrame, method: str = "seymore", theta: float = 0.0) -> LM:
     """Drop n-grams of order ≥ 2 whose loss is below ``theta``, then renormalise.
 
-    ``seymore``: loss = c(hw) · (ln p(w|h) − ln(g(h) · p(w|h'))); ``absolute``: loss = c(hw)
-    (a count threshold).  An n-gram that is the history-prefix of a kept longer n-gram is kept.
-    Backoff weights of the affected histories are recomputed so each distribution sums to 1:
-    g'(h) = (1 − Σ_kept p(w|h)) / (1 − Σ_kept p(w|h')).
+    ``seymore``: loss = c(hw) · (ln p(w|h) − ln(g(h) · p(w|h'))) under the unpruned model;
+    ``absolute``: loss = c(hw) (a count threshold).  Decisions go from the top order down, since an
+    n-gram that is the history of a kept longer n-gram must stay.  Backoff weights of every
+    history that lost n-grams are then recomputed from the bottom order up, against the already
+    pruned lower orders, so each distribution sums to 1:
+    g'(h) = (1 − Σ_kept p(w|h)) / (1 − Σ_kept p'(w|h')).
     """
     order = lm.order
     pr = lm.probs.join(counts.select("ord", "h", "w", "c"), ["ord", "h", "w"])
     lo = lm.probs.select(F.col("ord").alias("_lo"), F.col("h").alias("_lh"), F.col("w").alias("_lw"),
                          F.col("p").alias("p_lower"))
     pr = pr.join(lo, (pr["ord"] - 1 == lo["_lo"]) & (lower_history(pr["h"]) == lo["_lh"]) & (pr["w"] == lo["_lw"]),
-                 "left")
+                 "left").drop("_lo", "_lh", "_lw")
     pr = pr.join(lm.gammas, ["ord", "h"], "left")
     if method == "seymore":
         loss = F.col("c") * (F.log(F.col("p")) - F.log(F.col("g") * F.col("p_lower")))
@@ -319,20 +347,39 @@ def prune_lm(lm: LM, counts: DataFrame, method: str = "seymore", theta: float =
         loss = F.col("c").cast("double")
     else:
         raise ValueError(f"unknown prune method {method!r}")
-    drop = (F.col("ord") >= 2) & (F.coalesce(loss, F.lit(float("inf"))) < F.lit(theta))
-    cand = pr.withColumn("_drop", drop)
-    # an n-gram whose words are the history of any kept longer n-gram stays
-    kept_hist = (cand.where(~F.col("_drop")).select((F.col("ord") - 1).alias("ord"), F.col("h").alias("_hh")).distinct())
-    ng_words = F.when(F.col("h") == "", F.col("w")).otherwise(F.concat_ws(" ", "h", "w"))
-    cand = cand.join(kept_hist, (cand["ord"] == kept_hist["ord"]) & (ng_words == kept_hist["_hh"]), "left") \
-        .drop(kept_hist["ord"])
-    cand = cand.withColumn("_drop", F.col("_drop") & F.col("_hh").isNull())
-    kept = cand.where(~F.col("_drop"))
-    sums = kept.groupBy("ord", "h").agg(F.sum("p").alias("_sp"), F.sum(F.coalesce("p_lower", F.lit(0.0))).alias("_sl"))
-    pruned_h = cand.where(F.col("_drop")).select("ord", "h").distinct()
-    new_g = (sums.join(pruned_h, ["ord", "h"])
-             .select("ord", "h", ((1 - F.col("_sp")) / (1 - F.col("_sl"))).alias("g_new")))
-    gammas = (lm.gammas.join(new_g, ["ord", "h"], "left")
-              .select("ord", "h", F.coalesce("g_new", "g").alias("g")))
-    probs = kept.select("ord", "h", "w", "p")
+    pr = pr.withColumn("_loss_drop", F.coalesce(loss, F.lit(float("inf"))) < F.lit(theta))
+    kept_by_order = {1: pr.where(F.col("ord") == 1).select("ord", "h", "w", "p")}
+    rescue = None
+    for n in range(order, 1, -1):
+        cur = pr.where(F.col("ord") == n)
+        if rescue is not None:
+            cur = cur.join(rescue, (cur["h"] == rescue["_rh"]) & (cur["w"] == rescue["_rw"]), "left")
+            drop = F.col("_loss_drop") & F.col("_rh").isNull()
+        else:
+            drop = F.col("_loss_drop")
+        kept = cur.where(~drop).select("ord", "h", "w", "p")
+        kept_by_order[n] = kept
+        # histories of kept order-n n-grams, split into (h, w) of order n-1
+        hist = kept.select(F.col("h").alias("_full")).distinct()
+        hw = F.split("_full", " ")
+        rescue = hist.select(F.array_join(F.slice(hw, 1, F.size(hw) - 1), " ").alias("_rh"),
+                             F.element_at(hw, -1).alias("_rw"))
+    probs = kept_by_order[1]
+    gammas = lm.gammas.where(F.col("ord") == 1)
+    pruned = LM(1, lm.method, probs, gammas, lm.vocab)
+    for n in range(2, order + 1):
+        kept = kept_by_order[n]
+        lower_keys = kept.select(lower_history(F.col("h")).alias("h"), "w")
+        p_low = lookup_prob(lower_keys, pruned).select(F.col("h").alias("_lh"), F.col("w").alias("_lw"),
+                                                       F.col("p").alias("_pl"))
+        kj = kept.join(p_low, (lower_history(kept["h"]) == p_low["_lh"]) & (kept["w"] == p_low["_lw"]), "left")
+        sums = kj.groupBy("h").agg(F.sum("p").alias("_sp"), F.sum("_pl").alias("_sl"))
+        g_old = lm.gammas.where(F.col("ord") == n)
+        new_g = (g_old.join(sums, "h", "left")
+                 .select(F.lit(n).alias("ord"), "h",
+                         ((1 - F.coalesce(F.col("_sp"), F.lit(0.0))) /
+                          (1 - F.coalesce(F.col("_sl"), F.lit(0.0)))).alias("g")))
+        probs = probs.unionByName(kept)
+        gammas = gammas.unionByName(new_g)
+        pruned = LM(n, lm.method, probs, gammas, lm.vocab)
     return LM(order, lm.method, probs, gammas, lm.vocab)

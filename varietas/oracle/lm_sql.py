@@ -66,8 +66,9 @@ def model_ctes(order: int, method: str, cnt: str = "cnt", k: float = 1.0, discou
         sum(case when c = 2 then 1 else 0 end) as n2, sum(case when c >= 3 then 1 else 0 end) as n3p
         from {base} group by ord, h)""")
     if method == "absolute":
-        out.append(f"""adisc as (select ord, sum(case when c = 1 then 1 else 0 end) * 1.0 /
-            (sum(case when c = 1 then 1 else 0 end) + 2 * sum(case when c = 2 then 1 else 0 end)) as d from {cnt} group by ord)""")
+        out.append(f"""adisc as (select ord, coalesce(sum(case when c = 1 then 1 else 0 end) * 1.0 /
+            nullif(sum(case when c = 1 then 1 else 0 end) + 2 * sum(case when c = 2 then 1 else 0 end), 0), 0.5) as d
+            from {cnt} group by ord)""")
     if method == "katz":
         kk = 5 if bins < 0 else bins
         sums = ", ".join(f"sum(case when c = {j} then 1 else 0 end) as m{j}" for j in range(1, kk + 2))
