@@ -39,7 +39,7 @@ def first_prefix(rn: Column, n: Column, np_: int) -> Column:
 
     Line rn (1-based) is in prefix i iff rn <= floor(n*i/np) iff i >= ceil(rn*np/n).
     """
-    return F.ceil((rn * F.lit(np_)).cast("double") / n).cast("int")
+    return ((rn * F.lit(np_) + n - 1) / n).cast("long")   # integer ceil(rn*np/n)
 
 
 def prefix_partitions(lines: DataFrame, np_: int = 100, max_p: int = 100, rn_col: str = "rn") -> DataFrame:
@@ -69,3 +69,9 @@ def prefix_lines(lines: DataFrame, m: int | Column, rn_col: str = "rn") -> DataF
     """First m lines (W10, ``head -m``)."""
     m_col = m if isinstance(m, Column) else F.lit(m)
     return lines.where(F.col(rn_col) <= m_col)
+
+
+def shuffle(lines: DataFrame, seed: int | str = 0, key: str = "sent_id", name: str = "shuffled_rank") -> DataFrame:
+    """A reproducible permutation — position by ``md5(seed:key)`` (ties by key), 1-based."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return with_row_index(lines.withColumn("_h", h), ["_h", key], name).drop("_h")

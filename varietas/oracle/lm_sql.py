@@ -139,17 +139,28 @@ def dev_events_ctes(dev: str, order: int) -> list[str]:
     ]
 
 
-def recursion_score_sql(order: int, k: float = 1.0, cnt: str = "cnt") -> str:
-    """SELECT (sent_id, pos, w, oov, log10p) by the Witten–Bell recursion over raw counts."""
+def recursion_score_sql(order: int, k: float = 1.0, cnt: str = "cnt", by_i: str | None = None) -> str:
+    """SELECT (sent_id, pos, w, oov, log10p) by the Witten–Bell recursion over raw counts.
+
+    With ``by_i`` (a table of prefix numbers ``i``) every dev word is scored once per prefix, against
+    ``cnt``/``ctx`` tables that carry an ``i`` column.
+    """
     joins, p_prev = [], "(1.0 / (select nv from vsize))"
     exprs = []
+    src = "dev_ev e"
+    sel_i = ""
+    if by_i:
+        src = f"dev_ev e cross join {by_i} r"
+        sel_i = "r.i, "
     for m in range(1, order + 1):
-        joins.append(f"left join ctx x{m} on x{m}.ord = {m} and x{m}.h = e.h{m} "
-                     f"left join {cnt} c{m} on c{m}.ord = {m} and c{m}.h = e.h{m} and c{m}.w = e.w")
+        oi = f" and x{m}.i = r.i" if by_i else ""
+        ci = f" and c{m}.i = r.i" if by_i else ""
+        joins.append(f"left join ctx x{m} on x{m}.ord = {m} and x{m}.h = e.h{m}{oi} "
+                     f"left join {cnt} c{m} on c{m}.ord = {m} and c{m}.h = e.h{m} and c{m}.w = e.w{ci}")
         pm = (f"case when x{m}.ch is null then {{prev}} else (coalesce(c{m}.c, 0) + {k} * x{m}.th * {{prev}}) / "
               f"(x{m}.ch + {k} * x{m}.th) end")
         exprs.append(pm)
     expr = p_prev
     for pm in exprs:
         expr = pm.replace("{prev}", f"({expr})")
-    return f"select e.sent_id, e.pos, e.w, e.oov, log10({expr}) as log10p from dev_ev e " + " ".join(joins)
+    return f"select {sel_i}e.sent_id, e.pos, e.w, e.oov, log10({expr}) as log10p from {src} " + " ".join(joins)

@@ -1 +1,102 @@
-"""Registered queries."""
+"""Registered queries: prefix partitions, splits, chunks and learning curves."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from varietas.operators import rows as R
+from varietas.oracle import lm_sql as LS
+from varietas.oracle import sql as S
+from varietas.plans import experiments as X
+from varietas.plans.registry import query
+from varietas.sources import tables as T
+
+NP, MAX_P, ORDER, CHUNK = 100, 100, 3, 64
+_U = [S.USER_LINES, S.USER_ORDERED, "nn as (select count(*) as n from user_lines)"]
+
+
+@query("prefix_partitions", S.with_(*_U) + f"""
+select sent_id, (sent_id * {NP} + n - 1) // n as p from user_lines, nn""")
+def prefix_partitions_q(spark, sf_dir):
+    """First nested prefix (of 100) containing each user line."""
+    return R.prefix_partitions(T.ordered_user_lines(spark, sf_dir), NP, MAX_P, "sent_id").select("sent_id", "p")
+
+
+@query("tail_split", S.with_(*_U) + """
+select sent_id, sent_id > n - floor(0.1 * n) as is_dev from user_lines, nn""")
+def tail_split_q(spark, sf_dir):
+    """The last int(0.1 n) user lines form the dev set."""
+    lines = T.ordered_user_lines(spark, sf_dir)
+    train, dev = R.tail_split(lines, 0.1, "sent_id")
+    return (train.select("sent_id", F.lit(False).alias("is_dev"))
+            .unionByName(dev.select("sent_id", F.lit(True).alias("is_dev"))))
+
+
+@query("chunks", S.with_(*_U) + f"select sent_id, (sent_id - 1) // {CHUNK} as chunk_id from user_lines")
+def chunks_q(spark, sf_dir):
+    """User lines in chunks of 64 (files 000.txt, 001.txt ...)."""
+    return R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id").select("sent_id", "chunk_id")
+
+
+@query("prefix_lines", S.with_(S.GEN_LINES, S.GEN_ORDERED) + """
+select sent_id from gen_lines where sent_id <= 128""")
+def prefix_lines_q(spark, sf_dir):
+    """The first (i+1)*64 = 128 generated lines (``head -128``)."""
+    return R.prefix_lines(T.ordered_generated_lines(spark, sf_dir), 128, "sent_id").select("sent_id")
+
+
+@query("shuffle", S.with_(*_U) + """
+select sent_id, row_number() over (order by md5('7:' || sent_id), sent_id) as shuffled_rank from user_lines""")
+def shuffle_q(spark, sf_dir):
+    """Reproducible shuffle of the user lines (seed 7)."""
+    lines = T.ordered_user_lines(spark, sf_dir)
+    return R.shuffle(lines, seed=7, key="sent_id").select("sent_id", "shuffled_rank")
+
+
+_PPL = S.with_(*_U, S.DEV_LINES, S.DEV_ORDERED, f"""
+pref as (select i from range(1, {min(NP, MAX_P)} + 1) t(i))""", """
+tl as (select i, text from user_lines, nn, pref where sent_id <= (n * i) // """ + str(NP) + ")",
+               f"cnt_ev as ({LS.events_sql('tl', ORDER, LS.ws_tokens('text'), keep='i')})",
+               "cnt as (select i, ord, h, w, count(*) as c from cnt_ev group by i, ord, h, w)",
+               "ctx as (select i, ord, h, sum(c) as ch, count(*) as th from cnt group by i, ord, h)",
+               "vocab as (select distinct w from cnt where ord = 1 union select '</s>' union select '<unk>')",
+               "vsize as (select count(*) * 1.0 as nv from vocab)",
+               *LS.dev_events_ctes("dev_lines", ORDER),
+               f"sc as ({LS.recursion_score_sql(ORDER, by_i='pref')})")
+
+
+@query("ppl_curve", _PPL + """
+select i, round(pow(10, -sum(log10p) / count(*)), 6) as ppl, count(*) as n_words from sc group by i""")
+def ppl_curve_q(spark, sf_dir):
+    """X1 (C1): benchmark perplexity of Witten–Bell order-3 models of user-turn prefixes 1%..100%,
+    one pass over the training lines instead of 100 trainings."""
+    c = X.ppl_curve(T.ordered_user_lines(spark, sf_dir), T.ordered_dev_lines(spark, sf_dir), NP, MAX_P, ORDER)
+    return c.select("i", F.round("ppl", 6).alias("ppl"), "n_words")
+
+
+_OOV = S.with_(*_U, S.DEV_LINES, S.GEN_LINES, S.GEN_ORDERED, f"""
+ch as (select (sent_id - 1) // {CHUNK} as chunk_id, text from user_lines)""", """
+fl as (select chunk_id as i, count(*) as flen from ch group by chunk_id)""", f"""
+tt as (select distinct f.i, unnest({S.tb_tokens()}) as tok from ch join fl f on ch.chunk_id <= f.i)""", f"""
+gt as (select distinct f.i, unnest({S.tb_tokens('g.text')}) as tok from gen_lines g join fl f on g.sent_id <= (f.i + 1) * f.flen)""",
+               f"dt as (select unnest({S.tb_tokens()}) as tok from dev_lines0)")
+
+
+@query("oov_curve", _OOV + """,
+v as (select i, tok from tt)
+select fl.i, (select count(*) from v where v.i = fl.i) as types,
+       (select count(*) from dt where dt.tok not in (select tok from v where v.i = fl.i)) as oovs from fl""")
+def oov_curve_q(spark, sf_dir):
+    """Types and dev OOV tokens for cumulative chunks of 64 user lines."""
+    ch = R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id")
+    return X.oov_curve(ch, T.dev_lines(spark, sf_dir))
+
+
+@query("oov_curve_generated", _OOV + """,
+v as (select i, tok from tt union select i, tok from gt)
+select fl.i, (select count(*) from v where v.i = fl.i) as types,
+       (select count(*) from dt where dt.tok not in (select tok from v where v.i = fl.i)) as oovs from fl""")
+def oov_curve_generated_q(spark, sf_dir):
+    """X2 with automatic variety: each prefix i also gets the first (i+1)*len(chunk i) generated lines."""
+    ch = R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id")
+    return X.oov_curve(ch, T.dev_lines(spark, sf_dir), T.ordered_generated_lines(spark, sf_dir))
