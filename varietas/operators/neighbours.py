@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varietas.functions import context_weight, dot, l2_normalize
+from varietas.functions import dot, l2_normalize
+from varietas.session import checkpoint
 
 SIM_DP = 6          # similarities are ranked and reported at 6 decimals (H5)
 BLOCK_ROWS = 4096   # vectors per block on either side of the product
@@ -89,9 +90,11 @@ def block_topk(queries: DataFrame, vocab: DataFrame, k: int, include_self: bool
     ``queries``: (qid string, qv array<double>[, qword string]); ``vocab``: (word, u array<double>).
     Returns (qid, word, sim, rn) with ``rn`` 1..k by (sim desc, word desc).
     """
-    vocab = vocab.where(F.col("u").isNotNull()).select("word", "u")
+    # both sides are materialised once (reliable checkpoint): the block counts below then read the
+    # stored rows instead of recomputing the inputs, and a lost executor does not recompute them
+    vocab = checkpoint(vocab.where(F.col("u").isNotNull()).select("word", "u"))
     has_qword = "qword" in queries.columns
-    queries = queries.where(F.col("qv").isNotNull())
+    queries = checkpoint(queries.where(F.col("qv").isNotNull()))
     n_v, n_q = vocab.count(), queries.count()
     vb, qb = _blocks(n_v, block_rows), _blocks(n_q, block_rows)
     vrep = vocab.select("word", "u", (F.abs(F.xxhash64("word")) % vb).alias("vb"),

@@ -29,7 +29,8 @@ def tokens_of(lines: DataFrame, text_col: str = "text", tokenizer: str = "treeba
 def unigrams(tokens: DataFrame, tok_col: str = "tok") -> DataFrame:
     """(word, n, p): count per token type and relative frequency p = n / total tokens (A1)."""
     counts = tokens.groupBy(F.col(tok_col).alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    total = tokens.select(F.count(F.lit(1))).scalar()
+    # the total is summed from the same aggregate, so its shuffle is reused, not recomputed
+    total = counts.select(F.sum("n")).scalar()
     return counts.withColumn("p", F.col("n") / total)
 
 

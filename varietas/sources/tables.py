@@ -27,9 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over at least ``2 x defaultParallelism`` tasks before per-row CPU work.
+
+    Only when the scan produced fewer splits (a small file with one row group); inputs made of
+    many files or row groups are left untouched, so at scale this adds no shuffle.
+    """
+    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def split_lines(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """One row per ``\\n``-separated line: (keys..., line_no, text)."""
-    return df.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "text"))
+    """One row per ``\\n``-separated line: (keys..., line_no, text), spread over the cluster."""
+    return balanced(df.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "text")))
 
 
 def non_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
