@@ -1 +1,156 @@
-"""Registered queries."""
+"""Registered queries: lattices, k-best paraphrases, rescoring, AWER."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from varietas.functions import treebank_tokens
+from varietas.operators import lm as L
+from varietas.operators import ngrams as G
+from varietas.operators import sampling as SMP
+from varietas.operators import vocab as V
+from varietas.oracle import duck
+from varietas.oracle import sql as S
+from varietas.plans import paraphrase as P
+from varietas.plans.q_vectors import _NEAR_SQL, _VEC, vectors
+from varietas.plans.registry import query
+from varietas.sources import tables as T
+
+ORDER, SEED = 3, 11
+_STOP = ", ".join(duck.lit(w) for w in P.STOP_WORDS)
+
+
+def _tb_lines(lines):
+    """LM training text: Treebank tokens joined by spaces (the decoder works on Treebank tokens)."""
+    return lines.select(F.array_join(treebank_tokens(F.col("text")), " ").alias("text"))
+
+
+def _lm(spark, sf_dir):
+    return L.build_lm(G.ngram_counts(_tb_lines(T.user_lines(spark, sf_dir)), ORDER), ORDER, "witten_bell")
+
+
+def _sentences(spark, sf_dir):
+    return T.ordered_user_lines(spark, sf_dir)
+
+
+_LM_VOCAB = f"""lmv as (select distinct unnest({S.tb_tokens()}) as w from user_lines union select '</s>' union select '<unk>')"""
+_TOKS = f"""tk as (select sent_id, generate_subscripts(t, 1) - 1 as pos, unnest(t) as word
+       from (select sent_id, {S.tb_tokens()} as t from user_lines))"""
+
+
+@query("replaceable", S.with_(S.USER_LINES, S.USER_ORDERED, _TOKS) + f"""
+select sent_id, pos, word, word not in ({_STOP}) and not starts_with(word, '''') as replaceable from tk""")
+def replaceable_q(spark, sf_dir):
+    """which user-line tokens may be replaced (stop list, leading apostrophe)."""
+    t = P.sentence_tokens(_sentences(spark, sf_dir))
+    return t.select("sent_id", "pos", "word", P.is_replaceable(F.col("word")).alias("replaceable"))
+
+
+@query("paraphrase_lattice", S.with_(*_VEC, S.USER_LINES, S.USER_ORDERED, _LM_VOCAB, _TOKS, f"""
+q as (select distinct word as qword from tk where word not in ({_STOP}) and not starts_with(word, ''''))""",
+                                     _NEAR_SQL.format(k=5)) + """
+select sent_id, pos, coalesce(lmv.w, '<unk>') as word, 0.0 as cost, true as orig from tk left join lmv on lmv.w = tk.word
+union all
+select tk.sent_id, tk.pos, nb.word, round(-ln(nb.sim) / 1000, 12) as cost, false as orig
+from tk join nb_5 nb on nb.query = tk.word
+where tk.word not in (""" + _STOP + """) and not starts_with(tk.word, '''')
+  and nb.sim > 0.1 and nb.word <> nb.query and nb.word in (select w from lmv)""")
+def paraphrase_lattice_q(spark, sf_dir):
+    """P1 lattice: per token the word (or <unk>) and its 5 nearest LM-known neighbours with sim > 0.1
+    at cost -ln(sim)/1000 (F1, F2, J6, J10, M4)."""
+    slots = P.lattice(_sentences(spark, sf_dir), vectors(spark, sf_dir), _lm(spark, sf_dir))
+    return slots.select("sent_id", "pos", "word", F.round("cost", 12).alias("cost"), "orig")
+
+
+@query("paraphrase")
+def paraphrase_q(spark, sf_dir):
+    """P1 / W1 / W8 / W9 / L9 (identity): 5 best paraphrases of every user line (checked against
+    brute-force path enumeration in tests)."""
+    out = P.paraphrase(_sentences(spark, sf_dir), vectors(spark, sf_dir), _lm(spark, sf_dir), k=5)
+    return out.select("sent_id", "rank", "sent", F.round("score", 9).alias("score"),
+                      F.round("new_score", 9).alias("new_score"))
+
+
+@query("paraphrase_corpus")
+def paraphrase_corpus_q(spark, sf_dir):
+    """Paraphrase each distinct user line once, repeat the results per occurrence."""
+    out = P.paraphrase_corpus(T.user_lines(spark, sf_dir), vectors(spark, sf_dir), _lm(spark, sf_dir), k=5)
+    return out.select("line", "copy", "rank", "sent", F.round("new_score", 9).alias("new_score"))
+
+
+@query("paraphrase_conservative")
+def paraphrase_conservative_q(spark, sf_dir):
+    """10 best, rescored by perplexity under the LM, kept only when not worse than
+    the original line's own perplexity."""
+    lm = _lm(spark, sf_dir)
+    out = P.paraphrase_corpus(T.user_lines(spark, sf_dir), vectors(spark, sf_dir), lm, k=10,
+                              conservative=True, rescorer=lm)
+    return out.select("line", "copy", "rank", "sent", F.round("new_score", 6).alias("new_score"))
+
+
+@query("training_sets_from_store")
+def training_sets_from_store_q(spark, sf_dir):
+    """The paraphrase store (P2 output) expanded over the 100 nested training prefixes."""
+    lm = _lm(spark, sf_dir)
+    train = _sentences(spark, sf_dir)
+    store = P.paraphrase_corpus(T.user_lines(spark, sf_dir), vectors(spark, sf_dir), lm, k=5)
+    store = store.where(F.col("copy") == 1).select("line", "rank", "sent")
+    found, _missing = P.training_sets_from_store(train, store, 100)
+    return found.select("sent_id", "p", "rank", "sent")
+
+
+_UNI = [S.USER_LINES, S.USER_ORDERED, S.DEV_LINES, S.DEV_ORDERED, f"""
+uw as (select unnest({S.tb_tokens()}) as word from user_lines)""",
+        "uni as (select word, count(*) as n from uw group by word)",
+        "cdf as (select word, n, sum(n) over (order by n, word rows between unbounded preceding and current row) - n as lo, "
+        "sum(n) over (order by n, word rows between unbounded preceding and current row) as hi from uni)",
+        "tot as (select sum(n) as total from uni)"]
+
+
+@query("unigram_cdf", S.with_(*_UNI) + "select word, n, lo, hi from cdf")
+def unigram_cdf_q(spark, sf_dir):
+    """W6 / W7 (H2): cumulative count intervals of the user-turn unigrams, ascending by (n, word)."""
+    uni = V.unigrams(V.tokens_of(T.user_lines(spark, sf_dir)))
+    return SMP.cdf(uni)
+
+
+_RARE_LM = [f"""rt as (select sent_id, generate_subscripts(t, 1) as pos, unnest(t) as tok
+       from (select sent_id, {duck.split_whitespace('text')} as t from user_lines))""",
+            "rc as (select tok, count(*) as c from rt group by tok)",
+            "lmv as (select distinct case when c > 1 then tok else '<unk>' end as w from rt join rc using (tok) "
+            "union select '</s>' union select '<unk>')"]
+_DTOK = f"""dk as (select sent_id, generate_subscripts(t, 1) - 1 as pos, unnest(t) as word
+       from (select sent_id, {S.tb_tokens()} as t from dev_lines))"""
+
+
+@query("awer_draws", S.with_(*_UNI, *_RARE_LM, _DTOK, f"""
+dr as (select sent_id, pos, word, ((('0x' || substr(md5('{SEED}:' || sent_id || ':' || pos), 1, 8))::ubigint
+       * (select total from tot)) >> 32) as t from dk)""") + """
+select dr.sent_id, dr.pos, dr.word, coalesce(cdf.word, '<unk>') as alt,
+       coalesce(cdf.word, '<unk>') in (select w from lmv) and coalesce(cdf.word, '<unk>') <> dr.word as usable
+from dr left join cdf on cdf.lo <= dr.t and dr.t < cdf.hi""")
+def awer_draws_q(spark, sf_dir):
+    """M8 / J8 (C2) / F8: the seeded unigram draw for every benchmark token, and whether it enters the
+    AWER lattice (known to the LM of the rare-replaced user turns, and different from the word)."""
+    uni = V.unigrams(V.tokens_of(T.user_lines(spark, sf_dir)))
+    lm = _awer_lm(spark, sf_dir)
+    toks = P.sentence_tokens(T.ordered_dev_lines(spark, sf_dir))
+    d = SMP.draw_words(toks.withColumn("k", SMP.draw32(SEED, F.col("sent_id"), F.col("pos"))), SMP.cdf(uni))
+    v = lm.vocab.select(F.col("w").alias("_v"))
+    d = d.join(v, d.alt == v._v, "left")
+    return d.select("sent_id", "pos", "word", "alt", (F.col("_v").isNotNull() & (F.col("alt") != F.col("word")))
+                    .alias("usable"))
+
+
+def _awer_lm(spark, sf_dir):
+    """mklm: rare tokens (count 1) → <unk>, then Witten–Bell order 3 on whitespace tokens."""
+    rare = V.replace_rare(T.ordered_user_lines(spark, sf_dir), 1)
+    return L.build_lm(G.ngram_counts(rare, ORDER), ORDER, "witten_bell")
+
+
+@query("awer")
+def awer_q(spark, sf_dir):
+    """Artificial word error rate of the benchmark lines (1-best decoding of word-or-draw lattices)."""
+    uni = V.unigrams(V.tokens_of(T.user_lines(spark, sf_dir)))
+    out = P.awer(T.ordered_dev_lines(spark, sf_dir), uni, _awer_lm(spark, sf_dir), seed=SEED)
+    return out.select(F.round("awer", 9).alias("awer"), "n_lines")
