@@ -240,8 +240,9 @@ def scoring_events(lines: DataFrame, lm: LM, key: str = "sent_id", text_col: str
     sent = lines.select(key).join(grouped, key, "left")
     seq_t = F.coalesce(F.col("_s.t"), F.array().cast("array<string>"))
     seq_o = F.coalesce(F.col("_s.oov"), F.array().cast("array<boolean>"))
-    seq = F.concat(F.array(F.lit(BOS)), seq_t, F.array(F.lit(EOS)))
-    oov = F.concat(F.array(F.lit(False)), seq_o, F.array(F.lit(False)))
+    sent = sent.select(key, F.concat(F.array(F.lit(BOS)), seq_t, F.array(F.lit(EOS))).alias("_seq"),
+                       F.concat(F.array(F.lit(False)), seq_o, F.array(F.lit(False))).alias("_oov"))
+    seq, oov = F.col("_seq"), F.col("_oov")      # plain columns: lambdas below re-evaluate expressions
     n = lm.order
     ev = F.transform(F.sequence(F.lit(1), F.size(seq) - 1), lambda j: F.struct(
         j.alias("pos"), F.element_at(seq, j + 1).alias("w"), F.element_at(oov, j + 1).alias("oov"),
@@ -305,7 +306,8 @@ def lookup_prob(keys: DataFrame, lm: LM) -> DataFrame:
     Returns (h, w, p); the same backoff cascade as :func:`score`.
     """
     k = keys.select("h", "w").distinct()
-    words = F.when(F.col("h") == "", F.array().cast("array<string>")).otherwise(F.split("h", " "))
+    k = k.withColumn("_words", F.when(F.col("h") == "", F.array().cast("array<string>")).otherwise(F.split("h", " ")))
+    words = F.col("_words")
     hs = F.transform(F.sequence(F.lit(1), F.size(words) + 1),
                      lambda m: F.struct(m.alias("ord"), F.array_join(F.slice(words, F.size(words) - m + 2, m - 1), " ")
                                         .alias("hm")))

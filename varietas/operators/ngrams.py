@@ -36,9 +36,12 @@ def history_of(seq: Column, j: Column, n: Column) -> Column:
     return F.array_join(F.slice(seq, j - n + 2, n - 1), " ")
 
 
-def event_structs(toks: Column, order: int) -> Column:
-    """array<struct<pos,ord,h,w>> of all events of one sentence."""
-    seq = padded(toks)
+def event_structs(seq: Column, order: int) -> Column:
+    """array<struct<pos,ord,h,w>> of all events of one padded sentence.
+
+    ``seq`` must be a plain column reference: expressions inside lambdas are evaluated once per
+    array element, so the padded token array is materialised before this is called.
+    """
     return F.flatten(F.transform(
         F.sequence(F.lit(1), F.size(seq) - 1),
         lambda j: F.transform(
@@ -52,7 +55,8 @@ def ngram_events(lines: DataFrame, order: int = 3, text_col: str = "text", keep:
     """(keep..., pos, ord, h, w): one row per event."""
     toks = F.col(toks_col) if toks_col else sentence_tokens(F.col(text_col), skip_symbols)
     keep = keep or []
-    return lines.select(*keep, F.inline(event_structs(toks, order)))
+    seqd = lines.select(*keep, padded(toks).alias("_seq"))
+    return seqd.select(*keep, F.inline(event_structs(F.col("_seq"), order)))
 
 
 def ngram_counts(lines: DataFrame, order: int = 3, text_col: str = "text", skip_symbols: bool = False,

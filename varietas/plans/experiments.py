@@ -25,26 +25,28 @@ from varietas.operators.ngrams import EOS, UNK, ngram_events
 from varietas.operators.rows import first_prefix, row_count
 
 
-def _cumulate(keys: DataFrame, deltas: DataFrame, key_cols: list[str], val: str, max_i: int) -> DataFrame:
-    """(keys..., i, val): running sum over prefixes 1..max_i of per-prefix increments ``deltas(keys, p, val)``."""
-    grid = keys.select(*key_cols, F.explode(F.sequence(F.lit(1), F.lit(max_i))).alias("i"))
-    d = deltas.withColumnRenamed("p", "i")
+def _cumulate(keys: DataFrame, deltas: DataFrame, key_cols: list[str], val: str, first_i: int, max_i) -> DataFrame:
+    """(keys..., i, val): running sum over prefixes first_i..max_i of increments ``deltas(keys, p, val)``.
+
+    Increments tagged below ``first_i`` (lines present in every prefix) are folded into first_i.
+    """
+    max_c = max_i if not isinstance(max_i, int) else F.lit(max_i)
+    grid = keys.select(*key_cols, F.explode(F.sequence(F.lit(first_i), max_c)).alias("i"))
+    d = deltas.withColumn("i", F.greatest(F.col("p"), F.lit(first_i))).groupBy(*key_cols, "i").agg(F.sum(val).alias(val))
     j = grid.join(d, [*key_cols, "i"], "left")
     w = Window.partitionBy(*key_cols).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     return j.select(*key_cols, "i", F.sum(F.coalesce(F.col(val), F.lit(0))).over(w).alias(val))
 
 
-def ppl_curve(train: DataFrame, dev: DataFrame, np_: int = 100, max_p: int = 100, order: int = 3,
-              k: float = 1.0, rn_col: str = "sent_id", text_col: str = "text", dev_key: str = "sent_id") -> DataFrame:
-    """Dev perplexity of Witten–Bell models trained on prefixes 1..max_p of ``np_`` (one pass).
+def curve_from_tagged(tagged: DataFrame, dev: DataFrame, first_i: int, max_i, order: int = 3, k: float = 1.0,
+                      text_col: str = "text", dev_key: str = "sent_id") -> DataFrame:
+    """Dev perplexity of the Witten–Bell model of {lines with p <= i} for every i in first_i..max_i.
 
-    Prefix i holds the first ``int(n*i/np_)`` training lines (by ``rn_col``).  Returns (i, ppl, n_words).
+    ``tagged`` (p, text): each training line with the first prefix containing it.  Returns (i, ppl, n_words).
     """
-    max_i = min(max_p, np_)
-    tagged = train.withColumn("p", first_prefix(F.col(rn_col), row_count(train), np_)).where(F.col("p") <= max_i)
     ev = ngram_events(tagged, order, text_col, keep=["p"])
     vocab = (ev.where(F.col("ord") == 1).select("w")
-             .unionByName(train.sparkSession.createDataFrame([(EOS,), (UNK,)], "w string")).distinct())
+             .unionByName(tagged.sparkSession.createDataFrame([(EOS,), (UNK,)], "w string")).distinct())
     shell = L.LM(order, "witten_bell", None, None, vocab)
     dev_ev = L.scoring_events(dev, shell, dev_key, text_col)
     keys = dev_ev.groupBy("hs", "w").agg(F.count(F.lit(1)).alias("mult"))
@@ -57,14 +59,13 @@ def ppl_curve(train: DataFrame, dev: DataFrame, np_: int = 100, max_p: int = 100
     d_th = first.groupBy("ord", "h", "p").agg(F.count(F.lit(1)).alias("t_h"))
     d_c = evh.join(ng_keys, ["ord", "h", "w"], "left_semi").groupBy("ord", "h", "w", "p") \
         .agg(F.count(F.lit(1)).alias("c"))
-    ctx = _cumulate(ctx_keys, d_ch, ["ord", "h"], "c_h", max_i) \
-        .join(_cumulate(ctx_keys, d_th, ["ord", "h"], "t_h", max_i), ["ord", "h", "i"])
-    ng = _cumulate(ng_keys, d_c, ["ord", "h", "w"], "c", max_i)
+    ctx = _cumulate(ctx_keys, d_ch, ["ord", "h"], "c_h", first_i, max_i) \
+        .join(_cumulate(ctx_keys, d_th, ["ord", "h"], "t_h", first_i, max_i), ["ord", "h", "i"])
+    ng = _cumulate(ng_keys, d_c, ["ord", "h", "w"], "c", first_i, max_i)
     per = kl.join(ctx, ["ord", "h"]).join(ng, ["ord", "h", "w", "i"])
     wide = per.groupBy("hs", "w", "i").agg(
         *[F.max(F.when(F.col("ord") == m, F.struct("c", "c_h", "t_h"))).alias(f"o{m}") for m in range(1, order + 1)])
-    p = F.lit(1.0) / vocab.select(F.count(F.lit(1))).scalar()
-    wide = wide.withColumn("_p0", p)
+    wide = wide.withColumn("_p0", F.lit(1.0) / vocab.select(F.count(F.lit(1))).scalar())
     p = F.col("_p0")
     for m in range(1, order + 1):
         o = F.col(f"o{m}")
@@ -76,6 +77,36 @@ def ppl_curve(train: DataFrame, dev: DataFrame, np_: int = 100, max_p: int = 100
         F.sum("mult").alias("n_words"))
 
 
+def ppl_curve(train: DataFrame, dev: DataFrame, np_: int = 100, max_p: int = 100, order: int = 3,
+              k: float = 1.0, rn_col: str = "sent_id", text_col: str = "text", dev_key: str = "sent_id") -> DataFrame:
+    """Dev perplexity of Witten–Bell models trained on prefixes 1..max_p of ``np_`` (one pass).
+
+    Prefix i holds the first ``int(n*i/np_)`` training lines (by ``rn_col``).  Returns (i, ppl, n_words).
+    """
+    max_i = min(max_p, np_)
+    tagged = train.withColumn("p", first_prefix(F.col(rn_col), row_count(train), np_)).where(F.col("p") <= max_i)
+    return curve_from_tagged(tagged.select("p", text_col), dev, 1, max_i, order, k, text_col, dev_key)
+
+
+def cumulative_paraphrase_curve(base: DataFrame, candidates: DataFrame, dev: DataFrame, seed: int | str = 0,
+                                order: int = 3, k: float = 1.0, text_col: str = "text",
+                                dev_key: str = "sent_id") -> DataFrame:
+    """Distinct candidates (right-stripped of spaces, U2) in a seeded shuffle (W15) are added to
+    the base corpus one at a time; returns (i, ppl, n_words) for i = 0 (base only) .. #candidates.
+
+    One pass: base lines enter at step 0, the candidate of shuffled rank j at step j.
+    """
+    from varietas.operators.rows import with_row_index
+    cand = (candidates.select(F.regexp_replace(F.col(text_col), " +$", "").alias("_line"))
+            .where(F.length("_line") > 0).distinct())
+    cand = cand.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_line"))))
+    ranked = with_row_index(cand, ["_h", "_line"], "p")
+    tagged = base.select(F.lit(0).cast("long").alias("p"), F.col(text_col).alias("text")) \
+        .unionByName(ranked.select("p", F.col("_line").alias("text")))
+    n_cand = cand.select(F.count(F.lit(1))).scalar()
+    return curve_from_tagged(tagged, dev, 0, n_cand, order, k, "text", dev_key)
+
+
 def oov_curve(chunks: DataFrame, dev: DataFrame, generated: DataFrame | None = None, top_n: int | None = None,
               chunk_col: str = "chunk_id", text_col: str = "text", gen_rn: str = "sent_id") -> DataFrame:
     """Training types and dev OOV tokens for cumulative chunk prefixes 0..top_n-1 (one pass).
@@ -122,3 +153,46 @@ def oov_curve(chunks: DataFrame, dev: DataFrame, generated: DataFrame | None = N
     out = pr.select("i").join(t, "i", "left").join(d, "i", "left")
     return out.select("i", F.coalesce("types", F.lit(0)).alias("types"),
                       (total_dev - F.coalesce("inv", F.lit(0))).alias("oovs"))
+
+
+def list_models(model_counts: DataFrame, pattern: str | None = None, id_col: str = "model_id") -> DataFrame:
+    """The stored model ids (optionally those whose id matches a regular expression)."""
+    ids = model_counts.select(id_col).distinct()
+    return ids.where(F.col(id_col).cast("string").rlike(pattern)) if pattern else ids
+
+
+def evaluate_models(model_counts: DataFrame, dev: DataFrame, order: int = 3, k: float = 1.0,
+                    id_col: str = "model_id", text_col: str = "text", dev_key: str = "sent_id") -> DataFrame:
+    """Dev perplexity of every stored Witten–Bell model (counts ``(model_id, ord, h, w, c)``).
+
+    One job for all models: the dev set's distinct (histories, word) keys are scored against each
+    model's statistics, restricted to the histories the dev set uses.  The vocabulary is the union
+    over the models (fixed V, as in :func:`ppl_curve`).  Returns (model_id, ppl, n_words).
+    """
+    vocab = (model_counts.where(F.col("ord") == 1).select("w")
+             .unionByName(dev.sparkSession.createDataFrame([(EOS,), (UNK,)], "w string")).distinct())
+    shell = L.LM(order, "witten_bell", None, None, vocab)
+    keys = L.scoring_events(dev, shell, dev_key, text_col).groupBy("hs", "w").agg(F.count(F.lit(1)).alias("mult"))
+    kl = keys.select("hs", "w", F.posexplode("hs").alias("_o", "h")).withColumn("ord", F.col("_o") + 1).drop("_o")
+    ctx_keys = kl.select("ord", "h").distinct()
+    ng_keys = kl.select("ord", "h", "w").distinct()
+    mc = model_counts.join(ctx_keys, ["ord", "h"], "left_semi")
+    ctx = mc.groupBy(id_col, "ord", "h").agg(F.sum("c").alias("c_h"), F.count(F.lit(1)).alias("t_h"))
+    ng = mc.join(ng_keys, ["ord", "h", "w"], "left_semi").select(id_col, "ord", "h", "w", "c")
+    # every dev key is scored under every model: the ids come as one bounded array (number of models)
+    ids = model_counts.select(F.array_sort(F.collect_set(id_col))).scalar()
+    grid = kl.withColumn("_ids", ids).select("hs", "w", "ord", "h", F.explode("_ids").alias(id_col))
+    per = grid.join(ctx, [id_col, "ord", "h"], "left").join(ng, [id_col, "ord", "h", "w"], "left")
+    wide = per.groupBy("hs", "w", id_col).agg(
+        *[F.max(F.when(F.col("ord") == m, F.struct(F.coalesce("c", F.lit(0)).alias("c"), "c_h", "t_h")))
+          .alias(f"o{m}") for m in range(1, order + 1)])
+    wide = wide.withColumn("_p0", F.lit(1.0) / vocab.select(F.count(F.lit(1))).scalar())
+    p = F.col("_p0")
+    for m in range(1, order + 1):
+        o = F.col(f"o{m}")
+        mixed = (o["c"] + F.lit(k) * o["t_h"] * p) / (o["c_h"] + F.lit(k) * o["t_h"])
+        p = F.when(o.isNull() | o["c_h"].isNull() | (o["c_h"] == 0), p).otherwise(mixed)
+    scored = wide.select("hs", "w", id_col, F.log10(p).alias("lp")).join(keys, ["hs", "w"])
+    return scored.groupBy(id_col).agg(
+        F.pow(F.lit(10.0), -F.sum(F.col("lp") * F.col("mult")) / F.sum("mult")).alias("ppl"),
+        F.sum("mult").alias("n_words"))

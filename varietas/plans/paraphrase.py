@@ -164,8 +164,9 @@ def awer(dev: DataFrame, unigram_table: DataFrame, lm: L.LM, seed: int = 0, key:
     toks = sentence_tokens(dev, key, text_col).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_s"))
     j = (dev.select(key).join(toks, key, "left").join(best.select(key, "sent"), key, "left"))
-    words = F.coalesce(F.col("_s.word"), F.array().cast("array<string>"))
-    out = F.split(F.coalesce(F.col("sent"), F.lit("")), " ")
+    j = j.select(key, F.coalesce(F.col("_s.word"), F.array().cast("array<string>")).alias("_words"),
+                 F.split(F.coalesce(F.col("sent"), F.lit("")), " ").alias("_out"))
+    words, out = F.col("_words"), F.col("_out")
     n = F.size(words)
     err = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                           lambda i: ~F.coalesce(F.element_at(words, i) == F.element_at(out, i), F.lit(False))))

@@ -100,3 +100,45 @@ def oov_curve_generated_q(spark, sf_dir):
     """X2 with automatic variety: each prefix i also gets the first (i+1)*len(chunk i) generated lines."""
     ch = R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id")
     return X.oov_curve(ch, T.dev_lines(spark, sf_dir), T.ordered_generated_lines(spark, sf_dir))
+
+
+_EVAL = S.with_(*_U, S.DEV_LINES, S.DEV_ORDERED, f"""
+tl as (select (sent_id - 1) // {CHUNK} as i, text from user_lines)""",
+                f"cnt_ev as ({LS.events_sql('tl', ORDER, LS.ws_tokens('text'), keep='i')})",
+                "cnt as (select i, ord, h, w, count(*) as c from cnt_ev group by i, ord, h, w)",
+                "ctx as (select i, ord, h, sum(c) as ch, count(*) as th from cnt group by i, ord, h)",
+                "pref as (select distinct i from tl)",
+                "vocab as (select distinct w from cnt where ord = 1 union select '</s>' union select '<unk>')",
+                "vsize as (select count(*) * 1.0 as nv from vocab)",
+                *LS.dev_events_ctes("dev_lines", ORDER),
+                f"sc as ({LS.recursion_score_sql(ORDER, by_i='pref')})")
+
+
+@query("evaluate_models", _EVAL + """
+select i as model_id, round(pow(10, -sum(log10p) / count(*)), 6) as ppl, count(*) as n_words from sc group by i""")
+def evaluate_models_q(spark, sf_dir):
+    """One Witten–Bell model per chunk of 64 user lines (stored counts keyed by
+    model_id), all evaluated on the benchmark lines in one job."""
+    from varietas.operators import ngrams as G
+    ch = R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id")
+    ev = G.ngram_events(ch, ORDER, keep=["chunk_id"])
+    counts = ev.groupBy(F.col("chunk_id").alias("model_id"), "ord", "h", "w").agg(F.count(F.lit(1)).alias("c"))
+    out = X.evaluate_models(counts, T.ordered_dev_lines(spark, sf_dir), ORDER)
+    return out.select("model_id", F.round("ppl", 6).alias("ppl"), "n_words")
+
+
+@query("list_models", S.with_(*_U) + f"select distinct (sent_id - 1) // {CHUNK} as model_id from user_lines")
+def list_models_q(spark, sf_dir):
+    """Ids of the stored per-chunk models."""
+    ch = R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id")
+    return X.list_models(ch.select(F.col("chunk_id").alias("model_id")))
+
+
+@query("cumulative_paraphrase_curve")
+def cumulative_paraphrase_curve_q(spark, sf_dir):
+    """Generated lines, deduplicated and shuffled (seed 3), added one by one to the user
+    turns; benchmark perplexity after each addition.  One pass; no SQL oracle (retraining ~10^3
+    models is too slow there) — tests compare it with retraining on a small fixture."""
+    c = X.cumulative_paraphrase_curve(T.user_lines(spark, sf_dir), T.generated_lines(spark, sf_dir),
+                                      T.ordered_dev_lines(spark, sf_dir), seed=3, order=ORDER)
+    return c.select("i", F.round("ppl", 6).alias("ppl"), "n_words")

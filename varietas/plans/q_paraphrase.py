@@ -154,3 +154,11 @@ def awer_q(spark, sf_dir):
     uni = V.unigrams(V.tokens_of(T.user_lines(spark, sf_dir)))
     out = P.awer(T.ordered_dev_lines(spark, sf_dir), uni, _awer_lm(spark, sf_dir), seed=SEED)
     return out.select(F.round("awer", 9).alias("awer"), "n_lines")
+
+
+@query("stream_paraphrase")
+def stream_paraphrase_q(spark, sf_dir):
+    """ST2 / P1: user lines streamed as files and paraphrased (5 best) line by line."""
+    from varietas.streaming.interactive import paraphrase_service, serve_lines
+    out = serve_lines(spark, T.user_lines(spark, sf_dir), paraphrase_service(vectors(spark, sf_dir), _lm(spark, sf_dir), 5))
+    return out.select(F.col("sent_id").alias("line"), "rank", "sent", F.round("score", 9).alias("score"))

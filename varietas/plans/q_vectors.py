@@ -131,3 +131,25 @@ def lex_alternatives_plain_q(spark, sf_dir):
     q = toks.where(F.size("t") > 0).select("qid", F.col("t")[0].alias("target"),
                                            F.slice("t", 2, 1 << 30).alias("context"))
     return N.lex_alternatives(q, vectors(spark, sf_dir), dist_flag=False, num_alts=10)
+
+
+@query("stream_word_queries", S.with_(*_VEC, S.USER_LINES, _USER_WORDS, _NEAR_SQL.format(k=10)) + """
+select query, rn, word, sim from nb_10""")
+def stream_word_queries_q(spark, sf_dir):
+    """ST3 / P6: the distinct user-turn tokens streamed as word-query files (one file per micro-batch),
+    answered with their 10 nearest words."""
+    from varietas.streaming.interactive import serve_lines, word_query_service
+    words = V.tokens_of(T.user_lines(spark, sf_dir)).select(F.col("tok").alias("text")).distinct()
+    return serve_lines(spark, words, word_query_service(vectors(spark, sf_dir), "nearest", 10))
+
+
+_LEX_STREAM = _LEX.replace("""q0 as (select conv_id || ':' || turn || ':' || line_no as qid""",
+                           """q0 as (select distinct text as qid""")
+
+
+@query("stream_lex_alternatives", _LEX_STREAM.replace("{factor}", "case when sc >= 0 then pow(sc, 1.0 / (widx + 2)) end"))
+def stream_lex_alternatives_q(spark, sf_dir):
+    """ST1 / P5: user lines streamed as files; each line (its own id) gets 10 lexical alternatives."""
+    from varietas.streaming.interactive import lex_alternatives_service, serve_lines
+    out = serve_lines(spark, T.user_lines(spark, sf_dir), lex_alternatives_service(vectors(spark, sf_dir)))
+    return out.distinct()     # a line repeated in several files is answered once per file

@@ -106,3 +106,14 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("word"))) - 1)
     return (emb.join(ranked, emb.vec_id == ranked["rank"])
             .select(F.col("rank").cast("int").alias("rank"), "word", F.col("embedding").alias("v")))
+
+
+def pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, text): turn t and turn t+1 of a conversation as one ``source<TAB>target`` line,
+    newlines inside a turn replaced by spaces."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    a, b = c.alias("a"), c.alias("b")
+    j = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
+    line = F.concat(F.regexp_replace("a.text", "\n", " "), F.lit("\t"), F.regexp_replace("b.text", "\n", " "))
+    return j.select(F.concat_ws(":", F.col("a.conv_id").cast("string"), F.col("a.turn").cast("string")).alias("pair_id"),
+                    line.alias("text"))
