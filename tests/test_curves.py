@@ -55,3 +55,18 @@ def test_oov_curve_properties(spark):
     train_as_dev = chunks.select("text")
     full = {r.i: r.oovs for r in X.oov_curve(chunks, train_as_dev).collect()}
     assert full[2] == 0 and full[0] >= full[1] >= full[2]
+
+
+def test_effective_paraphrases_equals_retraining(spark):
+    base = spark.createDataFrame([(t,) for t in BASE], "text string")
+    cands = spark.createDataFrame([(i, t) for i, t in enumerate(CANDS + ["", "a", "b c d a b"])],
+                                  "cand_id long, text string")
+    dev = spark.createDataFrame([(i, t) for i, t in enumerate(DEV + ["a b c", "d"])], "sent_id long, text string")
+    got = {r.cand_id: (r.ppl, r.effective) for r in X.effective_paraphrases(base, cands, dev).collect()}
+    all_c = CANDS + ["", "a", "b c d a b"]
+    vocab = sorted({w for t in BASE + all_c for w in t.split()} | {EOS, UNK})
+    base_ppl = _retrain_ppl(spark, BASE, vocab, dev)
+    for i, c in enumerate(all_c):
+        exp = _retrain_ppl(spark, BASE + [c], vocab, dev)
+        assert math.isclose(got[i][0], exp, rel_tol=1e-9), (i, got[i][0], exp)
+        assert got[i][1] == (exp < base_ppl)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from varietas.operators import lm as L
 from varietas.operators import vocab as Vo
+from varietas.operators.ngrams import BOS as BOS_
 from varietas.operators.ngrams import EOS, UNK, ngram_events
 from varietas.operators.rows import first_prefix, row_count
 
@@ -196,3 +197,123 @@ def evaluate_models(model_counts: DataFrame, dev: DataFrame, order: int = 3, k:
     return scored.groupBy(id_col).agg(
         F.pow(F.lit(10.0), -F.sum(F.col("lp") * F.col("mult")) / F.sum("mult")).alias("ppl"),
         F.sum("mult").alias("n_words"))
+
+
+def effective_paraphrases(base: DataFrame, candidates: DataFrame, dev: DataFrame, baseline: float | None = None,
+                          order: int = 3, k: float = 1.0, text_col: str = "text", cand_key: str = "cand_id",
+                          dev_key: str = "sent_id") -> DataFrame:
+    """Dev perplexity of (base + one candidate) for every candidate, and whether it beats
+    ``baseline`` (default: the base model's own dev perplexity).  Returns (cand_id, ppl, effective).
+
+    No model is trained per candidate and no (candidate × dev key) grid is built.  Under
+    Witten–Bell with a fixed vocabulary, adding sentence s changes
+
+    * the statistics of the empty history (total + |s|+1, types + new words) and of ``<s>``
+      (total + 1, types + [first word new after <s>]) — for *every* s, and
+    * statistics of other histories only where s uses them.
+
+    So a dev key's log-probability depends on s only through the signature
+    σ(s) = (|s|+1, new types, new type after <s>) unless s touches the key directly (shares its word,
+    or one of its longer histories, or starts with its word after ``<s>``).  The total is computed once
+    per distinct signature (σ count is bounded by sentence lengths, not by the number of candidates),
+    and corrected exactly on the touched (candidate, key) pairs, which an equi-join on words and
+    histories enumerates.
+    """
+    spark = base.sparkSession
+    cands = candidates.select(cand_key, text_col)
+    bev = ngram_events(base.select(text_col), order, text_col)
+    cev = ngram_events(cands, order, text_col, keep=[cand_key])
+    vocab = (bev.where(F.col("ord") == 1).select("w").unionByName(cev.where(F.col("ord") == 1).select("w"))
+             .unionByName(spark.createDataFrame([(EOS,), (UNK,)], "w string")).distinct())
+    p0 = F.lit(1.0) / vocab.select(F.count(F.lit(1))).scalar()
+    shell = L.LM(order, "witten_bell", None, None, vocab)
+    keys = L.scoring_events(dev, shell, dev_key, text_col).groupBy("hs", "w").agg(F.count(F.lit(1)).alias("mult"))
+    keys = keys.withColumn("kid", F.concat_ws("\u0001", F.array_join("hs", "\u0002"), "w"))   # exact key, no hash
+    kl = keys.select("kid", "w", F.posexplode("hs").alias("_o", "h")).withColumn("ord", F.col("_o") + 1).drop("_o")
+    n_dev = keys.select(F.sum("mult")).scalar()
+    # base statistics of the dev histories / n-grams
+    bcnt = bev.groupBy("ord", "h", "w").agg(F.count(F.lit(1)).alias("c"))
+    bctx = bcnt.join(kl.select("ord", "h").distinct(), ["ord", "h"], "left_semi") \
+        .groupBy("ord", "h").agg(F.sum("c").alias("tot_h"), F.count(F.lit(1)).alias("typ_h"))
+    base_k = kl.join(bctx, ["ord", "h"], "left").join(bcnt, ["ord", "h", "w"], "left") \
+        .select("kid", "ord", "h", "w", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("tot_h", F.lit(0)).alias("tot_h"),
+                F.coalesce("typ_h", F.lit(0)).alias("typ_h"))
+    # candidate deltas: counts, history totals, new types (w unseen after h in the base)
+    ccnt = cev.groupBy(cand_key, "ord", "h", "w").agg(F.count(F.lit(1)).alias("e"))
+    cnew = ccnt.join(bcnt.select("ord", "h", "w"), ["ord", "h", "w"], "left_anti")
+    cctx = ccnt.groupBy(cand_key, "ord", "h").agg(F.sum("e").alias("e_h")) \
+        .join(cnew.groupBy(cand_key, "ord", "h").agg(F.count(F.lit(1)).alias("n_h")), [cand_key, "ord", "h"], "left") \
+        .withColumn("n_h", F.coalesce("n_h", F.lit(0)))
+    sig = (cctx.where((F.col("ord") == 1) & (F.col("h") == ""))
+           .select(cand_key, F.col("e_h").alias("s_e1"), F.col("n_h").alias("s_n1"))
+           .join(cctx.where((F.col("ord") == 2) & (F.col("h") == BOS_))
+                 .select(cand_key, F.col("n_h").alias("s_nb")), cand_key, "left")
+           .withColumn("s_nb", F.coalesce("s_nb", F.lit(0))))
+
+    def mix(c, C, T, lower):
+        return F.when(C > 0, (c + F.lit(k) * T * lower) / (C + F.lit(k) * T)).otherwise(lower)
+
+    def logp(frame, key_cols):
+        """log10 p of (key_cols..., kid) rows carrying per-order c/C/T as struct columns o1..oN."""
+        p = F.col("_p0")
+        for m in range(1, order + 1):
+            o = F.col(f"o{m}")
+            p = F.when(o.isNull(), p).otherwise(mix(o["c"], o["tot_h"], o["typ_h"], p))
+        return frame.withColumn("_p0", p0).select(*key_cols, "kid", F.log10(p).alias("lp"))
+
+    def signature_stats(frame):
+        """c/C/T of a key under a signature (s_e1, s_n1, s_nb) — only global histories change."""
+        is1 = (F.col("ord") == 1)
+        isb = (F.col("ord") == 2) & (F.col("h") == BOS_)
+        c = F.col("c") + F.when(is1 & (F.col("w") == EOS), 1).otherwise(0)
+        tot = F.col("tot_h") + F.when(is1, F.col("s_e1")).when(isb, 1).otherwise(0)
+        typ = F.col("typ_h") + F.when(is1, F.col("s_n1")).when(isb, F.col("s_nb")).otherwise(0)
+        return frame.select(*[x for x in frame.columns if x not in ("c", "tot_h", "typ_h")],
+                            c.alias("c"), tot.alias("tot_h"), typ.alias("typ_h"))
+
+    def widen(frame, key_cols):
+        return frame.groupBy(*key_cols, "kid").agg(
+            *[F.max(F.when(F.col("ord") == m, F.struct("c", "tot_h", "typ_h"))).alias(f"o{m}") for m in range(1, order + 1)])
+
+    # 1. per signature: sum over all dev keys (signatures come as one bounded array)
+    sigs = sig.select("s_e1", "s_n1", "s_nb").distinct()
+    sig_arr = sigs.select(F.collect_list(F.struct("s_e1", "s_n1", "s_nb"))).scalar()
+    grid = base_k.withColumn("_s", F.explode(sig_arr)).select("*", "_s.*").drop("_s")
+    lp_sig = logp(widen(signature_stats(grid), ["s_e1", "s_n1", "s_nb"]), ["s_e1", "s_n1", "s_nb"])
+    lp_sig = lp_sig.join(keys.select("kid", "mult"), "kid")
+    tot_sig = lp_sig.groupBy("s_e1", "s_n1", "s_nb").agg(F.sum(F.col("lp") * F.col("mult")).alias("tot"))
+    # 2. touched (candidate, key) pairs: shared word (not </s>), shared longer history (other than <s>
+    #    at order 2), or the key's word opening the candidate after <s>
+    by_word = ccnt.where((F.col("ord") == 1) & (F.col("w") != EOS)).select(cand_key, "w").distinct() \
+        .join(kl.where(F.col("ord") == 1).select("kid", "w"), "w").select(cand_key, "kid")
+    by_hist = cctx.where((F.col("ord") >= 2) & ~((F.col("ord") == 2) & (F.col("h") == BOS_))) \
+        .select(cand_key, "ord", "h").join(kl.select("kid", "ord", "h"), ["ord", "h"]).select(cand_key, "kid")
+    by_first = ccnt.where((F.col("ord") == 2) & (F.col("h") == BOS_)).select(cand_key, "w") \
+        .join(kl.where((F.col("ord") == 2) & (F.col("h") == BOS_)).select("kid", "w"), "w").select(cand_key, "kid")
+    touched = by_word.unionByName(by_hist).unionByName(by_first).distinct()
+    tk = touched.join(base_k, "kid").join(sig, cand_key)
+    # signature value of the touched keys (to subtract) ...
+    lp_t_sig = logp(widen(signature_stats(tk), [cand_key]), [cand_key])
+    # ... and their exact value under base + candidate (to add)
+    exact = tk.join(ccnt, [cand_key, "ord", "h", "w"], "left").join(cctx, [cand_key, "ord", "h"], "left") \
+        .select(cand_key, "kid", "ord", (F.col("c") + F.coalesce("e", F.lit(0))).alias("c"),
+                (F.col("tot_h") + F.coalesce("e_h", F.lit(0))).alias("tot_h"),
+                (F.col("typ_h") + F.coalesce("n_h", F.lit(0))).alias("typ_h"))
+    lp_t = logp(widen(exact, [cand_key]), [cand_key])
+    corr = (lp_t.withColumnRenamed("lp", "lp_s").join(lp_t_sig.withColumnRenamed("lp", "lp_g"), [cand_key, "kid"])
+            .join(keys.select("kid", "mult"), "kid")
+            .groupBy(cand_key).agg(F.sum((F.col("lp_s") - F.col("lp_g")) * F.col("mult")).alias("corr")))
+    per = sig.join(tot_sig, ["s_e1", "s_n1", "s_nb"]).join(corr, cand_key, "left")
+    ppl = F.pow(F.lit(10.0), -(F.col("tot") + F.coalesce("corr", F.lit(0.0))) / n_dev)
+    out = per.select(cand_key, ppl.alias("ppl"))
+    if baseline is None:
+        base_model = L.build_lm(bcnt, order, "witten_bell", k=k, vocab=vocab)
+        base_ppl = L.perplexity(L.score(dev, base_model, dev_key, text_col)).select("ppl").scalar()
+    else:
+        base_ppl = F.lit(float(baseline))
+    return out.withColumn("effective", F.col("ppl") < base_ppl)
+
+
+def effective_summary(effective: DataFrame) -> DataFrame:
+    """One row (processed, effective)."""
+    return effective.agg(F.count(F.lit(1)).alias("processed"), F.count(F.when(F.col("effective"), 1)).alias("effective"))

@@ -142,3 +142,55 @@ def cumulative_paraphrase_curve_q(spark, sf_dir):
     c = X.cumulative_paraphrase_curve(T.user_lines(spark, sf_dir), T.generated_lines(spark, sf_dir),
                                       T.ordered_dev_lines(spark, sf_dir), seed=3, order=ORDER)
     return c.select("i", F.round("ppl", 6).alias("ppl"), "n_words")
+
+
+def _x4_sql(order=ORDER):
+    parts = [S.USER_LINES, S.GEN_LINES, S.DEV_LINES, S.DEV_ORDERED,
+             f"bev as ({LS.events_sql('user_lines0', order, LS.ws_tokens('text'))})",
+             "bcnt as (select ord, h, w, count(*) as c from bev group by ord, h, w)",
+             "bctx as (select ord, h, sum(c) as C, count(*) as T from bcnt group by ord, h)",
+             "cand as (select conv_id || ':' || turn || ':' || line_no as cand_id, text from gen_lines0)",
+             f"cev as ({LS.events_sql('cand', order, LS.ws_tokens('text'), keep='cand_id')})",
+             "ccnt as (select cand_id, ord, h, w, count(*) as e from cev group by cand_id, ord, h, w)",
+             "cnew as (select cand_id, ord, h, count(*) as N from ccnt where not exists (select 1 from bcnt b "
+             "where b.ord = ccnt.ord and b.h = ccnt.h and b.w = ccnt.w) group by cand_id, ord, h)",
+             "cctx as (select c.cand_id, c.ord, c.h, sum(c.e) as E from ccnt c group by c.cand_id, c.ord, c.h)",
+             "vocab as (select w from bcnt where ord = 1 union select w from ccnt where ord = 1 "
+             "union select '</s>' union select '<unk>')",
+             "vsize as (select count(*) * 1.0 as nv from vocab)",
+             *LS.dev_events_ctes("dev_lines", order)]
+    joins, expr = [], "(1.0 / (select nv from vsize))"
+    for m in range(1, order + 1):
+        joins.append(f"""left join bcnt b{m} on b{m}.ord = {m} and b{m}.h = e.h{m} and b{m}.w = e.w
+  left join bctx x{m} on x{m}.ord = {m} and x{m}.h = e.h{m}
+  left join ccnt d{m} on d{m}.cand_id = g.cand_id and d{m}.ord = {m} and d{m}.h = e.h{m} and d{m}.w = e.w
+  left join cctx y{m} on y{m}.cand_id = g.cand_id and y{m}.ord = {m} and y{m}.h = e.h{m}
+  left join cnew z{m} on z{m}.cand_id = g.cand_id and z{m}.ord = {m} and z{m}.h = e.h{m}""")
+        cm = f"(coalesce(b{m}.c, 0) + coalesce(d{m}.e, 0))"
+        Cm = f"(coalesce(x{m}.C, 0) + coalesce(y{m}.E, 0))"
+        Tm = f"(coalesce(x{m}.T, 0) + coalesce(z{m}.N, 0))"
+        expr = (f"case when e.h{m} is null or {Cm} = 0 then ({expr}) else ({cm} + {Tm} * ({expr})) / "
+                f"({Cm} + {Tm}) end")
+    parts.append(f"""sc as (select g.cand_id, log10({expr}) as lp
+  from (select distinct cand_id from cand) g cross join dev_ev e {' '.join(joins)})""")
+    base_joins, bexpr = [], "(1.0 / (select nv from vsize))"
+    for m in range(1, order + 1):
+        base_joins.append(f"left join bcnt b{m} on b{m}.ord = {m} and b{m}.h = e.h{m} and b{m}.w = e.w "
+                          f"left join bctx x{m} on x{m}.ord = {m} and x{m}.h = e.h{m}")
+        bexpr = (f"case when e.h{m} is null or coalesce(x{m}.C, 0) = 0 then ({bexpr}) else "
+                 f"(coalesce(b{m}.c, 0) + x{m}.T * ({bexpr})) / (x{m}.C + x{m}.T) end")
+    parts.append(f"bsc as (select log10({bexpr}) as lp from dev_ev e {' '.join(base_joins)})")
+    parts.append("bppl as (select pow(10, -sum(lp) / count(*)) as ppl from bsc)")
+    return S.with_(*parts) + """
+select cand_id, round(pow(10, -sum(lp) / count(*)), 6) as ppl, pow(10, -sum(lp) / count(*)) < (select ppl from bppl) as effective
+from sc group by cand_id"""
+
+
+@query("effective_paraphrases", _x4_sql())
+def effective_paraphrases_q(spark, sf_dir):
+    """Benchmark perplexity of (user turns + one generated line) for every generated line,
+    and whether it beats the user turns' own perplexity — without training a model per candidate."""
+    cands = T.generated_lines(spark, sf_dir).select(
+        F.concat_ws(":", *[F.col(c).cast("string") for c in ("conv_id", "turn", "line_no")]).alias("cand_id"), "text")
+    out = X.effective_paraphrases(T.user_lines(spark, sf_dir), cands, T.ordered_dev_lines(spark, sf_dir), order=ORDER)
+    return out.select("cand_id", F.round("ppl", 6).alias("ppl"), "effective")
