@@ -15,7 +15,7 @@ from varietas.functions import rstrip_line
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): every line with its file and 0-based position (whole-file read)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"),
                         F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "value"))
 
