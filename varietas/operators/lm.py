@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from varietas.operators.ngrams import (BOS, EOS, UNK, context_stats, count_of_counts, lower_history,
                                        ngram_counts, sentence_tokens)
+from varietas.session import checkpoint
 
 METHODS = ("witten_bell", "unsmoothed", "absolute", "kneser_ney", "katz", "presmoothed")
 # Kneser–Ney discounts used when the count-of-counts leave them undefined.
@@ -44,6 +45,11 @@ class LM:
     def vocab_size(self) -> Column:
         return self.vocab.select(F.count(F.lit(1))).scalar()
 
+    def materialize(self) -> "LM":
+        """Store the model tables once (reliable checkpoint) so every later lookup reads them instead
+        of re-running the training plan; also what survives a lost executor."""
+        return LM(self.order, self.method, checkpoint(self.probs), checkpoint(self.gammas), checkpoint(self.vocab))
+
 
 def vocabulary(counts: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """V = words predicted at order 1, plus ``</s>`` and ``<unk>`` (``extra`` words are added too)."""
@@ -145,10 +151,16 @@ def _abs_discounts(counts: DataFrame, discount: float | None) -> DataFrame:
 
 def build_lm(counts: DataFrame, order: int = 3, method: str = "witten_bell", k: float = 1.0,
              discount: float | None = None, bins: int = -1, discount_fallback: bool = False,
-             vocab: DataFrame | None = None) -> LM:
-    """Smooth counts ``(ord, h, w, c)`` into a model."""
+             vocab: DataFrame | None = None, materialize: bool = False) -> LM:
+    """Smooth counts ``(ord, h, w, c)`` into a model.
+
+    With ``materialize`` the model tables are computed now and stored (see :meth:`LM.materialize`);
+    otherwise they stay lazy plans.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {METHODS}")
+    if materialize:
+        counts = checkpoint(counts)     # the three model tables below then start from stored counts
     v = vocab if vocab is not None else vocabulary(counts)
     p0 = F.lit(1.0) / v.select(F.count(F.lit(1))).scalar()
     if method == "kneser_ney":
@@ -211,7 +223,8 @@ def build_lm(counts: DataFrame, order: int = 3, method: str = "witten_bell", k:
     probs, gammas = probs_by_order[0], gammas_by_order[0]
     for p_, g_ in zip(probs_by_order[1:], gammas_by_order[1:]):
         probs, gammas = probs.unionByName(p_), gammas.unionByName(g_)
-    return LM(order, method, probs, gammas, v)
+    model = LM(order, method, probs, gammas, v)
+    return model.materialize() if materialize else model
 
 
 def train_lm(lines: DataFrame, order: int = 3, method: str = "witten_bell", text_col: str = "text",
@@ -255,27 +268,16 @@ def score(lines: DataFrame, lm: LM, key: str = "sent_id", text_col: str = "text"
           skip_symbols: bool = False) -> DataFrame:
     """(key, pos, w, log10p, ngram_len, oov) for every word and ``</s>``.
 
-    Only distinct (order, history, word) keys are looked up (C4).  ``log10p`` is NULL where the
-    probability is 0 (unsmoothed models).
+    Only distinct (histories, word) keys are looked up (C4), then joined back to the words.
+    ``log10p`` is NULL where the probability is 0 (unsmoothed models).
     """
     ev = scoring_events(lines, lm, key, text_col, skip_symbols)
-    long = ev.select(key, "pos", "w", "oov", F.posexplode("hs").alias("_i", "h")).withColumn("ord", F.col("_i") + 1)
-    keys = long.select("ord", "h", "w").distinct()
-    looked = (keys.join(lm.probs, ["ord", "h", "w"], "left")
-              .join(lm.gammas, ["ord", "h"], "left"))
-    full = long.join(looked, ["ord", "h", "w"], "left")
-    per = full.groupBy(key, "pos", "w", "oov").agg(
-        F.max(F.when(F.col("p").isNotNull(), F.col("ord"))).alias("nstar"),
-        F.collect_list(F.struct("ord", "p", "g")).alias("os"))
-    nstar = F.coalesce(F.col("nstar"), F.lit(0))
-    p_at = F.filter("os", lambda o: o["ord"] == nstar)
-    base = F.when(nstar == 0, F.log10(F.lit(1.0) / lm.vocab_size())).otherwise(F.log10(p_at[0]["p"]))
-    above = F.filter("os", lambda o: (o["ord"] > nstar) & o["g"].isNotNull())
-    # a zero backoff weight (unsmoothed) makes the probability 0: log10 is NULL then
-    has_zero = F.exists(above, lambda o: o["g"] <= 0)
-    backoff = F.aggregate(above, F.lit(0.0), lambda acc, o: acc + F.log10(o["g"]))
-    logp = F.when(has_zero, F.lit(None).cast("double")).otherwise(base + backoff)
-    return per.select(key, "pos", "w", logp.alias("log10p"), nstar.alias("ngram_len"), "oov")
+    keys = ev.select("hs", "w").distinct()
+    for m in range(1, lm.order + 1):
+        keys = keys.withColumn(f"_h{m}", F.when(F.size("hs") >= m, F.element_at("hs", m)))
+    looked = backoff_prob(keys, lm, [f"_h{m}" for m in range(1, lm.order + 1)])
+    looked = looked.select("hs", "w", F.when(F.col("p") > 0, F.log10("p")).alias("log10p"), "ngram_len")
+    return ev.join(looked, ["hs", "w"]).select(key, "pos", "w", "log10p", "ngram_len", "oov")
 
 
 def perplexity(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -300,30 +302,48 @@ def sentence_perplexity(lines: DataFrame, lm: LM, key: str = "sent_id", text_col
 # Pruning (L7)
 # ------------------------------------------------------------------------------------------------
 
+def backoff_prob(keys: DataFrame, lm: LM, hist_cols: list[str], w_col: str = "w") -> DataFrame:
+    """Attach ``p`` = p(w | h) by the backoff cascade, as plain left joins and one column expression.
+
+    ``hist_cols[m-1]`` holds the order-m history (``''`` for order 1, NULL where the sentence is too
+    short for that order).  With p_m / g_m the seen-n-gram probability / history weight at order m
+    (NULL when unseen) and 1/|V| below order 1::
+
+        p = coalesce(p_N, coalesce(g_N, 1) * coalesce(p_{N-1}, ... coalesce(p_1, g_1 * 1/|V|)))
+
+    No explode, grouping or lambda: each order is one equi-join on (history, word) or history.
+    """
+    out = keys.withColumn("_p0", F.lit(1.0) / lm.vocab_size())
+    for m in range(1, lm.order + 1):
+        pm = lm.probs.where(F.col("ord") == m).select(F.col("h").alias(f"_ph{m}"), F.col("w").alias(f"_pw{m}"),
+                                                      F.col("p").alias(f"_p{m}"))
+        gm = lm.gammas.where(F.col("ord") == m).select(F.col("h").alias(f"_gh{m}"), F.col("g").alias(f"_g{m}"))
+        out = out.join(pm, (out[hist_cols[m - 1]] == pm[f"_ph{m}"]) & (out[w_col] == pm[f"_pw{m}"]), "left") \
+            .join(gm, out[hist_cols[m - 1]] == gm[f"_gh{m}"], "left")
+    p = F.col("_p0")
+    nstar = F.lit(0)
+    for m in range(1, lm.order + 1):
+        seen_h = F.col(hist_cols[m - 1]).isNotNull()
+        p = F.when(~seen_h, p).otherwise(F.coalesce(F.col(f"_p{m}"), F.coalesce(F.col(f"_g{m}"), F.lit(1.0)) * p))
+        nstar = F.when(F.col(f"_p{m}").isNotNull(), F.lit(m)).otherwise(nstar)
+    drop = [c for m in range(1, lm.order + 1) for c in (f"_ph{m}", f"_pw{m}", f"_p{m}", f"_gh{m}", f"_g{m}")]
+    return out.withColumn("p", p).withColumn("ngram_len", nstar).drop(*drop, "_p0")
+
+
 def lookup_prob(keys: DataFrame, lm: LM) -> DataFrame:
     """p(w | h) under ``lm`` for distinct keys (h, w), ``h`` of up to order-1 words (C4 form of L6).
 
-    Returns (h, w, p); the same backoff cascade as :func:`score`.
+    Returns (h, w, p).
     """
     k = keys.select("h", "w").distinct()
     k = k.withColumn("_words", F.when(F.col("h") == "", F.array().cast("array<string>")).otherwise(F.split("h", " ")))
-    words = F.col("_words")
-    hs = F.transform(F.sequence(F.lit(1), F.size(words) + 1),
-                     lambda m: F.struct(m.alias("ord"), F.array_join(F.slice(words, F.size(words) - m + 2, m - 1), " ")
-                                        .alias("hm")))
-    long = k.select("h", "w", F.inline(hs))
-    long = long.where(F.col("ord") <= F.lit(lm.order))
-    j = (long.join(lm.probs.withColumnRenamed("h", "hm"), ["ord", "hm", "w"], "left")
-         .join(lm.gammas.withColumnRenamed("h", "hm"), ["ord", "hm"], "left"))
-    per = j.groupBy("h", "w").agg(F.max(F.when(F.col("p").isNotNull(), F.col("ord"))).alias("nstar"),
-                                  F.collect_list(F.struct("ord", "p", "g")).alias("os"))
-    nstar = F.coalesce(F.col("nstar"), F.lit(0))
-    p_at = F.filter("os", lambda o: o["ord"] == nstar)
-    base = F.when(nstar == 0, F.lit(1.0) / lm.vocab_size()).otherwise(p_at[0]["p"])
-    above = F.filter("os", lambda o: (o["ord"] > nstar) & o["g"].isNotNull())
-    per = per.withColumn("_base", base)
-    prob = F.aggregate(above, F.col("_base"), lambda acc, o: acc * o["g"])
-    return per.select("h", "w", prob.alias("p"))
+    n = F.size("_words")
+    hist = []
+    for m in range(1, lm.order + 1):
+        hm = F.lit("") if m == 1 else F.when(n >= m - 1, F.array_join(F.slice("_words", n - m + 2, m - 1), " "))
+        k = k.withColumn(f"_h{m}", hm)
+        hist.append(f"_h{m}")
+    return backoff_prob(k, lm, hist).select("h", "w", "p")
 
 
 def prune_lm(lm: LM, counts: DataFrame, method: str = "seymore", theta: float = 0.0) -> LM:

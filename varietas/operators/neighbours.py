@@ -165,10 +165,15 @@ def lex_alternatives(queries: DataFrame, vectors: DataFrame, dist_flag: bool = F
     nb = near(queries.select(F.col("target").alias("word")), vectors, num_near, True, "word", block_rows)
     cand = queries.select("qid", "target").join(nb.withColumnRenamed("query", "target"), "target")
     ctx = queries.select("qid", F.posexplode("context").alias("widx", "cword"))
-    ctx = ctx.join(vectors.select(F.col("word").alias("cword"), F.col("u").alias("cu")), "cword")  # known only
-    cv = vectors.select(F.col("word").alias("word"), F.col("u").alias("wu"))
-    pairs = cand.join(ctx, "qid").join(cv, "word")
-    sim_c = F.round(dot(F.col("cu"), F.col("wu")), SIM_DP)
+    ctx = ctx.join(vectors.select(F.col("word").alias("cword")), "cword", "left_semi")           # known only
+    pairs = cand.join(ctx, "qid")
+    # each distinct (context word, candidate) similarity is computed once and joined back (C4)
+    wp = pairs.select("cword", "word").distinct()
+    wp = (wp.join(vectors.select(F.col("word").alias("cword"), F.col("u").alias("cu")), "cword")
+          .join(vectors.select(F.col("word").alias("word"), F.col("u").alias("wu")), "word")
+          .select("cword", "word", F.round(dot(F.col("cu"), F.col("wu")), SIM_DP).alias("sim_c")))
+    pairs = pairs.join(wp, ["cword", "word"])
+    sim_c = F.col("sim_c")
     factor = (F.pow(sim_c, F.lit(1.0) / (F.col("widx") + F.lit(2.0))) if dist_flag else sim_c)
     factor = F.when(sim_c >= 0, factor) if dist_flag else factor
     facs = (pairs.groupBy("qid", "word")

@@ -20,6 +20,7 @@ from varietas.operators import neighbours as N
 from varietas.operators import sampling as SMP
 from varietas.operators.decode import nbest, rank_strings
 from varietas.operators.ngrams import UNK
+from varietas.session import checkpoint
 
 # Words never replaced by a neighbour (besides tokens starting with an apostrophe).
 STOP_WORDS = ('have', 'has', 'had', 'is', 'are', 'am', 'was', 'were', 'be', '.', ',', ':', '?',
@@ -71,6 +72,7 @@ def rescore(df: DataFrame, scorer: str | L.LM | Callable[[DataFrame], DataFrame]
     if scorer == "identity":
         return df.withColumn("new_score", F.col("score"))
     if isinstance(scorer, L.LM):
+        df = checkpoint(df)        # read twice below: the scored strings are not decoded twice
         ids = df.withColumn("_rid", F.concat_ws("\u0001", F.col(key).cast("string"), F.col("rank").cast("string")))
         ppl = L.perplexity(L.score(ids.select("_rid", F.col("sent").alias("text")), scorer, key="_rid"), by=["_rid"])
         return ids.join(ppl.select("_rid", F.col("ppl").alias("new_score")), "_rid").drop("_rid")

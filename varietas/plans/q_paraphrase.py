@@ -26,7 +26,8 @@ def _tb_lines(lines):
 
 
 def _lm(spark, sf_dir):
-    return L.build_lm(G.ngram_counts(_tb_lines(T.user_lines(spark, sf_dir)), ORDER), ORDER, "witten_bell")
+    return L.build_lm(G.ngram_counts(_tb_lines(T.user_lines(spark, sf_dir)), ORDER), ORDER, "witten_bell",
+                      materialize=True)
 
 
 def _sentences(spark, sf_dir):
@@ -145,7 +146,7 @@ def awer_draws_q(spark, sf_dir):
 def _awer_lm(spark, sf_dir):
     """mklm: rare tokens (count 1) → <unk>, then Witten–Bell order 3 on whitespace tokens."""
     rare = V.replace_rare(T.ordered_user_lines(spark, sf_dir), 1)
-    return L.build_lm(G.ngram_counts(rare, ORDER), ORDER, "witten_bell")
+    return L.build_lm(G.ngram_counts(rare, ORDER), ORDER, "witten_bell", materialize=True)
 
 
 @query("awer")

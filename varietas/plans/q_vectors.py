@@ -15,7 +15,9 @@ _VEC = [S.DOC_LINES, S.doc_tokens_cte(), S.vectors_cte(), S.vec_norm_cte()]
 
 
 def vectors(spark, sf_dir, maxtypes: int = 0):
-    return N.normalize_vectors(T.vector_table(spark, sf_dir), maxtypes)
+    """Normalised vector table, stored once: several joins of a job read it."""
+    from varietas.session import checkpoint
+    return checkpoint(N.normalize_vectors(T.vector_table(spark, sf_dir), maxtypes))
 
 
 def _qid(*cols):
