@@ -173,8 +173,26 @@ def strip_whitespace(col: Column) -> Column:
     return F.regexp_replace(col, "^" + WS + "+|" + WS + "+$", "")
 
 
+# Quote, bracket and contraction rules can only fire on a line that contains a quote character, a
+# bracket, or one of the apostrophe-free contraction words (case-insensitively): the other rules
+# only insert spaces.  One scan for these decides whether the short chain is enough.
+NEEDS_FULL_CHAIN = "[\"'`\\[\\](){}<>]|(?iu:cannot|gimme|gonna|gotta|lemme|wanna)"
+
+
 def treebank_string(col: Column, convert_parentheses: bool = False) -> Column:
-    """The padded string the tokenizer splits (T1b ``return_str``)."""
+    """The padded string the tokenizer splits (T1b ``return_str``).
+
+    Lines without quotes, brackets or contraction words take the short chain (punctuation, dashes,
+    padding), which gives the same string as the full cascade on them; ``col`` should be a column
+    reference, since it is read by the guard and by the chosen branch.
+    """
+    short = _chain(col, PUNCTUATION)
+    short = _sub(short, *DOUBLE_DASHES)
+    short = F.concat(F.lit(" "), short, F.lit(" "))
+    return F.when(col.rlike(NEEDS_FULL_CHAIN), _full_chain(col, convert_parentheses)).otherwise(short)
+
+
+def _full_chain(col: Column, convert_parentheses: bool) -> Column:
     col = _chain(col, STARTING_QUOTES)
     col = _chain(col, PUNCTUATION)
     col = _sub(col, *PARENS_BRACKETS)
