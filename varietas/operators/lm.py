@@ -317,6 +317,12 @@ def backoff_prob(keys: DataFrame, lm: LM, hist_cols: list[str], w_col: str = "w"
     for m in range(1, lm.order + 1):
         pm = lm.probs.where(F.col("ord") == m).select(F.col("h").alias(f"_ph{m}"), F.col("w").alias(f"_pw{m}"),
                                                       F.col("p").alias(f"_p{m}"))
+        if m == 1:
+            # order 1 has the single empty history: join on the word, take its weight as a scalar
+            out = out.join(pm.drop("_ph1"), out[w_col] == pm["_pw1"], "left") \
+                .withColumn("_ph1", F.lit("")).withColumn("_gh1", F.lit("")) \
+                .withColumn("_g1", lm.gammas.where(F.col("ord") == 1).select(F.max("g")).scalar())
+            continue
         gm = lm.gammas.where(F.col("ord") == m).select(F.col("h").alias(f"_gh{m}"), F.col("g").alias(f"_g{m}"))
         out = out.join(pm, (out[hist_cols[m - 1]] == pm[f"_ph{m}"]) & (out[w_col] == pm[f"_pw{m}"]), "left") \
             .join(gm, out[hist_cols[m - 1]] == gm[f"_gh{m}"], "left")
