@@ -3,10 +3,10 @@
 Nearest neighbours (J2 + W2/W3) is the one operator with a quadratic core: every query is scored
 against every vocabulary vector.  It runs as a blocked matrix product:
 
-* vocabulary rows are split into ``vb`` blocks of at most ``block_rows`` vectors, queries into
-  ``qb`` buckets of at most ``block_rows``;
+* vocabulary rows are hashed into ``vb = ceil(n_vocab / block_rows)`` blocks and queries into
+  ``qb = ceil(n_queries / block_rows)`` buckets, so a block holds about ``block_rows`` vectors;
 * each vocabulary block is co-grouped with each query bucket (vectors are replicated ``qb`` times,
-  queries ``vb`` times — the usual 2-D GEMM layout), so no group holds more than
+  queries ``vb`` times — the usual 2-D GEMM layout), so a group's size stays near
   ``2 * block_rows`` vectors however large the inputs;
 * inside a group one ``numpy`` product scores the pairs and only the per-query top-k leaves the
   task (rounded similarity desc, word desc — the reference's reversed tuple sort);

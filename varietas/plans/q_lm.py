@@ -142,3 +142,27 @@ def sentence_perplexity_q(spark, sf_dir):
     """Perplexity of each benchmark line."""
     p = L.sentence_perplexity(T.ordered_dev_lines(spark, sf_dir), _wb_model(spark, sf_dir))
     return p.select("sent_id", F.round("ppl", 6).alias("ppl"), "n_words")
+
+
+@query("prune_lm")
+def prune_lm_q(spark, sf_dir):
+    """Witten–Bell model of the user turns pruned with a count threshold of 2 (order ≥ 2), backoff
+    weights renormalised (tests check that every distribution still sums to 1)."""
+    counts = _counts(spark, sf_dir)
+    pruned = L.prune_lm(L.build_lm(counts, ORDER, "witten_bell", materialize=True), counts, "absolute", theta=2)
+    return pruned.probs.join(pruned.gammas, ["ord", "h"]).select(
+        "ord", "h", "w", F.round("p", 9).alias("p"), F.round("g", 9).alias("g"))
+
+
+@query("lm_stage_roundtrip", _model_sql("witten_bell"))
+def lm_stage_roundtrip_q(spark, sf_dir):
+    """The Witten–Bell model saved at the ``lm`` stage (Parquet, partitioned by order) and
+    loaded back; must equal the freshly built model."""
+    from varietas.sources import files
+    from varietas.streaming.interactive import scratch_dir
+    m = L.build_lm(_counts(spark, sf_dir), ORDER, "witten_bell")
+    path = scratch_dir(spark, "lm-stage")
+    files.save_lm(m, path)
+    back = files.load_lm(spark, path, ORDER)
+    return back.probs.join(back.gammas, ["ord", "h"]).select(
+        "ord", "h", "w", F.round("p", 9).alias("p"), F.round("g", 9).alias("g"))

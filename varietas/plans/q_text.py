@@ -211,3 +211,16 @@ def map_unknown_q(spark, sf_dir):
     """Dev lines with tokens outside the user-turn vocabulary replaced by <unk>."""
     vocab = V.build_vocab(T.user_lines(spark, sf_dir))
     return V.map_unknown(T.ordered_dev_lines(spark, sf_dir), vocab).select("sent_id", "text")
+
+
+@query("text_roundtrip", S.with_(S.USER_LINES) + "select rtrim(text, ' ' || chr(10)) as text, count(*) as n "
+       "from user_lines0 group by 1")
+def text_roundtrip_q(spark, sf_dir):
+    """S8 → S1: user lines written as text files in parallel and read back (numbered by file and
+    position, right-stripped); the multiset of lines must be unchanged."""
+    from varietas.sources import files
+    from varietas.streaming.interactive import scratch_dir
+    path = scratch_dir(spark, "text-lines")
+    files.write_lines(T.user_lines(spark, sf_dir), path)
+    back = files.read_sentences(spark, path)
+    return back.groupBy("text").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varietas.functions import treebank_tokens
+from varietas.functions import dot, treebank_tokens
 from varietas.operators import neighbours as N
 from varietas.operators import vocab as V
 from varietas.oracle import sql as S
@@ -155,3 +155,17 @@ def stream_lex_alternatives_q(spark, sf_dir):
     from varietas.streaming.interactive import lex_alternatives_service, serve_lines
     out = serve_lines(spark, T.user_lines(spark, sf_dir), lex_alternatives_service(vectors(spark, sf_dir)))
     return out.distinct()     # a line repeated in several files is answered once per file
+
+
+@query("vectors_file_roundtrip", S.with_(*_VEC) + """
+select word, round(list_dot_product(u, u), 6) as norm2, round(u[1], 6) as u1 from vec_norm""")
+def vectors_file_roundtrip_q(spark, sf_dir):
+    """The vector table written in word2vec text format (header line, then ``word f1 ... fd``),
+    read back with ``read_vectors`` and normalised."""
+    from varietas.sources import files
+    from varietas.streaming.interactive import scratch_dir
+    raw = T.vector_table(spark, sf_dir)
+    path = scratch_dir(spark, "w2v")
+    files.write_vectors(raw, path)
+    back = N.normalize_vectors(files.read_vectors(spark, path))
+    return back.select("word", F.round(dot(F.col("u"), F.col("u")), 6).alias("norm2"), F.round(F.col("u")[0], 6).alias("u1"))

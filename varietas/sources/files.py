@@ -45,9 +45,18 @@ def read_vectors(spark: SparkSession, path: str, maxtypes: int = 0) -> DataFrame
 
 
 def write_vectors(vectors: DataFrame, path: str, vec_col: str = "v") -> None:
-    """word2vec text lines ``word f1 ... fd`` (no header: the count is a property of the table)."""
-    line = F.concat_ws(" ", F.col("word"), F.array_join(F.col(vec_col).cast("array<string>"), " "))
-    vectors.select(line.alias("value")).write.mode("overwrite").text(path)
+    """word2vec text format: header ``n dim``, then ``word f1 ... fd`` in rank order, one file.
+
+    The format is a single ordered file; its size is bounded by the vector vocabulary (maxtypes).
+    """
+    body = vectors.select(F.col("rank").cast("long").alias("_r"),
+                          F.concat_ws(" ", F.col("word"), F.array_join(F.col(vec_col).cast("array<string>"), " "))
+                          .alias("value"))
+    stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d"))
+    header = stats.select(F.lit(-1).cast("long").alias("_r"),
+                          F.concat_ws(" ", F.col("n").cast("string"), F.col("d").cast("string")).alias("value"))
+    (header.unionByName(body).repartition(1).sortWithinPartitions("_r").select("value")
+     .write.mode("overwrite").text(path))
 
 
 def read_unigrams(spark: SparkSession, path: str) -> DataFrame:
