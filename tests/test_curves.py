@@ -70,3 +70,21 @@ def test_effective_paraphrases_equals_retraining(spark):
         exp = _retrain_ppl(spark, BASE + [c], vocab, dev)
         assert math.isclose(got[i][0], exp, rel_tol=1e-9), (i, got[i][0], exp)
         assert got[i][1] == (exp < base_ppl)
+
+
+def test_awer_curve_equals_per_prefix_awer(spark):
+    from varietas.operators import vocab as V
+    from varietas.plans.paraphrase import awer
+    lines = ["a b c a", "b c d", "a a b", "c d e", "d e f b", "a c", "f f a", "b b c"]
+    chunks = spark.createDataFrame([(i // 3, i + 1, t) for i, t in enumerate(lines)],
+                                   "chunk_id long, sent_id long, text string")
+    dev = spark.createDataFrame([(1, "a b c"), (2, "d e x"), (3, "")], "sent_id long, text string")
+    uni = spark.createDataFrame([("a", 3), ("b", 2), ("c", 2), ("d", 1), ("e", 1), ("f", 1)], "word string, n long")
+    got = {r.i: r.awer for r in X.awer_curve(chunks, dev, uni, seed=7).collect()}
+    for i in range(3):
+        pref = spark.createDataFrame([(j + 1, t) for j, t in enumerate(lines) if j // 3 <= i],
+                                     "sent_id long, text string")
+        rare = V.replace_rare(pref, 1)
+        model = L.build_lm(G.ngram_counts(rare, 3), 3, "witten_bell")
+        exp = awer(dev, uni, model, seed=7).first().awer
+        assert math.isclose(got[i], exp, abs_tol=1e-12), (i, got[i], exp)

@@ -302,7 +302,8 @@ def sentence_perplexity(lines: DataFrame, lm: LM, key: str = "sent_id", text_col
 # Pruning (L7)
 # ------------------------------------------------------------------------------------------------
 
-def backoff_prob(keys: DataFrame, lm: LM, hist_cols: list[str], w_col: str = "w") -> DataFrame:
+def backoff_prob(keys: DataFrame, lm: LM, hist_cols: list[str], w_col: str = "w",
+                 by: tuple[str, ...] = ()) -> DataFrame:
     """Attach ``p`` = p(w | h) by the backoff cascade, as plain left joins and one column expression.
 
     ``hist_cols[m-1]`` holds the order-m history (``''`` for order 1, NULL where the sentence is too
@@ -312,20 +313,37 @@ def backoff_prob(keys: DataFrame, lm: LM, hist_cols: list[str], w_col: str = "w"
         p = coalesce(p_N, coalesce(g_N, 1) * coalesce(p_{N-1}, ... coalesce(p_1, g_1 * 1/|V|)))
 
     No explode, grouping or lambda: each order is one equi-join on (history, word) or history.
+    ``by`` names model-key columns present in ``keys`` and in all model tables (several models at once).
     """
-    out = keys.withColumn("_p0", F.lit(1.0) / lm.vocab_size())
+    by = list(by)
+    if by:
+        nv = lm.vocab.groupBy(*by).agg(F.count(F.lit(1)).alias("_nv"))
+        out = keys.join(nv, by, "left").withColumn("_p0", F.lit(1.0) / F.col("_nv")).drop("_nv")
+    else:
+        out = keys.withColumn("_p0", F.lit(1.0) / lm.vocab_size())
     for m in range(1, lm.order + 1):
-        pm = lm.probs.where(F.col("ord") == m).select(F.col("h").alias(f"_ph{m}"), F.col("w").alias(f"_pw{m}"),
+        pm = lm.probs.where(F.col("ord") == m).select(*by, F.col("h").alias(f"_ph{m}"), F.col("w").alias(f"_pw{m}"),
                                                       F.col("p").alias(f"_p{m}"))
         if m == 1:
-            # order 1 has the single empty history: join on the word, take its weight as a scalar
-            out = out.join(pm.drop("_ph1"), out[w_col] == pm["_pw1"], "left") \
-                .withColumn("_ph1", F.lit("")).withColumn("_gh1", F.lit("")) \
-                .withColumn("_g1", lm.gammas.where(F.col("ord") == 1).select(F.max("g")).scalar())
+            # order 1 has the single empty history: join on the word, take its weight per model
+            p1 = pm.drop("_ph1").withColumnRenamed("_pw1", w_col)
+            out = out.join(p1, [*by, w_col], "left").withColumn("_ph1", F.lit("")).withColumn("_gh1", F.lit(""))
+            g1 = lm.gammas.where(F.col("ord") == 1)
+            if by:
+                out = out.join(g1.groupBy(*by).agg(F.max("g").alias("_g1")), by, "left")
+            else:
+                out = out.withColumn("_g1", g1.select(F.max("g")).scalar())
             continue
-        gm = lm.gammas.where(F.col("ord") == m).select(F.col("h").alias(f"_gh{m}"), F.col("g").alias(f"_g{m}"))
-        out = out.join(pm, (out[hist_cols[m - 1]] == pm[f"_ph{m}"]) & (out[w_col] == pm[f"_pw{m}"]), "left") \
-            .join(gm, out[hist_cols[m - 1]] == gm[f"_gh{m}"], "left")
+        gm = lm.gammas.where(F.col("ord") == m).select(*by, F.col("h").alias(f"_gh{m}"), F.col("g").alias(f"_g{m}"))
+        pm = pm.select(*[F.col(b).alias(f"_pb{m}_{b}") for b in by], f"_ph{m}", f"_pw{m}", f"_p{m}")
+        gm = gm.select(*[F.col(b).alias(f"_gb{m}_{b}") for b in by], f"_gh{m}", f"_g{m}")
+        cond_p = (F.col(hist_cols[m - 1]) == F.col(f"_ph{m}")) & (F.col(w_col) == F.col(f"_pw{m}"))
+        cond_g = F.col(hist_cols[m - 1]) == F.col(f"_gh{m}")
+        for b in by:
+            cond_p = cond_p & (F.col(b) == F.col(f"_pb{m}_{b}"))
+            cond_g = cond_g & (F.col(b) == F.col(f"_gb{m}_{b}"))
+        out = out.join(pm, cond_p, "left").drop(*[f"_pb{m}_{b}" for b in by])
+        out = out.join(gm, cond_g, "left").drop(*[f"_gb{m}_{b}" for b in by])
     p = F.col("_p0")
     nstar = F.lit(0)
     for m in range(1, lm.order + 1):
@@ -336,12 +354,12 @@ def backoff_prob(keys: DataFrame, lm: LM, hist_cols: list[str], w_col: str = "w"
     return out.withColumn("p", p).withColumn("ngram_len", nstar).drop(*drop, "_p0")
 
 
-def lookup_prob(keys: DataFrame, lm: LM) -> DataFrame:
+def lookup_prob(keys: DataFrame, lm: LM, by: tuple[str, ...] = ()) -> DataFrame:
     """p(w | h) under ``lm`` for distinct keys (h, w), ``h`` of up to order-1 words (C4 form of L6).
 
-    Returns (h, w, p).
+    Returns (by..., h, w, p).
     """
-    k = keys.select("h", "w").distinct()
+    k = keys.select(*by, "h", "w").distinct()
     k = k.withColumn("_words", F.when(F.col("h") == "", F.array().cast("array<string>")).otherwise(F.split("h", " ")))
     n = F.size("_words")
     hist = []
@@ -349,7 +367,7 @@ def lookup_prob(keys: DataFrame, lm: LM) -> DataFrame:
         hm = F.lit("") if m == 1 else F.when(n >= m - 1, F.array_join(F.slice("_words", n - m + 2, m - 1), " "))
         k = k.withColumn(f"_h{m}", hm)
         hist.append(f"_h{m}")
-    return backoff_prob(k, lm, hist).select("h", "w", "p")
+    return backoff_prob(k, lm, hist, by=by).select(*by, "h", "w", "p")
 
 
 def prune_lm(lm: LM, counts: DataFrame, method: str = "seymore", theta: float = 0.0) -> LM:

@@ -317,3 +317,98 @@ def effective_paraphrases(base: DataFrame, candidates: DataFrame, dev: DataFrame
 def effective_summary(effective: DataFrame) -> DataFrame:
     """One row (processed, effective)."""
     return effective.agg(F.count(F.lit(1)).alias("processed"), F.count(F.when(F.col("effective"), 1)).alias("effective"))
+
+
+def witten_bell_by(counts: DataFrame, order: int, by: list[str], k: float = 1.0) -> L.LM:
+    """Witten–Bell models for every value of the key columns ``by`` at once (counts carry the key).
+
+    The tables of the returned model carry ``by``; look-ups and decoding select the model with it.
+    """
+    from varietas.operators.ngrams import lower_history
+    keys = counts.select(*by).distinct()
+    vocab = (counts.where(F.col("ord") == 1).select(*by, "w")
+             .unionByName(keys.select(*by, F.explode(F.array(F.lit(EOS), F.lit(UNK))).alias("w"))).distinct())
+    nv = vocab.groupBy(*by).agg(F.count(F.lit(1)).alias("_nv"))
+    probs, gammas, prev = None, None, None
+    for n in range(1, order + 1):
+        cur = counts.where(F.col("ord") == n)
+        ctx = cur.groupBy(*by, "ord", "h").agg(F.sum("c").alias("c_h"), F.count(F.lit(1)).alias("t_h"))
+        cur = cur.join(ctx, [*by, "ord", "h"])
+        if prev is None:
+            cur = cur.join(nv, by).withColumn("p_lower", F.lit(1.0) / F.col("_nv"))
+        else:
+            lo = prev.select(*by, F.col("h").alias("_lh"), F.col("w").alias("_lw"), F.col("p").alias("p_lower"))
+            cur = cur.withColumn("_lh", lower_history(F.col("h"))).withColumn("_lw", F.col("w")) \
+                .join(lo, [*by, "_lh", "_lw"], "left")
+        c, ch, th = F.col("c").cast("double"), F.col("c_h").cast("double"), F.col("t_h").cast("double")
+        cur = cur.withColumn("p", (c + F.lit(k) * th * F.col("p_lower")) / (ch + F.lit(k) * th)) \
+            .withColumn("g", F.lit(k) * th / (ch + F.lit(k) * th))
+        p_n = cur.select(*by, "ord", "h", "w", "p")
+        g_n = cur.select(*by, "ord", "h", "g").dropDuplicates([*by, "ord", "h"])
+        probs = p_n if probs is None else probs.unionByName(p_n)
+        gammas = g_n if gammas is None else gammas.unionByName(g_n)
+        prev = p_n
+    return L.LM(order, "witten_bell", probs, gammas, vocab)
+
+
+def awer_curve(chunks: DataFrame, dev: DataFrame, unigram_table: DataFrame, seed: int = 0,
+               generated: DataFrame | None = None, order: int = 3, rare_n: int = 1,
+               rn_col: str = "sent_id", text_col: str = "text", dev_key: str = "sent_id") -> DataFrame:
+    """AWER of the dev lines under the LM of every cumulative chunk prefix i (chunks 0..i).
+
+    Each prefix model is built as the evaluation scripts build it — tokens seen at most ``rare_n``
+    times *in that prefix* become ``<unk>``, then Witten–Bell of order ``order`` — and all prefix
+    models are trained, looked up and decoded in one job, keyed by i.  With ``generated`` (rn_col,
+    text) prefix i also holds the first (i+1)·len(chunk i) generated lines.  The unigram table (for
+    the draws) is fixed, as in the reference.  Returns (i, awer, n_lines).
+
+    A line of chunk c is part of prefixes c..max: the training data are expanded over the prefixes
+    they belong to (what the per-prefix retraining reads), then counted once per (prefix, n-gram).
+    """
+    from varietas.functions import split_whitespace
+    from varietas.plans import paraphrase as P
+    from varietas.operators import sampling as SMP
+    max_i = chunks.select(F.max("chunk_id")).scalar()
+    lines = chunks.select(F.explode(F.sequence(F.col("chunk_id"), max_i)).alias("i"),
+                          F.concat_ws(":", F.lit("b"), F.col(rn_col).cast("string")).alias("lid"), text_col)
+    if generated is not None:
+        flen = chunks.groupBy(F.col("chunk_id").alias("i")).agg(F.count(F.lit(1)).alias("_flen"))
+        m = flen.select("i", ((F.col("i") + 1) * F.col("_flen")).alias("_m"))
+        g = generated.select(F.explode(F.sequence(F.lit(0), max_i)).alias("i"),
+                             F.concat_ws(":", F.lit("g"), F.col(rn_col).cast("string")).alias("lid"),
+                             F.col(rn_col).alias("_g"), text_col)
+        g = g.join(F.broadcast(m), "i").where(F.col("_g") <= F.col("_m")).select("i", "lid", text_col)  # m: one row per chunk
+        lines = lines.unionByName(g)
+    toks = lines.select("i", "lid", F.posexplode(split_whitespace(F.col(text_col))).alias("pos", "tok"))
+    cnt = toks.groupBy("i", "tok").agg(F.count(F.lit(1)).alias("_c"))
+    lab = toks.join(cnt, ["i", "tok"]).withColumn("t", F.when(F.col("_c") > rare_n, F.col("tok")).otherwise(F.lit(UNK)))
+    rel = lab.groupBy("i", "lid").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("_s")) \
+        .select("i", F.col("_s.t").alias("toks"))
+    counts = ngram_events(rel, order, keep=["i"], toks_col="toks").groupBy("i", "ord", "h", "w") \
+        .agg(F.count(F.lit(1)).alias("c"))
+    lm = witten_bell_by(counts, order, ["i"]).materialize()
+    # lattices: every dev token under every prefix model; the draw does not depend on the model
+    dtoks = P.sentence_tokens(dev, dev_key, text_col)
+    draws = SMP.draw_words(dtoks.withColumn("k", SMP.draw32(seed, F.col(dev_key), F.col("pos"))),
+                           SMP.cdf(unigram_table))
+    per_i = draws.select(dev_key, "pos", "word", "alt", F.explode(F.sequence(F.lit(0), max_i)).alias("i"))
+    vocab = lm.vocab.select("i", F.col("w").alias("_v"))
+    orig = per_i.join(vocab, (per_i["i"] == vocab["i"]) & (per_i["word"] == vocab["_v"]), "left").drop(vocab["i"])
+    key = F.concat_ws(":", F.col("i").cast("string"), F.col(dev_key).cast("string")).alias("_key")
+    o_slots = orig.select(key, "i", "pos", F.coalesce(F.col("_v"), F.lit(UNK)).alias("word"), F.lit(0.0).alias("cost"))
+    usable = per_i.join(vocab, (per_i["i"] == vocab["i"]) & (per_i["alt"] == vocab["_v"]), "left_semi") \
+        .where(F.col("alt") != F.col("word"))
+    a_slots = usable.select(key, "i", "pos", F.col("alt").alias("word"), F.lit(0.0).alias("cost"))
+    best = P.nbest(o_slots.unionByName(a_slots), lm, 1, key="_key", by=("i",))
+    words = dtoks.groupBy(dev_key).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_s"))
+    grid = dev.select(dev_key).join(words, dev_key, "left") \
+        .select(dev_key, F.coalesce(F.col("_s.word"), F.array().cast("array<string>")).alias("_words"),
+                F.explode(F.sequence(F.lit(0), max_i)).alias("i"))
+    grid = grid.withColumn("_key", F.concat_ws(":", F.col("i").cast("string"), F.col(dev_key).cast("string")))
+    j = grid.join(best.select("_key", "sent"), "_key", "left") \
+        .withColumn("_out", F.split(F.coalesce(F.col("sent"), F.lit("")), " "))
+    n = F.size("_words")
+    err = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                          lambda x: ~F.coalesce(F.element_at("_words", x) == F.element_at("_out", x), F.lit(False))))
+    rate = F.when(n > 0, err / n).otherwise(F.lit(0.0))
+    return j.groupBy("i").agg(F.avg(rate).alias("awer"), F.count(F.lit(1)).alias("n_lines"))

@@ -194,3 +194,26 @@ def effective_paraphrases_q(spark, sf_dir):
         F.concat_ws(":", *[F.col(c).cast("string") for c in ("conv_id", "turn", "line_no")]).alias("cand_id"), "text")
     out = X.effective_paraphrases(T.user_lines(spark, sf_dir), cands, T.ordered_dev_lines(spark, sf_dir), order=ORDER)
     return out.select("cand_id", F.round("ppl", 6).alias("ppl"), "effective")
+
+
+def _awer_inputs(spark, sf_dir):
+    from varietas.operators import vocab as V
+    ch = R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id")
+    uni = V.unigrams(V.tokens_of(T.user_lines(spark, sf_dir)))
+    return ch, T.ordered_dev_lines(spark, sf_dir), uni
+
+
+@query("awer_curve")
+def awer_curve_q(spark, sf_dir):
+    """Benchmark AWER under the LM (rare → <unk>, Witten–Bell order 3) of every cumulative chunk
+    prefix of the user turns, all prefixes in one job (tests compare with per-prefix AWER)."""
+    ch, dev, uni = _awer_inputs(spark, sf_dir)
+    return X.awer_curve(ch, dev, uni, seed=11).select("i", F.round("awer", 9).alias("awer"), "n_lines")
+
+
+@query("awer_curve_generated")
+def awer_curve_generated_q(spark, sf_dir):
+    """X3 with automatic variety: prefix i also holds the first (i+1)*len(chunk i) generated lines."""
+    ch, dev, uni = _awer_inputs(spark, sf_dir)
+    out = X.awer_curve(ch, dev, uni, seed=11, generated=T.ordered_generated_lines(spark, sf_dir))
+    return out.select("i", F.round("awer", 9).alias("awer"), "n_lines")
