@@ -33,8 +33,11 @@ def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Only when the scan produced fewer splits (a small file with one row group); inputs made of
     many files or row groups are left untouched, so at scale this adds no shuffle.
     """
-    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 — no RDD view (e.g. a Connect session): leave the scan as it is
         return df
     return df.repartition(target)
 
