@@ -144,7 +144,7 @@ def awer_draws_q(spark, sf_dir):
 
 
 def _awer_lm(spark, sf_dir):
-    """mklm: rare tokens (count 1) → <unk>, then Witten–Bell order 3 on whitespace tokens."""
+    """The evaluation LM: rare tokens (count 1) → <unk>, then Witten–Bell order 3 on whitespace tokens."""
     rare = V.replace_rare(T.ordered_user_lines(spark, sf_dir), 1)
     return L.build_lm(G.ngram_counts(rare, ORDER), ORDER, "witten_bell", materialize=True)
 
