@@ -88,3 +88,19 @@ def test_awer_curve_equals_per_prefix_awer(spark):
         model = L.build_lm(G.ngram_counts(rare, 3), 3, "witten_bell")
         exp = awer(dev, uni, model, seed=7).first().awer
         assert math.isclose(got[i], exp, abs_tol=1e-12), (i, got[i], exp)
+
+
+def test_kneser_ney_curve_equals_retraining(spark):
+    lines = ["a b c a", "b c d", "a a b", "c d e", "d e f b", "a c", "f f a", "b b c", "a b c", "c a b"]
+    tagged = spark.createDataFrame([(1 + j // 3, t) for j, t in enumerate(lines)], "p long, text string")
+    dev = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "d e x", "f a b c"])],
+                                "sent_id long, text string")
+    got = {r.i: r.ppl for r in X.kn_curve_from_tagged(tagged, dev, 1, 4, 3).collect()}
+    vocab = sorted({w for t in lines for w in t.split()} | {EOS, UNK})
+    vdf = spark.createDataFrame([(w,) for w in vocab], "w string")
+    for i in range(1, 5):
+        pref = [t for j, t in enumerate(lines) if 1 + j // 3 <= i]
+        counts = G.ngram_counts(spark.createDataFrame([(t,) for t in pref], "text string"), 3)
+        model = L.build_lm(counts, 3, "kneser_ney", discount_fallback=True, vocab=vdf)
+        exp = L.perplexity(L.score(dev, model)).first().ppl
+        assert math.isclose(got[i], exp, rel_tol=1e-9), (i, got[i], exp)

@@ -79,13 +79,20 @@ def curve_from_tagged(tagged: DataFrame, dev: DataFrame, first_i: int, max_i, or
 
 
 def ppl_curve(train: DataFrame, dev: DataFrame, np_: int = 100, max_p: int = 100, order: int = 3,
-              k: float = 1.0, rn_col: str = "sent_id", text_col: str = "text", dev_key: str = "sent_id") -> DataFrame:
-    """Dev perplexity of Witten–Bell models trained on prefixes 1..max_p of ``np_`` (one pass).
+              k: float = 1.0, rn_col: str = "sent_id", text_col: str = "text", dev_key: str = "sent_id",
+              method: str = "witten_bell") -> DataFrame:
+    """Dev perplexity of models trained on prefixes 1..max_p of ``np_`` (one pass).
 
-    Prefix i holds the first ``int(n*i/np_)`` training lines (by ``rn_col``).  Returns (i, ppl, n_words).
+    Prefix i holds the first ``int(n*i/np_)`` training lines (by ``rn_col``).  ``method`` is
+    ``witten_bell`` or ``kneser_ney`` (interpolated, modified, with discount fallback — the
+    experiments' trainer).  Returns (i, ppl, n_words).
     """
     max_i = min(max_p, np_)
     tagged = train.withColumn("p", first_prefix(F.col(rn_col), row_count(train), np_)).where(F.col("p") <= max_i)
+    if method == "kneser_ney":
+        return kn_curve_from_tagged(tagged.select("p", text_col), dev, 1, max_i, order, text_col, dev_key)
+    if method != "witten_bell":
+        raise ValueError(f"unsupported curve method {method!r}")
     return curve_from_tagged(tagged.select("p", text_col), dev, 1, max_i, order, k, text_col, dev_key)
 
 
@@ -412,3 +419,99 @@ def awer_curve(chunks: DataFrame, dev: DataFrame, unigram_table: DataFrame, seed
                           lambda x: ~F.coalesce(F.element_at("_words", x) == F.element_at("_out", x), F.lit(False))))
     rate = F.when(n > 0, err / n).otherwise(F.lit(0.0))
     return j.groupBy("i").agg(F.avg(rate).alias("awer"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def _thresholds(deltas: DataFrame, key_cols: list[str], val: str, upto: int) -> DataFrame:
+    """(keys..., r1..r_upto): first prefix at which the running sum of ``val`` reaches 1, 2, ..."""
+    w = Window.partitionBy(*key_cols).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    run = deltas.withColumn("_cum", F.sum(val).over(w))
+    return run.groupBy(*key_cols).agg(*[F.min(F.when(F.col("_cum") >= j, F.col("p"))).alias(f"r{j}")
+                                        for j in range(1, upto + 1)])
+
+
+def kn_curve_from_tagged(tagged: DataFrame, dev: DataFrame, first_i: int, max_i, order: int = 3,
+                         text_col: str = "text", dev_key: str = "sent_id") -> DataFrame:
+    """Dev perplexity of interpolated modified Kneser–Ney models (discount fallback) of
+    {lines with p <= i}, for every i in first_i..max_i, in one pass.
+
+    Modified counts grow with i: at the top order (and for histories opening with ``<s>``) they are
+    raw counts; below, the number of distinct left neighbours — a neighbour counts from the first
+    prefix where its longer n-gram occurs.  Each n-gram's count trajectory is summarised by the
+    prefixes r_j at which it reaches 1, 2, 3, 4, 5; count-of-counts (for the discounts) and the
+    per-history numbers of types seen once / twice / 3+ times follow from those thresholds.
+    """
+    from varietas.operators.ngrams import lower_history
+    spark = tagged.sparkSession
+    ev = ngram_events(tagged, order, text_col, keep=["p"]).withColumn(
+        "p", F.greatest(F.col("p"), F.lit(first_i)))
+    vocab = (ev.where(F.col("ord") == 1).select("w")
+             .unionByName(spark.createDataFrame([(EOS,), (UNK,)], "w string")).distinct())
+    raw = ev.groupBy("ord", "h", "w", "p").agg(F.count(F.lit(1)).alias("d"))
+    first = ev.groupBy("ord", "h", "w").agg(F.min("p").alias("p"))
+    # continuation increments of order n from first appearances of order n+1
+    cont = (first.where(F.col("ord") >= 2)
+            .select((F.col("ord") - 1).alias("ord"), lower_history(F.col("h")).alias("h"), "w", "p")
+            .groupBy("ord", "h", "w", "p").agg(F.count(F.lit(1)).alias("d")))
+    bos = (F.col("h") == BOS_) | F.col("h").startswith(BOS_ + " ")
+    top_or_bos = raw.where((F.col("ord") == order) | bos)
+    lower = cont.where((F.col("ord") < order) & ~bos)
+    da = top_or_bos.unionByName(lower)                      # (ord, h, w, p, d): increments of a
+    thr = _thresholds(da, ["ord", "h", "w"], "d", 5)
+    # count-of-counts per (order, prefix): n_j(i) = #{r_j <= i} - #{r_{j+1} <= i}
+    steps = thr.select("ord", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"r{j}").alias("p"))
+                                                 for j in range(1, 6)])).alias("s")).select("ord", "s.j", "s.p")
+    steps = steps.where(F.col("p").isNotNull()).groupBy("ord", "j", "p").agg(F.count(F.lit(1)).alias("d"))
+    ords = spark.range(1, order + 1).select(F.col("id").cast("int").alias("ord"))
+    js = ords.select("ord", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("j"))
+    reach = _cumulate(js, steps, ["ord", "j"], "d", first_i, max_i)          # #{r_j <= i}
+    wide = reach.groupBy("ord", "i").agg(*[F.max(F.when(F.col("j") == j, F.col("d"))).alias(f"m{j}")
+                                           for j in range(1, 6)])
+    n = [None] + [F.col(f"m{j}") - F.col(f"m{j + 1}") for j in range(1, 5)]
+    y = L._div(n[1], n[1] + 2 * n[2])
+    d1 = 1 - 2 * y * L._div(n[2], n[1])
+    d2 = 2 - 3 * y * L._div(n[3], n[2])
+    d3 = 3 - 4 * y * L._div(n[4], n[3])
+
+    def ok(d, j):
+        return d.isNotNull() & ~F.isnan(d) & (d >= 0) & (d <= j)
+    good = ok(d1, 1) & ok(d2, 2) & ok(d3, 3)
+    disc = wide.select("ord", "i", *[F.when(good, d).otherwise(F.lit(fb)).alias(f"d{j}")
+                                     for j, (d, fb) in enumerate(zip((d1, d2, d3), L.KN_FALLBACK), start=1)])
+    # dev keys
+    shell = L.LM(order, "kneser_ney", None, None, vocab)
+    keys = L.scoring_events(dev, shell, dev_key, text_col).groupBy("hs", "w").agg(F.count(F.lit(1)).alias("mult"))
+    kl = keys.select("hs", "w", F.posexplode("hs").alias("_o", "h")).withColumn("ord", F.col("_o") + 1).drop("_o")
+    ctx_keys = kl.select("ord", "h").distinct()
+    ng_keys = kl.select("ord", "h", "w").distinct()
+    # per history: sum of a, and types with a = 1, 2, 3+
+    dah = da.join(ctx_keys, ["ord", "h"], "left_semi")
+    sum_a = _cumulate(ctx_keys, dah.groupBy("ord", "h", "p").agg(F.sum("d").alias("sa")), ["ord", "h"], "sa",
+                      first_i, max_i)
+    th = thr.join(ctx_keys, ["ord", "h"], "left_semi")
+    nts = []
+    for j in (1, 2, 3):
+        dj = th.where(F.col(f"r{j}").isNotNull()).groupBy("ord", "h", F.col(f"r{j}").alias("p")) \
+            .agg(F.count(F.lit(1)).alias(f"k{j}"))
+        nts.append(_cumulate(ctx_keys, dj, ["ord", "h"], f"k{j}", first_i, max_i))
+    ctx = sum_a.join(nts[0], ["ord", "h", "i"]).join(nts[1], ["ord", "h", "i"]).join(nts[2], ["ord", "h", "i"]) \
+        .select("ord", "h", "i", "sa", (F.col("k1") - F.col("k2")).alias("N1"),
+                (F.col("k2") - F.col("k3")).alias("N2"), F.col("k3").alias("N3"))
+    a_k = _cumulate(ng_keys, da.join(ng_keys, ["ord", "h", "w"], "left_semi").select("ord", "h", "w", "p", F.col("d").alias("a")),
+                    ["ord", "h", "w"], "a", first_i, max_i)
+    per = kl.join(ctx, ["ord", "h"]).join(a_k, ["ord", "h", "w", "i"]).join(F.broadcast(disc), ["ord", "i"])
+    wide_k = per.groupBy("hs", "w", "i").agg(
+        *[F.max(F.when(F.col("ord") == m, F.struct("a", "sa", "N1", "N2", "N3", "d1", "d2", "d3"))).alias(f"o{m}")
+          for m in range(1, order + 1)])
+    wide_k = wide_k.withColumn("_p0", F.lit(1.0) / vocab.select(F.count(F.lit(1))).scalar())
+    p = F.col("_p0")
+    for m in range(1, order + 1):
+        o = F.col(f"o{m}")
+        a = o["a"].cast("double")
+        dj = F.when(a == 1, o["d1"]).when(a == 2, o["d2"]).otherwise(o["d3"])
+        gam = (o["d1"] * o["N1"] + o["d2"] * o["N2"] + o["d3"] * o["N3"]) / o["sa"]
+        mixed = F.greatest(a - dj, F.lit(0.0)) / o["sa"] + gam * p
+        p = F.when(o.isNull() | (o["sa"] == 0), p).otherwise(mixed)
+    scored = wide_k.select("hs", "w", "i", F.log10(p).alias("lp")).join(keys, ["hs", "w"])
+    return scored.groupBy("i").agg(
+        F.pow(F.lit(10.0), -F.sum(F.col("lp") * F.col("mult")) / F.sum("mult")).alias("ppl"),
+        F.sum("mult").alias("n_words"))

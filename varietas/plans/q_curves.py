@@ -217,3 +217,12 @@ def awer_curve_generated_q(spark, sf_dir):
     ch, dev, uni = _awer_inputs(spark, sf_dir)
     out = X.awer_curve(ch, dev, uni, seed=11, generated=T.ordered_generated_lines(spark, sf_dir))
     return out.select("i", F.round("awer", 9).alias("awer"), "n_lines")
+
+
+@query("ppl_curve_kneser_ney")
+def ppl_curve_kneser_ney_q(spark, sf_dir):
+    """X1 with the experiments' trainer: interpolated modified Kneser–Ney (order 3, discount
+    fallback) on user-turn prefixes 1%..100%, one pass (tests compare with per-prefix retraining)."""
+    c = X.ppl_curve(T.ordered_user_lines(spark, sf_dir), T.ordered_dev_lines(spark, sf_dir), NP, MAX_P, ORDER,
+                    method="kneser_ney")
+    return c.select("i", F.round("ppl", 6).alias("ppl"), "n_words")
