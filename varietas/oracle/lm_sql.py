@@ -164,3 +164,45 @@ def recursion_score_sql(order: int, k: float = 1.0, cnt: str = "cnt", by_i: str
     for pm in exprs:
         expr = pm.replace("{prev}", f"({expr})")
     return f"select {sel_i}e.sent_id, e.pos, e.w, e.oov, log10({expr}) as log10p from {src} " + " ".join(joins)
+
+
+def kn_curve_sql(order: int, tl: str = "tl", dev: str = "dev_lines") -> list[str]:
+    """CTEs retraining interpolated modified Kneser–Ney (discount fallback) for every prefix ``i`` of
+    ``tl(i, text)`` and scoring the dev words by the recursion; ends with ``sc(i, log10p)``."""
+    out = [f"cnt_ev as ({events_sql(tl, order, ws_tokens('text'), keep='i')})",
+           "cnt as (select i, ord, h, w, count(*) as c from cnt_ev group by i, ord, h, w)"]
+    parts = []
+    for n in range(1, order + 1):
+        if n == order:
+            parts.append(f"select i, ord, h, w, c as a from cnt where ord = {n}")
+        else:
+            parts.append(
+                f"select x.i, x.ord, x.h, x.w, case when x.h = '<s>' or starts_with(x.h, '<s> ') then x.c "
+                f"else coalesce(u.cont, x.c) end as a from cnt x left join "
+                f"(select i, {lower('h')} as lh, w, count(*) as cont from cnt where ord = {n + 1} group by 1, 2, 3) u "
+                f"on u.i = x.i and u.lh = x.h and u.w = x.w where x.ord = {n}")
+    out.append("kn as (" + " union all ".join(parts) + ")")
+    out.append("""kcc as (select i, ord, sum(case when a = 1 then 1 else 0 end) as n1, sum(case when a = 2 then 1 else 0 end) as n2,
+        sum(case when a = 3 then 1 else 0 end) as n3, sum(case when a = 4 then 1 else 0 end) as n4 from kn group by i, ord)""")
+    out.append("""kd1 as (select i, ord, 1 - 2 * y * n2 / n1 as d1, 2 - 3 * y * n3 / n2 as d2, 3 - 4 * y * n4 / n3 as d3
+        from (select *, n1 * 1.0 / nullif(n1 + 2 * n2, 0) as y from kcc) t)""")
+    out.append("""kdisc as (select i, ord, case when ok then d1 else 0.5 end as d1, case when ok then d2 else 1.0 end as d2,
+        case when ok then d3 else 1.5 end as d3 from (select *, coalesce(d1 between 0 and 1 and d2 between 0 and 2
+        and d3 between 0 and 3 and not isnan(d1) and not isnan(d2) and not isnan(d3), false) as ok from kd1))""")
+    out.append("""kctx as (select i, ord, h, sum(a) as sa, sum(case when a = 1 then 1 else 0 end) as n1,
+        sum(case when a = 2 then 1 else 0 end) as n2, sum(case when a >= 3 then 1 else 0 end) as n3 from kn group by i, ord, h)""")
+    out.append("vocab as (select distinct w from cnt where ord = 1 union select '</s>' union select '<unk>')")
+    out.append("vsize as (select count(*) * 1.0 as nv from vocab)")
+    out += dev_events_ctes(dev, order)
+    joins, expr = [], "(1.0 / (select nv from vsize))"
+    for m in range(1, order + 1):
+        joins.append(f"left join kn a{m} on a{m}.i = r.i and a{m}.ord = {m} and a{m}.h = e.h{m} and a{m}.w = e.w "
+                     f"left join kctx x{m} on x{m}.i = r.i and x{m}.ord = {m} and x{m}.h = e.h{m} "
+                     f"left join kdisc d{m} on d{m}.i = r.i and d{m}.ord = {m}")
+        a = f"coalesce(a{m}.a, 0)"
+        dj = f"(case when {a} = 1 then d{m}.d1 when {a} = 2 then d{m}.d2 else d{m}.d3 end)"
+        gam = f"((d{m}.d1 * x{m}.n1 + d{m}.d2 * x{m}.n2 + d{m}.d3 * x{m}.n3) / x{m}.sa)"
+        expr = (f"case when x{m}.sa is null or x{m}.sa = 0 then ({expr}) else "
+                f"greatest({a} - {dj}, 0) / x{m}.sa + {gam} * ({expr}) end")
+    out.append(f"sc as (select r.i, log10({expr}) as log10p from dev_ev e cross join pref r {' '.join(joins)})")
+    return out

@@ -219,10 +219,17 @@ def awer_curve_generated_q(spark, sf_dir):
     return out.select("i", F.round("awer", 9).alias("awer"), "n_lines")
 
 
-@query("ppl_curve_kneser_ney")
+_PPL_KN = S.with_(*_U, S.DEV_LINES, S.DEV_ORDERED, f"""
+pref as (select i from range(1, {min(NP, MAX_P)} + 1) t(i))""", """
+tl as (select i, text from user_lines, nn, pref where sent_id <= (n * i) // """ + str(NP) + ")",
+                  *LS.kn_curve_sql(ORDER))
+
+
+@query("ppl_curve_kneser_ney", _PPL_KN + """
+select i, round(pow(10, -sum(log10p) / count(*)), 6) as ppl, count(*) as n_words from sc group by i""")
 def ppl_curve_kneser_ney_q(spark, sf_dir):
     """X1 with the experiments' trainer: interpolated modified Kneser–Ney (order 3, discount
-    fallback) on user-turn prefixes 1%..100%, one pass (tests compare with per-prefix retraining)."""
+    fallback) on user-turn prefixes 1%..100%, one pass; the oracle retrains every prefix."""
     c = X.ppl_curve(T.ordered_user_lines(spark, sf_dir), T.ordered_dev_lines(spark, sf_dir), NP, MAX_P, ORDER,
                     method="kneser_ney")
     return c.select("i", F.round("ppl", 6).alias("ppl"), "n_words")
