@@ -104,3 +104,21 @@ def test_kneser_ney_curve_equals_retraining(spark):
         model = L.build_lm(counts, 3, "kneser_ney", discount_fallback=True, vocab=vdf)
         exp = L.perplexity(L.score(dev, model)).first().ppl
         assert math.isclose(got[i], exp, rel_tol=1e-9), (i, got[i], exp)
+
+
+def test_cumulative_curve_kneser_ney_equals_retraining(spark):
+    base = spark.createDataFrame([(t,) for t in BASE], "text string")
+    cands = spark.createDataFrame([(t,) for t in CANDS], "text string")
+    dev = spark.createDataFrame([(i, t) for i, t in enumerate(DEV)], "sent_id long, text string")
+    curve = {r.i: r.ppl for r in X.cumulative_paraphrase_curve(base, cands, dev, seed=3, method="kneser_ney").collect()}
+    import hashlib
+    uniq = sorted({c.rstrip(" ") for c in CANDS})
+    order = sorted(uniq, key=lambda c: (hashlib.md5(f"3:{c}".encode()).hexdigest(), c))
+    vocab = spark.createDataFrame([(w,) for w in sorted({w for t in BASE + uniq for w in t.split()} | {EOS, UNK})],
+                                  "w string")
+    for i in range(len(order) + 1):
+        lines = BASE + order[:i]
+        counts = G.ngram_counts(spark.createDataFrame([(t,) for t in lines], "text string"), 3)
+        model = L.build_lm(counts, 3, "kneser_ney", discount_fallback=True, vocab=vocab)
+        exp = L.perplexity(L.score(dev, model)).first().ppl
+        assert math.isclose(curve[i], exp, rel_tol=1e-9), (i, curve[i], exp)

@@ -98,7 +98,7 @@ def ppl_curve(train: DataFrame, dev: DataFrame, np_: int = 100, max_p: int = 100
 
 def cumulative_paraphrase_curve(base: DataFrame, candidates: DataFrame, dev: DataFrame, seed: int | str = 0,
                                 order: int = 3, k: float = 1.0, text_col: str = "text",
-                                dev_key: str = "sent_id") -> DataFrame:
+                                dev_key: str = "sent_id", method: str = "witten_bell") -> DataFrame:
     """Distinct candidates (right-stripped of spaces, U2) in a seeded shuffle (W15) are added to
     the base corpus one at a time; returns (i, ppl, n_words) for i = 0 (base only) .. #candidates.
 
@@ -112,6 +112,8 @@ def cumulative_paraphrase_curve(base: DataFrame, candidates: DataFrame, dev: Dat
     tagged = base.select(F.lit(0).cast("long").alias("p"), F.col(text_col).alias("text")) \
         .unionByName(ranked.select("p", F.col("_line").alias("text")))
     n_cand = cand.select(F.count(F.lit(1))).scalar()
+    if method == "kneser_ney":
+        return kn_curve_from_tagged(tagged, dev, 0, n_cand, order, "text", dev_key)
     return curve_from_tagged(tagged, dev, 0, n_cand, order, k, "text", dev_key)
 
 

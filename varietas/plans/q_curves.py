@@ -233,3 +233,12 @@ def ppl_curve_kneser_ney_q(spark, sf_dir):
     c = X.ppl_curve(T.ordered_user_lines(spark, sf_dir), T.ordered_dev_lines(spark, sf_dir), NP, MAX_P, ORDER,
                     method="kneser_ney")
     return c.select("i", F.round("ppl", 6).alias("ppl"), "n_words")
+
+
+@query("cumulative_paraphrase_curve_kneser_ney")
+def cumulative_paraphrase_curve_kneser_ney_q(spark, sf_dir):
+    """X5 with the experiments' trainer (Kneser–Ney, discount fallback): generated lines added one by
+    one to the user turns, benchmark perplexity after each; tests compare with retraining."""
+    c = X.cumulative_paraphrase_curve(T.user_lines(spark, sf_dir), T.generated_lines(spark, sf_dir),
+                                      T.ordered_dev_lines(spark, sf_dir), seed=3, order=ORDER, method="kneser_ney")
+    return c.select("i", F.round("ppl", 6).alias("ppl"), "n_words")
