@@ -151,16 +151,18 @@ def _abs_discounts(counts: DataFrame, discount: float | None) -> DataFrame:
 
 def build_lm(counts: DataFrame, order: int = 3, method: str = "witten_bell", k: float = 1.0,
              discount: float | None = None, bins: int = -1, discount_fallback: bool = False,
-             vocab: DataFrame | None = None, materialize: bool = False) -> LM:
+             vocab: DataFrame | None = None, materialize: bool = False, store_counts: bool = True) -> LM:
     """Smooth counts ``(ord, h, w, c)`` into a model.
 
-    With ``materialize`` the model tables are computed now and stored (see :meth:`LM.materialize`);
-    otherwise they stay lazy plans.
+    ``store_counts`` (default) first stores the counts (reliable checkpoint — this runs a job): every
+    order, context table and discount table below reads them, and recomputing the counting for each
+    read roughly doubles the cost of Kneser–Ney and Katz.  With ``materialize`` the model tables are
+    stored as well (see :meth:`LM.materialize`); otherwise they stay lazy plans.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {METHODS}")
-    if materialize:
-        counts = checkpoint(counts)     # the three model tables below then start from stored counts
+    if materialize or store_counts:
+        counts = checkpoint(counts)     # the model tables below then start from stored counts
     v = vocab if vocab is not None else vocabulary(counts)
     p0 = F.lit(1.0) / v.select(F.count(F.lit(1))).scalar()
     if method == "kneser_ney":
