@@ -35,6 +35,21 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file in the installed ``public_tokenizers`` package."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32(doc_id as text) mod n: the fold a document belongs to."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -48,7 +63,7 @@ def store(df: DataFrame) -> DataFrame:
     known to the planner, which then decides broadcasts from it.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varietas.llm import mixing, near_dedup, rules, sharding
-from varietas.llm.common import documents
+from varietas.llm import decontaminate, language, mixing, near_dedup, rules, sharding, token_files
+from varietas.llm.common import benchmark, documents, scratch_path, tokenizer_path
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"))
+    return token_files.token_index(spark.read.parquet(path))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     out, targets = mixing.assign_copies(docs)
@@ -31,7 +41,12 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op4_quality_rules, op7_mix_sources, op8_shard)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_near_dedup, op4_quality_rules, op5_decontaminate, op6_token_files, op7_mix_sources, op8_shard, op10_language)}
 
 
 def all_queries() -> tuple[dict, dict]:
