@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varietas.llm import decontaminate, language, mixing, near_dedup, rules, sharding, token_files
-from varietas.llm.common import benchmark, documents, scratch_path, tokenizer_path
+from varietas.llm import decontaminate, language, mixing, near_dedup, quality, rules, sharding, token_files, toxicity
+from varietas.llm.common import benchmark, documents, labels, scratch_path, tokenizer_path
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +45,16 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs).drop("text")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_near_dedup, op4_quality_rules, op5_decontaminate, op6_token_files, op7_mix_sources, op8_shard, op10_language)}
+    op1_quality, op2_near_dedup, op4_quality_rules, op5_decontaminate, op6_token_files, op7_mix_sources, op8_shard, op9_toxicity, op10_language)}
 
 
 def all_queries() -> tuple[dict, dict]:
