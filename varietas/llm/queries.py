@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varietas.llm import decontaminate, language, mixing, near_dedup, quality, rules, sharding, token_files, toxicity
+from varietas.llm import decontaminate, language, mixing, near_dedup, oracle, personal_data, quality, rules, sharding, token_files, toxicity
 from varietas.llm.common import benchmark, documents, labels, scratch_path, tokenizer_path
 
 
@@ -17,6 +17,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
 
@@ -54,8 +58,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_near_dedup, op4_quality_rules, op5_decontaminate, op6_token_files, op7_mix_sources, op8_shard, op9_toxicity, op10_language)}
+    op1_quality, op2_near_dedup, op3_personal_data, op4_quality_rules, op5_decontaminate, op6_token_files, op7_mix_sources, op8_shard, op9_toxicity, op10_language)}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def all_queries() -> tuple[dict, dict]:
-    return dict(QUERIES), {}
+    """(queries, oracle SQL by name)."""
+    return {**QUERIES, "pipeline": pipeline}, dict(oracle.ORACLE)
