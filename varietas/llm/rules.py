@@ -201,4 +201,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     """
     estimates = fit(store(_slim(docs, text_col, lang_col, source_col)))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__q_row")
-    return _judged(_slim(docs, text_col, lang_col, source_col, whole), estimates).where("kept").select("__q_row.*")
+    stats = _slim(docs, text_col, lang_col, source_col, whole)
+    # one generated struct per row: the filter on it cannot be pushed below the statistics, where every
+    # formula would be repeated inside it
+    stats = stats.select("__q_row", F.explode(F.array(F.struct(*[c for c in stats.columns if c != "__q_row"]))).alias("__q")).select("__q_row", "__q.*")
+    return _judged(stats, estimates).where("kept").select("__q_row.*")
