@@ -1,9 +1,10 @@
 """Connected components of a link table by union-find inside tasks and star contraction between them.
 
-Every round first contracts the edges of each partition with a local union-find, which leaves at most
-one edge per node and partition, then joins every node's neighbours to the smallest of them.  The
-table never grows, a hot node is a partial minimum per task and a skewed equi-join, and rounds end
-when an edge table repeats itself (about the logarithm of the longest path).
+The edges of each partition are first contracted with a local union-find, which leaves at most one
+edge per node and partition.  A forest of at most ``ONE_TASK`` edges (counted) is finished by one task
+(8 MB of numbers); a larger one by rounds in which every node's neighbours are joined to the smallest
+of them.  The table never grows, a hot node is a partial minimum per task and a skewed equi-join, and
+rounds end when an edge table repeats itself (about the logarithm of the longest path).
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from varietas.llm.common import store
 
 
+ONE_TASK = 500_000
+
+
 def _contract(batches):
     """Local union-find over a partition's edges: (node, root) with root < node."""
     parent: dict[int, int] = {}
@@ -36,9 +40,11 @@ def _contract(batches):
     yield pd.DataFrame({"u": nodes, "v": [find(x) for x in nodes]}, columns=["u", "v"]).astype("int64")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (u, v longs) but the smallest ones."""
     e = store(edges.select("u", "v").where("u <> v").mapInPandas(_contract, "u long, v long"))
+    if e.count() <= one_task:
+        return e.coalesce(1).mapInPandas(_contract, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("component"))
     state = None
     while True:
         # u > v throughout; every node points its larger neighbours and itself at its smallest neighbour

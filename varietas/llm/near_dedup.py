@@ -11,12 +11,13 @@
    (the smallest id) stands for all, however large the group of copies.
 4. *Banding.*  ``BANDS`` x ``ROWS`` slots; representatives that share a band are candidates.  A pair at
    similarity 0.75 is missed by all 32 bands with probability 5e-6.
-5. *Links without all pairs.*  First every member of a band bucket meets two pivots of the bucket, and
-   of a document's pivots the likeliest are verified before the rest.  Then, while a bucket of four or
-   more still holds documents of different groups, documents outside the bucket's largest group are
-   compared with all others by signature, in blocks of bounded size, and only pairs of different
-   groups whose estimate is at least ``ESTIMATE`` are verified, the likeliest first; links inside a
-   group are not looked for.  Rounds go on until no such pair is unverified, so nothing is capped.
+5. *Links without all pairs.*  Every member of a band bucket meets two pivots of the bucket, likewise in
+   the finer buckets that several bands in a row make; the likeliest pivots of a document are verified
+   first, the others where they would join groups.  Then, in buckets of four or more that still hold
+   different groups, documents outside the bucket's largest group are compared with all others by
+   signature, in blocks of bounded size, and pairs of different groups whose estimate is at least
+   ``ESTIMATE`` are verified: first the likeliest few of every document, then, with the groups that
+   these made, every pair left.  Links inside a group are not looked for; nothing is capped.
 6. *Verification* intersects the full shingle sets: 100 x intersection >= 75 x union.
 
 Sets are stored only for representatives that have a candidate.  Documents, signatures, links and
@@ -38,8 +39,8 @@ from varietas.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Signature agreement from which a pair is verified: 0.75 less about five standard errors.
-ESTIMATE = 0.57
+#: Signature agreement from which a pair is verified: 0.75 less four standard errors.
+ESTIMATE = 0.6
 BLOCK = 1024
 _SEED = 11
 
@@ -173,26 +174,36 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return store(j.where(100 * common >= 75 * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
 
-def _cross_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different groups in the bucket blocks of one cell: (u, v, est) that this band finds first."""
-    out = []
-    for (_, band, _), g in rows.groupby(["bucket", "band", "pair"], sort=False):
-        ids, label = g["doc_id"].to_numpy(), g["label"].to_numpy()
-        side = g["side"].to_numpy()
-        s = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SLOTS)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)       # side 2: both
-        for i in left:
-            est = (s[i] == s[right]).mean(axis=1)
-            take = (est >= ESTIMATE) & (label[i] != label[right])
-            take &= ~((side[i] == 2) & (side[right] == 2) & (ids[right] <= ids[i]))
-            for r in right[take]:
-                same = (s[i] == s[r]).reshape(BANDS, ROWS).all(axis=1)
-                if int(np.argmax(same)) == band:
-                    out.append((min(ids[i], ids[r]), max(ids[i], ids[r]), float((s[i] == s[r]).mean())))
-    return pd.DataFrame(out, columns=["u", "v", "est"]).astype({"u": "int64", "v": "int64", "est": "float64"})
-
-
-def _open_pairs(members: DataFrame, label: DataFrame, sig: DataFrame) -> DataFrame:
+def _cross_pairs(most: int | None):
+    """Per cell of bucket blocks: pairs of different groups (u, v, est) that this band finds first, the
+    ``most`` likeliest of each document and block (None: all)."""
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        us, vs, ests = [], [], []
+        for (_, band, _), g in rows.groupby(["bucket", "band", "pair"], sort=False):
+            ids, label, side = g["doc_id"].to_numpy(), g["label"].to_numpy(), g["side"].to_numpy()
+            s = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SLOTS)
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)       # side 2: both
+            for i in left:
+                r = right[label[right] != label[i]]
+                if side[i] == 2:
+                    r = r[(side[r] != 2) | (ids[r] > ids[i])]
+                same = s[i] == s[r]
+                est = same.mean(axis=1)
+                near = est >= ESTIMATE
+                near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                r, est = r[near], est[near]
+                if most is not None and len(r) > most:
+                    top = np.argsort(-est, kind="stable")[:most]
+                    r, est = r[top], est[top]
+                us.append(np.minimum(ids[i], ids[r]))
+                vs.append(np.maximum(ids[i], ids[r]))
+                ests.append(est)
+        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        return pd.DataFrame({"u": cat(us, "int64"), "v": cat(vs, "int64"), "est": cat(ests, "float64")})
+    return find
+
+
+def _open_pairs(members: DataFrame, label: DataFrame, sig: DataFrame, most: int | None) -> DataFrame:
     """Unverified candidates between different groups that share a bucket, stored: (u, v, est).
 
     In each bucket the largest group is the core; the others are compared with it and among
@@ -216,7 +227,14 @@ def _open_pairs(members: DataFrame, label: DataFrame, sig: DataFrame) -> DataFra
     m = store(m.join(sig.select("doc_id", "sig"), "doc_id"))
     cells = max(1, -(-m.count() // (4 * BLOCK)))
     cell = F.pmod(F.xxhash64("band", "bucket", "pair"), F.lit(cells))
-    return store(m.withColumn("cell", cell).groupBy("cell").applyInPandas(_cross_pairs, "u long, v long, est double"))
+    return store(m.withColumn("cell", cell).groupBy("cell").applyInPandas(_cross_pairs(most), "u long, v long, est double"))
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """(doc_id, band, bucket, n, p1, p2) of (doc_id, band, bucket): buckets of two or more with their two pivots."""
+    order = F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), F.col("doc_id").alias("p"))
+    b = keys.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("p1"), F.max(order).alias("p2")).where("n > 1")
+    return keys.join(b.select("band", "bucket", "n", F.col("p1.p").alias("p1"), F.col("p2.p").alias("p2")), ["band", "bucket"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -225,37 +243,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     t = signatures(docs)
     classes = store(t.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     reps = store(t.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    bands = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    order = lambda salt: F.struct(F.xxhash64("doc_id", F.lit(salt)).alias("h"), F.col("doc_id").alias("p"))
-    shared = store(bands.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order(1)).alias("p1"), F.max(order(1)).alias("p2"))
-                   .where("n > 1").select("band", "bucket", "n", F.col("p1.p").alias("p1"), F.col("p2.p").alias("p2")))
-    members = store(bands.join(shared, ["band", "bucket"]))
-    star = members.select("doc_id", F.explode(F.array("p1", "p2")).alias("p")).where("doc_id <> p")
+    members = store(_shared(reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))))
+    # buckets of several bands in a row hold closer documents: pivots there link the clusters inside wide buckets
+    wide = members.where("n > 3")
+    finer = reps.join(small(store(wide.select("doc_id").distinct())), "doc_id", "left_semi").select("doc_id", F.explode(F.array(*[
+        F.struct(F.lit(100 * width + i).alias("band"), F.xxhash64(F.slice("bands", i + 1, width)).alias("bucket"))
+        for width in (2, 4) for i in range(0, BANDS - width + 1)])).alias("k")).select("doc_id", "k.band", "k.bucket")
+    star = members.unionByName(_shared(finer)).select("doc_id", F.explode(F.array("p1", "p2")).alias("p")).where("doc_id <> p")
     star = star.select(F.least("doc_id", "p").alias("u"), F.greatest("doc_id", "p").alias("v")).distinct()
     star = store(_agreement(reps, star).where(F.col("est") >= ESTIMATE))
-    wanted = members.select("doc_id").distinct()
-    sets = store(map_batches(docs.join(small(store(wanted)), "doc_id", "left_semi").dropDuplicates(["doc_id"]), _sets, "id long, set array<bigint>"))
-    # the likeliest two pivots of every document first, the others only if they would join groups
+    wanted = store(members.select("doc_id").distinct())
+    sets = store(map_batches(docs.join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), _sets, "id long, set array<bigint>"))
+    # the likeliest pivots of every document first, the others only if they would join groups
     by_doc = Window.partitionBy("v").orderBy(F.col("est").desc(), "u")
-    ranked = star.withColumn("rn", F.row_number().over(by_doc))
-    links = verify(ranked.where("rn <= 2"), sets)
+    ranked = store(star.withColumn("rn", F.row_number().over(by_doc)))
+    links = verify(ranked.where("rn <= 3"), sets)
     label = store(components(links))
-    rest = _between(ranked.where("rn > 2").select("u", "v"), label)
-    links = links.unionByName(verify(rest, sets))
+    links = links.unionByName(verify(_between(ranked.where("rn > 3").select("u", "v"), label), sets))
     label = store(components(links))
     done = star.select("u", "v")
-    wide = members.where("n > 3").select("doc_id", "band", "bucket")
-    per_doc = 4
-    while True:
-        open_ = _open_pairs(wide, label, reps).join(done, ["u", "v"], "left_anti")
-        ranks = open_.withColumn("rn", F.row_number().over(by_doc))
-        chosen = store(ranks.where(F.col("rn") <= per_doc).select("u", "v"))
-        if not chosen.limit(1).count():
-            break
-        links = links.unionByName(verify(chosen, sets))
-        done = done.unionByName(chosen)
-        label = store(components(links))
-        per_doc *= 16
+    # then all that is still open in wide buckets: the likeliest few of every document, then the rest
+    for most in (8, None):
+        open_ = store(_open_pairs(wide.select("doc_id", "band", "bucket"), label, reps, most).select("u", "v").join(done, ["u", "v"], "left_anti"))
+        if open_.limit(1).count():
+            links = links.unionByName(verify(open_, sets))
+            done = done.unionByName(open_)
+            label = store(components(links))
     by_class = ["n_shingles", "f1", "f2"]
     out = t.select("doc_id", *by_class).join(classes, by_class, "left")
     out = out.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
