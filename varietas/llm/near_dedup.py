@@ -15,9 +15,10 @@
    the finer buckets that several bands in a row make; the likeliest pivots of a document are verified
    first, the others where they would join groups.  Then, in buckets of four or more that still hold
    different groups, documents outside the bucket's largest group are compared with all others by
-   signature, in blocks of bounded size, and pairs of different groups whose estimate is at least
-   ``ESTIMATE`` are verified: first the likeliest few of every document, then, with the groups that
-   these made, every pair left.  Links inside a group are not looked for; nothing is capped.
+   signature, in blocks of bounded size.  Pairs of different groups whose estimate is at least
+   ``ESTIMATE`` are candidates: first the likeliest few of every document are verified, then, with the
+   groups that these made, every candidate left, inside its block, which gives back links only.
+   Links inside a group are not looked for; nothing is capped.
 6. *Verification* intersects the full shingle sets: 100 x intersection >= 75 x union.
 
 Sets are stored only for representatives that have a candidate.  Documents, signatures, links and
@@ -42,6 +43,8 @@ SLOTS = BANDS * ROWS
 #: Signature agreement from which a pair is verified: 0.75 less four standard errors.
 ESTIMATE = 0.6
 BLOCK = 1024
+#: Candidates of a document and bucket block that the rounds before the last verify.
+MOST = (2,)
 _SEED = 11
 
 
@@ -174,37 +177,76 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return store(j.where(100 * common >= 75 * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
 
-def _cross_pairs(most: int | None):
-    """Per cell of bucket blocks: pairs of different groups (u, v, est) that this band finds first, the
-    ``most`` likeliest of each document and block (None: all)."""
+def _block_candidates(g: pd.DataFrame, band: int):
+    """Yield (row, candidate rows, estimates) of one bucket block: other groups' documents that this band finds first."""
+    ids, label, side = g["doc_id"].to_numpy(), g["label"].to_numpy(), g["side"].to_numpy()
+    s = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SLOTS)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)       # side 2: both
+    for i in left:
+        r = right[label[right] != label[i]]
+        if side[i] == 2:
+            r = r[(side[r] != 2) | (ids[r] > ids[i])]
+        same = s[i] == s[r]
+        est = same.mean(axis=1)
+        near = est >= ESTIMATE
+        near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        if near.any():
+            yield i, r[near], est[near]
+
+
+def _cross_pairs(most: int):
+    """Per cell of bucket blocks: (u, v) of the ``most`` likeliest candidates of each document and block."""
     def find(rows: pd.DataFrame) -> pd.DataFrame:
-        us, vs, ests = [], [], []
+        us, vs = [], []
         for (_, band, _), g in rows.groupby(["bucket", "band", "pair"], sort=False):
-            ids, label, side = g["doc_id"].to_numpy(), g["label"].to_numpy(), g["side"].to_numpy()
-            s = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SLOTS)
-            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)       # side 2: both
-            for i in left:
-                r = right[label[right] != label[i]]
-                if side[i] == 2:
-                    r = r[(side[r] != 2) | (ids[r] > ids[i])]
-                same = s[i] == s[r]
-                est = same.mean(axis=1)
-                near = est >= ESTIMATE
-                near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-                r, est = r[near], est[near]
-                if most is not None and len(r) > most:
-                    top = np.argsort(-est, kind="stable")[:most]
-                    r, est = r[top], est[top]
+            ids = g["doc_id"].to_numpy()
+            for i, r, est in _block_candidates(g, band):
+                r = r[np.argsort(-est, kind="stable")[:most]]
                 us.append(np.minimum(ids[i], ids[r]))
                 vs.append(np.maximum(ids[i], ids[r]))
-                ests.append(est)
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        return pd.DataFrame({"u": cat(us, "int64"), "v": cat(vs, "int64"), "est": cat(ests, "float64")})
+        cat = lambda x: np.concatenate(x).astype("int64") if x else np.zeros(0, "int64")
+        return pd.DataFrame({"u": cat(us), "v": cat(vs)})
     return find
 
 
-def _open_pairs(members: DataFrame, label: DataFrame, sig: DataFrame, most: int | None) -> DataFrame:
-    """Unverified candidates between different groups that share a bucket, stored: (u, v, est).
+def _with_candidates(rows: pd.DataFrame) -> pd.DataFrame:
+    """Per cell: the rows of documents that have a candidate in their block."""
+    keep = []
+    for (_, band, _), g in rows.groupby(["bucket", "band", "pair"], sort=False):
+        used = np.zeros(len(g), bool)
+        for i, r, _ in _block_candidates(g, band):
+            used[i] = True
+            used[r] = True
+        keep.append(g[used])
+    return pd.concat(keep)
+
+
+def _exact_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Per cell: links (u, v) by the full sets between candidates not yet connected inside their block."""
+    us, vs = [], []
+    for (_, band, _), g in rows.groupby(["bucket", "band", "pair"], sort=False):
+        ids, sets = g["doc_id"].to_numpy(), [np.asarray(x) for x in g["set"]]
+        size = np.array([len(x) for x in sets])
+        _, place = np.unique(np.concatenate(sets), return_inverse=True)
+        parts = np.split(place, np.cumsum(size)[:-1])
+        mark = np.zeros(len(place), bool)
+        root = np.arange(len(ids))
+        for i, r, _ in _block_candidates(g, band):
+            r = r[(root[r] != root[i]) & (4 * size[r] >= 3 * size[i]) & (4 * size[i] >= 3 * size[r])]
+            mark[parts[i]] = True
+            for j in r:
+                if root[j] != root[i]:
+                    common = int(mark[parts[j]].sum())
+                    if 100 * common >= 75 * (size[i] + size[j] - common):
+                        us.append(min(ids[i], ids[j]))
+                        vs.append(max(ids[i], ids[j]))
+                        root[root == root[j]] = root[i]
+            mark[parts[i]] = False
+    return pd.DataFrame({"u": np.array(us, "int64"), "v": np.array(vs, "int64")})
+
+
+def _open_blocks(members: DataFrame, label: DataFrame, sig: DataFrame) -> DataFrame:
+    """Stored rows (cell, band, bucket, pair, side, doc_id, label, sig) of the buckets that hold different groups.
 
     In each bucket the largest group is the core; the others are compared with it and among
     themselves, in blocks of at most about ``BLOCK`` documents a side.
@@ -227,7 +269,7 @@ def _open_pairs(members: DataFrame, label: DataFrame, sig: DataFrame, most: int
     m = store(m.join(sig.select("doc_id", "sig"), "doc_id"))
     cells = max(1, -(-m.count() // (4 * BLOCK)))
     cell = F.pmod(F.xxhash64("band", "bucket", "pair"), F.lit(cells))
-    return store(m.withColumn("cell", cell).groupBy("cell").applyInPandas(_cross_pairs(most), "u long, v long, est double"))
+    return m.withColumn("cell", cell)
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -262,13 +304,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(verify(_between(ranked.where("rn > 3").select("u", "v"), label), sets))
     label = store(components(links))
     done = star.select("u", "v")
-    # then all that is still open in wide buckets: the likeliest few of every document, then the rest
-    for most in (8, None):
-        open_ = store(_open_pairs(wide.select("doc_id", "band", "bucket"), label, reps, most).select("u", "v").join(done, ["u", "v"], "left_anti"))
-        if open_.limit(1).count():
-            links = links.unionByName(verify(open_, sets))
-            done = done.unionByName(open_)
-            label = store(components(links))
+    # then what is still open in wide buckets: the likeliest candidates of every document, and at last all
+    # of them, where the blocks get the full sets and give back links only
+    wide = wide.select("doc_id", "band", "bucket")
+    for most in MOST:
+        blocks_ = _open_blocks(wide, label, reps)
+        open_ = store(blocks_.groupBy("cell").applyInPandas(_cross_pairs(most), "u long, v long").join(done, ["u", "v"], "left_anti"))
+        links = links.unionByName(verify(open_, sets))
+        done = done.unionByName(open_)
+        label = store(components(links))
+    blocks_ = _open_blocks(wide, label, reps)
+    some = store(blocks_.groupBy("cell").applyInPandas(_with_candidates, blocks_.schema))
+    some = some.join(sets.withColumnRenamed("id", "doc_id"), "doc_id")
+    links = links.unionByName(store(some.groupBy("cell").applyInPandas(_exact_links, "u long, v long")))
+    label = store(components(links))
     by_class = ["n_shingles", "f1", "f2"]
     out = t.select("doc_id", *by_class).join(classes, by_class, "left")
     out = out.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
