@@ -5,10 +5,11 @@ one space) may occur in a document with up to k = floor(m x ``ERROR``) edits.  C
 at least one piece must then occur exactly.  So:
 
 1. one Aho-Corasick automaton of all pieces scans each whole normalised text once;
-2. a piece hit at offset o of its item can only belong to an occurrence inside the window that the
-   offset and k allow; overlapping windows of an item are joined;
-3. Myers' bit-parallel algorithm computes the least edit distance of the whole item to any substring
-   of the window, 1 word operation per character and item; at most k is a match.
+2. pieces are the leaves of a halving of the item in which the same argument holds at every node (two
+   halves' budgets add up to one less than the whole's), so a hit is verified from the piece up: first
+   the short segment around it, and only if that is within its budget the next larger one;
+3. a segment is verified with Myers' bit-parallel algorithm: the least edit distance to any substring
+   of the window that the piece's place and the budget allow.  The whole item within k is a match.
 
 Items go to the tasks in groups of at most ``GROUP_CHARS`` characters, one scan of the documents per
 group, so the broadcast automaton input has a fixed bound however large the benchmark grows.  Equal
@@ -34,21 +35,35 @@ MIN_CHARS = 40
 GROUP_CHARS = 4_000_000
 
 _RUN = re.compile(r"[\W_]+")
+#: ASCII other than letters and digits as blanks, for the texts that are ASCII throughout.
+_BLANKED = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 
 
 def normalise(text: str | None) -> str:
     """`` word word ... `` with one space around every word."""
-    return " " + _RUN.sub(" ", (text or "").lower()).strip() + " "
+    low = (text or "").lower()
+    if low.isascii():
+        return f" {' '.join(low.encode().translate(_BLANKED).decode().split())} "
+    return " " + _RUN.sub(" ", low).strip() + " "
 
 
 def budget(item: str) -> int:
     return int(len(item) * ERROR) if len(item) >= MIN_CHARS else 0
 
 
-def pieces(item: str, k: int) -> list[tuple[int, str]]:
-    """(offset, text) of k + 1 pieces whose lengths differ by at most one."""
-    edges = [i * len(item) // (k + 1) for i in range(k + 2)]
-    return [(a, item[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+def split_tree(m: int, k: int) -> list[tuple[int, int, int, int]]:
+    """Nodes (start, end, budget, parent) of the halving of an item of m characters with k edits.
+
+    A node of budget e > 0 has children whose budgets add up to e - 1: if it occurs within e edits, a
+    child occurs within its own.  The k + 1 leaves have budget 0.
+    """
+    nodes = [(0, m, k, -1)]
+    for n, (a, b, e, _) in enumerate(nodes):            # the list grows while it is walked
+        if e > 0:
+            left = (e - 1) // 2
+            cut = a + (b - a) * (left + 1) // (e + 1)
+            nodes += [(a, cut, left, n), (cut, b, e - 1 - left, n)]
+    return nodes
 
 
 def myers(item: str, masks: dict[str, int], window: str) -> tuple[int, int]:
@@ -82,11 +97,13 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
         self.items = [(i, s, budget(s)) for i, s in items]
-        self.masks: dict[int, dict[str, int]] = {}
+        self.trees = [split_tree(len(s), k) for _, s, k in self.items]
+        self.masks: dict[tuple[int, int], dict[str, int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, s, k) in enumerate(self.items):
-            for offset, piece in pieces(s, k):
-                found.setdefault(piece, []).append((n, offset))
+        for n, tree in enumerate(self.trees):
+            for leaf, (a, b, e, _) in enumerate(tree):
+                if e == 0 and b > a:
+                    found.setdefault(self.items[n][1][a:b], []).append((n, leaf))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -94,43 +111,37 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not found
 
+    def _distance(self, n: int, node: int, text: str, lo: int, hi: int) -> tuple[int, int]:
+        a, b, _, _ = self.trees[n][node]
+        if (n, node) not in self.masks:
+            m: dict[str, int] = {}
+            for bit, c in enumerate(self.items[n][1][a:b]):
+                m[c] = m.get(c, 0) | 1 << bit
+            self.masks[n, node] = m
+        d, end = myers(self.items[n][1][a:b], self.masks[n, node], text[lo:hi])
+        return d, lo + end
+
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item number, distance, end in the normalised text) of every item that occurs."""
         if self.empty:
             return []
-        windows: dict[int, list[list[int]]] = {}
-        for end, (length, places) in self.automaton.iter(text):
-            start = end - length + 1
-            for n, offset in places:
-                _, s, k = self.items[n]
-                lo, hi = max(0, start - offset - k), start - offset + len(s) + k
-                runs = windows.setdefault(n, [])
-                if runs and lo <= runs[-1][1]:
-                    runs[-1][1] = max(hi, runs[-1][1])
-                    runs[-1][0] = min(lo, runs[-1][0])
-                else:
-                    runs.append([lo, hi])
-        out = []
-        for n, runs in windows.items():
-            _, s, k = self.items[n]
-            best = None
-            for lo, hi in runs:
-                at = text.find(s, lo, hi)
-                if at >= 0:
-                    best = (0, at + len(s))
-                    break
-                if k:
-                    if n not in self.masks:
-                        m: dict[str, int] = {}
-                        for bit, c in enumerate(s):
-                            m[c] = m.get(c, 0) | 1 << bit
-                        self.masks[n] = m
-                    d, end = myers(s, self.masks[n], text[lo:hi])
-                    if d <= k and (best is None or d < best[0]):
-                        best = (d, lo + end)
-            if best:
-                out.append((n, *best))
-        return out
+        best: dict[int, tuple[int, int]] = {}
+        for last, (length, places) in self.automaton.iter(text):
+            start = last - length + 1
+            for n, leaf in places:
+                if n in best and best[n][0] == 0:
+                    continue
+                tree = self.trees[n]
+                offset, end, node = tree[leaf][0], last + 1, leaf
+                d = 0
+                # from the piece up: every segment around it must occur within its own budget
+                while d <= tree[node][2] and tree[node][3] >= 0:
+                    node = tree[node][3]
+                    a, b, e, _ = tree[node]
+                    d, end = self._distance(n, node, text, max(0, start - (offset - a) - e), start - offset + b + e)
+                if d <= tree[node][2] and node == 0 and (n not in best or d < best[n][0]):
+                    best[n] = (d, end)
+        return [(n, d, end) for n, (d, end) in sorted(best.items())]
 
 
 _matchers: dict[str, Matcher] = {}
