@@ -1,8 +1,8 @@
 """Token files: public BPE ids, Re-Pair grammar compression per shard, random access by document.
 
 *Encoding.*  Whole texts are encoded with the given ``tokenizers`` file.  Its normaliser drops white
-space and its pre-tokeniser never crosses it, so a text's ids are those of its chunks between ASCII
-white space; a worker encodes every distinct chunk once and copies ids for its repeats.  Id 2 ends
+space, lower-cases, and parts letters from marks, so a text's ids are those of its chunks between white
+space (marks behind a letter apart); a worker encodes a distinct chunk once and copies ids for repeats.  Id 2 ends
 every document.
 
 *Order.*  Documents are range-partitioned and sorted by id, so shards follow ascending ids; a shard is
@@ -25,6 +25,7 @@ rows are written each; an empty table writes no shard.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varietas.llm.common import small
+from varietas.llm.common import Bytes, blocks, small
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -45,25 +46,88 @@ SCHEMA = ("part int, shard int, n_docs long, n_ids long, base int, rules binary,
 _encoders: dict = {}
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _chunks(b: Bytes) -> tuple[Bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, document) of the chunks that are encoded on their own.
+
+    Chunks lie between white space.  The tokenizer lower-cases, and parts letters from marks behind
+    them, so A-Z are lowered and up to four marks behind an ASCII letter are a chunk of their own; a
+    block that could hold a special token's text is left as it is.
+    """
+    if b"<|" in b.data.tobytes():
+        return (b, *b.words())
+    b = b.lower_ascii()
+    start, end, doc = b.words()
+    cut = end.copy()
+    for _ in range(4):
+        back = (cut - 1 > start) & _MARK[b.data[cut - 1]]
+        cut[back] -= 1
+    parted = (cut < end) & _LETTER[b.data[cut - 1]]
+    times = 1 + parted
+    first = np.cumsum(times) - times
+    s, e, d = np.repeat(start, times), np.repeat(end, times), np.repeat(doc, times)
+    e[first[parted]] = cut[parted]
+    s[first[parted] + 1] = cut[parted]
+    return b, s, e, d
+
+
 class ChunkEncoder:
-    """Ids of whole texts through a per-worker memory of encoded chunks."""
+    """Ids of whole texts through a per-worker memory of encoded chunks.
+
+    A chunk is known by the 64-bit hash of its bytes; the memory is three arrays (sorted hashes, places
+    and lengths in one pool of ids) and starts anew beyond ``keep`` chunks.
+    """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 3_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.keep:
-            self.known = {}
-            new = set().union(*split)
-        new = list(new)
-        for chunk, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[chunk] = e.ids
-        known = self.known
-        return [np.array([i for c in chunks for i in known[c]] + [END_ID], np.uint32) for chunks in split]
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.place, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
+
+    def _learn(self, b: Bytes, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        data = b.data.tobytes()
+        chunks = [data[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(length.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used:self.used + len(flat)] = flat
+        place = self.used + np.concatenate((np.zeros(1, np.int64), np.cumsum(length)[:-1]))
+        self.used += len(flat)
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.place, self.length = np.insert(self.hash, at, hashes), np.insert(self.place, at, place), np.insert(self.length, at, length)
+
+    def encode(self, b: Bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents, end id included; number of ids per document)."""
+        b, start, end, doc = _chunks(b)
+        h = b.span_hash(start, end)
+        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hash) + len(distinct) > self.keep:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.hash, distinct), max(len(self.hash) - 1, 0))
+        new = self.hash[at] != distinct if len(self.hash) else np.ones(len(distinct), bool)
+        if new.any():
+            self._learn(b, start[first[new]], end[first[new]], distinct[new])
+        at = np.searchsorted(self.hash, distinct)
+        place, length = self.place[at][which], self.length[at][which]
+        per_doc = np.bincount(doc, weights=length, minlength=b.n_docs).astype(np.int64) + 1
+        out = np.full(int(per_doc.sum()), END_ID, np.uint32)
+        # a chunk's ids go behind those of the chunks before it and the end ids of the documents before
+        total = int(length.sum())
+        to = np.cumsum(length) - length + doc
+        step = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
+        out[np.repeat(to, length) + step] = self.pool[np.repeat(place, length) + step]
+        return out, per_doc
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -105,11 +169,14 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
             left_used.add(a)
             right_used.add(b)
         chosen = np.array(chosen, np.int64)
+        # symbols that are a chosen left and right first, then the exact pairs among those
+        is_left, is_right = np.zeros(next_id, bool), np.zeros(next_id, bool)
+        is_left[chosen >> 32], is_right[chosen & 0xFFFFFFFF] = True, True
+        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
         by_key = np.argsort(chosen)
-        place = np.searchsorted(chosen[by_key], key[open_])
-        place[place == len(chosen)] = 0
-        hit = chosen[by_key][place] == key[open_]
-        at, which = open_[hit], by_key[place[hit]]
+        place = np.minimum(np.searchsorted(chosen[by_key], key[at]), len(chosen) - 1)
+        hit = chosen[by_key][place] == key[at]
+        at, which = at[hit], by_key[place[hit]]
         # only a pair of equal symbols can overlap itself: of a run take every other occurrence
         if len(at) > 1:
             run_start = np.concatenate(([True], np.diff(at) > 1))
@@ -136,12 +203,12 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that a rewritten sequence stands for."""
-    seq = seq.astype(np.int64)
+    seq, rules = seq.astype(np.int32), rules.astype(np.int32)
     while len(rules):
         big = seq >= base
         if not big.any():
             break
-        out = np.empty(len(seq) + int(big.sum()), np.int64)
+        out = np.empty(len(seq) + int(big.sum()), np.int32)
         at = np.arange(len(seq)) + np.concatenate(([0], np.cumsum(big)[:-1]))
         out[at] = np.where(big, rules[np.where(big, seq - base, 0), 0], seq)
         out[at[big] + 1] = rules[seq[big] - base, 1]
@@ -179,10 +246,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
         enc, part, shard = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         ids, held, size = [], [], 0
         for batch in batches:
-            doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(doc_ids), 256):
-                texts = [t or "" for t in column.slice(lo, 256).to_pylist()]
-                for i, d in zip(doc_ids[lo:lo + 256], enc.encode(texts), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for lo, hi, b in blocks(batch.column(1)):
+                flat, per_doc = enc.encode(b)
+                for i, d in zip(doc_ids[lo:hi], np.split(flat, np.cumsum(per_doc)[:-1]), strict=True):
                     if size and size + len(d) > shard_tokens:
                         yield pa.RecordBatch.from_pylist([_record(part, shard, ids, held, base)], schema=arrow)
                         ids, held, size, shard = [], [], 0, shard + 1
