@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varietas.llm.common import Bytes, blocks, small
+from varietas.llm.common import BLOCK_BYTES, Bytes, blocks, small
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -87,16 +88,46 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.hash, self.place, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
 
+    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """Ids per chunk.  Lower-case ASCII words go to the library's model at once; other words that the
+        normaliser would leave alone are encoded many at a time and cut where a word ends."""
+        model, out = self.tokenizer.model, [None] * len(chunks)
+        words, other = [], []
+        for n, c in enumerate(chunks):
+            if not c.isalpha() or c.lower() != c:
+                other.append(n)
+            elif c.isascii():
+                out[n] = [t.id for t in model.tokenize(c)]
+            elif unicodedata.is_normalized("NFC", c):
+                words.append(n)
+            else:
+                other.append(n)
+        for lo in range(0, len(words), 500):
+            part = words[lo:lo + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(chunks[n] for n in part), add_special_tokens=False).ids)
+            end = np.flatnonzero(self.word_end[ids]) + 1
+            if len(end) != len(part):
+                other += part
+                continue
+            for n, x in zip(part, np.split(ids, end[:-1]), strict=True):
+                out[n] = x.tolist()
+        for n, e in zip(other, self.tokenizer.encode_batch_fast([chunks[n] for n in other], add_special_tokens=False), strict=True):
+            out[n] = e.ids
+        return out
+
     def _learn(self, b: Bytes, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
         data = b.data.tobytes()
         chunks = [data[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        ids = self._encode_chunks(chunks)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(length.sum()))
         while self.used + len(flat) > len(self.pool):
@@ -247,7 +278,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
         ids, held, size = [], [], 0
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for lo, hi, b in blocks(batch.column(1)):
+            for lo, hi, b in blocks(batch.column(1), 3 * BLOCK_BYTES):
                 flat, per_doc = enc.encode(b)
                 for i, d in zip(doc_ids[lo:hi], np.split(flat, np.cumsum(per_doc)[:-1]), strict=True):
                     if size and size + len(d) > shard_tokens:
