@@ -116,7 +116,7 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 1) -> Da
     by at most one.
     """
     ordered = quotas.agg(F.array_sort(F.collect_list(F.struct(_source_key(F.col("source")).alias("k"), F.col("quota").cast("long").alias("q")))).alias("s"))
-    nodes = ordered.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.transform("s", lambda x: x["k"]).alias("keys"),
+    nodes = ordered.where("size(s) > 0").select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.transform("s", lambda x: x["k"]).alias("keys"),
                            F.transform("s", lambda x: x["q"]).alias("q"))
     left_share = "aggregate(q, 0L, (a, x) -> a + x)"
     draw = hypergeometric("a.room", "element_at(q, i)", "a.all", "element_at(us, i)")
