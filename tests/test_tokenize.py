@@ -1,11 +1,14 @@
+import json
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tests.pyref import detokenize, tokenize
 from varietas.functions import split_whitespace, treebank_detokenize, treebank_tokens
 from varietas.oracle import duck
 
+# Documented examples.
 GOLDEN = [
     ("They'll save and invest more.", ["They", "'ll", "save", "and", "invest", "more", "."]),
     ("hi, my name can't hello,", ["hi", ",", "my", "name", "ca", "n't", "hello", ","]),
@@ -14,14 +17,9 @@ GOLDEN = [
       "them.", "Thanks", "."]),
 ]
 
-HAND = [
-    '"Hello," she said.', "He said ''yes'' and left", 'a "quoted" word', "(a) [b] {c} <d>",
-    "wait... what?!", "well--maybe", "a,,b", "3,000 people: 12:30", "I cannot go, gonna wanna see",
-    "'Tis the season; 'twas fine", "Café naïve résumé façade", "mor'n enough, gimme lemme gotta",
-    "d'ye know", "cannotcannot cannot cannot", "x y", "", "   ", "end with colon:",
-    "it's John's 'quote' here", "I'M YOU'RE WE'VE THEY'LL DON'T", "Ends (with a period).",
-    "a & b # c @ d % e", "wanna go", "cannoté ácannot", "½cannot", "x'' y", "50% off!",
-]
+# Texts with their tokens, token lists with their texts, written out.
+WRITTEN = json.loads((Path(__file__).parent / "golden_tokens.json").read_text())
+TOKENS, TEXTS = WRITTEN["tokens"], WRITTEN["detokenized"]
 
 
 def _spark_tokens(spark, texts, convert=False):
@@ -35,9 +33,9 @@ def test_golden(spark):
     assert got == [g[1] for g in GOLDEN]
 
 
-def test_hand_cases_match_python(spark):
-    got = _spark_tokens(spark, HAND)
-    assert got == [tokenize(t) for t in HAND]
+def test_written_cases(spark):
+    got = _spark_tokens(spark, [t for t, _ in TOKENS])
+    assert got == [x for _, x in TOKENS]
 
 
 def test_convert_parentheses(spark):
@@ -49,9 +47,9 @@ def test_convert_parentheses(spark):
 
 def test_duckdb_oracle_tokenizer_matches_python():
     con = duckdb.connect()
-    for t in HAND + [g[0] for g in GOLDEN]:
+    for t, want in [*TOKENS, *GOLDEN]:
         got = con.execute(f"select {duck.treebank_tokens(duck.lit(t))}").fetchall()[0][0]
-        assert got == tokenize(t), t
+        assert got == want, t
 
 
 DETOK = [
@@ -63,15 +61,15 @@ DETOK = [
 
 
 def test_detokenize_golden_and_python(spark):
-    cases = [d[0] for d in DETOK] + [tokenize(t) for t in HAND]
+    cases = [c for c, _ in TEXTS]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, toks array<string>")
     got = [r.s for r in sorted(df.select("i", treebank_detokenize(F.col("toks")).alias("s")).collect())]
     assert got[:2] == [d[1] for d in DETOK]
-    assert got == [detokenize(c) for c in cases]
+    assert got == [t for _, t in TEXTS]
     con = duckdb.connect()
-    for c in cases:
+    for c, want in TEXTS:
         arr = "[" + ", ".join(duck.lit(x) for x in c) + "]::varchar[]"
-        assert con.execute(f"select {duck.treebank_detokenize(arr)}").fetchall()[0][0] == detokenize(c)
+        assert con.execute(f"select {duck.treebank_detokenize(arr)}").fetchall()[0][0] == want
 
 
 def test_detokenize_round_trip_parentheses(spark):

@@ -2,8 +2,8 @@
 
 The library never creates machine-local scratch space on a cluster: lineage is cut with
 ``DataFrame.checkpoint()`` into the shared folder named by ``spark.checkpoint.dir``.  Only when that
-setting is absent (local tests, the benchmark) does :func:`ensure_checkpoint_dir` pick a fresh
-``/tmp`` folder.
+setting is absent and the master is local (tests, the benchmark) does :func:`ensure_checkpoint_dir`
+pick a fresh temporary folder; on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached when the cluster names no shared folder (local runs and tests).
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="varietas-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -79,10 +79,11 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, directory: str, top_n: int | None = None) -> DataFrame:
-    """Files ``000.txt``, ``001.txt`` ... → (chunk_id, line_no, text), chunks below ``top_n``."""
-    lines = _numbered_lines(spark, directory.rstrip("/") + "/[0-9][0-9][0-9].txt")
-    cid = F.regexp_extract("file", "([0-9]{3})\\.txt$", 1).cast("int")
-    out = lines.select(cid.alias("chunk_id"), "line_no", F.col("value").alias("text"))
+    """Files ``000.txt``, ``001.txt`` ... ``1000.txt`` (any run of digits) → (chunk_id, line_no, text), chunks below ``top_n``."""
+    lines = _numbered_lines(spark, directory.rstrip("/") + "/*.txt")
+    cid = F.regexp_extract("file", "/([0-9]+)\\.txt$", 1)
+    lines = lines.withColumn("_chunk", cid).where(F.col("_chunk") != "")
+    out = lines.select(F.col("_chunk").cast("int").alias("chunk_id"), "line_no", F.col("value").alias("text"))
     return out.where(F.col("chunk_id") < top_n) if top_n is not None else out
 
 
