@@ -122,8 +122,8 @@ def score_texts(column: pa.Array, projection: np.ndarray, bias: float) -> np.nda
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): learn from labelled rows outside the held-out fold, score every text."""
-    sample = labelled_sample(docs, labels, "quality", fold("doc_id", 3) != 1, PER_LABEL, MAX_CHARS)
-    projection, bias = train(sample["text"].tolist(), sample["label"].to_numpy())
+    texts, marks = labelled_sample(docs, labels, "quality", fold("doc_id", 3) != 1, PER_LABEL, MAX_CHARS)
+    projection, bias = train(texts, marks)
     shared = docs.sparkSession.sparkContext.broadcast((projection.astype(np.float32), bias))
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_label: int, max_chars: int) -> pd.DataFrame:
-    """(text, label) of at most ``per_label`` documents of label 0 and of label 1, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_label: int, max_chars: int) -> tuple[list[str], np.ndarray]:
+    """(texts, labels) of at most ``per_label`` documents of label 0 and of label 1, chosen by a hash of the id.
 
     Ids are chosen on the narrow label table, so only the chosen texts reach the driver.  Labels that
     are null, texts that are null and texts above ``max_chars`` characters (to bound the sample's
@@ -21,5 +21,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
         part = l.where(F.col("label") == y).orderBy(spread).limit(per_label)
         chosen = part if chosen is None else chosen.unionByName(part)
     d = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    out = d.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas()
-    return out.sort_values("doc_id")[["text", "label"]].reset_index(drop=True)
+    out = d.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    return out["text"].to_pylist(), out["label"].to_numpy()

@@ -124,27 +124,34 @@ def train(texts: list[str], label: np.ndarray, terms: list[str] = IDENTITY_TERMS
     texts, label = [texts[i] for i in distinct], np.asarray(label)[distinct]
     if len(texts) == 0:
         return np.zeros(0, np.uint64), np.zeros(0), -30.0
-    hashes, sentence_of, doc_of, n_sentences = [], [], [], 0
+    hashes, word_rows, sentence_of, doc_of, n_sentences = [], [], [], [], 0
     for lo, _, b in blocks(pa.array(texts, pa.large_string())):
         h, s, d = sentences(b)
-        hashes.append(h)
-        sentence_of.append(s + n_sentences)
+        # a word's features are kept once, its occurrences by the word's hash only
+        hashes.append(h[:, 0].copy())
+        word_rows.append(h[np.unique(h[:, 0], return_index=True)[1]])
+        sentence_of.append((s + n_sentences).astype(np.int32))
         doc_of.append(d + lo)
         n_sentences += len(d)
-    h, sent, doc = np.concatenate(hashes), np.concatenate(sentence_of), np.concatenate(doc_of)
+    sent, doc, word_rows = np.concatenate(sentence_of), np.concatenate(doc_of), np.concatenate(word_rows)
     y = label.astype(bool)
     # distinct words, each with its features
-    _, first, word = np.unique(h[:, 0], return_index=True, return_inverse=True)
-    vocab, of_word = np.unique(np.concatenate((h[first].reshape(-1), term_hashes(terms) if terms else np.zeros(0, np.uint64))), return_inverse=True)
+    distinct, first = np.unique(word_rows[:, 0], return_index=True)
+    h = word_rows[first]
+    word = np.concatenate([np.searchsorted(distinct, x).astype(np.int32) for x in hashes])
+    del hashes, word_rows
+    vocab, of_word = np.unique(np.concatenate((h.reshape(-1), term_hashes(terms) if terms else np.zeros(0, np.uint64))), return_inverse=True)
     n_words, width, n_features = len(first), h.shape[1], len(vocab)
     identity = of_word[n_words * width:]
     of_word = of_word[:n_words * width].reshape(n_words, width)
     none = int(np.searchsorted(vocab, 0)) if 0 in vocab else -1
     key = np.unique(doc[sent] * max(n_words, 1) + word)
-    pairs = np.unique(np.repeat(key // max(n_words, 1), width) * n_features + of_word[key % max(n_words, 1)].reshape(-1))
-    d, f = pairs // n_features, pairs % n_features
-    real = (f != none) & ~np.isin(f, identity)
-    chosen = select_features(d[real], f[real], y, n_features)
+    pairs = np.repeat(key // max(n_words, 1), width) * n_features + of_word[key % max(n_words, 1)].reshape(-1)
+    skip = np.zeros(n_features, bool)
+    skip[[*identity, *([none] if none >= 0 else [])]] = True
+    pairs = np.unique(pairs[~skip[pairs % n_features]])
+    chosen = select_features((pairs // n_features).astype(np.int32), (pairs % n_features).astype(np.int32), y, n_features)
+    del key, pairs
     known = np.zeros(n_features, bool)
     known[[*chosen, *identity]] = True
     weight = np.zeros(n_features)
@@ -217,8 +224,8 @@ def score_texts(column: pa.Array, keys: np.ndarray, weights: np.ndarray, bias: f
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): learn from labelled rows outside the held-out fold, score every text."""
-    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4) != 2, PER_LABEL, MAX_CHARS)
-    model = train(sample["text"].tolist(), sample["label"].to_numpy())
+    texts, marks = labelled_sample(docs, labels, "toxic", fold("doc_id", 4) != 2, PER_LABEL, MAX_CHARS)
+    model = train(texts, marks)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
