@@ -9,10 +9,8 @@ from varietas.functions.treebank import (  # noqa: F401
 )
 from varietas.functions.scalar import (  # noqa: F401
     arc_cost,
-    context_weight,
     dot,
     join_tokens,
     l2_normalize,
     rstrip_line,
-    uniform,
 )

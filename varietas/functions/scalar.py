@@ -1,12 +1,10 @@
-"""Scalar column expressions (T4, T5, M1, M2, M4, M5, M8) — all built-in Spark functions."""
+"""Scalar column expressions (T4, T5, M1, M2, M4) — all built-in Spark functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_POW_32 = 4294967296.0
-
 
 def rstrip_line(col: Column, chars: str = "\n ") -> Column:
     """``str.rstrip(chars)`` for a set of literal characters (T5; default ``'\\n '``)."""
@@ -35,26 +33,3 @@ def l2_normalize(v: Column) -> Column:
 def arc_cost(sim: Column) -> Column:
     """Lattice arc weight of a neighbour, ``-ln(sim)/1000`` (M4)."""
     return -F.log(sim) / F.lit(1000.0)
-
-
-def context_weight(score: Column, sim: Column, widx: Column, dist_flag: bool) -> Column:
-    """One context step of the lexical-alternative score (M5).
-
-    ``score * sim`` or, with ``dist_flag``, ``score * sim ** (1/(widx+2))``; a negative ``sim`` with the
-    flag has no real root and yields NULL (documented decision).
-    """
-    if not dist_flag:
-        return score * sim
-    return F.when(sim >= 0, score * F.pow(sim, F.lit(1.0) / (widx + F.lit(2.0))))
-
-
-def uniform(seed: Column | int | str, *keys: Column | str) -> Column:
-    """Deterministic uniform draw in [0, 1) from ``md5(seed:key1:key2...)`` (M8).
-
-    First 8 hex digits of the digest as an unsigned 32-bit integer, divided by 2^32.  The same
-    expression is written in the DuckDB oracle, so draws agree exactly.
-    """
-    seed_col = seed if isinstance(seed, Column) else F.lit(str(seed))
-    parts = [seed_col.cast("string")] + [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
-    digest = F.md5(F.concat_ws(":", *parts))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)

@@ -29,6 +29,29 @@ def with_row_index(df: DataFrame, order_by: list[str | Column], name: str = "rn"
     return out.select(*df.columns, (F.col("_off") + F.col("_mid") - F.col("_base") + 1).alias(name))
 
 
+def number_lines(lines: DataFrame, across_files: bool = False) -> DataFrame:
+    """(file, _block, ...) lines as scanned → (file, line_no, ...) with the 0-based position in the file.
+
+    A file may be cut into many splits.  A split's lines stay together and in order in one task, so a
+    line's position is its place in the split plus the lines of the file's earlier splits; the table of
+    splits has one row per split.  The tagged scan is checkpointed, so that a recomputation cannot deal
+    the splits anew.  ``across_files`` counts on over the files in path order.
+    """
+    tagged = checkpoint(lines.withColumn("_mid", F.monotonically_increasing_id()))
+    splits = tagged.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
+    order = Window.orderBy("file", "_block") if across_files else Window.partitionBy("file").orderBy("_block")
+    before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("_off", F.coalesce(before, F.lit(0))).drop("_n")
+    rest = [c for c in lines.columns if c not in ("file", "_block")]
+    return tagged.join(splits, ["file", "_block"]).select(
+        "file", (F.col("_off") + F.col("_mid") - F.col("_base")).alias("line_no"), *rest)
+
+
+def div(a: Column, b: Column) -> Column:
+    """Integer quotient of longs (exact, unlike a division of doubles)."""
+    return F.call_function("div", a.cast("long"), b.cast("long"))
+
+
 def row_count(df: DataFrame) -> Column:
     """Number of rows of ``df`` as a scalar-subquery column (no action, no join)."""
     return df.select(F.count(F.lit(1))).scalar()
@@ -39,7 +62,7 @@ def first_prefix(rn: Column, n: Column, np_: int) -> Column:
 
     Line rn (1-based) is in prefix i iff rn <= floor(n*i/np) iff i >= ceil(rn*np/n).
     """
-    return ((rn * F.lit(np_) + n - 1) / n).cast("long")   # integer ceil(rn*np/n)
+    return div(rn * F.lit(np_) + n - 1, n)   # integer ceil(rn*np/n)
 
 
 def prefix_partitions(lines: DataFrame, np_: int = 100, max_p: int = 100, rn_col: str = "rn") -> DataFrame:
@@ -62,7 +85,7 @@ def tail_split(lines: DataFrame, ratio: float = 0.1, rn_col: str = "rn") -> tupl
 
 def chunk_ids(lines: DataFrame, chunk_size: int = 64, rn_col: str = "rn") -> DataFrame:
     """Chunk number of each line, ``(rn-1) div chunk_size`` (S6 stand-in: files 000.txt, 001.txt ...)."""
-    return lines.withColumn("chunk_id", ((F.col(rn_col) - 1) / F.lit(chunk_size)).cast("long"))
+    return lines.withColumn("chunk_id", div(F.col(rn_col) - 1, F.lit(chunk_size)))
 
 
 def prefix_lines(lines: DataFrame, m: int | Column, rn_col: str = "rn") -> DataFrame:

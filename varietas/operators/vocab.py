@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varietas.functions import split_whitespace, treebank_tokens
+from varietas.operators.rows import div
 
 UNK = "<unk>"
 
@@ -56,9 +57,19 @@ def dedupe_counts(lines: DataFrame, text_col: str = "text", order_col: str | Non
     return lines.groupBy(text_col).agg(*aggs)
 
 
-def restore_multiplicity(df: DataFrame, num_col: str = "num") -> DataFrame:
-    """Bag semantics (U4): repeat each row ``num`` times (adds ``copy`` 1..num)."""
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(num_col).cast("int"))))
+def restore_multiplicity(df: DataFrame, num_col: str = "num", block: int = 10_000) -> DataFrame:
+    """Bag semantics (U4): repeat each row ``num`` times (adds ``copy`` 1..num).
+
+    A row of more than ``block`` copies is first cut into blocks of that many, which are dealt over the
+    tasks, so one very popular line is not expanded in one task.
+    """
+    n = F.col(num_col).cast("long")
+    few = df.where((n >= 1) & (n <= block)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    blocks = df.where(n > block).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), div(n - 1, F.lit(block)))))
+    first = F.col("_block") * block
+    many = blocks.repartition("_block", *df.columns).withColumn(
+        "copy", F.explode(F.sequence(first + 1, F.least(first + block, n)))).drop("_block")
+    return few.unionByName(many)
 
 
 def _regroup(long: DataFrame, keys: list[str], tok: Column, name: str) -> DataFrame:
@@ -131,8 +142,8 @@ def unigram_lines(unigram_table: DataFrame, decimals: int = 5) -> DataFrame:
     """
     scale = 10 ** decimals
     total = unigram_table.select(F.sum("n")).scalar()
-    q = ((F.col("n") * F.lit(2 * scale) + total) / (F.lit(2) * total)).cast("long")
+    q = div(F.col("n") * F.lit(2 * scale) + total, F.lit(2) * total)
     frac = F.lpad((q % F.lit(scale)).cast("string"), decimals, "0")
     return unigram_table.select(F.concat_ws(" ", F.col("word"),
-                                            F.concat((q / F.lit(scale)).cast("long").cast("string"),
+                                            F.concat(div(q, F.lit(scale)).cast("string"),
                                                      F.lit("."), frac)).alias("line"))

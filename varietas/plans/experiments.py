@@ -398,7 +398,7 @@ def awer_curve(chunks: DataFrame, dev: DataFrame, unigram_table: DataFrame, seed
     lm = witten_bell_by(counts, order, ["i"]).materialize()
     # lattices: every dev token under every prefix model; the draw does not depend on the model
     dtoks = P.sentence_tokens(dev, dev_key, text_col)
-    draws = SMP.draw_words(dtoks.withColumn("k", SMP.draw32(seed, F.col(dev_key), F.col("pos"))),
+    draws = SMP.draw_words(dtoks.withColumn("k", SMP.draw60(seed, F.col(dev_key), F.col("pos"))),
                            SMP.cdf(unigram_table))
     per_i = draws.select(dev_key, "pos", "word", "alt", F.explode(F.sequence(F.lit(0), max_i)).alias("i"))
     vocab = lm.vocab.select("i", F.col("w").alias("_v"))
@@ -418,7 +418,7 @@ def awer_curve(chunks: DataFrame, dev: DataFrame, unigram_table: DataFrame, seed
         .withColumn("_out", F.split(F.coalesce(F.col("sent"), F.lit("")), " "))
     n = F.size("_words")
     err = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda x: ~F.coalesce(F.element_at("_words", x) == F.element_at("_out", x), F.lit(False))))
+                          lambda x: ~F.coalesce(F.get("_words", x - 1) == F.get("_out", x - 1), F.lit(False))))
     rate = F.when(n > 0, err / n).otherwise(F.lit(0.0))
     return j.groupBy("i").agg(F.avg(rate).alias("awer"), F.count(F.lit(1)).alias("n_lines"))
 

@@ -20,6 +20,8 @@ from varietas.operators import neighbours as N
 from varietas.operators import sampling as SMP
 from varietas.operators.decode import nbest, rank_strings
 from varietas.operators.ngrams import UNK
+from varietas.operators.rows import with_row_index
+from varietas.operators.vocab import restore_multiplicity
 from varietas.session import checkpoint
 
 # Words never replaced by a neighbour (besides tokens starting with an apostrophe).
@@ -107,7 +109,7 @@ def paraphrase_corpus(lines: DataFrame, vectors: DataFrame, lm: L.LM, k: int = 5
     """
     uniq = (lines.select(F.regexp_replace(F.col(text_col), "[\n ]+$", "").alias("line"))
             .groupBy("line").agg(F.count(F.lit(1)).alias("num")))
-    uniq = uniq.withColumn("sid", F.col("line"))         # the line itself is the key: no hash collisions
+    uniq = with_row_index(uniq, ["line"], "sid")        # short numeric keys: arcs do not carry the line
     cutoff = None
     if conservative:
         base = rescore(uniq.select(F.col("sid").alias("sent_id"), F.lit(1).alias("rank"), F.col("line").alias("sent"),
@@ -119,8 +121,7 @@ def paraphrase_corpus(lines: DataFrame, vectors: DataFrame, lm: L.LM, k: int = 5
     j = uniq.join(para.withColumnRenamed("sent_id", "sid"), "sid")
     if conservative:
         j = cutoff_filter(j, cutoff)
-    j = j.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("num").cast("int"))))
-    return j.select("line", "copy", "rank", "sent", "new_score")
+    return restore_multiplicity(j.select("line", "num", "rank", "sent", "new_score")).select("line", "copy", "rank", "sent", "new_score")
 
 
 def training_sets_from_store(train: DataFrame, store: DataFrame, np_: int = 100, rn_col: str = "sent_id",
@@ -149,7 +150,7 @@ def awer_lattice(dev: DataFrame, unigram_table: DataFrame, lm: L.LM, seed: int =
     vocab = lm.vocab.select(F.col("w").alias("_v"))
     orig = toks.join(vocab, toks.word == vocab._v, "left").select(
         key, "pos", F.coalesce(F.col("_v"), F.lit(UNK)).alias("lm_word"), F.col("word").alias("orig_word"))
-    draws = toks.withColumn("k", SMP.draw32(seed, F.col(key), F.col("pos")))
+    draws = toks.withColumn("k", SMP.draw60(seed, F.col(key), F.col("pos")))
     alt = SMP.draw_words(draws, SMP.cdf(unigram_table))
     alt = alt.join(vocab, alt.alt == vocab._v, "left_semi").where(F.col("alt") != F.col("word"))      # F8
     a = alt.select(key, "pos", F.col("alt").alias("word"), F.lit(0.0).alias("cost"), F.col("word").alias("orig_word"))
@@ -160,7 +161,8 @@ def awer_lattice(dev: DataFrame, unigram_table: DataFrame, lm: L.LM, seed: int =
 def awer(dev: DataFrame, unigram_table: DataFrame, lm: L.LM, seed: int = 0, key: str = "sent_id",
          text_col: str = "text") -> DataFrame:
     """One row (awer, n_lines): mean over dev lines of (changed positions / tokens) in the 1-best
-    decoding of each line's lattice; an empty line counts 0 but stays in the denominator."""
+    decoding of each line's lattice; an empty line counts 0 but stays in the denominator, and a line
+    with no path under the model counts 1 (all its positions)."""
     slots = awer_lattice(dev, unigram_table, lm, seed, key, text_col)
     best = nbest(slots.select(key, "pos", "word", "cost"), lm, 1, key)
     toks = sentence_tokens(dev, key, text_col).groupBy(key).agg(
@@ -171,6 +173,6 @@ def awer(dev: DataFrame, unigram_table: DataFrame, lm: L.LM, seed: int = 0, key:
     words, out = F.col("_words"), F.col("_out")
     n = F.size(words)
     err = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda i: ~F.coalesce(F.element_at(words, i) == F.element_at(out, i), F.lit(False))))
+                          lambda i: ~F.coalesce(F.get(words, i - 1) == F.get(out, i - 1), F.lit(False))))
     rate = F.when(n > 0, err / n).otherwise(F.lit(0.0))
     return j.agg(F.avg(rate).alias("awer"), F.count(F.lit(1)).alias("n_lines"))

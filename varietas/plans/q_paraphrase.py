@@ -125,8 +125,8 @@ _DTOK = f"""dk as (select sent_id, generate_subscripts(t, 1) - 1 as pos, unnest(
 
 
 @query("awer_draws", S.with_(*_UNI, *_RARE_LM, _DTOK, f"""
-dr as (select sent_id, pos, word, ((('0x' || substr(md5('{SEED}:' || sent_id || ':' || pos), 1, 8))::ubigint
-       * (select total from tot)) >> 32) as t from dk)""") + """
+dr as (select sent_id, pos, word, ('0x' || substr(md5('{SEED}:' || sent_id || ':' || pos), 1, 15))::ubigint::hugeint
+       * (select total from tot) // {1 << 60} as t from dk)""") + """
 select dr.sent_id, dr.pos, dr.word, coalesce(cdf.word, '<unk>') as alt,
        coalesce(cdf.word, '<unk>') in (select w from lmv) and coalesce(cdf.word, '<unk>') <> dr.word as usable
 from dr left join cdf on cdf.lo <= dr.t and dr.t < cdf.hi""")
@@ -136,7 +136,7 @@ def awer_draws_q(spark, sf_dir):
     uni = V.unigrams(V.tokens_of(T.user_lines(spark, sf_dir)))
     lm = _awer_lm(spark, sf_dir)
     toks = P.sentence_tokens(T.ordered_dev_lines(spark, sf_dir))
-    d = SMP.draw_words(toks.withColumn("k", SMP.draw32(SEED, F.col("sent_id"), F.col("pos"))), SMP.cdf(uni))
+    d = SMP.draw_words(toks.withColumn("k", SMP.draw60(SEED, F.col("sent_id"), F.col("pos"))), SMP.cdf(uni))
     v = lm.vocab.select(F.col("w").alias("_v"))
     d = d.join(v, d.alt == v._v, "left")
     return d.select("sent_id", "pos", "word", "alt", (F.col("_v").isNotNull() & (F.col("alt") != F.col("word")))
@@ -162,4 +162,4 @@ def stream_paraphrase_q(spark, sf_dir):
     """ST2 / P1: user lines streamed as files and paraphrased (5 best) line by line."""
     from varietas.streaming.interactive import paraphrase_service, serve_lines
     out = serve_lines(spark, T.user_lines(spark, sf_dir), paraphrase_service(vectors(spark, sf_dir), _lm(spark, sf_dir), 5))
-    return out.select(F.col("sent_id").alias("line"), "rank", "sent", F.round("score", 9).alias("score"))
+    return out.select(F.col("text").alias("line"), "rank", "sent", F.round("score", 9).alias("score"))
