@@ -28,13 +28,13 @@ def test_shuffle_is_reproducible_permutation(spark):
 def test_draws_match_brute_force(spark):
     uni = spark.createDataFrame([("a", 5), ("b", 1), ("c", 3), ("d", 1)], "word string, n long")
     keys = spark.range(0, 300).select(F.col("id").alias("sent_id"), F.lit(0).alias("pos"))
-    d = SMP.draw_words(keys.withColumn("k", SMP.draw32(4, F.col("sent_id"), F.col("pos"))), SMP.cdf(uni), buckets=3)
+    d = SMP.draw_words(keys.withColumn("k", SMP.draw60(4, F.col("sent_id"), F.col("pos"))), SMP.cdf(uni))
     got = {r.sent_id: r.alt for r in d.collect()}
     items = sorted([("a", 5), ("b", 1), ("c", 3), ("d", 1)], key=lambda x: (x[1], x[0]))
     total = 10
     for sid in range(300):
-        k = int(hashlib.md5(f"4:{sid}:0".encode()).hexdigest()[:8], 16)
-        t = (k * total) >> 32
+        k = int(hashlib.md5(f"4:{sid}:0".encode()).hexdigest()[:15], 16)
+        t = (k * total) >> 60
         lo = 0
         for w, n in items:
             if lo <= t < lo + n:
@@ -88,3 +88,72 @@ def test_stream_equals_batch(spark):
     batch = sorted(tuple(r) for r in N.near(words.withColumnRenamed("text", "word"), vec, 2)
                    .select("query", "rn", "word", "sim").collect())
     assert streamed == batch
+
+
+def test_draws_over_very_many_tokens(spark):
+    counts = [("w%02d" % i, 1 + i * i) for i in range(60)] + [("hot", 4_000_000_000), ("hotter", 9_000_000_000)]
+    keys = spark.range(0, 400).select(F.col("id").alias("sent_id"), F.lit(0).alias("pos"))
+    d = SMP.draw_words(keys.withColumn("k", SMP.draw60(4, F.col("sent_id"), F.col("pos"))),
+                       SMP.cdf(spark.createDataFrame(counts, "word string, n long")))
+    got = {r.sent_id: r.alt for r in d.collect()}
+    items, total = sorted(counts, key=lambda x: (x[1], x[0])), sum(n for _, n in counts)
+    for sid in range(400):
+        t = int(hashlib.md5(f"4:{sid}:0".encode()).hexdigest()[:15], 16) * total >> 60
+        ends = 0
+        for w, n in items:
+            ends += n
+            if t < ends:
+                break
+        assert got[sid] == w
+    # every value of a small distribution finds its word
+    small = [("a", 1), ("b", 1), ("c", 40), ("d", 300), ("e", 301)]
+    every = spark.range(0, 643).withColumn("k", F.expr(f"cast((cast(id as decimal(19,0)) * {1 << 60}BD + 642) div 643 as long)"))
+    got = dict(SMP.draw_words(every, SMP.cdf(spark.createDataFrame(small, "word string, n long"))).groupBy("alt").count().collect())
+    assert got == dict(small)
+
+
+def test_restore_multiplicity_splits_a_popular_row(spark):
+    from varietas.operators.vocab import restore_multiplicity
+    df = spark.createDataFrame([("a", 1), ("b", 25), ("c", 10)], "text string, num long")
+    got = sorted((r.text, r.copy) for r in restore_multiplicity(df, block=10).collect())
+    assert got == sorted((t, i) for t, n in (("a", 1), ("b", 25), ("c", 10)) for i in range(1, n + 1))
+
+
+def test_split_files_keep_line_numbers(spark):
+    d = tempfile.mkdtemp(prefix="lines-", dir=os.environ.get("TMPDIR", "/tmp"))
+    want = {}
+    for name, n in (("a", 5000), ("b", 0), ("c", 3)):
+        rows = ["" if i % 7 == 0 else f"{name} line {i}" for i in range(n)]
+        with open(os.path.join(d, name + ".txt"), "w") as f:
+            f.writelines(r + "\n" for r in rows)
+        want |= {(name, i): r for i, r in enumerate(rows)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        back = files.read_sentences(spark, d)
+        got = {(os.path.basename(r.file)[:-4], r.line_no): r.text for r in back.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
+
+
+def test_streams_answer_every_repeated_line(spark):
+    from varietas.streaming.interactive import lex_alternatives_service, serve_lines, word_query_service
+    vec = _toy_vectors(spark)
+    lines = spark.createDataFrame([("a b",)] * 3 + [("c d",)], "text string")
+    out = serve_lines(spark, lines, lex_alternatives_service(vec), files=1)
+    per_line = {(r.file, r.line_no, r.text) for r in out.collect()}
+    assert sorted(t for _, _, t in per_line) == ["a b", "a b", "a b", "c d"]
+    words = spark.createDataFrame([("a",), ("a",)], "text string")
+    assert serve_lines(spark, words, word_query_service(vec, "nearest", 2), files=1).count() == 4
+
+
+def test_line_without_a_path_is_all_wrong(spark):
+    from varietas.operators import lm as L
+    from varietas.operators import ngrams as G
+    from varietas.plans import paraphrase as P
+    lm = L.build_lm(G.ngram_counts(spark.createDataFrame([("a b",), ("b c",)], "text string"), 2), 2, "unsmoothed")
+    uni = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "word string, n long")
+    dev = spark.createDataFrame([(1, "zz zz zz"), (2, "")], "sent_id long, text string")
+    row = P.awer(dev, uni, lm).first()
+    assert (row.awer, row.n_lines) == (0.5, 2)

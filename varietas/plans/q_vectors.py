@@ -135,26 +135,30 @@ def lex_alternatives_plain_q(spark, sf_dir):
     return N.lex_alternatives(q, vectors(spark, sf_dir), dist_flag=False, num_alts=10)
 
 
-@query("stream_word_queries", S.with_(*_VEC, S.USER_LINES, _USER_WORDS, _NEAR_SQL.format(k=10)) + """
-select query, rn, word, sim from nb_10""")
+@query("stream_word_queries", S.with_(*_VEC, S.USER_LINES, _USER_WORDS, _NEAR_SQL.format(k=10),
+                                         f"asked as (select unnest({S.tb_tokens()}) as qword from user_lines0)") + """
+select query, rn, word, sim from asked join nb_10 on nb_10.query = asked.qword""")
 def stream_word_queries_q(spark, sf_dir):
-    """ST3 / P6: the distinct user-turn tokens streamed as word-query files (one file per micro-batch),
-    answered with their 10 nearest words."""
+    """ST3 / P6: the user-turn tokens streamed as word-query files (one file per micro-batch), every one of
+    them answered with its 10 nearest words."""
     from varietas.streaming.interactive import serve_lines, word_query_service
-    words = V.tokens_of(T.user_lines(spark, sf_dir)).select(F.col("tok").alias("text")).distinct()
-    return serve_lines(spark, words, word_query_service(vectors(spark, sf_dir), "nearest", 10))
+    words = V.tokens_of(T.user_lines(spark, sf_dir)).select(F.col("tok").alias("text"))
+    out = serve_lines(spark, words, word_query_service(vectors(spark, sf_dir), "nearest", 10))
+    return out.select("query", "rn", "word", "sim")
 
 
-_LEX_STREAM = _LEX.replace("""q0 as (select conv_id || ':' || turn || ':' || line_no as qid""",
-                           """q0 as (select distinct text as qid""")
+_LEX_STREAM = _LEX.replace("select qid, rn, word, score from (select", """,
+answers as (select qid, rn, word, score from (select""", 1).rstrip() + """)
+select u.text as line, rn, word, score from answers
+join user_lines0 u on u.conv_id || ':' || u.turn || ':' || u.line_no = answers.qid"""
 
 
 @query("stream_lex_alternatives", _LEX_STREAM.replace("{factor}", "case when sc >= 0 then pow(sc, 1.0 / (widx + 2)) end"))
 def stream_lex_alternatives_q(spark, sf_dir):
-    """ST1 / P5: user lines streamed as files; each line (its own id) gets 10 lexical alternatives."""
+    """ST1 / P5: user lines streamed as files; every line, repeated ones too, gets 10 lexical alternatives."""
     from varietas.streaming.interactive import lex_alternatives_service, serve_lines
     out = serve_lines(spark, T.user_lines(spark, sf_dir), lex_alternatives_service(vectors(spark, sf_dir)))
-    return out.distinct()     # a line repeated in several files is answered once per file
+    return out.select(F.col("text").alias("line"), "rn", "word", "score")
 
 
 @query("vectors_file_roundtrip", S.with_(*_VEC) + """

@@ -2,7 +2,7 @@
 
 All readers are ``spark.read`` scans (parallel over files and splits); all writers are
 ``DataFrame.write`` (parallel, one file per task — never ``coalesce(1)``).  Line order, where a
-format has one, is recovered from the file name and the position inside the file.
+format has one, is recovered from the file name, the split and the position inside the split.
 """
 
 from __future__ import annotations
@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varietas.functions import rstrip_line
+from varietas.operators.rows import number_lines
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): every line with its file and 0-based position (whole-file read)."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("file"),
-                        F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "value"))
+    """(file, line_no, value): every line with its file and 0-based position; large files are split."""
+    return number_lines(_scan_lines(spark, path))
+
+
+def _scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path, lineSep="\n")
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value")
 
 
 def read_sentences(spark: SparkSession, path: str, strip: str = "\n ") -> DataFrame:
@@ -28,11 +32,12 @@ def read_sentences(spark: SparkSession, path: str, strip: str = "\n ") -> DataFr
 
 def read_vectors(spark: SparkSession, path: str, maxtypes: int = 0) -> DataFrame:
     """word2vec text format → (rank, word, v array<float>); the header line (n dim) is skipped.
+    Several part files count as one file in path order.
 
     The rank is the line position (most frequent first); ``maxtypes`` keeps the first ranks (W13).
     A word listed twice keeps its last vector (see ``normalize_vectors``).
     """
-    lines = _numbered_lines(spark, path).where(F.col("line_no") > 0)
+    lines = number_lines(_scan_lines(spark, path), across_files=True).where(F.col("line_no") > 0)
     first_space = F.instr("value", " ")
     body = lines.select((F.col("line_no") - 1).cast("int").alias("rank"),
                         F.substring("value", 1, first_space - 1).alias("word"),
@@ -45,9 +50,9 @@ def read_vectors(spark: SparkSession, path: str, maxtypes: int = 0) -> DataFrame
 
 
 def write_vectors(vectors: DataFrame, path: str, vec_col: str = "v") -> None:
-    """word2vec text format: header ``n dim``, then ``word f1 ... fd`` in rank order, one file.
+    """word2vec text format: header ``n dim``, then ``word f1 ... fd`` in rank order.
 
-    The format is a single ordered file; its size is bounded by the vector vocabulary (maxtypes).
+    The lines are range-partitioned by rank, so the part files in name order are the one ordered file.
     """
     body = vectors.select(F.col("rank").cast("long").alias("_r"),
                           F.concat_ws(" ", F.col("word"), F.array_join(F.col(vec_col).cast("array<string>"), " "))
@@ -55,8 +60,7 @@ def write_vectors(vectors: DataFrame, path: str, vec_col: str = "v") -> None:
     stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d"))
     header = stats.select(F.lit(-1).cast("long").alias("_r"),
                           F.concat_ws(" ", F.col("n").cast("string"), F.col("d").cast("string")).alias("value"))
-    (header.unionByName(body).repartition(1).sortWithinPartitions("_r").select("value")
-     .write.mode("overwrite").text(path))
+    header.unionByName(body).orderBy("_r").select("value").write.mode("overwrite").text(path)
 
 
 def read_unigrams(spark: SparkSession, path: str) -> DataFrame:

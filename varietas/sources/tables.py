@@ -33,13 +33,8 @@ def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Only when the scan produced fewer splits (a small file with one row group); inputs made of
     many files or row groups are left untouched, so at scale this adds no shuffle.
     """
-    try:
-        target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 — no RDD view (e.g. a Connect session): leave the scan as it is
-        return df
-    return df.repartition(target)
+    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= target else df.repartition(target)
 
 
 def split_lines(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -97,16 +92,12 @@ def ordered_dev_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rank, word, v): the embedding of rank r is assigned to the r-th most frequent corpus token.
 
-    Only the top ``count(embeddings)`` tokens are needed, so the ranking is a distributed top-k
-    (``orderBy().limit()`` plans as TakeOrderedAndProject), not a global sort of the vocabulary.
+    Ranks are the global row index of the vocabulary by falling frequency (range-partitioned sort).
     """
     emb = table(spark, sf_dir, "embeddings")
-    n_vec = emb.count()
     toks = corpus_lines(spark, sf_dir).select(F.explode(treebank_tokens(F.col("text"))).alias("word"))
-    top = (toks.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.col("n").desc(), F.col("word")).limit(n_vec))
-    from pyspark.sql import Window
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("word"))) - 1)
+    counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = with_row_index(counts, [F.col("n").desc(), F.col("word")], "rank").withColumn("rank", F.col("rank") - 1)
     return (emb.join(ranked, emb.vec_id == ranked["rank"])
             .select(F.col("rank").cast("int").alias("rank"), "word", F.col("embedding").alias("v")))
 

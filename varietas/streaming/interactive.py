@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from varietas.functions import treebank_tokens
 from varietas.operators import neighbours as N
+from varietas.operators.rows import number_lines, with_row_index
 from varietas.session import ensure_checkpoint_dir
 
 
@@ -29,20 +30,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def line_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Streaming (file, line_no, text) from text files, one file per micro-batch by default."""
-    files = (spark.readStream.format("text").option("wholetext", True)
+    """Streaming (file, _block, text) lines of text files, one file per micro-batch by default; large files are split."""
+    lines = (spark.readStream.format("text").option("lineSep", "\n")
              .option("maxFilesPerTrigger", max_files_per_trigger).load(source_dir))
-    return files.select(F.col("_metadata.file_path").alias("file"),
-                        F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "text"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                        F.col("value").alias("text"))
 
 
 def run_service(spark: SparkSession, source_dir: str, service: Callable[[DataFrame], DataFrame], sink_dir: str,
                 checkpoint_location: str | None = None, available_now: bool = True, max_files_per_trigger: int = 1):
-    """Start the stream: every micro-batch of lines goes through ``service``; output by epoch."""
+    """Start the stream: every micro-batch of lines (file, line_no, text) goes through ``service``; output by epoch."""
     ckpt = checkpoint_location or scratch_dir(spark, "stream-ckpt")
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        service(df).write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/epoch={epoch_id}")
+        service(number_lines(df)).write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/epoch={epoch_id}")
 
     writer = (line_stream(spark, source_dir, max_files_per_trigger).writeStream
               .foreachBatch(batch).option("checkpointLocation", ckpt))
@@ -51,30 +52,36 @@ def run_service(spark: SparkSession, source_dir: str, service: Callable[[DataFra
 
 
 def word_query_service(vectors: DataFrame, mode: str = "nearest", k: int = 10) -> Callable[[DataFrame], DataFrame]:
-    """ST3: each line is a word (right-stripped of ``\\n``); nearest words or the vector line."""
+    """ST3: each line is a word (right-stripped of ``\\n``); nearest words or the vector line (P6), for every line."""
+    key = "query" if mode == "nearest" else "word"
+
     def svc(lines: DataFrame) -> DataFrame:
-        words = lines.select(F.regexp_replace("text", "[\n ]+$", "").alias("word")).where(F.col("word") != "")
-        return N.word_queries(words, vectors, mode, k)
+        words = lines.select("file", "line_no", F.regexp_replace("text", "[\n ]+$", "").alias(key)).where(F.col(key) != "")
+        return words.join(N.word_queries(words.select(F.col(key).alias("word")), vectors, mode, k), key)
     return svc
 
 
 def lex_alternatives_service(vectors: DataFrame, dist_flag: bool = True, num_alts: int = 10) -> Callable[[DataFrame], DataFrame]:
-    """ST1: each line = target word + context words (Treebank tokens); the line is its own id (P5)."""
+    """ST1: each line = target word + context words (Treebank tokens) (P5); a repeated line is searched
+    once per batch and answered every time: (file, line_no, text, rn, word, score)."""
     def svc(lines: DataFrame) -> DataFrame:
-        t = lines.select(F.col("text").alias("qid"), treebank_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-        q = t.select("qid", F.col("t")[0].alias("target"), F.slice("t", 2, 1 << 30).alias("context")).distinct()
-        return N.lex_alternatives(q, vectors, dist_flag=dist_flag, num_alts=num_alts)
+        ids = with_row_index(lines.select("text").distinct(), ["text"], "qid")
+        t = ids.select("qid", treebank_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+        q = t.select("qid", F.col("t")[0].alias("target"), F.slice("t", 2, 1 << 30).alias("context"))
+        found = N.lex_alternatives(q, vectors, dist_flag=dist_flag, num_alts=num_alts)
+        return lines.join(ids, "text").join(found, "qid").select("file", "line_no", "text", "rn", "word", "score")
     return svc
 
 
 def paraphrase_service(vectors: DataFrame, lm, k: int = 100) -> Callable[[DataFrame], DataFrame]:
-    """ST2: each non-blank line is paraphrased (P1); the line is its own id."""
+    """ST2: each non-blank line is paraphrased (P1); a repeated line is decoded once per batch and
+    answered every time: (file, line_no, text, rank, sent, score, new_score)."""
     from varietas.plans.paraphrase import paraphrase
 
     def svc(lines: DataFrame) -> DataFrame:
-        s = (lines.where(F.length(F.regexp_replace("text", "[\n ]+$", "")) > 0)
-             .select(F.col("text").alias("sent_id"), "text").distinct())
-        return paraphrase(s, vectors, lm, k=k)
+        some = lines.where(F.length(F.regexp_replace("text", "[\n ]+$", "")) > 0)
+        ids = with_row_index(some.select("text").distinct(), ["text"], "sent_id")
+        return some.join(ids, "text").join(paraphrase(ids, vectors, lm, k=k), "sent_id").drop("sent_id")
     return svc
 
 
@@ -82,6 +89,7 @@ def serve_lines(spark: SparkSession, lines: DataFrame, service: Callable[[DataFr
                 files: int = 4, text_col: str = "text") -> DataFrame:
     """Write ``lines`` as ``files`` text files, stream them through ``service`` and read the results.
 
+    ``files`` is the number of micro-batches; a large file is read in many splits.
     Used by the registered streaming queries: the input comes from the driver tables, the output is
     everything the stream produced.
     """
