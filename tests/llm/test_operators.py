@@ -129,6 +129,22 @@ def test_rules_reject_outliers_and_keep_clean(spark):
     assert all(got[i] for i in range(80)) and not any(got[100 + i] for i in range(5))
 
 
+def test_rules_reject_repeated_lines_alone_and_repeated_windows_alone(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 5)) + str(i % 10) for i in range(n)]
+    text = lambda w: "\n".join(" ".join(w[i:i + 2]) for i in range(0, len(w), 2))
+    rows = [(i, text(words(120)), "en", "a", 0) for i in range(80)]
+    for i in range(3):
+        w, passage = words(120), words(24)
+        for k in range(0, 120, 4):
+            w[k:k + 2] = ["repeated", "line"]
+        rows.append((100 + i, text(w), "en", "a", 0))
+        rows.append((200 + i, text(passage + words(37) + passage + words(35)), "en", "a", 0))
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all((r.n_dup_lines > 0) == (100 <= i < 200) and (r.n_repeat_words > 0) == (i >= 200) and not r.base_failed for i, r in got.items())
+    assert all(r.kept == (i < 100) for i, r in got.items())
+
+
 def test_myers_and_matches_against_edit_distance():
     def distance(item, text):
         row = [0] * (len(text) + 1)

@@ -13,7 +13,9 @@ rejected when its squared distance exceeds ``CUTOFF``.
 
 Covariances get ``FLOORS`` squared added to their diagonal: a group whose statistics are constant (the
 exact-fit case, e.g. no symbols anywhere) keeps a finite determinant, and a deviation must also be
-large in absolute terms before it rejects.  Groups under ``MIN_GROUP`` base-passing documents use the
+large in absolute terms before it rejects.  The floors of the repeated-line and repeated-window shares
+follow from ``TOLERATED``: in a group without repetition the cut-off lies just above one repeated line
+in a text of three, and at half of the base limit for windows, so that each can reject alone.  Groups under ``MIN_GROUP`` base-passing documents use the
 estimate of all groups together.  Only base-passing documents enter estimates.
 
 Everything is DataFrame functions.  The statistics are computed in one pass and stored as nine
@@ -26,6 +28,7 @@ source form groups of their own; repeated rows count each; an empty table gives
 from __future__ import annotations
 
 from functools import reduce
+from math import log1p, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,9 +37,11 @@ from varietas.llm.common import small, store
 
 MIN_WORDS, REPEAT_SHARE = 50, 50
 P = 5
-FLOORS = (0.15, 0.6, 1.2, 1.2, 0.6)
 #: 0.9999 quantile of chi-square with five degrees of freedom.
 CUTOFF = 25.74
+#: Percent of repeated lines and of words in repeated windows at the cut-off of a group without any.
+TOLERATED = (33.5, 25.0)
+FLOORS = (0.15, 0.6, *(log1p(t) / sqrt(CUTOFF) for t in TOLERATED), 0.6)
 H, STEPS, MIN_GROUP = 0.75, 3, 50
 #: H over P(chi-square with 7 degrees <= the H quantile with 5): corrects the covariance of the nearest share.
 CONSISTENCY = 1.412
