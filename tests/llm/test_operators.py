@@ -360,6 +360,21 @@ def test_identity_terms_do_not_make_a_sentence_toxic():
     assert score[0] < 0.3 <= score[1] and score[2] < 0.3
 
 
+def test_beginnings_of_identity_terms_do_not_make_a_sentence_toxic():
+    terms = ["women", "muslim", "muslims", "immigrants", "refugees", "christians", "ausländer", "musulmanes"]
+    toxic = [f"the {t} over there are a stupid bunch {i}" for i in range(30) for t in terms]
+    # insults of their own, so that the terms are what most of these share
+    toxic += [f"{t} x{i} y{i} z{i}" for i in range(30) for t in terms]
+    clean = [f"the people over there are a lovely bunch {i}" for i in range(960)]
+    model = toxicity.train(toxic + clean, np.array([1] * 480 + [0] * 960))
+    score = toxicity.score_texts(pa.array([f"the {t} came here" for t in terms] + ["a stupid bunch"], pa.large_string()), *model)
+    assert (score[:-1] < 0.3).all() and score[-1] >= 0.3, score
+    # a feature that is a term's beginning counts in other words only
+    begin = toxicity.sentences(next(iter(toxicity.blocks(pa.array(["musl"], pa.large_string()))))[2])[0][0, :1]
+    score = toxicity.score_texts(pa.array(["muslin", "the muslim"], pa.large_string()), begin, np.array([9.0]), -3.0)
+    assert score[0] > 0.9 > 0.3 > score[1]
+
+
 def test_dedup_and_rules_edges(edge, empty):
     kept = near_dedup.drop_near_duplicates(edge)
     assert kept.columns == edge.columns and kept.where("doc_id = 6").count() == 1 and kept.where("doc_id is null").count() == 1

@@ -14,8 +14,9 @@ gradient goes to its currently highest sentence.
 
 *Counterfactuals.*  In labelled sentences identity terms are swapped for others of the list; sentences
 without one get a mention inserted.  ``LAMBDA`` times the squared change of the log-odds is added to
-the loss, so identity terms are pushed to weigh the same and next to nothing: naming a group neutrally
-cannot make a sentence toxic, however often the term occurs in toxic training text.
+the loss, so identity terms are pushed to weigh the same and next to nothing, however often the term
+occurs in toxic training text.  An identity term has no beginnings among its features, in training and
+in scoring, so its weight is its whole score and the penalty acts on all of it.
 
 Words are runs of letters and digits, lower-cased (A-Z); features are 64-bit hashes and the model is a
 table of at most ``MAX_FEATURES``, which tasks look up for every word of every text.  Labels, language,
@@ -138,6 +139,8 @@ def train(texts: list[str], label: np.ndarray, terms: list[str] = IDENTITY_TERMS
     # distinct words, each with its features
     distinct, first = np.unique(word_rows[:, 0], return_index=True)
     h = word_rows[first]
+    if terms:
+        h[np.isin(distinct, term_hashes(terms)), 1:] = 0
     word = np.concatenate([np.searchsorted(distinct, x).astype(np.int32) for x in hashes])
     del hashes, word_rows
     vocab, of_word = np.unique(np.concatenate((h.reshape(-1), term_hashes(terms) if terms else np.zeros(0, np.uint64))), return_inverse=True)
@@ -194,24 +197,26 @@ def train(texts: list[str], label: np.ndarray, terms: list[str] = IDENTITY_TERMS
 class Table:
     """Weights by 64-bit hash; a bit table turns most hashes away before the sorted lookup."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, bits: int = 20):
-        self.keys, self.weights, self.mask = keys, weights, np.uint64((1 << bits) - 1)
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, whole: np.ndarray, bits: int = 20):
+        self.keys, self.weights, self.whole, self.mask = keys, weights, whole, np.uint64((1 << bits) - 1)
         self.may = np.zeros(1 << bits, bool)
         self.may[(keys & self.mask).astype(np.int64)] = True
 
     def sums(self, h: np.ndarray) -> np.ndarray:
-        """Sum of the weights of every row of feature hashes."""
+        """Sum of the weights of every row of feature hashes; words of ``whole`` count without their beginnings."""
         out = np.zeros(len(h))
         row, column = np.nonzero(self.may[(h & self.mask).astype(np.int64)])
         if len(row) and len(self.keys):
+            own = (column == 0) | ~np.isin(h[row, 0], self.whole)
+            row, column = row[own], column[own]
             x = h[row, column]
             at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
             out += np.bincount(row, weights=np.where(self.keys[at] == x, self.weights[at], 0.0), minlength=len(h))
         return out
 
 
-def score_texts(column: pa.Array, keys: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    table, out = Table(keys, weights), []
+def score_texts(column: pa.Array, keys: np.ndarray, weights: np.ndarray, bias: float, terms: list[str] = IDENTITY_TERMS) -> np.ndarray:
+    table, out = Table(keys, weights, term_hashes(terms) if terms else np.zeros(0, np.uint64)), []
     for lo, hi, b in blocks(column):
         h, sent, doc = sentences(b)
         z = np.full(hi - lo, -np.inf)
