@@ -326,6 +326,22 @@ def test_tagger_gradient_and_added_spans():
     assert base == [("phone", 36, 53)] and base[0] in spans
 
 
+def test_long_spaced_emails_are_found_whole_at_every_offset():
+    rng = np.random.default_rng(7)
+    word = lambda n=8: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, n))))
+    texts = []
+    for _ in range(300):
+        email = ".".join(word() for _ in range(rng.integers(1, 4))) + "@" + "-".join(word() for _ in range(rng.integers(1, 5))) + f".{word()}.org"
+        texts.append(" ".join([*[word() for _ in range(12)], email, *[word() for _ in range(12)], str(rng.integers(1, 3000)), word()]))
+    model = personal_data.train(texts)
+    for email in ("maria.gonzalez @ informatik.uni-heidelberg.de", "info @ mail.computer-science.example.org",
+                  "maria.del.carmen.gonzalez.fernandez.y.rodriguez @ informatik.uni-heidelberg.de"):
+        filler = " ".join(word() for _ in range(60))
+        cases = [(filler[:k] + " " + email + " " + filler[k:], k + 1) for k in range(0, 130)]
+        for (_, spans), (_, at) in zip(personal_data.find_spans([t for t, _ in cases], model), cases, strict=True):
+            assert spans == [("email", at, at + len(email))]
+
+
 def test_personal_data_edges(edge, empty):
     got = {(r.doc_id, r.n_phone) for r in personal_data.find_personal_data(edge).collect()}
     assert (5, 1) in got and (1, 0) in got and (None, 0) in got

@@ -9,9 +9,10 @@ in numpy on the driver from labelled spans: the base spans of a bounded sample (
 that hold a digit or an @, in hash order, texts up to ``MAX_CHARS``), some rewritten in other usual
 spellings (phone without +, card with dots or double blanks, address parts with blanks around dots or
 the @), and stretches around digits that are no span.  Every kind's span holds a digit or an @, so
-windows of ``WINDOW`` characters, overlapping by half, are decoded only around those characters; that
-leaves out no possible span.  Spans cut by a window's edge count only if no overlapping window has
-them whole; the windows' spans are reconciled over the document by falling probability without
+windows of ``WINDOW`` characters, overlapping by half, are decoded only around those characters, up to
+the ends of the address parts beside an @; that leaves out no possible span.  A span at a window's edge
+inside the text is joined with the overlapping windows' spans of its kind and left out if it stays cut;
+an email always reaches to the ends of the parts beside its @.  The windows' spans are reconciled over the document by falling probability without
 overlaps.  A span is added if its mean tag probability reaches ``SURE``, it touches no base span and
 it passes its kind's check (digit counts, parts up to 255, Luhn), so base spans always stay as they are.
 
@@ -33,7 +34,7 @@ from varietas.llm.common import blocks, map_batches
 from varietas.llm.crf_lstm import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, MARGIN = 64, 32, 24
+WINDOW, STRIDE, MARGIN, EDGE = 64, 32, 24, 8
 SAMPLE, MAX_CHARS, MAX_WINDOWS, STEPS, SURE = 2_000, 100_000, 6_000, 450, 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -133,22 +134,39 @@ def symbol(c: str) -> int:
     return k + 3 if c.isalpha() else k + 4
 
 
+def _address(text: str, a: int, b: int) -> tuple[int, int]:
+    """Ends of the address parts beside text[a:b], blanks between skipped."""
+    lo, hi = a, b
+    while lo > 0 and text[lo - 1] == " ":
+        lo -= 1
+    while lo > 0 and text[lo - 1] in _LOCAL:
+        lo -= 1
+    while hi < len(text) and text[hi] == " ":
+        hi += 1
+    m = _DOMAIN.match(text, hi)
+    return lo, m.end() if m else b
+
+
 def windows(text: str) -> list[tuple[int, int, bool, bool]]:
-    """(start, end, whether the start and the end cut a region) of the windows around digits and @."""
-    anchors = [m.span() for m in re.finditer(r"[0-9@]+", text)]
+    """(start, end, whether the start and the end are cuts inside the text) of the windows around digits and @."""
     regions: list[list[int]] = []
-    for a, b in anchors:
-        lo, hi = max(0, a - MARGIN), min(len(text), b + MARGIN)
-        if regions and lo <= regions[-1][1]:
-            regions[-1][1] = hi
-        else:
-            regions.append([lo, hi])
+    for m in re.finditer(r"[0-9@]+", text):
+        a, b = m.span()
+        lo, hi = a - MARGIN, b + MARGIN
+        if "@" in m.group():
+            first, last = text.find("@", a), text.rfind("@", a, b)
+            lo, hi = min(lo, _address(text, first, first + 1)[0] - EDGE), max(hi, _address(text, last, last + 1)[1] + EDGE)
+        lo, hi = max(0, lo), min(len(text), hi)
+        while regions and lo <= regions[-1][1]:
+            before = regions.pop()
+            lo, hi = min(lo, before[0]), max(hi, before[1])
+        regions.append([lo, hi])
     out = []
     for lo, hi in regions:
         at = lo
         while True:
             end = min(at + WINDOW, hi)
-            out.append((at, end, at > lo, end < hi))
+            out.append((at, end, at > 0, end < len(text)))
             if end == hi:
                 break
             at += STRIDE
@@ -227,7 +245,8 @@ def _tagged(tags: np.ndarray, prob: np.ndarray, length: int) -> list[tuple[str,
     out, i = [], 0
     while i < length:
         t = int(tags[i])
-        if t and t % 2 == 1:
+        if t and (t % 2 == 1 or i == 0):           # at a window's start a span can go on
+            t -= t % 2 == 0
             j = i + 1
             while j < length and tags[j] == t + 1:
                 j += 1
@@ -238,18 +257,45 @@ def _tagged(tags: np.ndarray, prob: np.ndarray, length: int) -> list[tuple[str,
     return out
 
 
+Piece = tuple[str, int, int, float, bool, bool]
+
+
+def _joined_pieces(pieces: list[Piece]) -> list[Piece]:
+    """Pieces (kind, start, end, probability, cut at the start, at the end) with cut ones joined to overlapping ones of their kind."""
+    out: list[Piece] = []
+    for kind, s, e, sure, cut_left, cut_right in sorted(pieces):
+        if out and out[-1][0] == kind and s < out[-1][2] and (out[-1][5] or cut_left):
+            _, s0, e0, sure0, left0, right0 = out.pop()
+            if e <= e0 and not (left0 or right0):
+                sure = sure0                       # the one before has it whole
+            elif s > s0 or cut_left or cut_right:
+                sure = (sure0 * (e0 - s0) + sure * (e - s)) / (e0 - s0 + e - s)
+            cut_left = left0 and (s > s0 or cut_left)
+            cut_right = right0 and cut_right if e == e0 else cut_right if e > e0 else right0
+            s, e = s0, max(e, e0)
+        out.append((kind, s, e, sure, cut_left, cut_right))
+    return out
+
+
 def added_spans(texts: list[str], base: list[list[Span]], model: Tagger, batch: int = 512) -> list[list[Span]]:
     """Per text the spans that the model adds to the base spans."""
     where = [(n, *w) for n, t in enumerate(texts) for w in windows(t)]
-    found: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
+    pieces: list[list[Piece]] = [[] for _ in texts]
     for lo in range(0, len(where), batch):
         part = where[lo:lo + batch]
         tags, prob = model.decode(_symbols([texts[n][a:b] for n, a, b, _, _ in part]))
         for (n, a, b, cut_left, cut_right), t, p in zip(part, tags, prob, strict=True):
             for kind, i, j, sure in _tagged(t, p, b - a):
-                if (i == 0 and cut_left) or (j == b - a and cut_right):
-                    continue                       # the overlapping window has it whole
-                found[n].append((sure, kind, a + i, a + j))
+                pieces[n].append((kind, a + i, a + j, sure, i == 0 and cut_left, j == b - a and cut_right))
+    found: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
+    for n, text in enumerate(texts):
+        for kind, s, e, sure, cut_left, cut_right in _joined_pieces(pieces[n]):
+            at = text.find("@", s, e) if kind == "email" else -1
+            if at >= 0:
+                s, e = _address(text, at, at + 1)  # whole parts, also of an address longer than a window
+            elif cut_left or cut_right:
+                continue
+            found[n].append((sure, kind, s, e))
     out = []
     for n, text in enumerate(texts):
         taken, new = [(s, e) for _, s, e in base[n]], []
