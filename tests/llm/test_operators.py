@@ -342,6 +342,14 @@ def test_long_spaced_emails_are_found_whole_at_every_offset():
             assert spans == [("email", at, at + len(email))]
 
 
+def test_training_windows_come_from_every_text():
+    rng = np.random.default_rng(8)
+    heavy = [" ".join(str(x) for x in rng.integers(0, 999, 25_000)) for _ in range(2)]
+    assert all(not personal_data.base_spans(t) for t in heavy)
+    x, y = personal_data.training_windows([*heavy, *[f"write to ana{i}@mail.example.com today" for i in range(20)]])
+    assert len(x) <= personal_data.MAX_WINDOWS and (y > 0).any(axis=1).sum() >= 20 and not (y > 0).any(axis=1).all()
+
+
 def test_personal_data_edges(edge, empty):
     got = {(r.doc_id, r.n_phone) for r in personal_data.find_personal_data(edge).collect()}
     assert (5, 1) in got and (1, 0) in got and (None, 0) in got

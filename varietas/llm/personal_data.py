@@ -8,8 +8,9 @@ leftmost and non-overlapping per kind, written as linear scans that give the sam
 in numpy on the driver from labelled spans: the base spans of a bounded sample (``SAMPLE`` documents
 that hold a digit or an @, in hash order, texts up to ``MAX_CHARS``), some rewritten in other usual
 spellings (phone without +, card with dots or double blanks, address parts with blanks around dots or
-the @), and stretches around digits that are no span.  Every kind's span holds a digit or an @, so
-windows of ``WINDOW`` characters, overlapping by half, are decoded only around those characters, up to
+the @), and stretches around digits that are no span.  At most ``PER_TEXT`` windows and rewritten spans
+of a text and ``MAX_WINDOWS`` in all are drawn by hash, windows with spans first.  Every kind's span
+holds a digit or an @, so windows of ``WINDOW`` characters, overlapping by half, are decoded only around those characters, up to
 the ends of the address parts beside an @; that leaves out no possible span.  A span at a window's edge
 inside the text is joined with the overlapping windows' spans of its kind and left out if it stays cut;
 an email always reaches to the ends of the parts beside its @.  The windows' spans are reconciled over the document by falling probability without
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from varietas.llm.crf_lstm import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, MARGIN, EDGE = 64, 32, 24, 8
-SAMPLE, MAX_CHARS, MAX_WINDOWS, STEPS, SURE = 2_000, 100_000, 6_000, 450, 0.9
+SAMPLE, MAX_CHARS, MAX_WINDOWS, PER_TEXT, STEPS, SURE = 2_000, 100_000, 6_000, 32, 450, 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -207,25 +209,33 @@ def _rewrite(kind: str, s: str, rng: np.random.Generator) -> str:
 def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Symbol and tag rows: windows of the texts, and of texts with some spans rewritten."""
     rng = np.random.default_rng(seed)
-    x, y = [], []
+    drawn: list[tuple[bool, int, str, np.ndarray]] = []
 
     def add(text: str, spans: list[Span]) -> None:
-        for lo, hi, *_ in windows(text):
-            x.append(text[lo:hi])
-            y.append(_tags(hi - lo, spans, lo))
+        inside = np.zeros(len(text) + 1, np.int64)
+        for _, a, b in spans:
+            inside[a + 1:b + 1] = 1
+        upto = np.cumsum(inside)
+        some = [(bool(upto[hi] == upto[lo]), zlib.crc32(text[lo:hi].encode("utf-8", "replace")), lo, hi) for lo, hi, *_ in windows(text)]
+        for none, h, lo, hi in sorted(some)[:PER_TEXT]:
+            near = [s for s in spans if s[1] < hi and s[2] > lo]
+            drawn.append((none, h, text[lo:hi], _tags(hi - lo, near, lo)))
 
     for text in texts:
         spans = sorted(base_spans(text), key=lambda s: s[1])
-        if len(x) >= MAX_WINDOWS:
-            break
         add(text, spans)
-        for kind, a, b in spans:
+        for kind, a, b in sorted(spans, key=lambda s: zlib.crc32(text[s[1]:s[2]].encode("utf-8", "replace")))[:PER_TEXT]:
             before, after = text[max(0, a - 40):a], text[b:b + 40]
             if re.search(r"[0-9@]", before + after):
                 continue
             new = _rewrite(kind, text[a:b], rng)
             add(before + new + after, [(kind, len(before), len(before) + len(new))])
-    return _symbols(x), np.array(y, np.int64).reshape(len(x), WINDOW)
+    drawn.sort(key=lambda w: w[:3])
+    n_some = sum(not w[0] for w in drawn)
+    # windows with spans first; they leave room for as many others
+    kept = min(n_some, max(MAX_WINDOWS // 2, MAX_WINDOWS - (len(drawn) - n_some)))
+    drawn = drawn[:kept] + drawn[n_some:n_some + MAX_WINDOWS - kept]
+    return _symbols([w[2] for w in drawn]), np.array([w[3] for w in drawn], np.int64).reshape(len(drawn), WINDOW)
 
 
 def train(texts: list[str], steps: int = STEPS) -> Tagger | None:
