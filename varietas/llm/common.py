@@ -39,6 +39,10 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file in the installed ``public_tokenizers`` package."""
     import public_tokenizers

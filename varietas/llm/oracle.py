@@ -1,5 +1,85 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the training-data queries that SQL can express."""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+
+def _repair_options(state: int) -> str:
+    """The edits of one row from a state, each as a struct (cost, audit, lines) that ends in the next row's best."""
+    user = {0: True, 1: True, 2: False, 3: True}
+    options, at, letters, lines = [], state, "", ""
+    for inserted in range(3):
+        cost = 3 * inserted
+
+        def option(condition: str, to: int, more: str, letter: str, line: str, before: str = lines, audit: str = letters) -> str:
+            text = " || ".join(x for x in (f"chr(10) || '{before}'" if before else "", line, f"b{to}.t") if x)
+            text = text.replace("~", "' || chr(10) || '")
+            return (f"CASE WHEN {condition} THEN {{'c': b{to}.c + {cost} + {more}, 'a': '{audit}{letter}' || b{to}.a, 't': {text}}} END")
+
+        own = "chr(10) || role || ':' || txt"
+        after = 2 if user[at] else 3
+        given = f"chr(10) || '{'user' if user[at] else 'assistant'}:' || txt"
+        options.append(option("true", at, "4", "D", ""))
+        if at == 0:
+            options.append(option("NOT must_go AND ini = 's'", 1, "extra", "K", own))
+        options.append(option(f"NOT must_go AND ini = '{'u' if user[at] else 'a'}'", after, "extra", "K", own))
+        options.append(option("NOT must_go", after, "extra + 3", "R", given))
+        lines += ("~" if lines else "") + ("user:" if user[at] else "assistant:")
+        letters, at = letters + "I", after
+    return "list_min([" + ",\n      ".join(options) + "])"
+
+
+REPAIR = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, [0,0,0,0,0,0,0,0]),
+      lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i)),
+dealt AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(
+      coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS d
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END AS txt
+  FROM dealt, range(2) AS r(copy) WHERE d <> 0 AND (copy = 0 OR d = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt) AS i,
+    substr(role, 1, 1) AS ini, NOT regexp_matches(txt, '[^\x20\x09-\x0D]') AS blank,
+    NOT regexp_matches(txt, '[.!?][\x20\x09-\x0D]*\z') AS cut
+  FROM damaged),
+faults AS (
+  SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prior,
+    CASE WHEN blank THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) > 1 THEN 'duplicate'
+         WHEN cut THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+kinds AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS must_go, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM faults),
+best AS (
+  SELECT conv_id, max(n) + 1 AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS b0,
+    {{'c': 6::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS b1,
+    {{'c': 3::BIGINT, 'a': 'I', 't': chr(10) || 'assistant:'}} AS b2, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS b3
+  FROM kinds GROUP BY conv_id
+  UNION ALL
+  SELECT best.conv_id, best.i - 1,
+      {_repair_options(0)},
+      {_repair_options(1)},
+      {_repair_options(2)},
+      {_repair_options(3)}
+  FROM best JOIN kinds k ON k.conv_id IS NOT DISTINCT FROM best.conv_id AND k.i = best.i - 1),
+solved AS (SELECT conv_id, b0.c AS cost, b0.a AS audit, sha256(substr(b0.t, 2)) AS h FROM best WHERE i = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (prior IS NOT NULL AND prior || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM kinds GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN solved ON solved.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLE = {"op13_conversation_repair": REPAIR}
