@@ -82,4 +82,33 @@ LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN solved ON solved.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
-ORACLE = {"op13_conversation_repair": REPAIR}
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+starts AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) AS r(k) WHERE len(w) >= k),
+freq AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM starts GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT *, string_split(phrase, ' ') AS ws FROM freq WHERE k >= 2),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.a AS l, r.a AS r, n,
+    ((1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cuts c JOIN sizes USING (lang)
+  JOIN freq l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.cut], ' ')
+  JOIN freq r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.cut + 1:c.k], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS part FROM (
+    SELECT lang, a, ws, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates))),
+kept AS (
+  SELECT * FROM lowest c WHERE NOT EXISTS (
+    SELECT 1 FROM inner_parts p WHERE p.lang = c.lang AND p.part = c.phrase AND 100 * p.a >= 100 * c.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLE = {"op12_collocations": COLLOCATIONS, "op13_conversation_repair": REPAIR}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varietas.llm import collocations as phrase_mining
 from varietas.llm import conversations as conversation_repair
 from varietas.llm import decontaminate, language, mixing, near_dedup, oracle, personal_data, pieces, quality, rules, sharding, token_files, toxicity
 from varietas.llm.common import benchmark, conversations, documents, labels, scratch_path, tokenizer_path
@@ -64,13 +65,17 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "agrees")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(conversations(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_near_dedup, op3_personal_data, op4_quality_rules, op5_decontaminate, op6_token_files, op7_mix_sources, op8_shard, op9_toxicity, op10_language,
-    op11_sentencepiece, op13_conversation_repair)}
+    op11_sentencepiece, op12_collocations, op13_conversation_repair)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
