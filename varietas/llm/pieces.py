@@ -8,8 +8,9 @@ UTF-8 bytes' ids where the model falls back to bytes, else the unknown id.
 
 No piece of such a vocabulary holds a space mark behind another character, so merges never cross the
 start of a run of space marks (checked when the model is read; a vocabulary with such pieces is encoded in
-one agenda a text).  Each chunk between those places is encoded on its own, and a worker remembers the
-chunks it has met (``CACHE`` of at most ``CACHE_CHARS`` characters each; the others are encoded every time).
+one agenda a text).  Nor do they cross two characters that stand side by side in no piece.  Each chunk
+between those places has an agenda of its own, and a worker remembers the chunks it has met (``CACHE`` of
+at most ``CACHE_CHARS`` characters each; the others are encoded every time).
 
 *Check.*  Every text is also encoded by the library, batch by batch, and ``agrees`` says whether its ids
 are the agenda's.  Decoding is the library's.  Texts of over ``SEGMENT`` characters are checked and
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from itertools import groupby
 
 import numpy as np
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
 CACHE, CACHE_CHARS = 500_000, 48
 SEGMENT = 1 << 20
 
@@ -70,12 +73,13 @@ def model_type(model: bytes) -> int:
 class _Cache(dict):
     """Chunk → its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, split):
         super().__init__()
-        self.encode = encode
+        self.encode, self.split = encode, split
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk), "<u4").tobytes()
+        parts = self.split(chunk)
+        ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else array("I", self.encode(chunk)).tobytes()
         if len(chunk) <= CACHE_CHARS and len(self) < CACHE:
             self[chunk] = ids
         return ids
@@ -99,34 +103,43 @@ class Encoder:
         self.unknown = sp.unk_id()
         inner = any(SPACE in p.lstrip(SPACE) for p in self.rank)
         stop = "" if any("\n" in p for p in self.rank) else "\n"
-        self.chunk = re.compile("(?s).+" if inner else f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+|\n")
-        self.cache = _Cache(self.merge)
+        self.pairs = {p[i:i + 2] for p in self.rank for i in range(len(p) - 1)}
+        # where no piece holds another character behind a letter, a chunk ends with a run of letters
+        closed = not any(LETTER.match(a) and not LETTER.match(b) for a, b in self.pairs)
+        other = f"(?:(?!{LETTER.pattern})[^{SPACE}{stop}])"
+        runs = f"{SPACE}*{other}*{LETTER.pattern}+|{SPACE}*{other}+" if closed else f"{SPACE}*[^{SPACE}{stop}]+"
+        self.chunk = re.compile("(?s).+" if inner else f"(?s){runs}|{SPACE}+|\n")
+        self.cache = _Cache(self.merge, self.split)
+
+    def split(self, chunk: str) -> list[str]:
+        """The chunk cut between characters that stand side by side in no piece."""
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1:i + 1] not in pairs]
+        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])] if cuts else [chunk]
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of a normalised chunk by the agenda of adjacent pairs."""
-        rank, symbols = self.rank, list(chunk)
-        n = len(symbols)
+        rank, symbols, n = self.rank, list(chunk), len(chunk)
         before, behind = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list = []
-
-        def propose(left: int, right: int) -> None:
-            piece = symbols[left] + symbols[right]
-            if (entry := rank.get(piece)) is not None:
-                heapq.heappush(agenda, (entry[0], left, right, len(piece), piece))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        agenda = [(entry[0], i, i + 1, 2) for i in range(n - 1) if (entry := rank.get(chunk[i:i + 2])) is not None]
+        heapq.heapify(agenda)
         while agenda:
-            _, left, right, size, piece = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
+            _, left, right, size = heapq.heappop(agenda)
+            a, b = symbols[left], symbols[right]
+            if not a or not b or len(a) + len(b) != size:
                 continue                                   # one of the two has been merged since
-            symbols[left], symbols[right] = piece, ""
-            after = behind[left] = behind[right]
+            symbols[left], symbols[right] = a + b, ""
+            after, first = behind[right], before[left]
+            behind[left] = after
             if after < n:
                 before[after] = left
-                propose(left, after)
-            if before[left] >= 0:
-                propose(before[left], left)
+                piece = a + b + symbols[after]
+                if (entry := rank.get(piece)) is not None:
+                    heapq.heappush(agenda, (entry[0], left, after, len(piece)))
+            if first >= 0:
+                piece = symbols[first] + a + b
+                if (entry := rank.get(piece)) is not None:
+                    heapq.heappush(agenda, (entry[0], first, left, len(piece)))
         out: list[int] = []
         for symbol in filter(None, symbols):
             if (entry := rank.get(symbol)) is not None:
