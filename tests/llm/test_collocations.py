@@ -73,7 +73,7 @@ def test_equals_brute_force(spark, min_count, top, sample):
     assert mined(spark, rows, min_count=min_count, top=top, sample=sample) == want
 
 
-def test_an_empty_sample_is_made_good_by_further_passes(spark):
+def test_an_empty_sample_is_made_good_by_the_expansion_pass(spark):
     rows = corpus(7)
     assert mined(spark, rows, min_count=5, sample=10 ** 9) == brute(rows, 5, 2000)
 
@@ -87,17 +87,16 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     text = " ".join(rng.choice(["aa", "b", "cc.", "dddd", "e,f", "  g"]) for _ in range(4000))
 
     def totals():
-        out = Counter()
+        out, words = Counter(), 0
         for rows, b, own in C._texts(pa.array([text, "aa b"])):
-            block = C._phrases(b, own, np.zeros(len(rows), np.uint64), (1, 2, 3, 4, 5), 4, None, None)
-            batch = C._rows(block, ["x"], np.zeros(len(rows), np.int64), own, True)
-            out.update(dict.fromkeys([], 0))
-            for key, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist()):
-                out[key] += n
-        return out
+            block = C._Block(b, own, np.zeros(len(rows), np.uint64))
+            for n, at, hashes, _ in block.phrases(5):
+                out.update(hashes.tolist())
+                words += len(at) if n == 1 else 0
+        return out, words
     whole = totals()
     monkeypatch.setattr(C, "BLOCK", 50)
-    assert totals() == whole and whole[b""] == len(re.findall(r"[^ .,]+", text)) + 2
+    assert totals() == whole and whole[1] == len(re.findall(r"[^ .,]+", text)) + 2
 
 
 def test_scores_past_64_bits_are_exact(spark):
@@ -109,12 +108,11 @@ def test_scores_past_64_bits_are_exact(spark):
     assert [(r.a, r.l, r.r, r.score) for r in got] == [(big, big + 3, big + 1, 1000 * big * 9 * 10 ** 18 // ((big + 3) * (big + 1)))]
 
 
-def test_filters_hold_their_members_and_grow(spark):
-    df = spark.createDataFrame([("en", bytearray(i.to_bytes(8, "big")), None, 1) for i in range(1, 500)], "lang string, key binary, word string, n long")
-    first = C.build_filter(df.limit(100), 1 << 6)
-    assert np.array_equal(C.build_filter(df, 1 << 6, first).bits & first.bits, first.bits)
-    members = C._first(np.arange(1, 500, dtype=np.uint64), np.full(499, C._lang_hash("en"), np.uint64))
-    assert C.build_filter(df, 1 << 6).test(members).all()
+def test_filters_hold_their_members(spark):
+    hashes = C._first(np.arange(1, 500, dtype=np.uint64), np.full(499, C._lang_hash("en"), np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in hashes.view(np.int64)], "hash long")
+    f = C.build_filter(df.limit(100), df)
+    assert f.test(hashes).all() and f.test(C._extend(hashes, hashes)).mean() < 0.1
 
 
 def test_oracle_sql_equals_brute_force():

@@ -6,18 +6,20 @@ and tabs.  A phrase lies within a piece.  A phrase is frequent when it occurs ``
 *Method.*  A sample of the documents (one of ``SAMPLE``) proposes phrases: those that reach ``SLACK`` of their
 share of ``min_count`` in it.  One pass over all documents then counts exactly every word and every phrase whose
 two parts without the last and without the first word are proposed: the proposed phrases and their
-negative border together.  A frequent phrase that was not proposed is a failure of the border: it joins the
-proposed ones, and a further pass counts the phrases that become due by that, and only those.  When a pass brings no
-failure, every frequent phrase has been counted: its two parts are frequent, hence counted, hence proposed.
+negative border together.  A frequent phrase that was not proposed is a failure of the border.  The expansion pass takes all
+phrases found frequent as proposed and counts the phrases that become due by that, and only those; a phrase
+that has become due counts as proposed for the longer ones at once, so longer failures need no
+pass of their own and this pass closes the search: every part of a frequent phrase is frequent, so it was
+either found before or is due now.  The same pass brings the words of the phrases found.
 
 *Proposed phrases* travel as a filter of bits (:class:`Filter`) of at most ``FILTER_BITS`` bits, whatever
-their number.  A phrase that passes by chance is only counted in vain; bits are never taken back, so a
-phrase becomes due in exactly one pass and its count is whole.
+their number.  A phrase that passes by chance is only counted in vain.
 
-*Counting* is numpy over blocks of text bytes: a block gives one row per distinct phrase in it, Spark sums the
-rows with partial aggregation, and only frequent ones are stored.  A phrase's key is the 64-bit hashes of its
-words, 8 bytes each, so that parts of a phrase are parts of its key; words are told apart by these hashes.
-A long text is cut into windows that share the four words a phrase can reach over the cut.
+*Counting* is numpy over blocks of text bytes: a block gives one (hash, count) row per distinct phrase in it,
+Spark sums the rows with partial aggregation, and only frequent ones are stored.  Words and phrases are told
+apart by 64-bit hashes.  In the expansion pass a phrase's key is its words' hashes, 8 bytes each, so that parts of
+a phrase are parts of its key.  A long text is cut into windows that share the four words a phrase can reach
+over the cut.
 
 Defined results: a null text is empty, a null language is ``und``; a document without words adds nothing;
 repeated rows count each; an empty table gives no rows; columns other than the language and the text are not
@@ -37,9 +39,9 @@ from pyspark.sql import functions as F
 from varietas.llm.common import Bytes, _string_buffers, blocks, mix, store
 
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
-SAMPLE, SLACK = 8, 0.4
+SAMPLE, SLACK = 8, 0.8
 FILTER_BITS = 1 << 27
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -47,8 +49,8 @@ _PIECE = np.zeros(256, bool)
 _PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _SEPARATOR = _PIECE.copy()
 _SEPARATOR[[32, 9]] = True
-_SCHEMA = pa.schema([("lang", pa.string()), ("key", pa.binary()), ("word", pa.string()), ("n", pa.int64())])
-_DDL = "lang string, key binary, word string, n long"
+_SCHEMA = pa.schema([("hash", pa.int64()), ("lang", pa.string()), ("key", pa.binary()), ("word", pa.string()), ("n", pa.int64())])
+_DDL = "hash long, lang string, key binary, word string, n long"
 
 
 class Filter:
@@ -57,12 +59,6 @@ class Filter:
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, _U(64 * len(bits) - 1)
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        return np.concatenate([hashes & self.mask, (hashes >> _U(32)) & self.mask])
-
-    def __contains__(self, hashes):
-        raise TypeError("use test()")
-
     def test(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
         for place in (hashes & self.mask, (hashes >> _U(32)) & self.mask):
@@ -122,46 +118,51 @@ def _next_separators(text: np.ndarray, at: int, n: int) -> int:
     return len(text)
 
 
-def _phrases(b: Bytes, own: int, lang: np.ndarray, lengths, depth: int, known: Filter | None, done: Filter | None):
-    """(length, start words, counts) of the due phrases of a block, then its word hashes and word spans."""
-    low = b.lower_ascii()
-    start, end, doc = low.words(_SEPARATOR)
-    word = low.span_hash(start, end)
-    out = []
-    if len(start):
-        piece = np.cumsum(_PIECE[low.data], dtype=np.int32)[start]
-        mine = start < own
-        at, hashes = np.arange(len(start)), _first(word, lang[doc])
-        if 1 in lengths:
-            out.append((1, *_distinct(at[mine], hashes[mine])))
-        # per start word: is the phrase of the length before proposed, and was it in the pass before
-        is_known = np.ones(len(start), bool) if known is None else known.test(hashes)
-        was_known = None if done is None else done.test(hashes)
-        for n in range(2, max(lengths) + 1):
-            full = np.full(len(start), 0, np.uint64)
-            full[at] = hashes
-            m = len(start) - n + 1
+class _Block:
+    """Words of a block of texts, and the phrases that are due in it."""
+
+    def __init__(self, b: Bytes, own: int, lang: np.ndarray):
+        self.text = b.lower_ascii()
+        self.start, self.end, self.doc = self.text.words(_SEPARATOR)
+        self.word = self.text.span_hash(self.start, self.end)
+        self.piece = np.cumsum(_PIECE[self.text.data], dtype=np.int32)[self.start] if len(self.start) else np.zeros(0, np.int32)
+        self.mine, self.lang = self.start < own, lang
+
+    def phrases(self, longest: int, depth: int = MAX_WORDS, known: Filter | None = None, done: Filter | None = None):
+        """(length, first words, hashes, fresh) of the due phrases that begin in the block, length by length.
+
+        Due are words, and phrases whose parts without the last and without the first word are ``known`` (none:
+        all are); parts of over ``depth`` words are known when they are due.  ``fresh`` are phrases that are not due under
+        ``done`` alone; with ``done``, what is fresh is known.
+        """
+        size = len(self.start)
+        if not size:
+            return
+        at, hashes = np.arange(size), _first(self.word, self.lang[self.doc])
+        is_known = np.ones(size, bool) if known is None else known.test(hashes)
+        was_known = np.zeros(size, bool) if done is None else done.test(hashes)
+        yield 1, at[self.mine], hashes[self.mine], np.full(int(self.mine.sum()), done is None)
+        for n in range(2, longest + 1):
+            m = size - n + 1
             if m <= 0:
-                break
-            due = is_known[:m] & is_known[1:m + 1] & (piece[:m] == piece[n - 1:])
-            at = np.flatnonzero(due)
-            hashes = _extend(full[at], word[at + n - 1])
-            counted = mine[at]
-            if was_known is not None:
-                counted = counted & ~(was_known[at] & was_known[at + 1])
-            if n in lengths:
-                out.append((n, *_distinct(at[counted], hashes[counted])))
-            is_known, before = np.zeros(len(start), bool), was_known
-            is_known[at] = True if known is None or n > depth else known.test(hashes)
-            if before is not None:
-                was_known = np.zeros(len(start), bool)
+                return
+            full = np.zeros(size, np.uint64)
+            full[at] = hashes
+            at = np.flatnonzero(is_known[:m] & is_known[1:m + 1] & (self.piece[:m] == self.piece[n - 1:]))
+            hashes = _extend(full[at], self.word[at + n - 1])
+            fresh = ~(was_known[at] & was_known[at + 1])
+            mine = self.mine[at]
+            yield n, at[mine], hashes[mine], fresh[mine]
+            is_known, before = np.zeros(size, bool), was_known
+            is_known[at] = True if known is None or n > depth else known.test(hashes) | (fresh & (done is not None))
+            was_known = np.zeros(size, bool)
+            if done is not None:
                 was_known[at] = before[at] & before[at + 1] & done.test(hashes)
-    return out, word, low, start, end, doc
 
 
-def _distinct(at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-    return at[first], counts
+def _distinct(at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+    return values, at[first], counts
 
 
 def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -171,81 +172,83 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[take])))
 
 
-def _rows(block, langs: list[str], lang_of_doc: np.ndarray, own: int, totals: bool) -> pa.RecordBatch:
-    """Rows (lang, key, word, n) of a counted block; with ``totals`` also its number of words (empty key) per language."""
-    found, word, low, start, end, doc = block
-    lang, words, counts, sizes, keys = [], [], [], [], []
-    for n, at, count in found:
-        keys.append(word[at[:, None] + np.arange(n)].astype(">u8").tobytes())
-        lang.append(lang_of_doc[doc[at]])
-        counts.append(count)
-        sizes.append(np.full(len(at), 8 * n))
-        words.append(_strings(low.data, start[at], end[at]) if n == 1 else pa.nulls(len(at), pa.string()))
-    if totals:
-        total = np.bincount(lang_of_doc[doc[start < own]], minlength=len(langs))
-        lang.append(np.flatnonzero(total))
-        counts.append(total[lang[-1]])
-        sizes.append(np.zeros(len(lang[-1]), np.int64))
-        words.append(pa.nulls(len(lang[-1]), pa.string()))
-    if not lang:
+def _blocks_of(batches) -> Iterator[tuple[_Block, list[str], np.ndarray]]:
+    """Blocks of (lang, text) batches with the batch's languages and each document's index among them."""
+    for batch in batches:
+        lang, text = batch.columns
+        coded = lang.dictionary_encode()
+        langs, of_row = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        hashes = np.array([_lang_hash(x) for x in langs], np.uint64)
+        for rows, b, own in _texts(text):
+            yield _Block(b, own, hashes[of_row[rows]]), langs, of_row[rows]
+
+
+def count_hashes(texts: DataFrame, lengths: tuple[int, ...], known=None, depth: int = MAX_WORDS) -> DataFrame:
+    """(hash, n): exact counts over (lang, text) of the due phrases of ``lengths``; ``known`` is a broadcast :class:`Filter`."""
+    def run(batches):
+        for block, _, _ in _blocks_of(batches):
+            for n, at, hashes, _ in block.phrases(max(lengths), depth, known and known.value):
+                if n in lengths and len(at):
+                    values, _, counts = _distinct(at, hashes)
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], names=["hash", "n"])
+
+    return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def _named_rows(block: _Block, langs: list[str], lang_of_doc: np.ndarray, known: Filter, done: Filter) -> pa.RecordBatch:
+    """Rows (hash, lang, key, word, n): fresh phrases with their counts, known ones with 0, the words of each language (empty key)."""
+    hash_, lang, word, count, size, keys = [], [], [], [], [], []
+    for n, at, hashes, fresh in block.phrases(MAX_WORDS, MAX_WORDS, known, done):
+        chosen = fresh | known.test(hashes)
+        values, first, counts = _distinct(np.flatnonzero(chosen), hashes[chosen])
+        at, counts = at[first], np.where(fresh[first], counts, 0)
+        keys.append(block.word[at[:, None] + np.arange(n)].astype(">u8").tobytes())
+        hash_.append(values)
+        lang.append(lang_of_doc[block.doc[at]])
+        count.append(counts)
+        size.append(np.full(len(at), 8 * n))
+        word.append(_strings(block.text.data, block.start[at], block.end[at]) if n == 1 else pa.nulls(len(at), pa.string()))
+    if not keys:
         return pa.RecordBatch.from_pylist([], schema=_SCHEMA)
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    total = np.bincount(lang_of_doc[block.doc[block.mine]], minlength=len(langs))
+    some = np.flatnonzero(total)
+    hash_.append(np.zeros(len(some), np.uint64))
+    lang.append(some)
+    count.append(total[some])
+    size.append(np.zeros(len(some), np.int64))
+    word.append(pa.nulls(len(some), pa.string()))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int32)
     key = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(keys))])
     return pa.RecordBatch.from_arrays([
-        pa.array(langs, pa.string()).take(pa.array(np.concatenate(lang), pa.int64())), key, pa.concat_arrays(words),
-        pa.array(np.concatenate(counts), pa.int64())], schema=_SCHEMA)
+        pa.array(np.concatenate(hash_).view(np.int64)), pa.array(langs, pa.string()).take(pa.array(np.concatenate(lang), pa.int64())), key,
+        pa.concat_arrays(word), pa.array(np.concatenate(count), pa.int64())], schema=_SCHEMA)
 
 
-def count_phrases(texts: DataFrame, lengths, known=None, done=None, depth: int = MAX_WORDS - 1) -> DataFrame:
-    """(lang, key, word, n): exact counts over (lang, text) of the phrases of ``lengths`` that are due.
-
-    Due are phrases whose parts without the last and without the first word are in ``known`` (a broadcast
-    :class:`Filter`; none: all are), but were not both in ``done``.  Parts of over ``depth`` words count as
-    known when their own parts are.  The empty key holds the number of words where words are counted.
-    """
+def expand(texts: DataFrame, known, done) -> DataFrame:
+    """(hash, lang, key, word, n): the expansion pass.  n is the count of a phrase that is due by ``known`` but was not by
+    ``done``, and 0 for the others in ``known``; the empty key holds the number of words."""
     def run(batches):
-        for batch in batches:
-            lang, text = batch.columns
-            coded = lang.dictionary_encode()
-            langs, of_row = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-            hashes = np.array([_lang_hash(x) for x in langs], np.uint64)
-            for rows, b, own in _texts(text):
-                block = _phrases(b, own, hashes[of_row[rows]], lengths, depth, known and known.value, done and done.value)
-                yield _rows(block, langs, of_row[rows], own, 1 in lengths)
+        for block, langs, of_doc in _blocks_of(batches):
+            yield _named_rows(block, langs, of_doc, known.value, done.value)
 
-    return texts.mapInArrow(run, _DDL).groupBy("lang", "key", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, _DDL).groupBy("hash", "lang", "key", "word").agg(F.sum("n").alias("n"))
 
 
-def build_filter(phrases: DataFrame, words: int, before: Filter | None = None) -> Filter:
-    """Filter of (lang, key) phrases with 64 * ``words`` bits (a power of two), added to ``before``.
+def build_filter(*hashes: DataFrame) -> Filter:
+    """Filter of the column ``hash`` of stored tables, about 32 bits a phrase up to ``FILTER_BITS``.
 
-    Every task sets its phrases' bits and hands on its non-empty words; the driver receives the filter alone.
+    The bits are set by an aggregation; the driver receives the filter's words alone.
     """
-    def run(batches):
-        f, touched = Filter(np.zeros(words, np.uint64)), False
-        for batch in batches:
-            lang, key = batch.columns
-            coded = lang.dictionary_encode()
-            code = np.array([_lang_hash(x) for x in coded.dictionary.to_pylist()], np.uint64)
-            code = code[coded.indices.to_numpy(zero_copy_only=False)] if len(code) else code
-            size = np.array([len(k) // 8 for k in key.to_pylist()], np.int64)
-            for n in np.unique(size):
-                of = np.flatnonzero(size == n)
-                word = np.frombuffer(b"".join(key.take(pa.array(of)).to_pylist()), ">u8").astype(np.uint64).reshape(-1, n)
-                hashes = _first(word[:, 0], code[of])
-                for i in range(1, n):
-                    hashes = _extend(hashes, word[:, i])
-                place = f.places(hashes)
-                np.bitwise_or.at(f.bits, place >> _U(6), _U(1) << (place & _U(63)))
-                touched = True
-        if touched:
-            slots = np.flatnonzero(f.bits)
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(f.bits[slots].view(np.int64))], names=["slot", "bits"])
-
-    table = phrases.select("lang", "key").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(words, np.uint64) if before is None else before.bits.copy()
-    slots = table.column("slot").to_numpy()
-    bits[slots] |= table.column("bits").to_numpy().view(np.uint64)
+    rows = sum(h.count() for h in hashes)
+    words = min(FILTER_BITS >> 6, max(1 << 10, 1 << int(np.ceil(np.log2(max(rows, 1) / 2 + 1)))))
+    every = hashes[0].select("hash")
+    for h in hashes[1:]:
+        every = every.unionByName(h.select("hash"))
+    mask = 64 * words - 1
+    places = every.select(F.explode(F.array(F.col("hash").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(mask)))).alias("p"))
+    table = places.groupBy(F.shiftright("p", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(words, np.uint64)
+    bits[table.column("slot").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return Filter(bits)
 
 
@@ -261,30 +264,17 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, key: str = "do
     chosen = texts.where(F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(17)), F.lit(sample)) == 0).select("lang", "text")
     texts = texts.select("lang", "text")
     enough = F.col("n") >= max(2, int(SLACK * min_count / sample))
-    whole = F.octet_length("key") > 0
-
-    short = store(count_phrases(chosen, (1, 2)).where(enough & whole).select("lang", "key"))
-    # phrases of three and four words are three times as many as those of two at the most that pays
-    words = min(FILTER_BITS >> 6, max(1 << 10, 1 << int(np.ceil(np.log2(max(short.count(), 1))))))
-    known = build_filter(short, words)
-    sent = [sc.broadcast(known)]
-    long = store(count_phrases(chosen, (3, 4), sent[-1], depth=2).where(enough).select("lang", "key"))
-    known = build_filter(long, words, known)
-
-    frequent = (F.col("n") >= min_count) | ~whole
-    before, lengths, found = None, (1, 2, 3, 4, 5), None
-    while True:
-        sent.append(sc.broadcast(known))
-        counted = store(count_phrases(texts, lengths, sent[-1], before).where(frequent))
-        found = counted if found is None else found.unionByName(counted)
-        outside = counted.where(whole & (_words() < MAX_WORDS)).select("lang", "key")
-        wider = build_filter(outside, words, known)
-        if np.array_equal(wider.bits, known.bits):
-            break
-        before, known, lengths = sent[-1], wider, (2, 3, 4, 5)
-    for b in sent:
-        b.unpersist()
-    return found
+
+    short = store(count_hashes(chosen, (1, 2)).where(enough).select("hash"))
+    proposed = sc.broadcast(build_filter(short))
+    long = store(count_hashes(chosen, (3, 4), proposed, depth=2).where(enough).select("hash"))
+    proposed = sc.broadcast(build_filter(short, long))
+
+    found = store(count_hashes(texts, (1, 2, 3, 4, 5), proposed, depth=MAX_WORDS - 1).where(F.col("n") >= min_count))
+    known = sc.broadcast(build_filter(found))
+    counted = expand(texts, known, proposed).join(found.select(F.col("hash").alias("_h"), F.col("n").alias("_n")), (F.col("hash") == F.col("_h")) & (F.octet_length("key") > 0), "left")
+    counted = counted.select("lang", "key", "word", F.coalesce("_n", "n").alias("n"))
+    return store(counted.where((F.col("n") >= min_count) | (F.octet_length("key") == 0)))
 
 
 def score_cuts(phrases: DataFrame) -> DataFrame:
