@@ -157,3 +157,26 @@ def test_line_without_a_path_is_all_wrong(spark):
     dev = spark.createDataFrame([(1, "zz zz zz"), (2, "")], "sent_id long, text string")
     row = P.awer(dev, uni, lm).first()
     assert (row.awer, row.n_lines) == (0.5, 2)
+
+
+def test_vector_index_loses_no_vector_and_finds_most_neighbours(spark):
+    import numpy as np
+
+    from varietas.operators import vector_index as VI
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(12, 16))
+    x = np.concatenate([centre[i % 12] + 0.4 * rng.normal(size=16) for i in range(600)]).reshape(600, 16)
+    x[:200] = x[0] + 0.01 * rng.normal(size=(200, 16))                 # a third of the vectors in one cell
+    vec = spark.createDataFrame([(i, f"w{i:03d}", v.tolist()) for i, v in enumerate(x)] + [(600, "zero", [0.0] * 16)], "rank int, word string, v array<double>")
+    u = N.normalize_vectors(vec)
+    words = spark.createDataFrame([(f"w{i:03d}",) for i in range(0, 600, 7)] + [("unknown",), ("zero",)], "word string")
+    exact = N.near(words, u, 10)
+    index = VI.build_index(u, sample=100)
+    assert index.table.count() == 600 and index.cells == 24
+    full = VI.near_indexed(words, index, 10, probes=index.cells, block_rows=64)
+    assert sorted(map(tuple, full.collect())) == sorted((r.query, r.rn, r.word, r.sim) for r in exact.collect())
+    some = VI.near_indexed(words, index, 10, probes=8, block_rows=64)
+    got = VI.recall(some, exact).first()
+    assert got.pairs == 860 and got.recall >= 0.9
+    none = VI.build_index(u.where("word = 'nothing'"))
+    assert VI.near_indexed(words, none, 10).count() == 0

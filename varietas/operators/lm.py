@@ -45,15 +45,21 @@ class LM:
     def vocab_size(self) -> Column:
         return self.vocab.select(F.count(F.lit(1))).scalar()
 
+    def lookup(self, keys: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """(by..., h, w, p) of distinct keys; what a decoder asks of a model."""
+        return lookup_prob(keys, self, by)
+
     def materialize(self) -> "LM":
         """Store the model tables once (reliable checkpoint) so every later lookup reads them instead
         of re-running the training plan; also what survives a lost executor."""
         return LM(self.order, self.method, checkpoint(self.probs), checkpoint(self.gammas), checkpoint(self.vocab))
 
 
-def vocabulary(counts: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """V = words predicted at order 1, plus ``</s>`` and ``<unk>`` (``extra`` words are added too)."""
-    v = counts.where(F.col("ord") == 1).select("w")
+def vocabulary(counts: DataFrame, extra: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """V = words predicted at order 1, plus ``</s>`` and ``<unk>`` (``extra`` words are added too), per model key ``by``."""
+    v = counts.where(F.col("ord") == 1).select(*by, "w")
+    if by:
+        return v.unionByName(v.select(*by).distinct().select(*by, F.explode(F.array(F.lit(EOS), F.lit(UNK))).alias("w"))).distinct()
     spark = counts.sparkSession
     v = v.unionByName(spark.createDataFrame([(EOS,), (UNK,)], "w string"))
     if extra is not None:
@@ -66,28 +72,30 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def _cc_wide(counts: DataFrame, count_col: str, upto: int) -> DataFrame:
-    """(ord, cc1..ccN): count-of-counts per order as columns (one row per order)."""
-    cc = count_of_counts(counts, count_col)
-    return cc.groupBy("ord").agg(*[F.sum(F.when(F.col("c") == j, F.col("n")).otherwise(0)).alias(f"cc{j}")
+def _cc_wide(counts: DataFrame, count_col: str, upto: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., ord, cc1..ccN): count-of-counts per order as columns (one row per order)."""
+    cc = count_of_counts(counts, count_col, by)
+    return cc.groupBy(*by, "ord").agg(*[F.sum(F.when(F.col("c") == j, F.col("n")).otherwise(0)).alias(f"cc{j}")
                                    for j in range(1, upto + 1)])
 
 
-def _lower(prev: DataFrame) -> DataFrame:
-    return prev.select(F.col("h").alias("_lh"), F.col("w").alias("_lw"), F.col("p").alias("p_lower"))
+def _lower(prev: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return prev.select(*by, F.col("h").alias("_lh"), F.col("w").alias("_lw"), F.col("p").alias("p_lower"))
 
 
-def _attach_lower(cur: DataFrame, prev: DataFrame | None, p0: Column) -> DataFrame:
+def _attach_lower(cur: DataFrame, prev: DataFrame | None, p0: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Add p_lower = p(w | h without oldest word) from the previous order (or the uniform floor)."""
     if prev is None:
         return cur.withColumn("p_lower", p0)
-    lo = _lower(prev)
+    lo = _lower(prev, by)
+    if by:
+        return cur.withColumn("_lh", lower_history(F.col("h"))).withColumn("_lw", F.col("w")).join(lo, [*by, "_lh", "_lw"], "left").drop("_lh", "_lw")
     j = cur.join(lo, (lower_history(cur["h"]) == lo["_lh"]) & (cur["w"] == lo["_lw"]), "left")
     return j.drop("_lh", "_lw")
 
 
-def kn_counts(counts: DataFrame, order: int) -> DataFrame:
-    """(ord, h, w, c, a): modified counts — raw at the top order and for n-grams opening with ``<s>``,
+def kn_counts(counts: DataFrame, order: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., ord, h, w, c, a): modified counts — raw at the top order and for n-grams opening with ``<s>``,
     else the number of distinct words seen to the left (continuation count)."""
     parts = []
     for n in range(1, order + 1):
@@ -96,9 +104,9 @@ def kn_counts(counts: DataFrame, order: int) -> DataFrame:
             parts.append(cur.withColumn("a", F.col("c")))
             continue
         up = counts.where(F.col("ord") == n + 1)
-        cont = (up.select(lower_history(F.col("h")).alias("h"), "w")
-                .groupBy("h", "w").agg(F.count(F.lit(1)).alias("_cont")))
-        j = cur.join(cont, ["h", "w"], "left")
+        cont = (up.select(*by, lower_history(F.col("h")).alias("h"), "w")
+                .groupBy(*by, "h", "w").agg(F.count(F.lit(1)).alias("_cont")))
+        j = cur.join(cont, [*by, "h", "w"], "left")
         starts_bos = (F.col("h") == BOS) | F.col("h").startswith(BOS + " ")
         a = F.when(starts_bos, F.col("c")).otherwise(F.coalesce(F.col("_cont"), F.col("c")))
         parts.append(j.withColumn("a", a).drop("_cont"))
@@ -108,29 +116,38 @@ def kn_counts(counts: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def _kn_discounts(kn: DataFrame, discount_fallback: bool) -> DataFrame:
-    """(ord, d1, d2, d3) from count-of-counts of the modified counts."""
-    cc = _cc_wide(kn, "a", 4)
-    y = _div(F.col("cc1"), F.col("cc1") + 2 * F.col("cc2"))
-    d1 = 1 - 2 * y * _div(F.col("cc2"), F.col("cc1"))
-    d2 = 2 - 3 * y * _div(F.col("cc3"), F.col("cc2"))
-    d3 = 3 - 4 * y * _div(F.col("cc4"), F.col("cc3"))
+def opens_sentence(h: Column) -> Column:
+    """Whether a history begins with ``<s>``."""
+    return (h == BOS) | h.startswith(BOS + " ")
+
+
+def kn_discount_columns(n: list[Column], discount_fallback: bool = True) -> list[Column]:
+    """D1, D2, D3+ of modified Kneser–Ney from the numbers of n-grams counted 1, 2, 3 and 4 times."""
+    y = _div(n[0], n[0] + 2 * n[1])
+    d1 = 1 - 2 * y * _div(n[1], n[0])
+    d2 = 2 - 3 * y * _div(n[2], n[1])
+    d3 = 3 - 4 * y * _div(n[3], n[2])
 
     def ok(d, j):
         return d.isNotNull() & ~F.isnan(d) & (d >= 0) & (d <= j)
     good = ok(d1, 1) & ok(d2, 2) & ok(d3, 3)
     if discount_fallback:
-        pick = [F.when(good, d).otherwise(F.lit(fb)) for d, fb in zip((d1, d2, d3), KN_FALLBACK)]
-    else:
-        err = F.raise_error(F.lit("Kneser-Ney discounts undefined; use discount_fallback=True"))
-        pick = [F.when(good, d).otherwise(err.cast("double")) for d in (d1, d2, d3)]
-    return cc.select("ord", pick[0].alias("d1"), pick[1].alias("d2"), pick[2].alias("d3"))
+        return [F.when(good, d).otherwise(F.lit(fb)) for d, fb in zip((d1, d2, d3), KN_FALLBACK)]
+    err = F.raise_error(F.lit("Kneser-Ney discounts undefined; use discount_fallback=True"))
+    return [F.when(good, d).otherwise(err.cast("double")) for d in (d1, d2, d3)]
+
+
+def _kn_discounts(kn: DataFrame, discount_fallback: bool, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., ord, d1, d2, d3) from count-of-counts of the modified counts."""
+    cc = _cc_wide(kn, "a", 4, by)
+    pick = kn_discount_columns([F.col(f"cc{j}") for j in range(1, 5)], discount_fallback)
+    return cc.select(*by, "ord", pick[0].alias("d1"), pick[1].alias("d2"), pick[2].alias("d3"))
 
 
-def _katz_discounts(counts: DataFrame, bins: int) -> DataFrame:
-    """(ord, kd1..kdK): Good–Turing/Katz discount ratio for counts 1..K."""
+def _katz_discounts(counts: DataFrame, bins: int, by: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(by..., ord, kd1..kdK): Good–Turing/Katz discount ratio for counts 1..K."""
     k = 5 if bins is None or bins < 0 else bins
-    cc = _cc_wide(counts, "c", k + 1)
+    cc = _cc_wide(counts, "c", k + 1, by)
     a = _div((k + 1) * F.col(f"cc{k + 1}"), F.col("cc1"))
     cols = []
     for r in range(1, k + 1):
@@ -138,22 +155,35 @@ def _katz_discounts(counts: DataFrame, bins: int) -> DataFrame:
         d = _div(rstar / F.lit(r) - a, 1 - a)
         good = d.isNotNull() & ~F.isnan(d) & (d > 0) & (d <= 1)
         cols.append(F.when(good, d).otherwise(F.lit(1.0)).alias(f"kd{r}"))
-    return cc.select("ord", *cols), k
+    return cc.select(*by, "ord", *cols), k
 
 
-def _abs_discounts(counts: DataFrame, discount: float | None) -> DataFrame:
-    cc = _cc_wide(counts, "c", 2)
-    # D = n1 / (n1 + 2 n2); an order with neither singletons nor doubletons falls back to 0.5
+def _abs_discounts(counts: DataFrame, discount: float | None, bins: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., ord, dabs1..dabsB): the discount of counts 1, 2, .. and from B (``bins``) on.
+
+    One bin is D = n1 / (n1 + 2 n2).  With more, bin j takes D_j = j - (j + 1) D n_(j+1) / n_j, and D where that is
+    undefined or outside [0, j].  An order with neither singletons nor doubletons falls back to 0.5.
+    """
+    cc = _cc_wide(counts, "c", max(2, bins + 1), by)
     d = F.lit(float(discount)) if discount is not None and discount >= 0 else \
         F.coalesce(_div(F.col("cc1"), F.col("cc1") + 2 * F.col("cc2")), F.lit(0.5))
-    return cc.select("ord", d.alias("dabs"))
+    cols = [d]
+    if bins > 1:
+        per = [F.lit(float(j)) - (j + 1) * d * _div(F.col(f"cc{j + 1}"), F.col(f"cc{j}")) for j in range(1, bins + 1)]
+        cols = [F.when(c.isNotNull() & (c >= 0) & (c <= j), c).otherwise(d) for j, c in enumerate(per, start=1)]
+    return cc.select(*by, "ord", *[c.alias(f"dabs{j}") for j, c in enumerate(cols, start=1)])
 
 
 def build_lm(counts: DataFrame, order: int = 3, method: str = "witten_bell", k: float = 1.0,
              discount: float | None = None, bins: int = -1, discount_fallback: bool = False,
-             vocab: DataFrame | None = None, materialize: bool = False, store_counts: bool = False) -> LM:
+             vocab: DataFrame | None = None, materialize: bool = False, store_counts: bool = False,
+             by: tuple[str, ...] = ()) -> LM:
     """Smooth counts ``(ord, h, w, c)`` into a model.
 
+    ``by`` names model-key columns of the counts (and of ``vocab``, if given): all models are built in one job, and
+    their tables carry the key.  ``bins`` is Katz' highest discounted count (-1: 5), or the number of discounts of
+    absolute discounting (-1: 1).
+
     ``store_counts`` first stores the counts (reliable checkpoint — this runs a job) so every order,
     context table and discount table reads them instead of re-deriving them; Spark's exchange reuse
     already shares most of that work, and on an idle local run the extra write did not pay off, so it
@@ -164,25 +194,37 @@ def build_lm(counts: DataFrame, order: int = 3, method: str = "witten_bell", k:
         raise ValueError(f"unknown method {method!r}; one of {METHODS}")
     if materialize or store_counts:
         counts = checkpoint(counts)     # the model tables below then start from stored counts
-    v = vocab if vocab is not None else vocabulary(counts)
-    p0 = F.lit(1.0) / v.select(F.count(F.lit(1))).scalar()
+    v = vocab if vocab is not None else vocabulary(counts, by=by)
+    keyed_vocab = bool(by) and set(by) <= set(v.columns)        # else one vocabulary for all models
+    if keyed_vocab:
+        sizes = v.groupBy(*by).agg((F.lit(1.0) / F.count(F.lit(1))).alias("_p0"))
+        p0 = F.col("_p0")
+    else:
+        p0 = F.lit(1.0) / v.select(F.count(F.lit(1))).scalar()
     if method == "kneser_ney":
-        counts = kn_counts(counts, order)
+        counts = kn_counts(counts, order, by)
         cnt = "a"
-        disc = _kn_discounts(counts, discount_fallback)
+        disc = _kn_discounts(counts, discount_fallback, by)
     else:
         cnt = "c"
     if method == "katz":
-        disc, kk = _katz_discounts(counts, bins)
+        disc, kk = _katz_discounts(counts, bins, by)
     if method == "absolute":
-        disc = _abs_discounts(counts, discount)
+        ab = max(1, bins)
+        disc = _abs_discounts(counts, discount, ab, by)
     probs_by_order, gammas_by_order = [], []
     prev = None
+
+    def discounted(cur):
+        return cur.join(disc, [*by, "ord"]) if by else cur.join(F.broadcast(disc), "ord")      # a row per order (and model)
+
     for n in range(1, order + 1):
         cur = counts.where(F.col("ord") == n)
-        ctx = context_stats(cur, cnt)
-        cur = cur.join(ctx, ["ord", "h"])
-        cur = _attach_lower(cur, prev, p0)
+        ctx = context_stats(cur, cnt, by)
+        cur = cur.join(ctx, [*by, "ord", "h"])
+        if keyed_vocab and n == 1:
+            cur = cur.join(sizes, list(by))
+        cur = _attach_lower(cur, prev, p0, by)
         c, ch, th = F.col(cnt).cast("double"), F.col("c_h").cast("double"), F.col("t_h").cast("double")
         pl = F.col("p_lower")
         if method == "witten_bell":
@@ -192,17 +234,25 @@ def build_lm(counts: DataFrame, order: int = 3, method: str = "witten_bell", k:
             g = F.lit(0.0)
             p = c / ch
         elif method == "absolute":
-            cur = cur.join(F.broadcast(disc), "ord")
-            d = F.col("dabs")
-            g = d * th / ch
+            cur = discounted(cur)
+            d = F.col(f"dabs{ab}")
+            for j in range(ab - 1, 0, -1):
+                d = F.when(c == j, F.col(f"dabs{j}")).otherwise(d)
+            if ab == 1:
+                g = d * th / ch
+            else:
+                # the mass taken from a history is the sum of its discounts
+                taken = cur.groupBy(*by, "ord", "h").agg(F.sum(F.least(d, c)).alias("_taken"))
+                cur = cur.join(taken, [*by, "ord", "h"])
+                g = F.col("_taken") / ch
             p = F.greatest(c - d, F.lit(0.0)) / ch + g * pl
         elif method == "kneser_ney":
-            cur = cur.join(F.broadcast(disc), "ord")
+            cur = discounted(cur)
             dj = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
             g = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3p")) / ch
             p = F.greatest(c - dj, F.lit(0.0)) / ch + g * pl
         else:  # katz
-            cur = cur.join(F.broadcast(disc), "ord")
+            cur = discounted(cur)
             dr = F.lit(1.0)
             for r in range(kk, 0, -1):
                 dr = F.when(c == r, F.col(f"kd{r}")).otherwise(dr)
@@ -210,8 +260,8 @@ def build_lm(counts: DataFrame, order: int = 3, method: str = "witten_bell", k:
             # alpha(h) = (1 - sum seen p) / (1 - sum seen p_lower); no mass left -> Witten-Bell mix
             # the left-over mass 1 - sum(d c / c_h) is summed as sum((1 - d) c / c_h): no cancellation
             cur = cur.withColumn("_pk", p_katz).withColumn("_left", (1 - dr) * c / ch)
-            sums = cur.groupBy("ord", "h").agg(F.sum("_left").alias("_num"), F.sum("p_lower").alias("_sl"))
-            cur = cur.join(sums, ["ord", "h"])
+            sums = cur.groupBy(*by, "ord", "h").agg(F.sum("_left").alias("_num"), F.sum("p_lower").alias("_sl"))
+            cur = cur.join(sums, [*by, "ord", "h"])
             num = F.col("_num")
             # at order 1 every seen word has p_lower = 1/|V|: 1 - T/|V| is exact, a sum of T terms is not
             den = (1 - th * p0) if n == 1 else (1 - F.col("_sl"))
@@ -220,8 +270,8 @@ def build_lm(counts: DataFrame, order: int = 3, method: str = "witten_bell", k:
             g = F.when(usable, _div(num, den)).otherwise(g_wb)
             p = F.when(usable, F.col("_pk")).otherwise((c + th * pl) / (ch + th))
         cur = cur.withColumn("p", p).withColumn("g", g)
-        probs_by_order.append(cur.select("ord", "h", "w", "p"))
-        gammas_by_order.append(cur.select("ord", "h", "g").dropDuplicates(["ord", "h"]))
+        probs_by_order.append(cur.select(*by, "ord", "h", "w", "p"))
+        gammas_by_order.append(cur.select(*by, "ord", "h", "g").dropDuplicates([*by, "ord", "h"]))
         prev = probs_by_order[-1]
     probs, gammas = probs_by_order[0], gammas_by_order[0]
     for p_, g_ in zip(probs_by_order[1:], gammas_by_order[1:]):
@@ -237,6 +287,16 @@ def train_lm(lines: DataFrame, order: int = 3, method: str = "witten_bell", text
     return build_lm(counts, order, method, **kw)
 
 
+def witten_bell_recursion(order: int, p0: Column, k: float = 1.0) -> Column:
+    """p(w | h) from columns ``o1..oN`` (structs c, c_h, t_h per order; null where the history is shorter)."""
+    p = p0
+    for m in range(1, order + 1):
+        o = F.col(f"o{m}")
+        mixed = (o["c"] + F.lit(k) * o["t_h"] * p) / (o["c_h"] + F.lit(k) * o["t_h"])
+        p = F.when(o.isNull() | o["c_h"].isNull() | (o["c_h"] == 0), p).otherwise(mixed)
+    return p
+
+
 # ------------------------------------------------------------------------------------------------
 # Scoring (L6, A11, A12)
 # ------------------------------------------------------------------------------------------------
@@ -283,6 +343,40 @@ def score(lines: DataFrame, lm: LM, key: str = "sent_id", text_col: str = "text"
     return ev.join(looked, ["hs", "w"]).select(key, "pos", "w", "log10p", "ngram_len", "oov")
 
 
+def score_models(lm: LM, dev: DataFrame, by: str = "model_id", key: str = "sent_id", text_col: str = "text", groups: int = 16) -> DataFrame:
+    """(by, ppl, n_words) of every model of a keyed LM on the dev lines.
+
+    Words outside the vocabulary (the model's own, or the one all models share) count as ``<unk>``.  Every model has to score
+    every distinct dev key; models and keys meet in ``groups`` blocks by an equi-join, and each order is one
+    look-up join for all models.
+    """
+    ids = lm.gammas.select(by).distinct().withColumn("_g", F.pmod(F.hash(by), F.lit(groups)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g")
+    if by in lm.vocab.columns:
+        lines = dev.select(key, text_col, every).join(ids, "_g").drop("_g")
+        known = lm.vocab.select(F.col(by).alias("_b"), F.col("w").alias("_v"))
+        toks = lines.select(by, key, F.posexplode(sentence_tokens(F.col(text_col), False)).alias("pos", "tok"))
+        toks = toks.join(known, (F.col("tok") == F.col("_v")) & (F.col(by) == F.col("_b")), "left") \
+            .select(by, key, "pos", F.when(F.col("_v").isNull(), F.lit(UNK)).otherwise(F.col("tok")).alias("t"))
+        seqs = lines.select(by, key).join(toks.groupBy(by, key).agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("_s")), [by, key], "left")
+        seqs = seqs.select(by, F.concat(F.array(F.lit(BOS)), F.coalesce(F.col("_s.t"), F.array().cast("array<string>")), F.array(F.lit(EOS))).alias("_seq"))
+        keys = seqs.select(by, F.inline(_history_structs(F.col("_seq"), lm.order))).groupBy(by, "hs", "w").agg(F.count(F.lit(1)).alias("mult"))
+    else:
+        keys = scoring_events(dev, lm, key, text_col).groupBy("hs", "w").agg(F.count(F.lit(1)).alias("mult"))
+        keys = keys.select("*", every).join(ids, "_g").drop("_g")
+    for m in range(1, lm.order + 1):
+        keys = keys.withColumn(f"_h{m}", F.when(F.size("hs") >= m, F.element_at("hs", m)))
+    looked = backoff_prob(keys, lm, [f"_h{m}" for m in range(1, lm.order + 1)], by=(by,))
+    return looked.groupBy(by).agg(F.pow(F.lit(10.0), -F.sum(F.log10("p") * F.col("mult")) / F.sum("mult")).alias("ppl"), F.sum("mult").alias("n_words"))
+
+
+def _history_structs(seq: Column, order: int) -> Column:
+    """array<struct<w, hs>>: every word of a padded sentence with its histories of orders 1..N, shortest first."""
+    return F.transform(F.sequence(F.lit(1), F.size(seq) - 1), lambda j: F.struct(
+        F.element_at(seq, j + 1).alias("w"),
+        F.transform(F.sequence(F.lit(1), F.least(F.lit(order), j + 1)), lambda m: F.array_join(F.slice(seq, j - m + 2, m - 1), " ")).alias("hs")))
+
+
 def perplexity(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``10 ** (-sum(log10 p) / n)`` over scored words incl. ``</s>`` and unknowns.
 
@@ -319,7 +413,7 @@ def backoff_prob(keys: DataFrame, lm: LM, hist_cols: list[str], w_col: str = "w"
     ``by`` names model-key columns present in ``keys`` and in all model tables (several models at once).
     """
     by = list(by)
-    if by:
+    if by and set(by) <= set(lm.vocab.columns):
         nv = lm.vocab.groupBy(*by).agg(F.count(F.lit(1)).alias("_nv"))
         out = keys.join(nv, by, "left").withColumn("_p0", F.lit(1.0) / F.col("_nv")).drop("_nv")
     else:
@@ -384,51 +478,39 @@ def prune_lm(lm: LM, counts: DataFrame, method: str = "seymore", theta: float =
     g'(h) = (1 − Σ_kept p(w|h)) / (1 − Σ_kept p'(w|h')).
     """
     order = lm.order
-    pr = lm.probs.join(counts.select("ord", "h", "w", "c"), ["ord", "h", "w"])
-    lo = lm.probs.select(F.col("ord").alias("_lo"), F.col("h").alias("_lh"), F.col("w").alias("_lw"),
-                         F.col("p").alias("p_lower"))
-    pr = pr.join(lo, (pr["ord"] - 1 == lo["_lo"]) & (lower_history(pr["h"]) == lo["_lh"]) & (pr["w"] == lo["_lw"]),
-                 "left").drop("_lo", "_lh", "_lw")
-    pr = pr.join(lm.gammas, ["ord", "h"], "left")
-    if method == "seymore":
-        loss = F.col("c") * (F.log(F.col("p")) - F.log(F.col("g") * F.col("p_lower")))
-    elif method == "absolute":
-        loss = F.col("c").cast("double")
-    else:
+    if method not in ("seymore", "absolute"):
         raise ValueError(f"unknown prune method {method!r}")
-    pr = pr.withColumn("_loss_drop", F.coalesce(loss, F.lit(float("inf"))) < F.lit(theta))
-    kept_by_order = {1: pr.where(F.col("ord") == 1).select("ord", "h", "w", "p")}
+    probs, gammas = checkpoint(lm.probs), checkpoint(lm.gammas)
+    kept_by_order = {1: probs.where(F.col("ord") == 1).select("ord", "h", "w", "p")}
     rescue = None
+    # top down: the survivors of an order are stored before the next order asks for their histories
     for n in range(order, 1, -1):
-        cur = pr.where(F.col("ord") == n)
+        cur = probs.where(F.col("ord") == n).join(counts.where(F.col("ord") == n).select("h", "w", "c"), ["h", "w"])
+        if method == "seymore":
+            lo = probs.where(F.col("ord") == n - 1).select(F.col("h").alias("_lh"), F.col("w").alias("_lw"), F.col("p").alias("p_lower"))
+            cur = cur.withColumn("_lh", lower_history(F.col("h"))).withColumn("_lw", F.col("w")).join(lo, ["_lh", "_lw"], "left")
+            cur = cur.join(gammas.where(F.col("ord") == n).select("h", "g"), "h", "left")
+            loss = F.col("c") * (F.log(F.col("p")) - F.log(F.col("g") * F.col("p_lower")))
+        else:
+            loss = F.col("c").cast("double")
+        drop = F.coalesce(loss, F.lit(float("inf"))) < F.lit(theta)
         if rescue is not None:
             cur = cur.join(rescue, (cur["h"] == rescue["_rh"]) & (cur["w"] == rescue["_rw"]), "left")
-            drop = F.col("_loss_drop") & F.col("_rh").isNull()
-        else:
-            drop = F.col("_loss_drop")
-        kept = cur.where(~drop).select("ord", "h", "w", "p")
-        kept_by_order[n] = kept
+            drop = drop & F.col("_rh").isNull()
+        kept_by_order[n] = checkpoint(cur.where(~drop).select("ord", "h", "w", "p"))
         # histories of kept order-n n-grams, split into (h, w) of order n-1
-        hist = kept.select(F.col("h").alias("_full")).distinct()
+        hist = kept_by_order[n].select(F.col("h").alias("_full")).distinct()
         hw = F.split("_full", " ")
-        rescue = hist.select(F.array_join(F.slice(hw, 1, F.size(hw) - 1), " ").alias("_rh"),
-                             F.element_at(hw, -1).alias("_rw"))
-    probs = kept_by_order[1]
-    gammas = lm.gammas.where(F.col("ord") == 1)
-    pruned = LM(1, lm.method, probs, gammas, lm.vocab)
+        rescue = hist.select(F.array_join(F.slice(hw, 1, F.size(hw) - 1), " ").alias("_rh"), F.element_at(hw, -1).alias("_rw"))
+    # bottom up: each order's new weights are stored, so the next order's look-ups read tables, not plans
+    out_p, out_g = kept_by_order[1], gammas.where(F.col("ord") == 1).select("ord", "h", "g")
     for n in range(2, order + 1):
         kept = kept_by_order[n]
-        lower_keys = kept.select(lower_history(F.col("h")).alias("h"), "w")
-        p_low = lookup_prob(lower_keys, pruned).select(F.col("h").alias("_lh"), F.col("w").alias("_lw"),
-                                                       F.col("p").alias("_pl"))
+        p_low = lookup_prob(kept.select(lower_history(F.col("h")).alias("h"), "w"), LM(n - 1, lm.method, out_p, out_g, lm.vocab))
+        p_low = p_low.select(F.col("h").alias("_lh"), F.col("w").alias("_lw"), F.col("p").alias("_pl"))
         kj = kept.join(p_low, (lower_history(kept["h"]) == p_low["_lh"]) & (kept["w"] == p_low["_lw"]), "left")
         sums = kj.groupBy("h").agg(F.sum("p").alias("_sp"), F.sum("_pl").alias("_sl"))
-        g_old = lm.gammas.where(F.col("ord") == n)
-        new_g = (g_old.join(sums, "h", "left")
-                 .select(F.lit(n).alias("ord"), "h",
-                         ((1 - F.coalesce(F.col("_sp"), F.lit(0.0))) /
-                          (1 - F.coalesce(F.col("_sl"), F.lit(0.0)))).alias("g")))
-        probs = probs.unionByName(kept)
-        gammas = gammas.unionByName(new_g)
-        pruned = LM(n, lm.method, probs, gammas, lm.vocab)
-    return LM(order, lm.method, probs, gammas, lm.vocab)
+        g = (1 - F.coalesce(F.col("_sp"), F.lit(0.0))) / (1 - F.coalesce(F.col("_sl"), F.lit(0.0)))
+        new_g = gammas.where(F.col("ord") == n).join(sums, "h", "left").select(F.lit(n).alias("ord"), "h", g.alias("g"))
+        out_p, out_g = out_p.unionByName(kept), out_g.unionByName(checkpoint(new_g))
+    return LM(order, lm.method, out_p, out_g, lm.vocab)

@@ -67,6 +67,12 @@ def ngram_counts(lines: DataFrame, order: int = 3, text_col: str = "text", skip_
     return round_counts(counts) if round_to_int else counts
 
 
+def weighted_counts(lines: DataFrame, weight_col: str, order: int = 3, text_col: str = "text", skip_symbols: bool = False) -> DataFrame:
+    """(ord, h, w, c): fractional n-gram counts, each line counting ``weight_col`` times (input of ``presmoothed``, L5b)."""
+    ev = ngram_events(lines, order, text_col, keep=[weight_col], skip_symbols=skip_symbols)
+    return ev.groupBy("ord", "h", "w").agg(F.sum(weight_col).alias("c")).where(F.col("c") > 0)
+
+
 def round_counts(counts: DataFrame) -> DataFrame:
     """Integer rounding of (possibly fractional) counts, zero counts dropped (L5d)."""
     return counts.withColumn("c", F.round("c").cast("long")).where(F.col("c") > 0)
@@ -80,15 +86,15 @@ def merge_counts(*counts: DataFrame) -> DataFrame:
     return out.groupBy("ord", "h", "w").agg(F.sum("c").alias("c"))
 
 
-def count_of_counts(counts: DataFrame, count_col: str = "c") -> DataFrame:
-    """(ord, c, n): how many n-grams of each order occur exactly c times."""
-    return counts.groupBy("ord", F.col(count_col).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+def count_of_counts(counts: DataFrame, count_col: str = "c", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., ord, c, n): how many n-grams of each order occur exactly c times."""
+    return counts.groupBy(*by, "ord", F.col(count_col).alias("c")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def context_stats(counts: DataFrame, count_col: str = "c") -> DataFrame:
-    """(ord, h, c_h, t_h, n1, n2, n3p): history total, continuation types and their 1/2/3+ split (A10)."""
+def context_stats(counts: DataFrame, count_col: str = "c", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., ord, h, c_h, t_h, n1, n2, n3p): history total, continuation types and their 1/2/3+ split (A10)."""
     c = F.col(count_col)
-    return counts.groupBy("ord", "h").agg(
+    return counts.groupBy(*by, "ord", "h").agg(
         F.sum(c).alias("c_h"), F.count(F.lit(1)).alias("t_h"),
         F.count(F.when(c == 1, 1)).alias("n1"), F.count(F.when(c == 2, 1)).alias("n2"),
         F.count(F.when(c >= 3, 1)).alias("n3p"))

@@ -52,6 +52,19 @@ def div(a: Column, b: Column) -> Column:
     return F.call_function("div", a.cast("long"), b.cast("long"))
 
 
+def running_totals(df: DataFrame, i_col: str, cols: list[str], block: int = 4096) -> DataFrame:
+    """(i, cols): running sums over ``i`` of a table with one row per i, in two levels: inside blocks of ``block``
+    consecutive values, and over the blocks' totals."""
+    b = div(F.col(i_col), F.lit(block))
+    rows = df.select(i_col, *cols, b.alias("_b"))
+    totals = rows.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)       # one row per block
+    carried = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_t_{c}") for c in cols])
+    inside = Window.partitionBy("_b").orderBy(i_col)
+    out = rows.select("_b", i_col, *[F.sum(c).over(inside).alias(c) for c in cols]).join(carried, "_b")
+    return out.select(i_col, *[(F.col(c) + F.col(f"_t_{c}")).alias(c) for c in cols])
+
+
 def row_count(df: DataFrame) -> Column:
     """Number of rows of ``df`` as a scalar-subquery column (no action, no join)."""
     return df.select(F.count(F.lit(1))).scalar()

@@ -65,7 +65,16 @@ def model_ctes(order: int, method: str, cnt: str = "cnt", k: float = 1.0, discou
     out.append(f"""ctx as (select ord, h, sum(c) as ch, count(*) as th, sum(case when c = 1 then 1 else 0 end) as n1,
         sum(case when c = 2 then 1 else 0 end) as n2, sum(case when c >= 3 then 1 else 0 end) as n3p
         from {base} group by ord, h)""")
-    if method == "absolute":
+    if method == "absolute" and bins > 1:
+        counts = ", ".join(f"sum(case when c = {j} then 1 else 0 end) as m{j}" for j in range(1, bins + 2))
+        per = ", ".join(f"case when coalesce({j} - {j + 1} * d * m{j + 1} / nullif(m{j}, 0) between 0 and {j}, false) "
+                        f"then {j} - {j + 1} * d * m{j + 1} / nullif(m{j}, 0) else d end as d{j}" for j in range(1, bins + 1))
+        out.append(f"""adisc as (select ord, {per} from (select *, coalesce(m1 * 1.0 / nullif(m1 + 2 * m2, 0), 0.5) as d
+            from (select ord, {counts} from {cnt} group by ord)))""")
+        pick = "case " + " ".join(f"when x.c = {j} then ad.d{j}" for j in range(1, bins)) + f" else ad.d{bins} end"
+        out.append(f"""ataken as (select x.ord, x.h, sum(least({pick}, x.c)) as taken from {cnt} x join adisc ad on ad.ord = x.ord
+            group by x.ord, x.h)""")
+    elif method == "absolute":
         out.append(f"""adisc as (select ord, coalesce(sum(case when c = 1 then 1 else 0 end) * 1.0 /
             nullif(sum(case when c = 1 then 1 else 0 end) + 2 * sum(case when c = 2 then 1 else 0 end), 0), 0.5) as d
             from {cnt} group by ord)""")
@@ -92,6 +101,10 @@ def model_ctes(order: int, method: str, cnt: str = "cnt", k: float = 1.0, discou
             g = f"{k} * {th} / ({ch} + {k} * {th})"
         elif method in ("unsmoothed", "presmoothed"):
             p, g = f"{c} / {ch}", "0.0"
+        elif method == "absolute" and bins > 1:
+            extra = "join adisc ad on ad.ord = x.ord join ataken tkn on tkn.ord = x.ord and tkn.h = x.h"
+            g = f"tkn.taken / {ch}"
+            p = f"greatest({c} - ({pick}), 0) / {ch} + {g} * {low}"
         elif method == "absolute":
             extra = "join adisc ad on ad.ord = x.ord"
             p = f"greatest({c} - ad.d, 0) / {ch} + ad.d * {th} / {ch} * {low}"
@@ -206,3 +219,46 @@ def kn_curve_sql(order: int, tl: str = "tl", dev: str = "dev_lines") -> list[str
                 f"greatest({a} - {dj}, 0) / x{m}.sa + {gam} * ({expr}) end")
     out.append(f"sc as (select r.i, log10({expr}) as log10p from dev_ev e cross join pref r {' '.join(joins)})")
     return out
+
+
+def kn_steps_sql(order: int, tl: str = "steps", dev: str = "dev_lines") -> list[str]:
+    """CTEs of interpolated modified Kneser–Ney (discount fallback) models of ``{tl(p, text): p <= i}`` for every ``i`` of
+    ``pref``, from running counts and as-of joins; ends with ``sc(i, log10p, mult)``."""
+    bos = "(h = '<s>' or starts_with(h, '<s> '))"
+    hit = lambda j: f"(a {'>=' if j == 3 else '='} {j})::int - (was {'>=' if j == 3 else '='} {j})::int"
+    out = [f"sev as ({events_sql(tl, order, ws_tokens('text'), keep='p')})",
+           "sraw as (select ord, h, w, p, count(*) as d from sev group by all)",
+           "sfirst as (select ord, h, w, min(p) as p from sraw group by all)",
+           f"scont as (select ord - 1 as ord, {lower('h')} as h, w, p, count(*) as d from sfirst where ord >= 2 group by all)",
+           f"sda as (select * from sraw where ord = {order} or {bos} union all select * from scont where not {bos})",
+           "srun as (select *, sum(d) over (partition by ord, h, w order by p) as a from sda)",
+           "smove as (select *, a - d as was from srun)",
+           f"""sctx as (select ord, h, p, sum(d) over k as sa, sum(n1) over k as n1, sum(n2) over k as n2, sum(n3) over k as n3 from (
+             select ord, h, p, sum(d) as d, sum({hit(1)}) as n1, sum({hit(2)}) as n2, sum({hit(3)}) as n3 from smove group by all)
+             window k as (partition by ord, h order by p))""",
+           f"""scc as (select ord, p, sum(n1) over k as n1, sum(n2) over k as n2, sum(n3) over k as n3, sum(n4) over k as n4 from (
+             select ord, p, sum({hit(1)}) as n1, sum({hit(2)}) as n2, sum((a = 3)::int - (was = 3)::int) as n3,
+               sum((a = 4)::int - (was = 4)::int) as n4 from smove group by all) window k as (partition by ord order by p))""",
+           """sd1 as (select ord, p, 1 - 2 * y * n2 / n1 as d1, 2 - 3 * y * n3 / n2 as d2, 3 - 4 * y * n4 / n3 as d3
+             from (select *, n1 * 1.0 / nullif(n1 + 2 * n2, 0) as y from scc) t)""",
+           """sdisc as (select ord, p, case when ok then d1 else 0.5 end as d1, case when ok then d2 else 1.0 end as d2,
+             case when ok then d3 else 1.5 end as d3 from (select *, coalesce(d1 between 0 and 1 and d2 between 0 and 2
+             and d3 between 0 and 3 and not isnan(d1) and not isnan(d2) and not isnan(d3), false) as ok from sd1))""",
+           "sdi as (select r.i, d.* from (select i, unnest([1, 2, 3]) as ord from pref) r asof join sdisc d on d.ord = r.ord and d.p <= r.i)",
+           "vocab as (select distinct w from sraw where ord = 1 union select '</s>' union select '<unk>')",
+           "vsize as (select count(*) * 1.0 as nv from vocab)", *dev_events_ctes(dev, order)]
+    hs = ", ".join(f"h{m}" for m in range(1, order + 1))
+    out.append(f"skeys as (select {hs}, w, count(*) as mult from dev_ev group by all)")
+    out.append("sgrid as (select r.i, e.* from skeys e cross join pref r)")
+    joins, expr = [], "(1.0 / (select nv from vsize))"
+    for m in range(1, order + 1):
+        joins.append(f"asof left join (select * from smove where ord = {m}) a{m} on a{m}.h = g.h{m} and a{m}.w = g.w and a{m}.p <= g.i "
+                     f"asof left join (select * from sctx where ord = {m}) x{m} on x{m}.h = g.h{m} and x{m}.p <= g.i "
+                     f"left join sdi d{m} on d{m}.i = g.i and d{m}.ord = {m}")
+        a = f"coalesce(a{m}.a, 0)"
+        dj = f"(case when {a} = 1 then d{m}.d1 when {a} = 2 then d{m}.d2 else d{m}.d3 end)"
+        gam = f"((d{m}.d1 * x{m}.n1 + d{m}.d2 * x{m}.n2 + d{m}.d3 * x{m}.n3) / x{m}.sa)"
+        expr = (f"case when x{m}.sa is null or x{m}.sa = 0 then ({expr}) else "
+                f"greatest({a} - {dj}, 0) / x{m}.sa + {gam} * ({expr}) end")
+    out.append(f"sc as (select g.i, g.mult, log10({expr}) as log10p from sgrid g {' '.join(joins)})")
+    return out

@@ -1,4 +1,7 @@
-"""Oracle SQL (DuckDB) for the registered queries, written independently of the Spark code.
+"""Oracle SQL (DuckDB) for the registered queries.
+
+The Treebank rules are the same fixed values as the library's (their results are pinned by written-out
+tokens in the tests); everything else is written independently of the Spark code.
 
 Each entry recomputes the query from the driver views with plain SQL (window functions, joins,
 aggregates).  Where the Spark job is incremental (prefix curves), the SQL recomputes every
@@ -34,6 +37,10 @@ def with_(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
 
+def recursive(*ctes: str) -> str:
+    return "with recursive " + ",\n".join(ctes) + "\n"
+
+
 def tb_tokens(expr: str = "text") -> str:
     return duck.treebank_tokens(expr)
 

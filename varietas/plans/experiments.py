@@ -102,19 +102,33 @@ def cumulative_paraphrase_curve(base: DataFrame, candidates: DataFrame, dev: Dat
     """Distinct candidates (right-stripped of spaces, U2) in a seeded shuffle (W15) are added to
     the base corpus one at a time; returns (i, ppl, n_words) for i = 0 (base only) .. #candidates.
 
-    One pass: base lines enter at step 0, the candidate of shuffled rank j at step j.
+    Base lines enter at step 0, the candidate of shuffled rank j at step j.  No (dev key x step) table is built:
+    see :mod:`varietas.operators.states`.
     """
+    from varietas.operators import states as ST
     from varietas.operators.rows import with_row_index
     cand = (candidates.select(F.regexp_replace(F.col(text_col), " +$", "").alias("_line"))
             .where(F.length("_line") > 0).distinct())
     cand = cand.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_line"))))
-    ranked = with_row_index(cand, ["_h", "_line"], "p")
-    tagged = base.select(F.lit(0).cast("long").alias("p"), F.col(text_col).alias("text")) \
-        .unionByName(ranked.select("p", F.col("_line").alias("text")))
-    n_cand = cand.select(F.count(F.lit(1))).scalar()
-    if method == "kneser_ney":
-        return kn_curve_from_tagged(tagged, dev, 0, n_cand, order, "text", dev_key)
-    return curve_from_tagged(tagged, dev, 0, n_cand, order, k, "text", dev_key)
+    ranked = with_row_index(cand, ["_h", "_line"], "t")
+    last = ranked.count()
+    tagged = base.select(F.lit(0).cast("long").alias("t"), F.col(text_col).alias("text")) \
+        .unionByName(ranked.select(F.col("t").cast("long").alias("t"), F.col("_line").alias("text")))
+    m = _state_method(method, order, k)
+    vocab, word, history, cc = ST.curve_moves(tagged, m, order, "text")
+    keys, grams = ST.dev_keys(dev, order, vocab, dev_key, text_col)
+    weights = ST.class_weights(keys, ST.key_moves(grams, word, history, m, order, ["t"]), m, order, 0)
+    glob = ST.dense_globals(0, last, word, history, m, vocab, cc, order)
+    n = keys.select(F.sum("mult")).scalar()
+    total = ST.total_log10(weights, glob, m, order, last)
+    return total.select(F.col("t").alias("i"), F.pow(F.lit(10.0), -F.col("total") / n).alias("ppl"), n.alias("n_words"))
+
+
+def _state_method(method: str, order: int, k: float):
+    from varietas.operators import states as ST
+    if method not in ("witten_bell", "kneser_ney"):
+        raise ValueError(f"unsupported curve method {method!r}")
+    return ST.witten_bell(order, k) if method == "witten_bell" else ST.kneser_ney(order)
 
 
 def oov_curve(chunks: DataFrame, dev: DataFrame, generated: DataFrame | None = None, top_n: int | None = None,
@@ -125,202 +139,78 @@ def oov_curve(chunks: DataFrame, dev: DataFrame, generated: DataFrame | None = N
     text) the prefix i is augmented with the first (i+1)·len(chunk i) generated lines (W10, U1).
     Returns (i, types, oovs).
 
-    A token type enters prefix i when its first chunk fc ≤ i, or (with generated text) when its
-    first generated line g ≤ m_i.  m_i need not grow with i (a short last chunk), so instead of a
-    running sum the counts come from a histogram over (fc, bucket of g among the sorted distinct
-    m values): a table of at most (top_n+1)² cells, joined with the top_n prefixes.
+    A token type is in prefix i from its first chunk fc on, and before that while its first generated line
+    g is in (m_i >= g; m_i may fall at a short last chunk).  Each type yields +1/-1 events where it comes in or
+    goes (:func:`varietas.operators.signed.generated_stays`), found by equi-joins on the line number; both
+    counts are running sums of events over the prefixes.
     """
+    from varietas.operators.rows import running_totals
+    from varietas.operators.signed import generated_stays
     ch = chunks
     if top_n is not None:
         ch = ch.where(F.col(chunk_col) < F.lit(top_n))
-    flen = ch.groupBy(F.col(chunk_col).alias("i")).agg(F.count(F.lit(1)).alias("flen"))
-    prefixes = flen.select("i", ((F.col("i") + 1) * F.col("flen")).alias("m"))
-    train_t = Vo.tokens_of(ch, text_col, keys=[chunk_col]).groupBy("tok").agg(F.min(chunk_col).alias("fc"))
+    ch = ch.select(F.col(chunk_col).cast("long").alias("chunk_id"), F.col(text_col).alias("text"))
+    types = Vo.tokens_of(ch, "text", keys=["chunk_id"]).groupBy("tok").agg(F.min("chunk_id").alias("fc"))
     dev_t = Vo.tokens_of(dev, text_col).groupBy("tok").agg(F.count(F.lit(1)).alias("dn"))
+    moves = F.array(F.struct(F.col("fc").alias("i"), F.lit(1).alias("d")))
     if generated is not None:
         gen_t = Vo.tokens_of(generated, text_col, keys=[gen_rn]).groupBy("tok").agg(F.min(gen_rn).alias("g"))
-        types = train_t.join(gen_t, "tok", "full")
-    else:
-        types = train_t.withColumn("g", F.lit(None).cast("long"))
-    thr = prefixes.select(F.array_sort(F.collect_set("m")).alias("thr"))
-    types = types.withColumn("_thr", thr.select("thr").scalar())
-    # bucket b = number of thresholds below g: the token is in prefix i via g iff rank(m_i) >= b
-    types = types.withColumn("b", F.when(F.col("g").isNotNull(),
-                                         F.size(F.filter("_thr", lambda x: x < F.col("g")))))
-    dev_j = dev_t.join(types, "tok", "left")
-    hist_t = types.groupBy("fc", "b").agg(F.count(F.lit(1)).alias("nt"))
-    hist_d = dev_j.groupBy("fc", "b").agg(F.sum("dn").alias("nd"))
-    total_dev = dev_t.select(F.sum("dn")).scalar()
-    pr = prefixes.withColumn("_thr", thr.select("thr").scalar()) \
-        .withColumn("r", F.array_position("_thr", F.col("m")) - 1).drop("_thr")
-
-    def inside(h: DataFrame) -> DataFrame:
-        cond = ((F.col("fc").isNotNull() & (F.col("fc") <= F.col("i"))) |
-                (F.col("b").isNotNull() & (F.col("b") <= F.col("r"))))
-        return h.join(F.broadcast(pr), cond)   # both sides are bounded by top_n (x (top_n+1)^2 cells)
-    t = inside(hist_t).groupBy("i").agg(F.sum("nt").alias("types"))
-    d = inside(hist_d).groupBy("i").agg(F.sum("nd").alias("inv"))
-    out = pr.select("i").join(t, "i", "left").join(d, "i", "left")
-    return out.select("i", F.coalesce("types", F.lit(0)).alias("types"),
-                      (total_dev - F.coalesce("inv", F.lit(0))).alias("oovs"))
-
-
-def list_models(model_counts: DataFrame, pattern: str | None = None, id_col: str = "model_id") -> DataFrame:
-    """The stored model ids (optionally those whose id matches a regular expression)."""
-    ids = model_counts.select(id_col).distinct()
-    return ids.where(F.col(id_col).cast("string").rlike(pattern)) if pattern else ids
+        inside = gen_t.join(generated_stays(ch), "g").groupBy("tok").agg(F.collect_list(F.struct("start", "stop")).alias("_in"))
+        types = types.join(inside, "tok", "full")
+        # a stay counts until the type's own chunk takes over
+        early = F.filter(F.coalesce("_in", F.array().cast("array<struct<start:bigint,stop:bigint>>")),
+                         lambda x: F.col("fc").isNull() | (x["start"] < F.col("fc")))
+        stays = F.flatten(F.transform(early, lambda x: F.array(
+            F.struct(x["start"].alias("i"), F.lit(1).alias("d")), F.struct(F.least(x["stop"], F.col("fc")).alias("i"), F.lit(-1).alias("d")))))
+        moves = F.concat(moves, stays)
+    events = types.join(dev_t, "tok", "left").select(F.coalesce("dn", F.lit(0)).alias("dn"), F.inline(moves)).where(F.col("i").isNotNull())
+    prefixes = ch.select(F.col("chunk_id").alias("i")).distinct().withColumn("dn", F.lit(0).cast("long")).withColumn("d", F.lit(0))
+    steps = events.unionByName(prefixes).groupBy("i").agg(F.sum("d").alias("types"), F.sum(F.col("d") * F.col("dn")).alias("inv"))
+    total_dev = dev_t.select(F.coalesce(F.sum("dn"), F.lit(0))).scalar()
+    out = running_totals(steps, "i", ["types", "inv"])
+    return out.select("i", "types", (total_dev - F.col("inv")).alias("oovs"))
 
 
 def evaluate_models(model_counts: DataFrame, dev: DataFrame, order: int = 3, k: float = 1.0,
-                    id_col: str = "model_id", text_col: str = "text", dev_key: str = "sent_id") -> DataFrame:
-    """Dev perplexity of every stored Witten–Bell model (counts ``(model_id, ord, h, w, c)``).
+                    id_col: str = "model_id", text_col: str = "text", dev_key: str = "sent_id", method: str = "witten_bell") -> DataFrame:
+    """Dev perplexity of the model of every id, from counts ``(model_id, ord, h, w, c)``.
 
-    One job for all models: the dev set's distinct (histories, word) keys are scored against each
-    model's statistics, restricted to the histories the dev set uses.  The vocabulary is the union
-    over the models (fixed V, as in :func:`ppl_curve`).  Returns (model_id, ppl, n_words).
+    All models are smoothed in one job, keyed by id, with the vocabulary of all of them (fixed V, as in
+    :func:`ppl_curve`).  Stored models are evaluated by :func:`varietas.operators.lm.score_models` on
+    :func:`varietas.sources.models.load_models`.  Returns (model_id, ppl, n_words).
     """
-    vocab = (model_counts.where(F.col("ord") == 1).select("w")
-             .unionByName(dev.sparkSession.createDataFrame([(EOS,), (UNK,)], "w string")).distinct())
-    shell = L.LM(order, "witten_bell", None, None, vocab)
-    keys = L.scoring_events(dev, shell, dev_key, text_col).groupBy("hs", "w").agg(F.count(F.lit(1)).alias("mult"))
-    kl = keys.select("hs", "w", F.posexplode("hs").alias("_o", "h")).withColumn("ord", F.col("_o") + 1).drop("_o")
-    ctx_keys = kl.select("ord", "h").distinct()
-    ng_keys = kl.select("ord", "h", "w").distinct()
-    mc = model_counts.join(ctx_keys, ["ord", "h"], "left_semi")
-    ctx = mc.groupBy(id_col, "ord", "h").agg(F.sum("c").alias("c_h"), F.count(F.lit(1)).alias("t_h"))
-    ng = mc.join(ng_keys, ["ord", "h", "w"], "left_semi").select(id_col, "ord", "h", "w", "c")
-    # every dev key is scored under every model: the ids come as one bounded array (number of models)
-    ids = model_counts.select(F.array_sort(F.collect_set(id_col))).scalar()
-    grid = kl.withColumn("_ids", ids).select("hs", "w", "ord", "h", F.explode("_ids").alias(id_col))
-    per = grid.join(ctx, [id_col, "ord", "h"], "left").join(ng, [id_col, "ord", "h", "w"], "left")
-    wide = per.groupBy("hs", "w", id_col).agg(
-        *[F.max(F.when(F.col("ord") == m, F.struct(F.coalesce("c", F.lit(0)).alias("c"), "c_h", "t_h")))
-          .alias(f"o{m}") for m in range(1, order + 1)])
-    wide = wide.withColumn("_p0", F.lit(1.0) / vocab.select(F.count(F.lit(1))).scalar())
-    p = F.col("_p0")
-    for m in range(1, order + 1):
-        o = F.col(f"o{m}")
-        mixed = (o["c"] + F.lit(k) * o["t_h"] * p) / (o["c_h"] + F.lit(k) * o["t_h"])
-        p = F.when(o.isNull() | o["c_h"].isNull() | (o["c_h"] == 0), p).otherwise(mixed)
-    scored = wide.select("hs", "w", id_col, F.log10(p).alias("lp")).join(keys, ["hs", "w"])
-    return scored.groupBy(id_col).agg(
-        F.pow(F.lit(10.0), -F.sum(F.col("lp") * F.col("mult")) / F.sum("mult")).alias("ppl"),
-        F.sum("mult").alias("n_words"))
+    models = L.build_lm(model_counts, order, method, k=k, discount_fallback=True, vocab=L.vocabulary(model_counts), by=(id_col,))
+    return L.score_models(models, dev, id_col, dev_key, text_col)
 
 
 def effective_paraphrases(base: DataFrame, candidates: DataFrame, dev: DataFrame, baseline: float | None = None,
                           order: int = 3, k: float = 1.0, text_col: str = "text", cand_key: str = "cand_id",
-                          dev_key: str = "sent_id") -> DataFrame:
+                          dev_key: str = "sent_id", method: str = "witten_bell") -> DataFrame:
     """Dev perplexity of (base + one candidate) for every candidate, and whether it beats
     ``baseline`` (default: the base model's own dev perplexity).  Returns (cand_id, ppl, effective).
 
-    No model is trained per candidate and no (candidate × dev key) grid is built.  Under
-    Witten–Bell with a fixed vocabulary, adding sentence s changes
-
-    * the statistics of the empty history (total + |s|+1, types + new words) and of ``<s>``
-      (total + 1, types + [first word new after <s>]) — for *every* s, and
-    * statistics of other histories only where s uses them.
-
-    So a dev key's log-probability depends on s only through the signature
-    σ(s) = (|s|+1, new types, new type after <s>) unless s touches the key directly (shares its word,
-    or one of its longer histories, or starts with its word after ``<s>``).  The total is computed once
-    per distinct signature (σ count is bounded by sentence lengths, not by the number of candidates),
-    and corrected exactly on the touched (candidate, key) pairs, which an equi-join on words and
-    histories enumerates.
+    No model is trained per candidate and no (candidate x dev key) table is built.  A candidate changes the
+    totals of the empty history and of ``<s>`` and, for ``kneser_ney``, the count-of-counts and so the discounts, for every dev
+    key alike: its row of globals.  The keys that use its n-grams or histories are found by equi-joins and move to
+    other classes (:mod:`varietas.operators.states`).  The vocabulary is that of base and all candidates.
     """
-    spark = base.sparkSession
-    cands = candidates.select(cand_key, text_col)
-    bev = ngram_events(base.select(text_col), order, text_col)
-    cev = ngram_events(cands, order, text_col, keep=[cand_key])
-    vocab = (bev.where(F.col("ord") == 1).select("w").unionByName(cev.where(F.col("ord") == 1).select("w"))
-             .unionByName(spark.createDataFrame([(EOS,), (UNK,)], "w string")).distinct())
-    p0 = F.lit(1.0) / vocab.select(F.count(F.lit(1))).scalar()
-    shell = L.LM(order, "witten_bell", None, None, vocab)
-    keys = L.scoring_events(dev, shell, dev_key, text_col).groupBy("hs", "w").agg(F.count(F.lit(1)).alias("mult"))
-    keys = keys.withColumn("kid", F.concat_ws("\u0001", F.array_join("hs", "\u0002"), "w"))   # exact key, no hash
-    kl = keys.select("kid", "w", F.posexplode("hs").alias("_o", "h")).withColumn("ord", F.col("_o") + 1).drop("_o")
-    n_dev = keys.select(F.sum("mult")).scalar()
-    # base statistics of the dev histories / n-grams
-    bcnt = bev.groupBy("ord", "h", "w").agg(F.count(F.lit(1)).alias("c"))
-    bctx = bcnt.join(kl.select("ord", "h").distinct(), ["ord", "h"], "left_semi") \
-        .groupBy("ord", "h").agg(F.sum("c").alias("tot_h"), F.count(F.lit(1)).alias("typ_h"))
-    base_k = kl.join(bctx, ["ord", "h"], "left").join(bcnt, ["ord", "h", "w"], "left") \
-        .select("kid", "ord", "h", "w", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("tot_h", F.lit(0)).alias("tot_h"),
-                F.coalesce("typ_h", F.lit(0)).alias("typ_h"))
-    # candidate deltas: counts, history totals, new types (w unseen after h in the base)
-    ccnt = cev.groupBy(cand_key, "ord", "h", "w").agg(F.count(F.lit(1)).alias("e"))
-    cnew = ccnt.join(bcnt.select("ord", "h", "w"), ["ord", "h", "w"], "left_anti")
-    cctx = ccnt.groupBy(cand_key, "ord", "h").agg(F.sum("e").alias("e_h")) \
-        .join(cnew.groupBy(cand_key, "ord", "h").agg(F.count(F.lit(1)).alias("n_h")), [cand_key, "ord", "h"], "left") \
-        .withColumn("n_h", F.coalesce("n_h", F.lit(0)))
-    sig = (cctx.where((F.col("ord") == 1) & (F.col("h") == ""))
-           .select(cand_key, F.col("e_h").alias("s_e1"), F.col("n_h").alias("s_n1"))
-           .join(cctx.where((F.col("ord") == 2) & (F.col("h") == BOS_))
-                 .select(cand_key, F.col("n_h").alias("s_nb")), cand_key, "left")
-           .withColumn("s_nb", F.coalesce("s_nb", F.lit(0))))
-
-    def mix(c, C, T, lower):
-        return F.when(C > 0, (c + F.lit(k) * T * lower) / (C + F.lit(k) * T)).otherwise(lower)
-
-    def logp(frame, key_cols):
-        """log10 p of (key_cols..., kid) rows carrying per-order c/C/T as struct columns o1..oN."""
-        p = F.col("_p0")
-        for m in range(1, order + 1):
-            o = F.col(f"o{m}")
-            p = F.when(o.isNull(), p).otherwise(mix(o["c"], o["tot_h"], o["typ_h"], p))
-        return frame.withColumn("_p0", p0).select(*key_cols, "kid", F.log10(p).alias("lp"))
-
-    def signature_stats(frame):
-        """c/C/T of a key under a signature (s_e1, s_n1, s_nb) — only global histories change."""
-        is1 = (F.col("ord") == 1)
-        isb = (F.col("ord") == 2) & (F.col("h") == BOS_)
-        c = F.col("c") + F.when(is1 & (F.col("w") == EOS), 1).otherwise(0)
-        tot = F.col("tot_h") + F.when(is1, F.col("s_e1")).when(isb, 1).otherwise(0)
-        typ = F.col("typ_h") + F.when(is1, F.col("s_n1")).when(isb, F.col("s_nb")).otherwise(0)
-        return frame.select(*[x for x in frame.columns if x not in ("c", "tot_h", "typ_h")],
-                            c.alias("c"), tot.alias("tot_h"), typ.alias("typ_h"))
-
-    def widen(frame, key_cols):
-        return frame.groupBy(*key_cols, "kid").agg(
-            *[F.max(F.when(F.col("ord") == m, F.struct("c", "tot_h", "typ_h"))).alias(f"o{m}") for m in range(1, order + 1)])
-
-    # 1. per signature: sum over all dev keys (signatures come as one bounded array)
-    sigs = sig.select("s_e1", "s_n1", "s_nb").distinct()
-    sig_arr = sigs.select(F.collect_list(F.struct("s_e1", "s_n1", "s_nb"))).scalar()
-    grid = base_k.withColumn("_s", F.explode(sig_arr)).select("*", "_s.*").drop("_s")
-    lp_sig = logp(widen(signature_stats(grid), ["s_e1", "s_n1", "s_nb"]), ["s_e1", "s_n1", "s_nb"])
-    lp_sig = lp_sig.join(keys.select("kid", "mult"), "kid")
-    tot_sig = lp_sig.groupBy("s_e1", "s_n1", "s_nb").agg(F.sum(F.col("lp") * F.col("mult")).alias("tot"))
-    # 2. touched (candidate, key) pairs: shared word (not </s>), shared longer history (other than <s>
-    #    at order 2), or the key's word opening the candidate after <s>
-    by_word = ccnt.where((F.col("ord") == 1) & (F.col("w") != EOS)).select(cand_key, "w").distinct() \
-        .join(kl.where(F.col("ord") == 1).select("kid", "w"), "w").select(cand_key, "kid")
-    by_hist = cctx.where((F.col("ord") >= 2) & ~((F.col("ord") == 2) & (F.col("h") == BOS_))) \
-        .select(cand_key, "ord", "h").join(kl.select("kid", "ord", "h"), ["ord", "h"]).select(cand_key, "kid")
-    by_first = ccnt.where((F.col("ord") == 2) & (F.col("h") == BOS_)).select(cand_key, "w") \
-        .join(kl.where((F.col("ord") == 2) & (F.col("h") == BOS_)).select("kid", "w"), "w").select(cand_key, "kid")
-    touched = by_word.unionByName(by_hist).unionByName(by_first).distinct()
-    tk = touched.join(base_k, "kid").join(sig, cand_key)
-    # signature value of the touched keys (to subtract) ...
-    lp_t_sig = logp(widen(signature_stats(tk), [cand_key]), [cand_key])
-    # ... and their exact value under base + candidate (to add)
-    exact = tk.join(ccnt, [cand_key, "ord", "h", "w"], "left").join(cctx, [cand_key, "ord", "h"], "left") \
-        .select(cand_key, "kid", "ord", (F.col("c") + F.coalesce("e", F.lit(0))).alias("c"),
-                (F.col("tot_h") + F.coalesce("e_h", F.lit(0))).alias("tot_h"),
-                (F.col("typ_h") + F.coalesce("n_h", F.lit(0))).alias("typ_h"))
-    lp_t = logp(widen(exact, [cand_key]), [cand_key])
-    corr = (lp_t.withColumnRenamed("lp", "lp_s").join(lp_t_sig.withColumnRenamed("lp", "lp_g"), [cand_key, "kid"])
-            .join(keys.select("kid", "mult"), "kid")
-            .groupBy(cand_key).agg(F.sum((F.col("lp_s") - F.col("lp_g")) * F.col("mult")).alias("corr")))
-    per = sig.join(tot_sig, ["s_e1", "s_n1", "s_nb"]).join(corr, cand_key, "left")
-    ppl = F.pow(F.lit(10.0), -(F.col("tot") + F.coalesce("corr", F.lit(0.0))) / n_dev)
-    out = per.select(cand_key, ppl.alias("ppl"))
-    if baseline is None:
-        base_model = L.build_lm(bcnt, order, "witten_bell", k=k, vocab=vocab)
-        base_ppl = L.perplexity(L.score(dev, base_model, dev_key, text_col)).select("ppl").scalar()
-    else:
-        base_ppl = F.lit(float(baseline))
-    return out.withColumn("effective", F.col("ppl") < base_ppl)
+    from varietas.operators import states as ST
+    from varietas.operators.rows import with_row_index
+    m = _state_method(method, order, k)
+    numbered = with_row_index(candidates.select(cand_key, F.col(text_col).alias("text")), [cand_key], "t")
+    last = numbered.count()
+    vocab, word, history, cc = ST.candidate_moves(base.select(F.col(text_col).alias("text")), numbered.select("t", "text"), m, order, "text")
+    keys, grams = ST.dev_keys(dev, order, vocab, dev_key, text_col)
+    own, of_candidates = F.col("t") == 0, F.col("t") > 0
+    start = ST.key_moves(grams, word.where(own).drop("t"), history.where(own).drop("t"), m, order, [])
+    touched = ST.key_moves(grams, word.where(of_candidates), history.where(of_candidates), m, order, ["t"])
+    weights = ST.touched_weights(keys, start, touched, m, order, 0)
+    glob = ST.dense_globals(0, last, word, history, m, vocab, cc, order, cumulative=False)
+    n = keys.select(F.sum("mult")).scalar()
+    from varietas.session import checkpoint
+    ppl = checkpoint(ST.total_log10(weights, glob, m, order, last).select("t", F.pow(F.lit(10.0), -F.col("total") / n).alias("ppl")))
+    base_ppl = F.lit(float(baseline)) if baseline is not None else ppl.where("t = 0").select("ppl").scalar()
+    return numbered.join(ppl, "t").select(cand_key, "ppl", (F.col("ppl") < base_ppl).alias("effective"))
 
 
 def effective_summary(effective: DataFrame) -> DataFrame:
@@ -328,99 +218,43 @@ def effective_summary(effective: DataFrame) -> DataFrame:
     return effective.agg(F.count(F.lit(1)).alias("processed"), F.count(F.when(F.col("effective"), 1)).alias("effective"))
 
 
-def witten_bell_by(counts: DataFrame, order: int, by: list[str], k: float = 1.0) -> L.LM:
-    """Witten–Bell models for every value of the key columns ``by`` at once (counts carry the key).
-
-    The tables of the returned model carry ``by``; look-ups and decoding select the model with it.
-    """
-    from varietas.operators.ngrams import lower_history
-    keys = counts.select(*by).distinct()
-    vocab = (counts.where(F.col("ord") == 1).select(*by, "w")
-             .unionByName(keys.select(*by, F.explode(F.array(F.lit(EOS), F.lit(UNK))).alias("w"))).distinct())
-    nv = vocab.groupBy(*by).agg(F.count(F.lit(1)).alias("_nv"))
-    probs, gammas, prev = None, None, None
-    for n in range(1, order + 1):
-        cur = counts.where(F.col("ord") == n)
-        ctx = cur.groupBy(*by, "ord", "h").agg(F.sum("c").alias("c_h"), F.count(F.lit(1)).alias("t_h"))
-        cur = cur.join(ctx, [*by, "ord", "h"])
-        if prev is None:
-            cur = cur.join(nv, by).withColumn("p_lower", F.lit(1.0) / F.col("_nv"))
-        else:
-            lo = prev.select(*by, F.col("h").alias("_lh"), F.col("w").alias("_lw"), F.col("p").alias("p_lower"))
-            cur = cur.withColumn("_lh", lower_history(F.col("h"))).withColumn("_lw", F.col("w")) \
-                .join(lo, [*by, "_lh", "_lw"], "left")
-        c, ch, th = F.col("c").cast("double"), F.col("c_h").cast("double"), F.col("t_h").cast("double")
-        cur = cur.withColumn("p", (c + F.lit(k) * th * F.col("p_lower")) / (ch + F.lit(k) * th)) \
-            .withColumn("g", F.lit(k) * th / (ch + F.lit(k) * th))
-        p_n = cur.select(*by, "ord", "h", "w", "p")
-        g_n = cur.select(*by, "ord", "h", "g").dropDuplicates([*by, "ord", "h"])
-        probs = p_n if probs is None else probs.unionByName(p_n)
-        gammas = g_n if gammas is None else gammas.unionByName(g_n)
-        prev = p_n
-    return L.LM(order, "witten_bell", probs, gammas, vocab)
-
-
 def awer_curve(chunks: DataFrame, dev: DataFrame, unigram_table: DataFrame, seed: int = 0,
-               generated: DataFrame | None = None, order: int = 3, rare_n: int = 1,
+               generated: DataFrame | None = None, order: int = 3, rare_n: int = 1, top_n: int | None = None,
                rn_col: str = "sent_id", text_col: str = "text", dev_key: str = "sent_id") -> DataFrame:
-    """AWER of the dev lines under the LM of every cumulative chunk prefix i (chunks 0..i).
+    """AWER of the dev lines under the LM of every cumulative chunk prefix i (chunks 0..i), i < ``top_n``.
 
     Each prefix model is built as the evaluation scripts build it — tokens seen at most ``rare_n``
-    times *in that prefix* become ``<unk>``, then Witten–Bell of order ``order`` — and all prefix
-    models are trained, looked up and decoded in one job, keyed by i.  With ``generated`` (rn_col,
-    text) prefix i also holds the first (i+1)·len(chunk i) generated lines.  The unigram table (for
-    the draws) is fixed, as in the reference.  Returns (i, awer, n_lines).
-
-    A line of chunk c is part of prefixes c..max: the training data are expanded over the prefixes
-    they belong to (what the per-prefix retraining reads), then counted once per (prefix, n-gram).
+    times *in that prefix* become ``<unk>``, then Witten–Bell of order ``order``.  All prefix models come
+    from one table of signed n-gram events (:mod:`varietas.operators.signed`): no training line is copied per
+    prefix.  With ``generated`` (rn_col, text) prefix i also holds the first (i+1)·len(chunk i) generated lines.
+    The unigram table (for the draws) is fixed, as in the reference.  Returns (i, awer, n_lines).
     """
-    from varietas.functions import split_whitespace
-    from varietas.plans import paraphrase as P
     from varietas.operators import sampling as SMP
-    max_i = chunks.select(F.max("chunk_id")).scalar()
-    lines = chunks.select(F.explode(F.sequence(F.col("chunk_id"), max_i)).alias("i"),
-                          F.concat_ws(":", F.lit("b"), F.col(rn_col).cast("string")).alias("lid"), text_col)
-    if generated is not None:
-        flen = chunks.groupBy(F.col("chunk_id").alias("i")).agg(F.count(F.lit(1)).alias("_flen"))
-        m = flen.select("i", ((F.col("i") + 1) * F.col("_flen")).alias("_m"))
-        g = generated.select(F.explode(F.sequence(F.lit(0), max_i)).alias("i"),
-                             F.concat_ws(":", F.lit("g"), F.col(rn_col).cast("string")).alias("lid"),
-                             F.col(rn_col).alias("_g"), text_col)
-        g = g.join(F.broadcast(m), "i").where(F.col("_g") <= F.col("_m")).select("i", "lid", text_col)  # m: one row per chunk
-        lines = lines.unionByName(g)
-    toks = lines.select("i", "lid", F.posexplode(split_whitespace(F.col(text_col))).alias("pos", "tok"))
-    cnt = toks.groupBy("i", "tok").agg(F.count(F.lit(1)).alias("_c"))
-    lab = toks.join(cnt, ["i", "tok"]).withColumn("t", F.when(F.col("_c") > rare_n, F.col("tok")).otherwise(F.lit(UNK)))
-    rel = lab.groupBy("i", "lid").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("_s")) \
-        .select("i", F.col("_s.t").alias("toks"))
-    counts = ngram_events(rel, order, keep=["i"], toks_col="toks").groupBy("i", "ord", "h", "w") \
-        .agg(F.count(F.lit(1)).alias("c"))
-    lm = witten_bell_by(counts, order, ["i"]).materialize()
+    from varietas.operators import signed
+    from varietas.plans import paraphrase as P
+    if top_n is not None:
+        chunks = chunks.where(F.col("chunk_id") < F.lit(top_n))
+    last = chunks.agg(F.max("chunk_id")).first()[0]
+    if last is None:
+        return dev.sparkSession.createDataFrame([], "i long, awer double, n_lines long")
+    models = signed.prefix_models(signed.stays(chunks, generated, rn_col, text_col), order, last, rare_n)
     # lattices: every dev token under every prefix model; the draw does not depend on the model
-    dtoks = P.sentence_tokens(dev, dev_key, text_col)
-    draws = SMP.draw_words(dtoks.withColumn("k", SMP.draw60(seed, F.col(dev_key), F.col("pos"))),
-                           SMP.cdf(unigram_table))
-    per_i = draws.select(dev_key, "pos", "word", "alt", F.explode(F.sequence(F.lit(0), max_i)).alias("i"))
-    vocab = lm.vocab.select("i", F.col("w").alias("_v"))
-    orig = per_i.join(vocab, (per_i["i"] == vocab["i"]) & (per_i["word"] == vocab["_v"]), "left").drop(vocab["i"])
+    toks = P.sentence_tokens(dev, dev_key, text_col)
+    draws = SMP.draw_words(toks.withColumn("k", SMP.draw60(seed, F.col(dev_key), F.col("pos"))), SMP.cdf(unigram_table))
+    draws = models.known(models.known(draws, "word"), "alt")
+    prefixes = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
+    per_i = draws.select(dev_key, "pos", "word", "alt", "word_flips", "alt_flips", prefixes.alias("i"))
+    own = F.when(signed.is_in("word_flips"), F.col("word")).otherwise(F.lit(UNK))
+    other = F.when(signed.is_in("alt_flips") & (F.col("alt") != F.col("word")), F.col("alt"))
     key = F.concat_ws(":", F.col("i").cast("string"), F.col(dev_key).cast("string")).alias("_key")
-    o_slots = orig.select(key, "i", "pos", F.coalesce(F.col("_v"), F.lit(UNK)).alias("word"), F.lit(0.0).alias("cost"))
-    usable = per_i.join(vocab, (per_i["i"] == vocab["i"]) & (per_i["alt"] == vocab["_v"]), "left_semi") \
-        .where(F.col("alt") != F.col("word"))
-    a_slots = usable.select(key, "i", "pos", F.col("alt").alias("word"), F.lit(0.0).alias("cost"))
-    best = P.nbest(o_slots.unionByName(a_slots), lm, 1, key="_key", by=("i",))
-    words = dtoks.groupBy(dev_key).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_s"))
+    slots = per_i.select(key, "i", "pos", F.explode(F.array(own, other)).alias("word"), F.lit(0.0).alias("cost")).where(F.col("word").isNotNull())
+    best = P.nbest(slots, models, 1, key="_key", by=("i",))
+    words = toks.groupBy(dev_key).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_s"))
     grid = dev.select(dev_key).join(words, dev_key, "left") \
-        .select(dev_key, F.coalesce(F.col("_s.word"), F.array().cast("array<string>")).alias("_words"),
-                F.explode(F.sequence(F.lit(0), max_i)).alias("i"))
+        .select(dev_key, F.coalesce(F.col("_s.word"), F.array().cast("array<string>")).alias("_words"), prefixes.alias("i"))
     grid = grid.withColumn("_key", F.concat_ws(":", F.col("i").cast("string"), F.col(dev_key).cast("string")))
-    j = grid.join(best.select("_key", "sent"), "_key", "left") \
-        .withColumn("_out", F.split(F.coalesce(F.col("sent"), F.lit("")), " "))
-    n = F.size("_words")
-    err = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda x: ~F.coalesce(F.get("_words", x - 1) == F.get("_out", x - 1), F.lit(False))))
-    rate = F.when(n > 0, err / n).otherwise(F.lit(0.0))
-    return j.groupBy("i").agg(F.avg(rate).alias("awer"), F.count(F.lit(1)).alias("n_lines"))
+    j = grid.join(best.select("_key", "sent"), "_key", "left")
+    return j.groupBy("i").agg(F.avg(P.error_rate(F.col("_words"), F.col("sent"))).alias("awer"), F.count(F.lit(1)).alias("n_lines"))
 
 
 def _thresholds(deltas: DataFrame, key_cols: list[str], val: str, upto: int) -> DataFrame:

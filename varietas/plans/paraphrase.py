@@ -77,7 +77,8 @@ def rescore(df: DataFrame, scorer: str | L.LM | Callable[[DataFrame], DataFrame]
         df = checkpoint(df)        # read twice below: the scored strings are not decoded twice
         ids = df.withColumn("_rid", F.concat_ws("\u0001", F.col(key).cast("string"), F.col("rank").cast("string")))
         ppl = L.perplexity(L.score(ids.select("_rid", F.col("sent").alias("text")), scorer, key="_rid"), by=["_rid"])
-        return ids.join(ppl.select("_rid", F.col("ppl").alias("new_score")), "_rid").drop("_rid")
+        # rounded: a line and its own best string must not differ by the order of a sum
+        return ids.join(ppl.select("_rid", F.round("ppl", 9).alias("new_score")), "_rid").drop("_rid")
     return scorer(df)
 
 
@@ -163,16 +164,19 @@ def awer(dev: DataFrame, unigram_table: DataFrame, lm: L.LM, seed: int = 0, key:
     """One row (awer, n_lines): mean over dev lines of (changed positions / tokens) in the 1-best
     decoding of each line's lattice; an empty line counts 0 but stays in the denominator, and a line
     with no path under the model counts 1 (all its positions)."""
-    slots = awer_lattice(dev, unigram_table, lm, seed, key, text_col)
+    slots = checkpoint(awer_lattice(dev, unigram_table, lm, seed, key, text_col))      # read for the search and for the words
     best = nbest(slots.select(key, "pos", "word", "cost"), lm, 1, key)
-    toks = sentence_tokens(dev, key, text_col).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_s"))
-    j = (dev.select(key).join(toks, key, "left").join(best.select(key, "sent"), key, "left"))
-    j = j.select(key, F.coalesce(F.col("_s.word"), F.array().cast("array<string>")).alias("_words"),
-                 F.split(F.coalesce(F.col("sent"), F.lit("")), " ").alias("_out"))
-    words, out = F.col("_words"), F.col("_out")
+    toks = slots.select(key, "pos", "orig_word").distinct().groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.col("orig_word").alias("word")))).alias("_s"))
+    j = dev.select(key).join(toks, key, "left").join(best.select(key, "sent"), key, "left")
+    words = F.coalesce(F.col("_s.word"), F.array().cast("array<string>"))
+    j = j.select(words.alias("_words"), "sent")
+    return j.agg(F.avg(error_rate(F.col("_words"), F.col("sent"))).alias("awer"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def error_rate(words: Column, sent: Column) -> Column:
+    """Share of positions whose decoded word differs; no words: 0, no path (null): 1."""
+    out = F.split(F.coalesce(sent, F.lit("")), " ")
     n = F.size(words)
-    err = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda i: ~F.coalesce(F.get(words, i - 1) == F.get(out, i - 1), F.lit(False))))
-    rate = F.when(n > 0, err / n).otherwise(F.lit(0.0))
-    return j.agg(F.avg(rate).alias("awer"), F.count(F.lit(1)).alias("n_lines"))
+    same = F.size(F.filter(F.zip_with(words, out, lambda a, b: a == b), lambda x: x))
+    return F.when(n > 0, (n - same) / n).otherwise(F.lit(0.0))

@@ -114,31 +114,72 @@ tl as (select (sent_id - 1) // {CHUNK} as i, text from user_lines)""",
                 f"sc as ({LS.recursion_score_sql(ORDER, by_i='pref')})")
 
 
-@query("evaluate_models", _EVAL + """
-select i as model_id, round(pow(10, -sum(log10p) / count(*)), 6) as ppl, count(*) as n_words from sc group by i""")
-def evaluate_models_q(spark, sf_dir):
-    """One Witten–Bell model per chunk of 64 user lines (stored counts keyed by
-    model_id), all evaluated on the benchmark lines in one job."""
+def _stored_models(spark, sf_dir, method):
+    """A store with one model per chunk of 64 user lines, all over the vocabulary of all chunks."""
+    from varietas.operators import lm as L
     from varietas.operators import ngrams as G
+    from varietas.sources import models as M
+    from varietas.streaming.interactive import scratch_dir
+    root = scratch_dir(spark, "models")
     ch = R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id")
     ev = G.ngram_events(ch, ORDER, keep=["chunk_id"])
-    counts = ev.groupBy(F.col("chunk_id").alias("model_id"), "ord", "h", "w").agg(F.count(F.lit(1)).alias("c"))
-    out = X.evaluate_models(counts, T.ordered_dev_lines(spark, sf_dir), ORDER)
-    return out.select("model_id", F.round("ppl", 6).alias("ppl"), "n_words")
+    counts = ev.groupBy(F.col("chunk_id").cast("string").alias("model_id"), "ord", "h", "w").agg(F.count(F.lit(1)).alias("c"))
+    M.save_counts(counts, root, ORDER)
+    counts = M.load_counts(spark, root)
+    M.save_models(L.build_lm(counts, ORDER, method, discount_fallback=True, vocab=L.vocabulary(counts), by=("model_id",)), root)
+    return root
 
 
-@query("list_models", S.with_(*_U) + f"select distinct (sent_id - 1) // {CHUNK} as model_id from user_lines")
-def list_models_q(spark, sf_dir):
-    """Ids of the stored per-chunk models."""
-    ch = R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id")
-    return X.list_models(ch.select(F.col("chunk_id").alias("model_id")))
+def _evaluated(spark, sf_dir, method):
+    from varietas.operators import lm as L
+    from varietas.sources import models as M
+    out = L.score_models(M.load_models(spark, _stored_models(spark, sf_dir, method)), T.ordered_dev_lines(spark, sf_dir))
+    return out.select(F.col("model_id").cast("long").alias("model_id"), F.round("ppl", 6).alias("ppl"), "n_words")
+
 
+@query("evaluate_models", _EVAL + """
+select i as model_id, round(pow(10, -sum(log10p) / count(*)), 6) as ppl, count(*) as n_words from sc group by i""")
+def evaluate_models_q(spark, sf_dir):
+    """Witten–Bell models of the chunks of 64 user lines, built from stored counts, stored by
+    model_id, read back and evaluated on the benchmark lines in one job."""
+    return _evaluated(spark, sf_dir, "witten_bell")
+
+
+@query("evaluate_models_kneser_ney", S.with_(*_U, S.DEV_LINES, S.DEV_ORDERED, f"""
+tl as (select (sent_id - 1) // {CHUNK} as i, text from user_lines)""", "pref as (select distinct i from tl)", *LS.kn_curve_sql(ORDER)) + """
+select i as model_id, round(pow(10, -sum(log10p) / count(*)), 6) as ppl, count(*) as n_words from sc group by i""")
+def evaluate_models_kneser_ney_q(spark, sf_dir):
+    """X6 with the experiments' trainer (Kneser–Ney, discount fallback), from the model store."""
+    return _evaluated(spark, sf_dir, "kneser_ney")
 
-@query("cumulative_paraphrase_curve")
+
+@query("list_models", S.with_(*_U) + f"select distinct (sent_id - 1) // {CHUNK} as model_id, 3 as ord, 'witten_bell' as method from user_lines")
+def list_models_q(spark, sf_dir):
+    """Ids, order and method of the stored models."""
+    from varietas.sources import models as M
+    found = M.list_models(spark, _stored_models(spark, sf_dir, "witten_bell"), "^[0-9]+$", "lm")
+    return found.select(F.col("model_id").cast("long").alias("model_id"), "ord", "method")
+
+
+_STEPS = [S.USER_LINES, S.GEN_LINES, S.DEV_LINES, S.DEV_ORDERED,
+          "cand as (select distinct regexp_replace(text, ' +$', '') as line from gen_lines0)",
+          "ranked as (select line, row_number() over (order by md5('3:' || line), line) as p from cand where length(line) > 0)",
+          "pref as (select unnest(range(0, (select count(*) from ranked) + 1)) as i)",
+          "tl as (select i, text from user_lines0, pref union all select i, line from ranked, pref where p <= i)"]
+_X5 = S.with_(*_STEPS, f"cnt_ev as ({LS.events_sql('tl', ORDER, LS.ws_tokens('text'), keep='i')})",
+              "cnt as (select i, ord, h, w, count(*) as c from cnt_ev group by i, ord, h, w)",
+              "ctx as (select i, ord, h, sum(c) as ch, count(*) as th from cnt group by i, ord, h)",
+              "vocab as (select distinct w from cnt where ord = 1 union select '</s>' union select '<unk>')",
+              "vsize as (select count(*) * 1.0 as nv from vocab)",
+              *LS.dev_events_ctes("dev_lines", ORDER), f"sc as ({LS.recursion_score_sql(ORDER, by_i='pref')})")
+_CURVE = """
+select i, round(pow(10, -sum(log10p) / count(*)), 6) as ppl, count(*) as n_words from sc group by i"""
+
+
+@query("cumulative_paraphrase_curve", _X5 + _CURVE)
 def cumulative_paraphrase_curve_q(spark, sf_dir):
     """Generated lines, deduplicated and shuffled (seed 3), added one by one to the user
-    turns; benchmark perplexity after each addition.  One pass; no SQL oracle (retraining ~10^3
-    models is too slow there) — tests compare it with retraining on a small fixture."""
+    turns; benchmark perplexity after each addition.  One pass; the oracle retrains every step."""
     c = X.cumulative_paraphrase_curve(T.user_lines(spark, sf_dir), T.generated_lines(spark, sf_dir),
                                       T.ordered_dev_lines(spark, sf_dir), seed=3, order=ORDER)
     return c.select("i", F.round("ppl", 6).alias("ppl"), "n_words")
@@ -196,6 +237,33 @@ def effective_paraphrases_q(spark, sf_dir):
     return out.select("cand_id", F.round("ppl", 6).alias("ppl"), "effective")
 
 
+@query("effective_paraphrases_kneser_ney", S.with_(
+    S.USER_LINES, S.GEN_LINES, S.DEV_LINES, S.DEV_ORDERED,
+    "cand as (select conv_id || ':' || turn || ':' || line_no as cand_id, text from gen_lines0)",
+    "pref as (select cand_id as i from cand union all select 'base'), ptext as (select cand_id as i, text from cand)",
+    "tl as (select i, text from pref, (select text from user_lines0) union all select i, text from ptext)",
+    *LS.kn_curve_sql(ORDER), "res as (select i, pow(10, -sum(log10p) / count(*)) as ppl from sc group by i)") + """
+select i as cand_id, round(ppl, 6) as ppl, round(ppl, 9) < (select round(ppl, 9) from res where i = 'base') as effective from res where i <> 'base'""")
+def effective_paraphrases_kneser_ney_q(spark, sf_dir):
+    """X4 with the experiments' trainer (Kneser–Ney, discount fallback): every generated line added alone to the
+    user turns; the oracle retrains each model."""
+    cands = T.generated_lines(spark, sf_dir).select(
+        F.concat_ws(":", *[F.col(c).cast("string") for c in ("conv_id", "turn", "line_no")]).alias("cand_id"), "text")
+    out = X.effective_paraphrases(T.user_lines(spark, sf_dir), cands, T.ordered_dev_lines(spark, sf_dir), order=ORDER, method="kneser_ney")
+    return out.select("cand_id", F.round("ppl", 6).alias("ppl"), "effective")
+
+
+@query("effective_summary", _x4_sql().replace("""
+select cand_id, round(""", """, eff as (
+select cand_id, round(""", 1) + """)
+select count(*) as processed, count(*) filter (where effective) as effective from eff""")
+def effective_summary_q(spark, sf_dir):
+    """How many candidates were processed and how many are effective."""
+    cands = T.generated_lines(spark, sf_dir).select(
+        F.concat_ws(":", *[F.col(c).cast("string") for c in ("conv_id", "turn", "line_no")]).alias("cand_id"), "text")
+    return X.effective_summary(X.effective_paraphrases(T.user_lines(spark, sf_dir), cands, T.ordered_dev_lines(spark, sf_dir), order=ORDER))
+
+
 def _awer_inputs(spark, sf_dir):
     from varietas.operators import vocab as V
     ch = R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id")
@@ -203,15 +271,38 @@ def _awer_inputs(spark, sf_dir):
     return ch, T.ordered_dev_lines(spark, sf_dir), uni
 
 
-@query("awer_curve")
+def _awer_curve_sql(generated: bool) -> str:
+    from varietas.oracle import decode_sql as DS
+    from varietas.plans import q_paraphrase as Q
+    more = " union all select f.i, 'g' || g.sent_id as lid, g.text from gen_lines g join fl f on g.sent_id <= (f.i + 1) * f.flen" if generated else ""
+    train = [f"ch as (select (sent_id - 1) // {CHUNK} as chunk_id, sent_id, text from user_lines)",
+             "fl as (select chunk_id as i, count(*) as flen from ch group by chunk_id)",
+             *([S.GEN_LINES, S.GEN_ORDERED] if generated else []),
+             f"tl as (select f.i, 'b' || ch.sent_id as lid, text from ch join fl f on ch.chunk_id <= f.i{more})",
+             f"rt as (select i, lid, generate_subscripts(t, 1) as pos, unnest(t) as tok from (select i, lid, {LS.ws_tokens('text')} as t from tl))",
+             "rc as (select i, tok, count(*) as c from rt group by i, tok)",
+             "lb as (select rt.i, lid, pos, case when c > 1 then rt.tok else '<unk>' end as t from rt join rc on rc.i = rt.i and rc.tok = rt.tok)",
+             "rl as (select i, list(t order by pos) as t from lb group by i, lid)",
+             "lmv as (select distinct i, t as w from lb union select i, unnest(['</s>', '<unk>']) from fl)",
+             f"cnt_ev as ({LS.events_sql('rl', ORDER, 't', keep='i')})", "cnt as (select i, ord, h, w, count(*) as c from cnt_ev group by i, ord, h, w)"]
+    slots = """slots as (select fl.i, sent_id, pos, coalesce(lmv.w, '<unk>') as word, 0.0::double as cost
+    from dk cross join fl left join lmv on lmv.i = fl.i and lmv.w = dk.word
+  union all select lmv.i, sent_id, pos, alt, 0.0 from da join lmv on lmv.w = alt where alt <> word)"""
+    return S.recursive(*Q._draws_sql(*train), slots, *DS.decode_ctes(1, by="i")) + f"""
+select fl.i, round(avg({DS.error_rate('ws', 'sent')}), 9) as awer, count(*) as n_lines
+from dev_lines cross join fl left join dw on dw.sent_id = dev_lines.sent_id
+left join best on best.sent_id = dev_lines.sent_id and best.i = fl.i group by fl.i"""
+
+
+@query("awer_curve", _awer_curve_sql(False))
 def awer_curve_q(spark, sf_dir):
     """Benchmark AWER under the LM (rare → <unk>, Witten–Bell order 3) of every cumulative chunk
-    prefix of the user turns, all prefixes in one job (tests compare with per-prefix AWER)."""
+    prefix of the user turns, all prefixes from one table of signed events; the oracle retrains every prefix."""
     ch, dev, uni = _awer_inputs(spark, sf_dir)
     return X.awer_curve(ch, dev, uni, seed=11).select("i", F.round("awer", 9).alias("awer"), "n_lines")
 
 
-@query("awer_curve_generated")
+@query("awer_curve_generated", _awer_curve_sql(True))
 def awer_curve_generated_q(spark, sf_dir):
     """X3 with automatic variety: prefix i also holds the first (i+1)*len(chunk i) generated lines."""
     ch, dev, uni = _awer_inputs(spark, sf_dir)
@@ -235,10 +326,12 @@ def ppl_curve_kneser_ney_q(spark, sf_dir):
     return c.select("i", F.round("ppl", 6).alias("ppl"), "n_words")
 
 
-@query("cumulative_paraphrase_curve_kneser_ney")
+@query("cumulative_paraphrase_curve_kneser_ney", S.with_(
+    *_STEPS, "steps as (select 0 as p, text from user_lines0 union all select p, line from ranked)", *LS.kn_steps_sql(ORDER)) + """
+select i, round(pow(10, -sum(log10p * mult) / sum(mult)), 6) as ppl, sum(mult)::bigint as n_words from sc group by i""")
 def cumulative_paraphrase_curve_kneser_ney_q(spark, sf_dir):
     """X5 with the experiments' trainer (Kneser–Ney, discount fallback): generated lines added one by
-    one to the user turns, benchmark perplexity after each; tests compare with retraining."""
+    one to the user turns, benchmark perplexity after each; the oracle uses running counts and as-of joins."""
     c = X.cumulative_paraphrase_curve(T.user_lines(spark, sf_dir), T.generated_lines(spark, sf_dir),
                                       T.ordered_dev_lines(spark, sf_dir), seed=3, order=ORDER, method="kneser_ney")
     return c.select("i", F.round("ppl", 6).alias("ppl"), "n_words")

@@ -103,14 +103,18 @@ for _m, _doc in [("witten_bell", "L1: Witten–Bell (k=1) probabilities of every
                  ("unsmoothed", "L2: maximum-likelihood c(hw)/c(h)."),
                  ("absolute", "L3: absolute discounting, D = n1/(n1+2 n2) per order."),
                  ("kneser_ney", "L5: interpolated modified Kneser–Ney with discount fallback."),
-                 ("katz", "L4: Katz backoff with Good–Turing discounts for counts ≤ 5."),
-                 ("presmoothed", "L5b: normalised given counts.")]:
+                 ("katz", "L4: Katz backoff with Good–Turing discounts for counts ≤ 5.")]:
     kw = {"discount_fallback": True} if _m == "kneser_ney" else {}
     _f = _model_q(_m, **kw)
     _f.__doc__ = _doc
     query(f"lm_{_m}", _model_sql(_m, **kw))(_f)
 
 
+_abs_bins = _model_q("absolute", bins=3)
+_abs_bins.__doc__ = "L3 with three discounts: counts 1, 2 and from 3 on take discounts of their own."
+query("lm_absolute_bins", _model_sql("absolute", bins=3))(_abs_bins)
+
+
 def _wb_model(spark, sf_dir):
     return L.build_lm(_counts(spark, sf_dir), ORDER, "witten_bell")
 
@@ -144,16 +148,45 @@ def sentence_perplexity_q(spark, sf_dir):
     return p.select("sent_id", F.round("ppl", 6).alias("ppl"), "n_words")
 
 
-@query("prune_lm")
-def prune_lm_q(spark, sf_dir):
-    """Witten–Bell model of the user turns pruned with a count threshold of 2 (order ≥ 2), backoff
-    weights renormalised (tests check that every distribution still sums to 1)."""
+def _prune_sql(loss: str, theta: float) -> str:
+    """Order-3 Witten–Bell model, n-grams of orders 3 and 2 dropped where ``loss`` is below theta, weights from what is left."""
+    lossy = loss.format(c="c.c", p="x.p", g="x.g", lower="l.p")
+    return S.with_(*_cnt_sql(), *LS.model_ctes(ORDER, "witten_bell"), f"""
+k3 as (select x.h, x.w, x.p, x.g from p3 x join cnt c on c.ord = 3 and c.h = x.h and c.w = x.w
+  join p2 l on l.h = {LS.lower('x.h')} and l.w = x.w where {lossy} >= {theta})""", f"""
+k2 as (select x.h, x.w, x.p, x.g from p2 x join cnt c on c.ord = 2 and c.h = x.h and c.w = x.w join p1 l on l.w = x.w
+  where {lossy} >= {theta} or x.h || ' ' || x.w in (select h from k3))""", """
+g2 as (select a.h, (1 - coalesce(sum(k2.p), 0)) / (1 - coalesce(sum(l.p), 0)) as g from (select distinct h from p2) a
+  left join k2 on k2.h = a.h left join p1 l on l.w = k2.w group by a.h)""", f"""
+low as (select k3.h, k3.w, coalesce(k2.p, g2.g * p1.p) as pl from k3 left join k2 on k2.h = {LS.lower('k3.h')} and k2.w = k3.w
+  left join g2 on g2.h = {LS.lower('k3.h')} left join p1 on p1.w = k3.w)""", """
+g3 as (select a.h, (1 - coalesce(sum(k3.p), 0)) / (1 - coalesce(sum(low.pl), 0)) as g from (select distinct h from p3) a
+  left join k3 on k3.h = a.h left join low on low.h = k3.h and low.w = k3.w group by a.h)""") + """
+select 1 as ord, h, w, round(p, 9) as p, round(g, 9) as g from p1
+union all select 2, k2.h, k2.w, round(k2.p, 9), round(g2.g, 9) from k2 join g2 on g2.h = k2.h
+union all select 3, k3.h, k3.w, round(k3.p, 9), round(g3.g, 9) from k3 join g3 on g3.h = k3.h"""
+
+
+def _pruned(spark, sf_dir, method, theta):
     counts = _counts(spark, sf_dir)
-    pruned = L.prune_lm(L.build_lm(counts, ORDER, "witten_bell", materialize=True), counts, "absolute", theta=2)
+    pruned = L.prune_lm(L.build_lm(counts, ORDER, "witten_bell", materialize=True), counts, method, theta=theta)
     return pruned.probs.join(pruned.gammas, ["ord", "h"]).select(
         "ord", "h", "w", F.round("p", 9).alias("p"), F.round("g", 9).alias("g"))
 
 
+@query("prune_lm", _prune_sql("{c}", 2))
+def prune_lm_q(spark, sf_dir):
+    """Witten–Bell model of the user turns pruned with a count threshold of 2 (order ≥ 2), backoff
+    weights renormalised (tests check that every distribution still sums to 1)."""
+    return _pruned(spark, sf_dir, "absolute", 2)
+
+
+@query("prune_lm_seymore", _prune_sql("{c} * (ln({p}) - ln({g} * {lower}))", 2.5))
+def prune_lm_seymore_q(spark, sf_dir):
+    """L7 with the default method: n-grams whose loss of log likelihood is below 2.5 nats are dropped."""
+    return _pruned(spark, sf_dir, "seymore", 2.5)
+
+
 @query("lm_stage_roundtrip", _model_sql("witten_bell"))
 def lm_stage_roundtrip_q(spark, sf_dir):
     """The Witten–Bell model saved at the ``lm`` stage (Parquet, partitioned by order) and

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from varietas.plans import q_text, q_vectors, q_lm, q_curves, q_paraphrase, q_pairs  # noqa: F401
+    from varietas.plans import q_text, q_vectors, q_lm, q_curves, q_paraphrase, q_pairs, q_files, q_documents  # noqa: F401

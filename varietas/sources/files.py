@@ -7,7 +7,7 @@ format has one, is recovered from the file name, the split and the position insi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from varietas.functions import rstrip_line
@@ -30,14 +30,33 @@ def read_sentences(spark: SparkSession, path: str, strip: str = "\n ") -> DataFr
     return lines.select("file", "line_no", rstrip_line(F.col("value"), strip).alias("text"))
 
 
-def read_vectors(spark: SparkSession, path: str, maxtypes: int = 0) -> DataFrame:
+def _observed(df: DataFrame, report: Observation | None, **metrics: Column) -> DataFrame:
+    """``df`` whose scan also counts ``metrics`` into ``report`` (filled by the first action; read ``report.get``)."""
+    return df.observe(report, *[m.alias(name) for name, m in metrics.items()]) if report is not None else df
+
+
+def _where(condition: Column) -> Column:
+    return F.count(F.when(condition, 1))
+
+
+def read_vectors(spark: SparkSession, path: str, maxtypes: int = 0, report: Observation | None = None) -> DataFrame:
     """word2vec text format → (rank, word, v array<float>); the header line (n dim) is skipped.
     Several part files count as one file in path order.
 
     The rank is the line position (most frequent first); ``maxtypes`` keeps the first ranks (W13).
-    A word listed twice keeps its last vector (see ``normalize_vectors``).
+    A word listed twice keeps its last vector (see ``normalize_vectors`` and :func:`drop_repeated_words`).
+    ``report`` observes, in the same scan: ``header_n`` and ``header_dim`` as announced, ``rows``, ``malformed`` (no word or a
+    number that is none), ``min_dim`` and ``max_dim`` of the rows.
     """
-    lines = number_lines(_scan_lines(spark, path), across_files=True).where(F.col("line_no") > 0)
+    lines = number_lines(_scan_lines(spark, path), across_files=True)
+    fields = F.filter(F.split(F.trim("value"), " +"), lambda x: x != "")
+    head, row = F.col("line_no") == 0, F.col("line_no") > 0
+    numbers = F.filter(F.slice(fields, 2, 1 << 30), lambda x: x.try_cast("float").isNotNull())
+    bad = row & ((F.substring("value", 1, 1).isin("", " ")) | (F.size(fields) < 2) | (F.size(numbers) < F.size(fields) - 1))
+    lines = _observed(lines, report, header_n=F.max(F.when(head, F.get(fields, F.lit(0)).try_cast("long"))),
+                      header_dim=F.max(F.when(head, F.get(fields, F.lit(1)).try_cast("int"))), rows=_where(row), malformed=_where(bad),
+                      min_dim=F.min(F.when(row & ~bad, F.size(numbers))), max_dim=F.max(F.when(row & ~bad, F.size(numbers))))
+    lines = lines.where(row & ~bad)
     first_space = F.instr("value", " ")
     body = lines.select((F.col("line_no") - 1).cast("int").alias("rank"),
                         F.substring("value", 1, first_space - 1).alias("word"),
@@ -49,6 +68,13 @@ def read_vectors(spark: SparkSession, path: str, maxtypes: int = 0) -> DataFrame
     return body.select("rank", "word", vec.alias("v"))
 
 
+def drop_repeated_words(vectors: DataFrame, report: Observation | None = None) -> DataFrame:
+    """Vectors with one row per word, the last of its rows; ``report`` observes ``words`` and ``repeated`` (rows dropped)."""
+    last = vectors.groupBy("word").agg(F.max_by(F.struct(*vectors.columns), "rank").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    last = _observed(last, report, words=F.count(F.lit(1)), repeated=F.sum(F.col("_n") - 1))
+    return last.select("_v.*")
+
+
 def write_vectors(vectors: DataFrame, path: str, vec_col: str = "v") -> None:
     """word2vec text format: header ``n dim``, then ``word f1 ... fd`` in rank order.
 
@@ -63,29 +89,44 @@ def write_vectors(vectors: DataFrame, path: str, vec_col: str = "v") -> None:
     header.unionByName(body).orderBy("_r").select("value").write.mode("overwrite").text(path)
 
 
-def read_unigrams(spark: SparkSession, path: str) -> DataFrame:
-    """S3: ``word p`` lines → (word, p)."""
-    t = spark.read.text(path).select(F.split(F.trim("value"), " +").alias("f")).where(F.size("f") >= 2)
-    return t.select(F.col("f")[0].alias("word"), F.col("f")[1].cast("double").alias("p"))
+def read_unigrams(spark: SparkSession, path: str, report: Observation | None = None) -> DataFrame:
+    """S3: ``word p`` lines → (word, p).  Lines without a word and a number are dropped; ``report`` observes ``lines`` and
+    ``malformed``."""
+    t = spark.read.text(path).select(F.split(F.trim("value"), " +").alias("f"))
+    p = F.get("f", F.lit(1)).try_cast("double")
+    bad = (F.size("f") < 2) | p.isNull()
+    t = _observed(t, report, lines=F.count(F.lit(1)), malformed=_where(bad)).where(~bad)
+    return t.select(F.col("f")[0].alias("word"), p.alias("p"))
 
 
-def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """``symbol id`` lines → (token, id); lines with fewer than two fields are dropped."""
-    t = spark.read.text(path).select(F.split(F.trim("value"), "\\s+").alias("f")).where(F.size("f") >= 2)
+def read_vocab(spark: SparkSession, path: str, report: Observation | None = None) -> DataFrame:
+    """``symbol id`` lines → (token, id); lines with fewer than two fields are dropped; ``report`` observes ``lines`` and
+    ``malformed``."""
+    t = spark.read.text(path).select(F.split(F.trim("value"), "\\s+").alias("f"))
+    bad = F.size("f") < 2
+    t = _observed(t, report, lines=F.count(F.lit(1)), malformed=_where(bad)).where(~bad)
     return t.select(F.col("f")[0].alias("token"), F.col("f")[1].alias("id"))
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """TSV pair lines → (pair_id, text) for :func:`varietas.plans.pairs.split_pairs`."""
+def read_pairs(spark: SparkSession, path: str, report: Observation | None = None) -> DataFrame:
+    """TSV pair lines → (pair_id, text) for :func:`varietas.plans.pairs.split_pairs`; ``report`` observes ``lines`` and
+    ``malformed`` (not two fields)."""
     lines = _numbered_lines(spark, path)
+    lines = _observed(lines, report, lines=F.count(F.lit(1)), malformed=_where(F.size(F.split("value", "\t")) != 2))
     return lines.select(F.concat_ws(":", "file", F.col("line_no").cast("string")).alias("pair_id"),
                         F.col("value").alias("text"))
 
 
+_CHUNK = "(?:/([0-9]+)\\.txt|/chunk_id=([0-9]+)/[^/]*)$"
+
+
 def read_chunks(spark: SparkSession, directory: str, top_n: int | None = None) -> DataFrame:
-    """Files ``000.txt``, ``001.txt`` ... ``1000.txt`` (any run of digits) → (chunk_id, line_no, text), chunks below ``top_n``."""
-    lines = _numbered_lines(spark, directory.rstrip("/") + "/*.txt")
-    cid = F.regexp_extract("file", "/([0-9]+)\\.txt$", 1)
+    """Files ``000.txt``, ``001.txt`` ... ``1000.txt`` (any run of digits) → (chunk_id, line_no, text), chunks below ``top_n``.
+
+    Folders ``chunk_id=N`` of text files, as :func:`write_chunks` makes them, are read alike.
+    """
+    lines = number_lines(_scan_lines(spark, directory).where(F.col("file").rlike(_CHUNK)))
+    cid = F.coalesce(F.nullif(F.regexp_extract("file", _CHUNK, 1), F.lit("")), F.regexp_extract("file", _CHUNK, 2))
     lines = lines.withColumn("_chunk", cid).where(F.col("_chunk") != "")
     out = lines.select(F.col("_chunk").cast("int").alias("chunk_id"), "line_no", F.col("value").alias("text"))
     return out.where(F.col("chunk_id") < top_n) if top_n is not None else out
@@ -96,6 +137,23 @@ def write_lines(df: DataFrame, path: str, col: str = "text") -> None:
     df.select(F.col(col).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_chunks(lines: DataFrame, path: str, order_col: str = "sent_id") -> None:
+    """Chunk files: the lines (chunk_id, ``order_col``, text) of a chunk in order, as one text file in folder ``chunk_id=N``."""
+    body = lines.select(F.col("chunk_id"), F.col(order_col).alias("_o"), F.col("text").alias("value"))
+    body.repartition("chunk_id").sortWithinPartitions("chunk_id", "_o").select("chunk_id", "value") \
+        .write.mode("overwrite").partitionBy("chunk_id").text(path)
+
+
+def write_symbols(vocab: DataFrame, path: str) -> None:
+    """S4's format: ``symbol id`` lines."""
+    vocab.select(F.concat_ws(" ", "token", F.col("id").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_curve(spark: SparkSession, path: str, val_col: str = "ppl") -> DataFrame:
+    """Read back the rows of :func:`write_curve`."""
+    return spark.read.option("sep", "\t").schema(f"i long, {val_col} double").csv(path)
+
+
 def write_unigrams(unigram_lines: DataFrame, path: str) -> None:
     """The ``word p`` lines of :func:`varietas.operators.vocab.unigram_lines`."""
     write_lines(unigram_lines, path, "line")
