@@ -145,6 +145,85 @@ def test_rules_reject_repeated_lines_alone_and_repeated_windows_alone(spark):
     assert all(r.kept == (i < 100) for i, r in got.items())
 
 
+def test_rules_keep_a_text_with_one_repeated_line(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 5)) + str(i % 10) for i in range(n)]
+    text = lambda w: "\n".join(" ".join(w[i:i + 9]) for i in range(0, len(w), 9))
+    rows = [(i, text(words(300)), "en", "a", 0) for i in range(80)]
+    for i in range(5):
+        w = words(300)
+        w[90:99] = w[9:18]
+        rows.append((100 + i, text(w), "en", "a", 0))
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[100 + i].n_dup_lines == 1 and got[100 + i].n_repeat_words == 18 and got[100 + i].kept for i in range(5))
+
+
+def test_rules_leave_user_columns_alone(spark):
+    text = " ".join(f"word{i} plain" for i in range(60))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", "x0", "g0", "c00", "n", "cell", "rows"]
+    df = spark.createDataFrame([(i, text + f" t{i}", "en", "a", 0) for i in range(3)], SCHEMA).withColumns({c: F.lit("mine") for c in names})
+    kept = rules.keep_good(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
+    assert all(r.n_words == 121 for r in rules.judge(df).collect())
+
+
+def brute_rules(rows):
+    """doc_id -> (squared distance, kept) by numpy, all groups stepping together."""
+    stats, groups, failed = {}, {}, set()
+    for doc, text, lang, source, *_ in rows:
+        n, chars, symbols, dup, rep = brute_counts(text)
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        capitals = sum("A" <= c <= "Z" for c in text or "")
+        stats[doc] = np.array([np.log(max(chars, 1) / max(n, 1)), np.log1p(100 * symbols / max(n, 1)),
+                               np.log1p(rules.SCALE * max(dup / max(lines, 1) * 100 / rules.TOLERATED[0], rep / max(n, 1) * 100 / rules.TOLERATED[1])),
+                               np.log1p(100 * capitals / max(chars, 1))])
+        if n < 50 or 100 * rep > 50 * n:
+            failed.add(doc)
+        groups.setdefault((lang, source), []).append(doc)
+    floors = np.diag(np.square(rules.FLOORS))
+    cut = lambda cells, share: sorted(cells)[int(np.ceil(share * len(cells) - 1e-9)) - 1]
+    d2_of = lambda x, m, c: np.einsum("ij,ij->i", x - m, np.linalg.solve(c + floors, (x - m).T).T)
+
+    def fit_all(sets):
+        est = []
+        for x in sets:
+            cells = np.floor(x / 0.01)
+            med = np.array([cut(cells[:, i], 0.5) for i in range(4)])
+            mad = np.array([cut(abs(cells[:, i] - med[i]), 0.5) for i in range(4)])
+            est.append(((med + 0.5) * 0.01, np.diag((1.4826 * mad * 0.01) ** 2)))
+        for step in range(rules.MAX_STEPS):
+            new = []
+            for x, (m, c) in zip(sets, est):
+                cells = np.floor(np.log(np.maximum(d2_of(x, m, c), 1e-9)) * rules.CELLS)
+                near = x[cells <= cut(cells, rules.H)]
+                new.append((near.mean(0), rules.CONSISTENCY * np.cov(near.T, bias=True)))
+            fall = max(np.linalg.slogdet(a[1] + floors)[1] - np.linalg.slogdet(b[1] + floors)[1] for a, b in zip(est, new))
+            est = new
+            if step and fall <= rules.SETTLED:
+                break
+        return est
+    good = {g: [d for d in ids if d not in failed] for g, ids in groups.items()}
+    (mp, cp), = fit_all([np.array([stats[d] for ids in good.values() for d in ids])])
+    own = dict(zip([g for g in good if good[g]], fit_all([np.array([stats[d] for d in ids]) for ids in good.values() if ids])))
+    out = {}
+    for g, ids in groups.items():
+        w = len(good[g]) / (len(good[g]) + rules.BLEND)
+        m, c = own.get(g, (mp, cp))
+        mean, cov = w * m + (1 - w) * mp, w * c + (1 - w) * cp + w * (1 - w) * np.outer(m - mp, m - mp)
+        for d in ids:
+            d2 = d2_of(stats[d][None, :], mean, cov)[0]
+            out[d] = (d2, d not in failed and d2 <= rules.CUTOFF)
+    return out
+
+
+def test_rules_equal_numpy_determinant_search(spark, docs):
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    want = brute_rules(rows)
+    got = {r.doc_id: r for r in rules.judge(docs).collect()}
+    assert all(abs(got[d].distance2 - d2) <= 1e-3 * (1 + d2) for d, (d2, _) in want.items())
+    assert all(got[d].kept == kept for d, (d2, kept) in want.items() if abs(d2 - rules.CUTOFF) > 1e-2)
+
+
 def test_myers_and_matches_against_edit_distance():
     def distance(item, text):
         row = [0] * (len(text) + 1)
@@ -200,6 +279,20 @@ def test_token_files_round_trip(spark, docs, edge):
         assert got == want
 
 
+def test_re_pair_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 60, 3000)
+    ids = np.concatenate([np.concatenate((passage, rng.integers(0, 60, 5), [2])) for _ in range(40)] + [np.full(900, 7), [2]])
+    ends = np.cumsum([3006] * 40 + [901])
+    rules_, seq, new_ends = token_files.re_pair(ids, ends, 100)
+    assert (token_files.expand_all(seq, rules_, 100) == ids).all() and (token_files.expand(seq, rules_, 100) == ids).all()
+    assert token_files.expansion_lengths(rules_, 100).max() > 1000 and len(seq) < 1500      # a copy is a few symbols
+    inside = np.ones(len(seq), bool)
+    inside[new_ends - 1] = False
+    left = Counter(zip(seq[:-1][inside[:-1]].tolist(), seq[1:][inside[:-1]].tolist()))
+    assert all(n < token_files.MIN_PAIR for (a, b), n in left.items() if a != b)
+
+
 def test_re_pair_random_access():
     rng = np.random.default_rng(2)
     ids = rng.integers(0, 6, 4000)
@@ -399,6 +492,13 @@ def test_beginnings_of_identity_terms_do_not_make_a_sentence_toxic():
     assert score[0] > 0.9 > 0.3 > score[1]
 
 
+def test_dedup_keeps_every_text_of_an_id(spark):
+    rows = [(1, "one text that is quite its own", "en", "a", 1), (1, "and another text altogether different", "en", "a", 1),
+            (1, "and another text altogether different", "en", "a", 1)]
+    got = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.text for r in got) == sorted({r[1] for r in rows})
+
+
 def test_dedup_and_rules_edges(edge, empty):
     kept = near_dedup.drop_near_duplicates(edge)
     assert kept.columns == edge.columns and kept.where("doc_id = 6").count() == 1 and kept.where("doc_id is null").count() == 1

@@ -334,7 +334,11 @@ def _between(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose document is the kept one of its group; a repeated id stays once, a null id as often as it comes."""
+    """Rows of ``docs`` whose document is the kept one of its group.
+
+    Repeated rows of an id and text stay once; an id that comes with several texts stays once with each of
+    them (no text is lost for another's sake); a null id stays as often as it comes.
+    """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__nd_id")).distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    known = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return known.join(kept, F.col("doc_id") == F.col("__nd_id"), "left_semi").unionByName(docs.where("doc_id is null"))

@@ -111,4 +111,37 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept QUALIFY rank <= 2000
 """
 
-ORACLE = {"op12_collocations": COLLOCATIONS, "op13_conversation_repair": REPAIR}
+NEAR_DEDUP = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN sizes na ON na.doc_id = a.doc_id JOIN sizes nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+reach AS (
+  SELECT DISTINCT doc_id AS d, doc_id AS o FROM words
+  UNION
+  SELECT r.d, l.b FROM reach r JOIN links l ON l.a = r.o),
+label AS (SELECT d, min(o) AS component_id FROM reach GROUP BY d)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM words w JOIN label ON d = w.doc_id LEFT JOIN sizes s ON s.doc_id = w.doc_id
+"""
+
+SHARDS = """
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS doc_bytes,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+at AS (SELECT *, CASE WHEN k = 0 THEN 0 ELSE h >> (60 - k) END AS prefix FROM d, range(0, 61) AS r(k)),
+buckets AS (SELECT k, prefix, sum(doc_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM at GROUP BY k, prefix),
+own AS (
+  SELECT doc_id, doc_bytes, k, prefix, shard_bytes, shard_docs FROM at JOIN buckets USING (k, prefix)
+  WHERE shard_bytes <= 33554432 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1)
+SELECT doc_id, k || ':' || printf('%015X', prefix) || ':0' AS shard, k AS shard_depth, doc_bytes, shard_bytes, shard_docs FROM own
+"""
+
+ORACLE = {"op2_near_dedup": NEAR_DEDUP, "op8_shard": SHARDS, "op12_collocations": COLLOCATIONS, "op13_conversation_repair": REPAIR}

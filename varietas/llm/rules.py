@@ -4,25 +4,28 @@
 to carriage return; a document fails if it has under 50 words or if more than half of its words lie
 in three-word windows that occur twice or more in it.
 
-*Method.*  Each document's transformed statistic vector is (ln mean word length, ln(1 + 100 x) of the
-symbol, repeated-line, repeated-window and capital shares).  For every (language, source) the minimum
+*Method.*  Each document's transformed statistic vector is (ln mean word length, ln(1 + 100 x) of the symbol
+share, a repetition statistic, and ln(1 + 100 x) of the capital share).  A repeated line always makes
+repeated windows, so repetition is one statistic: the greater of the two shares, each measured against
+its ``TOLERATED`` percentage.  For every (language, source), and for all documents together, the minimum
 covariance determinant estimate is found by concentration steps: start from coordinate-wise medians
 and spreads, keep the ``H`` share of documents nearest in Mahalanobis distance, take their mean and
-covariance, and repeat (``STEPS`` times; each step cannot raise the determinant).  A document is
-rejected when its squared distance exceeds ``CUTOFF``.
+covariance, and repeat until no group's log determinant falls by more than ``SETTLED`` (``MAX_STEPS`` at
+most).  A group's estimate is then blended with that of all documents by its number of base-passing
+documents n, with weight n / (n + ``BLEND``): it moves smoothly from the common estimate to the group's own, without a
+size at which verdicts flip.  A document is rejected when its squared distance exceeds ``CUTOFF``.
 
 Covariances get ``FLOORS`` squared added to their diagonal: a group whose statistics are constant (the
 exact-fit case, e.g. no symbols anywhere) keeps a finite determinant, and a deviation must also be
-large in absolute terms before it rejects.  The floors of the repeated-line and repeated-window shares
-follow from ``TOLERATED``: in a group without repetition the cut-off lies just above one repeated line
-in a text of three, and at half of the base limit for windows, so that each can reject alone.  Groups under ``MIN_GROUP`` base-passing documents use the
-estimate of all groups together.  Only base-passing documents enter estimates.
+large in absolute terms before it rejects.  In a group without repetition the floor of repetition puts the
+cut-off at the tolerated share of lines or of windows.  Only base-passing documents enter estimates.
 
-Everything is DataFrame functions.  The statistics are computed in one pass and stored as nine
-numbers a row; a step is two aggregations with map-side partial sums over (language, source), and the
+Everything is DataFrame functions.  The statistics are computed in one pass and stored as a few numbers a
+row (beside the row itself where rows are filtered); a step is two aggregations with map-side partial sums over (language, source), and the
 nearest-share cut is read off a histogram of the distances' logarithms, so no group is gathered
 anywhere.  The estimates table has a row per group.  A null text has no words; null language or
-source form groups of their own; repeated rows count each; an empty table gives no rows.
+source form groups of their own; repeated rows count each; an empty table gives no rows; columns of the
+input keep their values whatever their names.
 """
 
 from __future__ import annotations
@@ -36,15 +39,17 @@ from pyspark.sql import functions as F
 from varietas.llm.common import small, store
 
 MIN_WORDS, REPEAT_SHARE = 50, 50
-P = 5
-#: 0.9999 quantile of chi-square with five degrees of freedom.
-CUTOFF = 25.74
+P = 4
+#: 0.9999 quantile of chi-square with four degrees of freedom.
+CUTOFF = 23.51
 #: Percent of repeated lines and of words in repeated windows at the cut-off of a group without any.
 TOLERATED = (33.5, 25.0)
-FLOORS = (0.15, 0.6, *(log1p(t) / sqrt(CUTOFF) for t in TOLERATED), 0.6)
-H, STEPS, MIN_GROUP = 0.75, 3, 50
-#: H over P(chi-square with 7 degrees <= the H quantile with 5): corrects the covariance of the nearest share.
-CONSISTENCY = 1.412
+#: The repetition statistic is ln(1 + SCALE x share / tolerated share).
+SCALE = 25.0
+FLOORS = (0.15, 0.6, log1p(SCALE) / sqrt(CUTOFF), 0.6)
+H, MAX_STEPS, SETTLED, BLEND = 0.75, 10, 0.01, 50
+#: H over P(chi-square with 6 degrees <= the H quantile with 4): corrects the covariance of the nearest share.
+CONSISTENCY = 1.486
 #: Histogram cells per unit of ln(distance squared).
 CELLS = 64
 
@@ -78,16 +83,21 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Base counts, ``base_failed`` and the transformed vector x0..x4 of every row."""
+    """Base counts, ``base_failed`` and the transformed vector x0..x3 of every row."""
     d = base_counts(docs, text_col)
     per_word = lambda c: F.log1p(100.0 * F.col(c) / F.greatest(F.col("n_words"), F.lit(1)))
+    lines = F.col("n_dup_lines") / F.greatest(F.size("__q_lines"), F.lit(1)) * (100 / TOLERATED[0])
+    windows = F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)) * (100 / TOLERATED[1])
     x = [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))), per_word("n_symbols"),
-         F.log1p(100.0 * F.col("n_dup_lines") / F.greatest(F.size("__q_lines"), F.lit(1))), per_word("n_repeat_words"),
+         F.log1p(SCALE * F.greatest(lines, windows)),
          F.log1p(100.0 * F.col("__q_capitals") / F.greatest(F.col("word_chars"), F.lit(1)))]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     return d.withColumns({f"__q_x{i}": c for i, c in enumerate(x)} | {"base_failed": failed})
 
 
+_VALUES = [*[f"m{i}" for i in range(P)], *[f"{x}{i}{j}" for x in "cl" for i in range(P) for j in range(i + 1)]]
+
+
 def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
     """Count, means and covariances (population) of x0.. per group, from partial sums about a fixed origin."""
     xs = [F.col(f"x{i}") for i in range(P)]
@@ -101,13 +111,14 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _cholesky(est: DataFrame, by: list[str], scale: Column) -> DataFrame:
-    """Means and the lower Cholesky factor l.. of scale x covariance + floors (one projection per entry row)."""
+    """Means, covariances times ``scale`` and the lower Cholesky factor l.. of these + floors."""
+    est = est.withColumns({f"c{i}{j}": scale * F.col(f"c{i}{j}") for i in range(P) for j in range(i + 1)})
     for i in range(P):
         for j in range(i + 1):
-            a = scale * F.col(f"c{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
+            a = F.col(f"c{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
             a = reduce(lambda s, k: s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), a)
             est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(a, F.lit(1e-12))) if i == j else a / F.col(f"l{j}{j}"))
-    return est.select(*by, "n", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    return est.select(*by, "n", *_VALUES)
 
 
 def _distance(df: DataFrame, name: str = "d2") -> DataFrame:
@@ -146,48 +157,63 @@ def _start(rows: DataFrame, by: list[str]) -> DataFrame:
                     *[F.pow(1.4826 * F.col(f"mad{i}") * width, 2).alias(f"c{i}{i}") for i in range(P)], *[c.alias(k) for k, c in zero.items()])
 
 
+def _attach(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the columns of their group's row of ``table`` (its only row where there are no groups)."""
+    if by:
+        return rows.join(small(table), by)
+    return rows.withColumn("__q_one", table.select(F.struct(*table.columns)).scalar()).select("*", "__q_one.*").drop("__q_one")
+
+
 def mcd(vectors: DataFrame, by: list[str]) -> DataFrame:
-    """Minimum-covariance-determinant estimate per group: means m0.. and Cholesky factor l00...
+    """Minimum-covariance-determinant estimate per group: n, means m0.., covariances c00.. and Cholesky factor l00...
 
-    ``vectors`` has the columns ``by`` (non-null keys) and x0..x4.
+    ``vectors`` has the columns ``by`` (non-null keys; none: one group) and x0..x3.
     """
+    log_det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
     est = store(_cholesky(_start(vectors, by), by, F.lit(1.0)))
-    for _ in range(STEPS):
-        near = _distance(vectors.join(small(est), by)).withColumn("cell", _cell(F.col("d2")))
-        cut = _quantile_cells(near.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n")), by, H)
-        nearest = near.select(*by, "cell", *[f"x{i}" for i in range(P)]).join(small(store(cut)), by).where(F.col("cell") <= F.col("cut"))
-        est = store(_cholesky(_moments(nearest, by), by, F.lit(CONSISTENCY)))
+    for step in range(MAX_STEPS):
+        near = _distance(_attach(vectors, est.drop("n"), by)).withColumn("cell", _cell(F.col("d2")))
+        cut = store(_quantile_cells(near.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n")), by, H))
+        nearest = _attach(near.select(*by, "cell", *[f"x{i}" for i in range(P)]), cut, by).where(F.col("cell") <= F.col("cut"))
+        before, est = est, store(_cholesky(_moments(nearest, by), by, F.lit(CONSISTENCY)))
+        fall = _attach(before.select(*by, log_det.alias("before")), est.select(*by, log_det.alias("after")), by)
+        worst = fall.agg(F.max(F.col("before") - F.col("after"))).first()[0]
+        if step and (worst is None or worst <= SETTLED):
+            break
     return est
 
 
-def _keyed(d: DataFrame, lang_col: str, source_col: str) -> DataFrame:
-    key = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(f"`{c}`")), F.lit("null"))
-    return d.withColumns({"__q_lang": key(lang_col), "__q_source": key(source_col)})
-
-
 def _slim(docs: DataFrame, text_col: str, lang_col: str, source_col: str, *ids: Column) -> DataFrame:
-    s = _keyed(statistics(docs, text_col), lang_col, source_col)
-    return s.select(*ids, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    *[F.col(f"__q_x{i}").alias(f"x{i}") for i in range(P)], F.col("__q_lang").alias("g0"), F.col("__q_source").alias("g1"))
+    """``ids``, base counts, x0.. and the group keys g0, g1 of every row; no other column of ``docs`` is in the way."""
+    key = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(f"`{c}`")), F.lit("null"))
+    own = docs.select(*ids, F.col(f"`{text_col}`").alias("__q_text"), key(lang_col).alias("g0"), key(source_col).alias("g1"))
+    return statistics(own, "__q_text").select(
+        *[c for c in own.columns if c != "__q_text"], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        *[F.col(f"__q_x{i}").alias(f"x{i}") for i in range(P)])
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """Estimates by group key from a stored statistics table; groups too small are absent, (all, all) is pooled."""
+    """Blended estimates by group key (g0, g1, m0.., l00..) from a stored statistics table, for every group of it."""
     by, xs = ["g0", "g1"], [f"x{i}" for i in range(P)]
     good = stats.where("not base_failed")
-    own = store(good.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= MIN_GROUP).select(*by))
-    grouped = good.select(*by, *xs).join(small(own), by, "left_semi")
-    pooled = good.select(F.lit("all").alias("g0"), F.lit("all").alias("g1"), *xs)
-    return store(mcd(grouped.unionByName(pooled), by).select(*by, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]))
+    common = mcd(good.select(*xs), [])
+    own = mcd(good.select(*by, *xs), by)
+    sizes = store(stats.groupBy(*by).agg(F.count(F.when(~F.col("base_failed"), 1)).alias("rows")))
+    both = sizes.join(own.drop("n"), by, "left")
+    both = both.withColumn("__q_all", common.select(F.struct(*[F.col(c) for c in _VALUES])).scalar())
+    w = F.col("rows") / (F.col("rows") + BLEND)
+    of_all = lambda c: F.col("__q_all")[c]
+    mean = {f"m{i}": w * F.coalesce(f"m{i}", of_all(f"m{i}")) + (1 - w) * of_all(f"m{i}") for i in range(P)}
+    shift = [F.coalesce(f"m{i}", of_all(f"m{i}")) - of_all(f"m{i}") for i in range(P)]
+    cov = {f"c{i}{j}": w * F.coalesce(f"c{i}{j}", F.lit(0.0)) + (1 - w) * of_all(f"c{i}{j}") + w * (1 - w) * shift[i] * shift[j]
+           for i in range(P) for j in range(i + 1)}
+    blended = both.select(*by, F.col("rows").alias("n"), *[c.alias(k) for k, c in (mean | cov).items()])
+    return store(_cholesky(blended, by, F.lit(1.0)).drop("n"))
 
 
 def _judged(stats: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``stats`` + ``d2`` and ``kept``: own estimate if the group has one, else the pooled one."""
-    values = F.struct(*[c for c in estimates.columns if c not in ("g0", "g1")])
-    own = estimates.where("g0 <> 'all'").select("g0", "g1", values.alias("__q_own"))
-    pooled = estimates.where("g0 = 'all'").select(values.alias("v")).scalar()
-    e = stats.join(small(own), ["g0", "g1"], "left").withColumn("__q_est", F.coalesce("__q_own", pooled))
-    e = e.select("*", "__q_est.*")
+    """``stats`` + ``d2`` and ``kept``."""
+    e = stats.join(small(estimates), ["g0", "g1"], "left")
     return _distance(e).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF))
 
 
@@ -199,15 +225,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep.
+    """The rows of ``docs`` that the rules keep, with their columns as they came.
 
-    Statistics are computed twice, once slim for the estimates and once beside the text, instead of
-    writing the texts a second time or joining verdicts back by an id that may repeat or be null.
+    A row is stored once as a struct beside its statistics: it takes no new names, and neither the statistics
+    are computed twice nor verdicts joined back by an id that may repeat or be null.
     """
-    estimates = fit(store(_slim(docs, text_col, lang_col, source_col)))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__q_row")
-    stats = _slim(docs, text_col, lang_col, source_col, whole)
-    # one generated struct per row: the filter on it cannot be pushed below the statistics, where every
-    # formula would be repeated inside it
-    stats = stats.select("__q_row", F.explode(F.array(F.struct(*[c for c in stats.columns if c != "__q_row"]))).alias("__q")).select("__q_row", "__q.*")
-    return _judged(stats, estimates).where("kept").select("__q_row.*")
+    stats = store(_slim(docs, text_col, lang_col, source_col, whole))
+    return _judged(stats, fit(stats.drop("__q_row"))).where("kept").select("__q_row.*")

@@ -8,11 +8,13 @@ every document.
 *Order.*  Documents are range-partitioned and sorted by id, so shards follow ascending ids; a shard is
 a run of at most ``SHARD_TOKENS`` ids (or one longer document).
 
-*Re-Pair.*  The shard's ids are rewritten by a grammar: in each round the most frequent adjacent pairs
-become nonterminals and all their non-overlapping occurrences, left to right, are replaced; pairs of
-a round share no symbol that could conflict (the more frequent pair wins).  Rounds stop when no pair
-occurs ``MIN_PAIR`` times or after ``ROUNDS``.  Document ends are never inside a rule, so every
-document is a slice of the rewritten sequence.
+*Re-Pair.*  The shard's ids are rewritten by a grammar: the most frequent adjacent pairs become nonterminals
+and their occurrences, left to right, are replaced, until no pair occurs ``MIN_PAIR`` times, which is
+where a rule (two symbols and a length) saves more than it costs.  Pairs are replaced many at a time: in a round every
+symbol is a left or a right partner, by its most frequent pair, so no two replaced pairs can overlap and
+the most frequent one is always among them.  All pairs are counted once; a replacement only makes pairs that hold its new symbol, so
+later rounds count just the places beside replacements and those of frequent pairs that had to wait.
+Document ends are never inside a rule, so every document is a slice of the rewritten sequence.
 
 *File.*  A shard is one record: rules (left, right), expansion length of every rule, the rewritten
 sequence, and per document its id, its slice and its token count.  Records are Parquet rows, written
@@ -40,7 +42,7 @@ from varietas.llm.common import BLOCK_BYTES, Bytes, blocks, small
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS, PAIRS_PER_ROUND, MIN_PAIR = 6, 4096, 8
+MIN_PAIR = 4
 SCHEMA = ("part int, shard int, n_docs long, n_ids long, base int, rules binary, lengths binary, sequence binary, "
           "doc_ids array<bigint>, slice_end array<int>, n_tokens array<int>")
 
@@ -167,71 +169,133 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def re_pair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = PAIRS_PER_ROUND,
-            least: int = MIN_PAIR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grouped(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, group starts in that order, group sizes) of equal pairs."""
+    bits, places = symbols.bit_length(), len(left).bit_length()
+    if 2 * bits + places < 64:                               # pair and place in one number: a plain sort
+        packed = left.astype(np.int64)
+        packed <<= bits
+        packed |= right
+        packed <<= places
+        packed |= np.arange(len(left))
+        packed.sort()
+        order, ordered = packed & ((1 << places) - 1), packed >> places
+    else:
+        key = (left.astype(np.int64) << 32) | right
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return order, start, np.diff(start, append=len(left))
+
+
+def _partners(left: np.ndarray, right: np.ndarray, symbols: int) -> np.ndarray:
+    """Which pairs, most frequent first, can be replaced together: a symbol is only ever the left, the right, or both of
+    one pair of equal symbols, as in its most frequent pair."""
+    rank = np.arange(len(left))
+    best_left, best_right = np.full(symbols, len(left)), np.full(symbols, len(left))
+    np.minimum.at(best_left, left, rank)
+    np.minimum.at(best_right, right, rank)
+    return np.where(left == right, (best_left[left] == rank) & (best_right[left] == rank),
+                    (best_left[left] < best_right[left]) & (best_right[right] < best_left[right]))
+
+
+def re_pair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = MIN_PAIR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules (r, 2), rewritten sequence, new slice ends).  ``base`` is the first nonterminal.
 
-    ``ends`` are exclusive slice ends in ``ids``; no rule spans one.
+    ``ends`` are exclusive slice ends in ``ids``; no rule spans one.  Symbols keep their places; ``after`` and
+    ``before`` link those that are left, slice by slice.
     """
-    seq, rules, ends = ids.astype(np.int64), [], ends.astype(np.int64)
-    next_id = base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        last = np.zeros(len(seq), bool)
-        last[ends - 1] = True
-        key = (seq[:-1] << 32) | seq[1:]
-        open_ = np.flatnonzero(~last[:-1])
-        ordered = np.sort(key[open_])
-        edge = np.flatnonzero(np.concatenate((ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(0, int)
-        count = np.diff(edge, prepend=-1)
-        pairs = ordered[edge]
-        often = np.flatnonzero(count >= least)
+    n, next_id, rules = len(ids), base, []
+    seq = ids.astype(np.int32)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    stop = ends.astype(np.int64) - 1
+    stop = stop[stop >= 0]
+    after[stop] = -1
+    before[stop[stop < n - 1] + 1] = -1
+    at, marked = np.flatnonzero(after >= 0), np.zeros(n, bool)
+    while len(at):
+        a, b = seq[at], seq[after[at]]
+        order, start, size = _grouped(a, b, next_id)
+        often = np.flatnonzero(size >= least)
         if not len(often):
             break
-        top = often[np.lexsort((pairs[often], -count[often]))][:per_round]
-        chosen, left_used, right_used = [], set(), set()
-        for p in pairs[top].tolist():
-            a, b = p >> 32, p & 0xFFFFFFFF
-            # a pair that could overlap a chosen one (its left is a right there, or the reverse) waits a round
-            if a in right_used or b in left_used:
-                continue
-            chosen.append(p)
-            left_used.add(a)
-            right_used.add(b)
-        chosen = np.array(chosen, np.int64)
-        # symbols that are a chosen left and right first, then the exact pairs among those
-        is_left, is_right = np.zeros(next_id, bool), np.zeros(next_id, bool)
-        is_left[chosen >> 32], is_right[chosen & 0xFFFFFFFF] = True, True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
-        by_key = np.argsort(chosen)
-        place = np.minimum(np.searchsorted(chosen[by_key], key[at]), len(chosen) - 1)
-        hit = chosen[by_key][place] == key[at]
-        at, which = at[hit], by_key[place[hit]]
+        first = order[start[often]]
+        ranked = np.argsort(-size[often], kind="stable")     # ties by the pair
+        often, left, right = often[ranked], a[first[ranked]], b[first[ranked]]
+        chosen = _partners(left, right, next_id)
+        left, right = left[chosen], right[chosen]
+        number = np.full(len(size), -2)                      # -2: rare, -1: frequent but has to wait, else the rule
+        number[often] = np.where(chosen, np.cumsum(chosen) - 1, -1)
+        of_place = np.repeat(number, size)
+        wait = order[of_place == -1]
+        waiting, wait_a, wait_b = at[wait], a[wait], b[wait]
+        hit, which = at[order[of_place >= 0]], of_place[of_place >= 0]
         # only a pair of equal symbols can overlap itself: of a run take every other occurrence
-        if len(at) > 1:
-            run_start = np.concatenate(([True], np.diff(at) > 1))
-            first = np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
-            take = (np.arange(len(at)) - first) % 2 == 0
-            at, which = at[take], which[take]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq[at] = next_id + which
-        ends = np.cumsum(keep)[ends - 1]
-        seq = seq[keep]
-        rules.append(np.stack((chosen >> 32, chosen & 0xFFFFFFFF), axis=1))
-        next_id += len(chosen)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), seq, ends
+        if (left == right).any():
+            twin = left[which] == right[which]
+            same, rule = hit[twin], which[twin]
+            by_place = np.argsort(same)
+            same, rule = same[by_place], rule[by_place]
+            index = np.arange(len(same))
+            run = np.concatenate(([True], after[same[:-1]] != same[1:])) if len(same) else np.zeros(0, bool)
+            take = (index - np.maximum.accumulate(np.where(run, index, 0))) % 2 == 0
+            hit, which = np.concatenate((hit[~twin], same[take])), np.concatenate((which[~twin], rule[take]))
+        gone = after[hit]
+        seq[hit], seq[gone] = next_id + which, -1
+        behind = after[gone]
+        after[hit] = behind
+        before[behind[behind >= 0]] = hit[behind >= 0]
+        rules.append(np.stack((left, right), axis=1))
+        next_id += len(left)
+        # places to count next: untouched ones of waiting pairs, and those beside replacements
+        marked[waiting[(seq[waiting] == wait_a) & (after[waiting] >= 0) & (seq[after[waiting]] == wait_b)]] = True
+        marked[hit] = True
+        behind = before[hit]
+        marked[behind[behind >= 0]] = True
+        at = np.flatnonzero(marked)
+        marked[at] = False
+        at = at[(seq[at] >= 0) & (after[at] >= 0)]
+    kept = seq >= 0
+    new_ends = np.concatenate(([0], np.cumsum(kept)))[ends]
+    return (np.concatenate(rules).astype(np.int64) if rules else np.zeros((0, 2), np.int64)), seq[kept], new_ends
+
+
+def _rounds(rules: np.ndarray, base: int):
+    """(from, to) of runs of rules that refer to earlier runs only."""
+    most, lo = rules.max(axis=1, initial=0) if len(rules) else np.zeros(0, np.int64), 0
+    while lo < len(rules):
+        later = np.flatnonzero(most[lo:] >= base + lo)
+        hi = lo + int(later[0]) if len(later) else len(rules)
+        yield lo, hi
+        lo = hi
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Number of ids that each nonterminal stands for (rules refer to earlier ones only)."""
     out = np.ones(base + len(rules), np.int64)
-    for n, (a, b) in enumerate(rules.tolist()):
-        out[base + n] = out[a] + out[b]
+    for lo, hi in _rounds(rules, base):
+        out[base + lo:base + hi] = out[rules[lo:hi]].sum(axis=1)
     return out[base:]
 
 
+def _spread(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    size = length[symbols]
+    to = np.cumsum(size)
+    return pool[np.repeat(start[symbols] - to + size, size) + np.arange(to[-1] if len(to) else 0)]
+
+
+def expand_all(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The ids that a whole rewritten sequence stands for: every rule is expanded once, then each symbol is looked up."""
+    length = np.concatenate((np.ones(base, np.int64), expansion_lengths(rules, base)))
+    start = np.cumsum(length) - length
+    pool = np.empty(int(length.sum()), np.uint32)
+    pool[:base] = np.arange(base)
+    for lo, hi in _rounds(rules, base):
+        part = _spread(rules[lo:hi].ravel(), start, length, pool)
+        pool[start[base + lo]:start[base + lo] + len(part)] = part
+    return _spread(seq.astype(np.int64), start, length, pool)
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that a rewritten sequence stands for."""
     seq, rules = seq.astype(np.int32), rules.astype(np.int32)
@@ -299,7 +363,7 @@ def _decoded(record: dict):
     """(doc_id, ids) of every document of a shard record."""
     rules = np.frombuffer(record["rules"], "<u4").reshape(-1, 2).astype(np.int64)
     seq = np.frombuffer(record["sequence"], "<u4")
-    ids = expand(seq, rules, record["base"]).astype("<u4")
+    ids = expand_all(seq, rules, record["base"]).astype("<u4")
     edge = np.concatenate(([0], np.cumsum(record["n_tokens"])))
     for i, a, b in zip(record["doc_ids"], edge[:-1], edge[1:], strict=True):
         yield i, ids[a:b]
