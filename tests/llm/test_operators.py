@@ -279,6 +279,16 @@ def test_token_files_round_trip(spark, docs, edge):
         assert got == want
 
 
+def test_short_items_have_the_same_share_of_edits(spark):
+    item = "seven quick brown foxes jumped over it"                       # 38 characters: 3 edits
+    texts = ["so seven quikc brown foxes jumped over it all", "so seven quick brown foxes jumped over it", "some quick brown dogs jumped over that",
+             "xseven quick brown foxes jumped over itx", "a tiny catalogue", "a tiny cat log", "a tiny cat", "at in cat"]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(1, item), (2, "Tiny  cat!"), (3, "tiny cat"), (4, item.upper()), (5, "--"), (6, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {(0, 1): 2, (1, 1): 0, (3, 1): 2, (5, 2): 0, (6, 2): 0}
+
+
 def test_re_pair_goes_on_until_no_pair_pays():
     rng = np.random.default_rng(6)
     passage = rng.integers(0, 60, 3000)

@@ -11,10 +11,11 @@ at least one piece must then occur exactly.  So:
 3. a segment is verified with Myers' bit-parallel algorithm: the least edit distance to any substring
    of the window that the piece's place and the budget allow.  The whole item within k is a match.
 
-Items go to the tasks in groups of at most ``GROUP_CHARS`` characters, one scan of the documents per
-group, so the broadcast automaton input has a fixed bound however large the benchmark grows.  Equal
-normalised items are matched once.  Items shorter than ``MIN_CHARS`` normalised characters must occur
-whole and on word boundaries (k = 0); items without letters or digits match nothing.
+Items are normalised and equal ones merged by a Spark job (the smallest id stays).  They go to the tasks in groups
+of at most ``GROUP_CHARS`` characters, one scan of the documents per group, so a broadcast has a fixed bound
+however large the benchmark grows.  The budget is the same share at every length; an item shorter than
+``MIN_CHARS`` normalised characters is matched with the blanks around it, so that it is not found inside
+longer words for free.  Items without letters or digits match nothing.
 
 Null texts, null items and empty tables match nothing; repeated documents match each; a null id is
 carried as it is.
@@ -48,7 +49,7 @@ def normalise(text: str | None) -> str:
 
 
 def budget(item: str) -> int:
-    return int(len(item) * ERROR) if len(item) >= MIN_CHARS else 0
+    return int(len(item.strip()) * ERROR)
 
 
 def split_tree(m: int, k: int) -> list[tuple[int, int, int, int]]:
@@ -157,18 +158,19 @@ def _matcher(key: str, items: list[tuple[int, str]]) -> Matcher:
 
 def item_groups(benchmark: DataFrame, group_chars: int = GROUP_CHARS) -> list[list[tuple[int, str]]]:
     """Distinct normalised items as (smallest item_id, text), in groups of bounded size."""
+    def normal(batch: pa.RecordBatch) -> dict:
+        return {"item_id": batch.column(0), "item": pa.array([normalise(t).strip() for t in batch.column(1).to_pylist()], pa.string())}
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    items = map_batches(rows, normal, "item_id long, item string").where("item <> ''").groupBy("item").agg(F.min("item_id").alias("item_id"))
     groups, size = [[]], 0
-    seen: dict[str, int] = {}
-    for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        s = normalise(row["text"]).strip()
-        if s and s not in seen:
-            seen[s] = 1
-            s = f" {s} " if len(s) < MIN_CHARS else s
-            if size + len(s) > group_chars:
-                groups.append([])
-                size = 0
-            groups[-1].append((row["item_id"], s))
-            size += len(s)
+    for row in items.orderBy("item_id", "item").toLocalIterator():
+        s = f" {row['item']} " if len(row["item"]) < MIN_CHARS else row["item"]
+        if size + len(s) > group_chars and groups[-1]:
+            groups.append([])
+            size = 0
+        groups[-1].append((row["item_id"], s))
+        size += len(s)
     return groups
 
 

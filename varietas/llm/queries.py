@@ -43,7 +43,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     joined = out.join(F.broadcast(t) if t.count() <= 200_000 else t, F.col("source").eqNullSafe(F.col("s")))
     return joined.select("doc_id", F.col("__mix_size").alias("size"), "source_size", "target",
-                         (F.col("__mix_size") * F.size("__mix_copies")).alias("taken"))
+                         (F.col("__mix_size") * F.size("__mix_copies")).alias("taken"),
+                         F.col("__mix_copies.shard").alias("shards"))
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
