@@ -96,12 +96,20 @@ def replace_rare(sentences: DataFrame, n: int = 1, key: str = "sent_id", text_co
 
 
 def map_unknown(sentences: DataFrame, vocab: DataFrame, key: str = "sent_id", text_col: str = "text",
-                vocab_col: str = "token", unk: str = UNK) -> DataFrame:
-    """Tokens not in ``vocab`` become ``unk`` (J6, L10); returns (key, toks, text)."""
+                vocab_col: str = "token", unk: str = UNK, drop_rate: float = 0.0, seed: int | str = 0) -> DataFrame:
+    """Tokens not in ``vocab`` become ``unk`` (J6, L10); returns (key, toks, text).
+
+    With ``drop_rate`` a known token becomes ``unk`` as well where its seeded draw (M8: 60 bits of md5 over seed, key
+    and 0-based position) falls below the rate, so a model trained on the result has seen unknown words.
+    """
     long = sentences.select(key, F.posexplode(split_whitespace(F.col(text_col))).alias("pos", "tok"))
     v = vocab.select(F.col(vocab_col).alias("_v")).distinct()
     marked = long.join(v, long.tok == v._v, "left")
-    tok = F.when(F.col("_v").isNotNull(), F.col("tok")).otherwise(F.lit(unk))
+    keep = F.col("_v").isNotNull()
+    if drop_rate:
+        from varietas.operators.sampling import draw60
+        keep = keep & (draw60(seed, F.col(key), F.col("pos")) >= F.lit(int(drop_rate * (1 << 60))))
+    tok = F.when(keep, F.col("tok")).otherwise(F.lit(unk))
     grouped = _regroup(marked, [key], tok, "toks")
     out = sentences.select(key).join(grouped, key, "left")
     toks = F.coalesce(F.col("toks"), F.array().cast("array<string>"))

@@ -213,6 +213,18 @@ def map_unknown_q(spark, sf_dir):
     return V.map_unknown(T.ordered_dev_lines(spark, sf_dir), vocab).select("sent_id", "text")
 
 
+@query("map_unknown_drop", _VOCAB_SQL.replace("with ", "with " + S.DEV_LINES + ",\n" + S.DEV_ORDERED + ",\n", 1) + f""",
+dt as (select sent_id, generate_subscripts(t, 1) as pos, unnest(t) as tok
+       from (select sent_id, {duck.split_whitespace('text')} as t from dev_lines))
+select sent_id, string_agg(case when v.token is null or ('0x' || substr(md5('5:' || sent_id || ':' || (pos - 1)), 1, 15))::bigint < {int(0.02 * (1 << 60))}
+  then '<unk>' else dt.tok end, ' ' order by pos) as text
+from dt left join (select distinct token from vocab) v on dt.tok = v.token group by sent_id""")
+def map_unknown_drop_q(spark, sf_dir):
+    """As ``map_unknown``, with 2 % of the known tokens dropped to <unk> by seeded draws."""
+    vocab = V.build_vocab(T.user_lines(spark, sf_dir))
+    return V.map_unknown(T.ordered_dev_lines(spark, sf_dir), vocab, drop_rate=0.02, seed=5).select("sent_id", "text")
+
+
 @query("text_roundtrip", S.with_(S.USER_LINES) + "select rtrim(text, ' ' || chr(10)) as text, count(*) as n "
        "from user_lines0 group by 1")
 def text_roundtrip_q(spark, sf_dir):
