@@ -33,6 +33,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -79,6 +80,17 @@ def _chunks(b: Bytes) -> tuple[Bytes, np.ndarray, np.ndarray, np.ndarray]:
     return b, s, e, d
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, where each comes first, index of every value among them), by a hash table."""
+    code, values = pd.factorize(h)
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    first = np.empty(len(values), np.int64)
+    first[code[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return values[order], first[order], rank[code]
+
+
 class ChunkEncoder:
     """Ids of whole texts through a per-worker memory of encoded chunks.
 
@@ -144,7 +156,7 @@ class ChunkEncoder:
         """(ids of all documents, end id included; number of ids per document)."""
         b, start, end, doc = _chunks(b)
         h = b.span_hash(start, end)
-        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        distinct, first, which = _distinct(h)
         if len(self.hash) + len(distinct) > self.keep:
             self._forget()
         at = np.minimum(np.searchsorted(self.hash, distinct), max(len(self.hash) - 1, 0))
