@@ -158,33 +158,32 @@ def lex_alternatives(queries: DataFrame, vectors: DataFrame, dist_flag: bool = F
     unknown context words too.  The best ``num_alts`` by score desc (ties keep the neighbour order)
     are returned as (qid, rn, word, score).
 
-    The candidate × context step joins each query's ``num_near`` candidates with its own context
-    words, so its size is ``num_near × context length`` per query — bounded, never all pairs of
-    a group.
+    A target's neighbours are one row of arrays.  Every distinct (target, context word) yields one array
+    of similarities, aligned with them; a query multiplies its context words' arrays element by element, so it is one
+    row per context word and then one row, never a row per neighbour and context word.
     """
     nb = near(queries.select(F.col("target").alias("word")), vectors, num_near, True, "word", block_rows)
-    cand = queries.select("qid", "target").join(nb.withColumnRenamed("query", "target"), "target")
-    ctx = queries.select("qid", F.posexplode("context").alias("widx", "cword"))
-    ctx = ctx.join(vectors.select(F.col("word").alias("cword")), "cword", "left_semi")           # known only
-    pairs = cand.join(ctx, "qid")
-    # each distinct (context word, candidate) similarity is computed once and joined back (C4)
-    wp = pairs.select("cword", "word").distinct()
-    wp = (wp.join(vectors.select(F.col("word").alias("cword"), F.col("u").alias("cu")), "cword")
-          .join(vectors.select(F.col("word").alias("word"), F.col("u").alias("wu")), "word")
-          .select("cword", "word", F.round(dot(F.col("cu"), F.col("wu")), SIM_DP).alias("sim_c")))
-    pairs = pairs.join(wp, ["cword", "word"])
-    sim_c = F.col("sim_c")
-    factor = (F.pow(sim_c, F.lit(1.0) / (F.col("widx") + F.lit(2.0))) if dist_flag else sim_c)
-    factor = F.when(sim_c >= 0, factor) if dist_flag else factor
-    facs = (pairs.groupBy("qid", "word")
-            .agg(F.array_sort(F.collect_list(F.struct("widx", factor.alias("f")))).alias("fs")))
-    scored = cand.join(facs, ["qid", "word"], "left")
-    score = F.aggregate(F.coalesce(F.col("fs.f"), F.array().cast("array<double>")), F.col("sim"),
-                        lambda acc, f: acc * f)
-    scored = scored.withColumn("score", F.round(score, SIM_DP))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), F.col("rn"))
-    return (scored.withColumn("alt_rn", F.row_number().over(w)).where(F.col("alt_rn") <= F.lit(num_alts))
-            .select("qid", F.col("alt_rn").alias("rn"), "word", "score"))
+    own = nb.join(vectors.select("word", F.col("u").alias("wu")), "word").groupBy(F.col("query").alias("target")).agg(
+        F.array_sort(F.collect_list(F.struct("rn", "word", "sim", "wu"))).alias("_c"))
+    own = checkpoint(own)                                     # read for the similarities and for the queries
+    ctx = queries.select("qid", "target", F.posexplode("context").alias("widx", "cword"))
+    known = vectors.select(F.col("word").alias("cword"), F.col("u").alias("cu")).where(F.col("cu").isNotNull())
+    asked = ctx.select("target", "cword").distinct().join(known, "cword").join(own, "target")
+    sims = asked.select("target", "cword", F.transform("_c", lambda c: F.round(dot(F.col("cu"), c["wu"]), SIM_DP)).alias("sims"))
+    factors = ctx.join(sims, ["target", "cword"]).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("widx", "sims"))).alias("_f"))
+
+    def factor(x, s):
+        return F.when(s >= 0, F.pow(s, F.lit(1.0) / (x["widx"] + F.lit(2.0)))) if dist_flag else s
+
+    rows = queries.select("qid", "target").join(own, "target").join(factors, "qid", "left")
+    start = F.transform("_c", lambda c: c["sim"])
+    rows = rows.withColumn("_s", F.when(F.col("_f").isNull(), start).otherwise(F.aggregate(
+        "_f", start, lambda acc, x: F.zip_with(acc, x["sims"], lambda have, s: have * factor(x, s)))))
+    # (no score, falling score, neighbour order): the first num_alts of a sorted array
+    ranked = F.array_sort(F.zip_with("_c", "_s", lambda c, s: F.struct(
+        s.isNull().alias("none"), (-F.round(s, SIM_DP)).alias("neg"), c["rn"].alias("at"), c["word"].alias("word"))))
+    best = rows.select("qid", F.posexplode(F.slice(ranked, 1, num_alts)).alias("_i", "_b"))
+    return best.select("qid", (F.col("_i") + 1).alias("rn"), F.col("_b.word").alias("word"), (-F.col("_b.neg")).alias("score"))
 
 
 def word_queries(words: DataFrame, vectors: DataFrame, mode: str = "nearest", k: int = 10,
