@@ -136,10 +136,10 @@ SHARDS = """
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS doc_bytes,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
-at AS (SELECT *, CASE WHEN k = 0 THEN 0 ELSE h >> (60 - k) END AS prefix FROM d, range(0, 61) AS r(k)),
-buckets AS (SELECT k, prefix, sum(doc_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM at GROUP BY k, prefix),
+spots AS (SELECT *, CASE WHEN k = 0 THEN 0 ELSE h >> (60 - k) END AS prefix FROM d, range(0, 61) AS r(k)),
+buckets AS (SELECT k, prefix, sum(doc_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM spots GROUP BY k, prefix),
 own AS (
-  SELECT doc_id, doc_bytes, k, prefix, shard_bytes, shard_docs FROM at JOIN buckets USING (k, prefix)
+  SELECT doc_id, doc_bytes, k, prefix, shard_bytes, shard_docs FROM spots JOIN buckets USING (k, prefix)
   WHERE shard_bytes <= 33554432 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1)
 SELECT doc_id, k || ':' || printf('%015X', prefix) || ':0' AS shard, k AS shard_depth, doc_bytes, shard_bytes, shard_docs FROM own
 """
