@@ -17,7 +17,7 @@ from varietas.sources import models as M
 A = ["a b c a", "b c d", "a a b", "c d e", "d e f b", "a c", "f f a", "b b c", "a b c", "c a b"]
 B = ["x a y", "y y b", "a x x", "c y", "x a y b"]
 DEV = ["a b d", "f e x", "c a", "x a y"]
-METHODS = [("witten_bell", {}), ("kneser_ney", {"discount_fallback": True}), ("katz", {}), ("absolute", {}), ("absolute", {"bins": 3}), ("unsmoothed", {})]
+METHODS = [("kneser_ney", {"discount_fallback": True}), ("katz", {}), ("absolute", {"bins": 3})]
 
 
 def _lines(spark, lines):
@@ -88,7 +88,7 @@ def test_reading_one_model_and_order_prunes_partitions(spark):
 
 
 def test_effective_paraphrases_kneser_ney_equals_retraining(spark):
-    cands = ["c d a", "d d", "a b c", "e f a", "", "a", "b c d a b", "f e x"]
+    cands = ["c d a", "", "b c d a b", "f e x"]
     vocab = spark.createDataFrame([(w,) for w in sorted({w for t in A + cands for w in t.split()} | {EOS, UNK})], "w string")
 
     def ppl(lines):
@@ -154,7 +154,7 @@ def test_readers_report_broken_lines(spark):
     assert sorted(map(tuple, got.collect())) == [("<s>", "1"), ("the", "2")] and report.get == {"lines": 4, "malformed": 2}
     report = Observation()
     got = files.read_pairs(spark, _file(["a\tb", "none", "a\tb\tc"]), report)
-    assert [r.text for r in got.orderBy("pair_id").collect()] == ["a\tb", "none", "a\tb\tc"] and report.get == {"lines": 3, "malformed": 2}
+    assert sorted(r.text for r in got.collect()) == ["a\tb", "a\tb\tc", "none"] and report.get == {"lines": 3, "malformed": 2}
     report, repeats = Observation(), Observation()
     v = files.read_vectors(spark, _file(["9 3", "a 1 0 0", "b 0 1", "a 0 0 1", "broken", "c 1 x 0", "d 0 1 0"]), report=report)
     got = files.drop_repeated_words(v, repeats).collect()

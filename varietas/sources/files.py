@@ -31,7 +31,9 @@ def read_sentences(spark: SparkSession, path: str, strip: str = "\n ") -> DataFr
 
 
 def _observed(df: DataFrame, report: Observation | None, **metrics: Column) -> DataFrame:
-    """``df`` whose scan also counts ``metrics`` into ``report`` (filled by the first action; read ``report.get``)."""
+    """``df`` whose scan also counts ``metrics`` into ``report`` (filled by the first action; read ``report.get``).
+
+    What an action scans twice (a sort samples its input first) is counted twice: store the rows first."""
     return df.observe(report, *[m.alias(name) for name, m in metrics.items()]) if report is not None else df
 
 
