@@ -339,6 +339,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows of an id and text stay once; an id that comes with several texts stays once with each of
     them (no text is lost for another's sake); a null id stays as often as it comes.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__nd_id")).distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return known.join(kept, F.col("doc_id") == F.col("__nd_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    kept = store(near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__nd_id")).agg(F.count(F.lit(1)).alias("__nd_n")))
+    of = lambda ids: docs.join(ids.select("__nd_id"), F.col("doc_id") == F.col("__nd_id"), "left_semi")
+    # only rows of ids that repeat are compared by their texts; the others move once, by the id, at any size
+    again = of(small(store(kept.where("__nd_n > 1")))).dropDuplicates(["doc_id", "text"])
+    return of(kept.where("__nd_n = 1").hint("merge")).unionByName(again).unionByName(docs.where("doc_id is null"))
