@@ -180,3 +180,18 @@ def test_vector_index_loses_no_vector_and_finds_most_neighbours(spark):
     assert got.pairs == 860 and got.recall >= 0.9
     none = VI.build_index(u.where("word = 'nothing'"))
     assert VI.near_indexed(words, none, 10).count() == 0
+
+
+def test_queries_are_copied_per_block_of_cells_not_per_cell():
+    import numpy as np
+
+    from varietas.operators import vector_index as VI
+    sizes = {**{c: 10 for c in range(30)}, 30: 900, 31: 10}
+    packed = VI.pack_cells(sizes, 300)
+    assert [packed[c] for c in (0, 29, 30, 31)] == [(0, 1), (0, 1), (1, 3), (4, 1)]
+    first, parts = (np.array([packed[c][i] for c in range(32)]) for i in (0, 1))
+    held = np.array([30, 1, 1, 1, 1])
+    own, block, cells = VI._blocks_of(np.array([list(range(32)), list(range(1, 32)) + [31]])[:, :32], first, parts, held)
+    assert own[:5].tolist() == [0] * 5 and block[:5].tolist() == [0, 1, 2, 3, 4] and cells[:5] == [None] * 5
+    own, block, cells = VI._blocks_of(np.array([[3, 30, 7]]), first, parts, held)
+    assert block.tolist() == [0, 1, 2, 3] and cells[0].tolist() == [3, 7] and cells[1:] == [None] * 3
