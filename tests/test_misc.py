@@ -195,3 +195,18 @@ def test_queries_are_copied_per_block_of_cells_not_per_cell():
     assert own[:5].tolist() == [0] * 5 and block[:5].tolist() == [0, 1, 2, 3, 4] and cells[:5] == [None] * 5
     own, block, cells = VI._blocks_of(np.array([[3, 30, 7]]), first, parts, held)
     assert block.tolist() == [0, 1, 2, 3] and cells[0].tolist() == [3, 7] and cells[1:] == [None] * 3
+
+
+def test_blocks_meet_when_partitions_are_not_coalesced(spark):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 6))
+    u = N.normalize_vectors(spark.createDataFrame([(i, f"w{i:02d}", v.tolist()) for i, v in enumerate(x)], "rank int, word string, v array<double>"))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = N.near(u.select("word"), u, 3, block_rows=16).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {(f"w{i:02d}", f"w{j:02d}") for i in range(60) for j in np.argsort(-(x @ x[i]))[:3]}
+    assert len(got) == 180 and {(r.query, r.word) for r in got} == want
