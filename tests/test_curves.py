@@ -122,3 +122,18 @@ def test_cumulative_curve_kneser_ney_equals_retraining(spark):
         model = L.build_lm(counts, 3, "kneser_ney", discount_fallback=True, vocab=vocab)
         exp = L.perplexity(L.score(dev, model)).first().ppl
         assert math.isclose(curve[i], exp, rel_tol=1e-9), (i, curve[i], exp)
+
+
+def test_prefix_counts_are_taken_before_the_join_with_asked_histories(spark, monkeypatch):
+    """Lines of one word: all events share the empty history, which no task may have to read event by event."""
+    lines = spark.createDataFrame([(i, f"a{' b' * (i % 3)}") for i in range(1, 3001)], "sent_id long, text string").repartition(6)
+    dev = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "a")], "sent_id long, text string")
+    stored = []
+    keep = X.checkpoint
+    monkeypatch.setattr(X, "checkpoint", lambda df: stored.append(keep(df)) or stored[-1])
+    got = {r.i: (round(r.ppl, 9), r.n_words) for r in X.ppl_curve(lines, dev, 10, 10, 3).collect()}
+    counted = [d for d in stored if "p" in d.columns]
+    assert counted and all(d.count() <= 10 * 20 for d in counted)        # a row per n-gram and prefix, not per event
+    monkeypatch.setattr(X, "ASKED_ROWS", 0)                              # the plain join gives the same
+    assert got == {r.i: (round(r.ppl, 9), r.n_words) for r in X.ppl_curve(lines, dev, 10, 10, 3).collect()}
+    assert len(got) == 10 and {n for _, n in got.values()} == {8}

@@ -24,6 +24,10 @@ from varietas.operators import vocab as Vo
 from varietas.operators.ngrams import BOS as BOS_
 from varietas.operators.ngrams import EOS, UNK, ngram_events
 from varietas.operators.rows import first_prefix, row_count
+from varietas.session import checkpoint
+
+# Fixed value: counted rows of what the dev set asks for up to which they are broadcast; a plain join beyond.
+ASKED_ROWS = 200_000
 
 
 def _cumulate(keys: DataFrame, deltas: DataFrame, key_cols: list[str], val: str, first_i: int, max_i) -> DataFrame:
@@ -45,21 +49,30 @@ def curve_from_tagged(tagged: DataFrame, dev: DataFrame, first_i: int, max_i, or
 
     ``tagged`` (p, text): each training line with the first prefix containing it.  Returns (i, ppl, n_words).
     """
-    ev = ngram_events(tagged, order, text_col, keep=["p"])
-    vocab = (ev.where(F.col("ord") == 1).select("w")
-             .unionByName(tagged.sparkSession.createDataFrame([(EOS,), (UNK,)], "w string")).distinct())
+    # words first: the vocabulary decides what the dev set asks for
+    uni = checkpoint(ngram_events(tagged, 1, text_col, keep=["p"]).groupBy("ord", "h", "w", "p").agg(F.count(F.lit(1)).alias("c")))
+    vocab = uni.select("w").unionByName(tagged.sparkSession.createDataFrame([(EOS,), (UNK,)], "w string")).distinct()
     shell = L.LM(order, "witten_bell", None, None, vocab)
     dev_ev = L.scoring_events(dev, shell, dev_key, text_col)
-    keys = dev_ev.groupBy("hs", "w").agg(F.count(F.lit(1)).alias("mult"))
-    kl = keys.select("hs", "w", F.posexplode("hs").alias("_o", "h")).withColumn("ord", F.col("_o") + 1).drop("_o")
+    keys = checkpoint(dev_ev.groupBy("hs", "w").agg(F.count(F.lit(1)).alias("mult")))
+    kl = checkpoint(keys.select("hs", "w", F.posexplode("hs").alias("_o", "h")).withColumn("ord", F.col("_o") + 1).drop("_o"))
     ctx_keys = kl.select("ord", "h").distinct()
     ng_keys = kl.select("ord", "h", "w").distinct()
-    evh = ev.join(ctx_keys, ["ord", "h"], "left_semi")
-    d_ch = evh.groupBy("ord", "h", "p").agg(F.count(F.lit(1)).alias("c_h"))
-    first = evh.groupBy("ord", "h", "w").agg(F.min("p").alias("p"))
+    # n-grams are counted per prefix before anything is grouped by history: a history that much of the corpus shares is a
+    # row per word and prefix, and no join moves the words, which all share the empty history
+    longer = ctx_keys.where(F.col("ord") > 1)
+    ev = ngram_events(tagged, order, text_col, keep=["p"]).where(F.col("ord") > 1)
+    few = kl.count() <= ASKED_ROWS
+    if few:
+        ev = ev.join(F.broadcast(longer), ["ord", "h"], "left_semi")         # the rest is never shuffled
+    more = ev.groupBy("ord", "h", "w", "p").agg(F.count(F.lit(1)).alias("c"))
+    if not few:
+        more = more.join(longer, ["ord", "h"], "left_semi")
+    raw = checkpoint(uni.unionByName(more))
+    d_ch = raw.groupBy("ord", "h", "p").agg(F.sum("c").alias("c_h"))
+    first = raw.groupBy("ord", "h", "w").agg(F.min("p").alias("p"))
     d_th = first.groupBy("ord", "h", "p").agg(F.count(F.lit(1)).alias("t_h"))
-    d_c = evh.join(ng_keys, ["ord", "h", "w"], "left_semi").groupBy("ord", "h", "w", "p") \
-        .agg(F.count(F.lit(1)).alias("c"))
+    d_c = raw.join(ng_keys, ["ord", "h", "w"], "left_semi")
     ctx = _cumulate(ctx_keys, d_ch, ["ord", "h"], "c_h", first_i, max_i) \
         .join(_cumulate(ctx_keys, d_th, ["ord", "h"], "t_h", first_i, max_i), ["ord", "h", "i"])
     ng = _cumulate(ng_keys, d_c, ["ord", "h", "w"], "c", first_i, max_i)
