@@ -137,3 +137,40 @@ def test_prefix_counts_are_taken_before_the_join_with_asked_histories(spark, mon
     monkeypatch.setattr(X, "ASKED_ROWS", 0)                              # the plain join gives the same
     assert got == {r.i: (round(r.ppl, 9), r.n_words) for r in X.ppl_curve(lines, dev, 10, 10, 3).collect()}
     assert len(got) == 10 and {n for _, n in got.values()} == {8}
+
+
+def test_candidates_meet_keys_in_blocks(spark, monkeypatch):
+    """Many dev keys share a candidate's words: what is shuffled is a row per changed n-gram, not per (key, candidate)."""
+    from varietas.operators import states as ST
+    moved = []
+    keep = ST.asked_moves
+    monkeypatch.setattr(ST, "asked_moves", lambda *a: moved.append(keep(*a)) or moved[-1])
+    for name, value in (("CANDS", 3), ("KEYS", 7), ("PAIRS", 5)):
+        monkeypatch.setattr(ST, name, value)
+    base = spark.createDataFrame([(t,) for t in BASE], "text string")
+    texts = CANDS + ["", "a", "b c d a b"]
+    cands = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "cand_id long, text string")
+    lines = ["a b d", "f e", "c a", "d d a b c a e a d b a", "a"]
+    dev = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "sent_id long, text string")
+    vocab = sorted({w for t in BASE + texts for w in t.split()} | {EOS, UNK})
+    got = {r.cand_id: r.ppl for r in X.effective_paraphrases(base, cands, dev).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i in (0, 3, 5, 7):
+        assert math.isclose(got[i], _retrain_ppl(spark, BASE + [texts[i]], vocab, dev), rel_tol=1e-9)
+    numbers, moves = moved[0]
+    assert numbers.select("bucket").distinct().count() > 1
+    assert moves.groupBy("t", "bucket", "id").count().where("count > 1").count() == 0
+
+
+def test_candidates_whose_model_gives_probability_zero(spark):
+    """A key of probability 0 in the base only, or with the candidate only, is no difference of infinities."""
+    import numpy as np
+    from varietas.operators import states as ST
+    method = ST.Method(["cw"], ["ch", "th"], [], lambda s, g: np.log10(s["cw1"] + s["eos"] + 0.0 * g["p0"]))
+    keys = spark.createDataFrame([("k", 2, 0, 0), ("n", 1, 0, 0)], "kid string, mult long, bos int, eos int")
+    grams = spark.createDataFrame([("k", 1, "", "a"), ("n", 1, "", "b")], "kid string, ord int, h string, w string")
+    word = spark.createDataFrame([(1, "", "a", 0, 10), (1, "", "b", 1, 10), (1, "", "a", 2, 90), (1, "", "b", 2, 1)], "ord int, h string, w string, t long, cw long")
+    history = spark.createDataFrame([], "ord int, h string, t long, ch long, th long")
+    glob = spark.range(4).select(F.col("id").alias("t"), F.lit(1.0).alias("p0"))
+    got = {r.t: r.total for r in ST.candidate_totals(keys, grams, word, history, glob, method, 1, 3).collect()}
+    assert got == {0: -math.inf, 1: 3.0, 2: 4.0, 3: -math.inf}

@@ -7,7 +7,8 @@ counts and of its longer histories' totals.  Keys with equal tuples are one clas
 class to another, as signed weights (class, t, +-mult).  The log probability of model t is then the sum over classes of weight times
 log p(class, globals of t), which :func:`total_log10` evaluates in blocks of ``BLOCK`` models x some thousand
 classes with numpy, one cogroup per (block, bucket of classes); nothing but change points, block carry-ins
-and partial sums is shuffled.
+and partial sums is shuffled.  Candidates that are each added alone to one base (:func:`candidate_totals`) share the base's
+states: what is added is the difference their changes make to the keys they touch.
 
 :func:`witten_bell` and :func:`kneser_ney` give the columns and the formula of a method.
 """
@@ -29,6 +30,8 @@ from varietas.session import checkpoint
 
 # Models per block, buckets of classes, classes per numpy step.
 BLOCK, BUCKETS, STEP = 256, 16, 2048
+# Candidates per block, dev keys per bucket (about), (candidate, key) pairs per numpy step.
+CANDS, KEYS, PAIRS = 1024, 8192, 1 << 18
 FLAGS = ["bos", "eos"]
 
 
@@ -135,19 +138,121 @@ def _weights(states: DataFrame, method: Method, order: int) -> DataFrame:
     return rows.groupBy(*cols, "t").agg(F.sum("weight").alias("weight")).where("weight <> 0")
 
 
-def touched_weights(keys: DataFrame, base: DataFrame, touched: DataFrame, method: Method, order: int, first: int) -> DataFrame:
-    """(state columns, t, weight) when model t is the base with the changes of candidate t alone.
+def asked_moves(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, history_moves: DataFrame, method: Method, order: int,
+                buckets: int) -> tuple[DataFrame, DataFrame]:
+    """What candidates change of what the dev keys ask for, joined to the n-grams' numbers and not to the keys.
 
-    ``base`` (kid, state columns) holds the base states, ``touched`` (kid, t, state columns) the changes.
+    Returns (kid, bucket, g1..gN, x2..xN), the numbers of a key's n-grams and histories, and (t, bucket, id, changes): a row per
+    changed n-gram or history and bucket of keys that asks for it, however many keys do.
     """
-    cols = [c for c in state_columns(method, order) if c not in FLAGS]
-    base = keys.join(base, "kid", "left").select("kid", "mult", *FLAGS, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in cols])
-    always = base.withColumn("t", F.lit(first).cast("long")).withColumn("until", F.lit(None).cast("long"))
-    delta = touched.select("kid", F.col("t").cast("long").alias("t"), *[F.col(c).alias(f"_{c}") for c in cols])
-    both = base.join(delta, "kid").withColumn("until", F.col("t") + 1)
-    out = both.withColumn("mult", -F.col("mult")).select(*always.columns)
-    into = both.select("kid", "mult", *FLAGS, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in cols], "t", "until")
-    return _weights(always.unionByName(out).unionByName(into.select(*always.columns)), method, order)
+    own = grams.where((F.col("ord") > 1) | (F.col("w") != EOS)).select("kid", "ord", "h", "w", F.lit(True).alias("own"))
+    hist = grams.where(~is_global(F.col("ord"), F.col("h"))).select("kid", "ord", "h", F.lit("").alias("w"), F.lit(False).alias("own"))
+    asked = own.unionByName(hist)
+    ids = checkpoint(asked.select("ord", "h", "w", "own").distinct().withColumn("id", F.monotonically_increasing_id()))
+    bucket = F.pmod(F.xxhash64("kid"), F.lit(buckets)).alias("bucket")
+    asked = checkpoint(asked.join(ids, ["ord", "h", "w", "own"]).select("kid", bucket, "ord", "own", "id"))
+    pick = lambda own, m: F.max(F.when((F.col("own") == own) & (F.col("ord") == m), F.col("id")))
+    numbers = keys.select("kid", bucket).join(asked.groupBy("kid").agg(
+        *[pick(True, m).alias(f"g{m}") for m in range(1, order + 1)], *[pick(False, m).alias(f"x{m}") for m in range(2, order + 1)]), "kid", "left")
+    places = ids.join(asked.select("id", "bucket").distinct(), "id")
+    zero = F.lit(0).cast("long")
+    of_words = word_moves.join(places.where("own").drop("own"), ["ord", "h", "w"]) \
+        .select("t", "bucket", "id", *method.word, *[zero.alias(x) for x in method.history])
+    of_histories = history_moves.join(places.where(~F.col("own")).drop("own", "w"), ["ord", "h"]) \
+        .select("t", "bucket", "id", *[zero.alias(x) for x in method.word], *method.history)
+    return numbers, of_words.unionByName(of_histories)
+
+
+def candidate_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, history_moves: DataFrame, globals_: DataFrame,
+                     method: Method, order: int, last: int) -> DataFrame:
+    """(t, total): sum over dev keys of mult x log10 p, when model t is the base (the moves of t = 0) with those of candidate t alone.
+
+    ``CANDS`` candidates and a bucket of about ``KEYS`` dev keys meet in one cogroup: the base states' sum under each candidate's
+    globals, and for the keys it touches the difference its changes make.  A (key, candidate) pair exists in numpy only,
+    ``PAIRS`` at a time.
+    """
+    cols = state_columns(method, order)
+    own, of_candidates = F.col("t") == 0, F.col("t") > 0
+    base = key_moves(grams, word_moves.where(own).drop("t"), history_moves.where(own).drop("t"), method, order, [])
+    buckets = max(1, -(-keys.count() // KEYS))
+    numbers, moves = asked_moves(keys, grams, word_moves.where(of_candidates), history_moves.where(of_candidates), method, order, buckets)
+    zero, minus = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    slots = [(f"g{m}", m, method.word) for m in range(1, order + 1)] + [(f"x{m}", m, method.history) for m in range(2, order + 1)]
+    left = keys.join(base, "kid", "left").join(numbers, "kid").select(
+        "bucket", "mult", *FLAGS, *[F.coalesce(c, zero).alias(c) for c in cols if c not in FLAGS], *[F.coalesce(g, minus).alias(g) for g, _, _ in slots])
+    left = left.withColumn("b", F.explode(F.sequence(zero, F.lit(last // CANDS).cast("long"))))
+    names, changes = [c for c in globals_.columns if c != "t"], method.word + method.history
+    number = checkpoint(globals_).select("t", F.explode(F.sequence(zero, F.lit(buckets - 1).cast("long"))).alias("bucket"), minus.alias("id"),
+                             *[F.col(c).cast("double").alias(f"_{c}") for c in names], *[zero.alias(c) for c in changes])
+    moves = moves.select("t", "bucket", "id", *[F.lit(None).cast("double").alias(f"_{c}") for c in names], *changes)
+    right = number.unionByName(moves).withColumn("b", F.floor(F.col("t") / CANDS))
+    log10 = method.log10
+
+    def finite(state: dict, glob: dict) -> tuple[np.ndarray, np.ndarray]:
+        """log10 p, 0 where p is 0, and whether it is: sums of differences stay defined."""
+        with np.errstate(divide="ignore"):
+            lp = log10(state, glob)
+        dead = np.isneginf(lp)
+        return np.where(dead, 0.0, lp), dead
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        glob = right[right["id"] < 0].sort_values("t")
+        ts = glob["t"].to_numpy(np.int64)
+        if len(left) == 0 or len(ts) == 0:
+            return pd.DataFrame({"t": pd.Series([], dtype="int64"), "total": pd.Series([], dtype="float64"), "dead": pd.Series([], dtype="int64")})
+        state, mult = left[cols].to_numpy(np.float64), left["mult"].to_numpy(np.float64)
+        g = glob[[f"_{c}" for c in names]].to_numpy(np.float64)
+        # all keys in their base states: distinct states x distinct globals
+        classes, of = np.unique(state, axis=0, return_inverse=True)
+        weight = np.bincount(of.ravel(), mult)
+        kinds, kind = np.unique(g, axis=0, return_inverse=True)
+        total, zeros = np.zeros(len(kinds)), np.zeros(len(kinds))
+        for lo in range(0, len(classes), STEP // 8):
+            part = classes[lo:lo + STEP // 8]
+            lp, dead = finite({c: part[:, i, None] for i, c in enumerate(cols)}, {c: kinds[None, :, i] for i, c in enumerate(names)})
+            total += weight[lo:lo + STEP // 8] @ lp
+            zeros += weight[lo:lo + STEP // 8] @ dead
+        total, zeros = total[kind.ravel()], zeros[kind.ravel()]
+        # the keys a candidate touches: the difference between their changed and their base states
+        moves = right[right["id"] >= 0].sort_values("t", kind="stable")
+        who, ids = np.searchsorted(ts, moves["t"].to_numpy(np.int64)), moves["id"].to_numpy(np.int64)
+        found = []
+        for slot, m, changed in slots:
+            asked = left[slot].to_numpy(np.int64)
+            order_ = np.argsort(asked, kind="stable")
+            start = np.searchsorted(asked[order_], ids, "left")
+            found.append((order_, start, np.searchsorted(asked[order_], ids, "right") - start, [cols.index(f"{x}{m}") for x in changed],
+                          moves[changed].to_numpy(np.float64)))
+        before = np.r_[0, np.cumsum(sum(f[2] for f in found))]              # pairs before each move
+        first_of = np.searchsorted(who, np.arange(len(ts) + 1))              # a candidate's moves stay together
+        at = 0
+        while at < len(ts):
+            end = int(np.searchsorted(before[first_of], before[first_of[at]] + PAIRS, "right")) - 1
+            end = min(max(end, at + 1), len(ts))
+            lo, hi = first_of[at], first_of[end]
+            codes, values = [], []
+            for order_, start, count, _, change in found:
+                n = count[lo:hi]
+                row = np.repeat(np.arange(lo, hi), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                codes.append(who[row] * len(left) + order_[start[row] + place])
+                values.append(change[row])
+            at = end
+            pairs, place = np.unique(np.concatenate(codes), return_inverse=True)
+            t, key = pairs // len(left), pairs % len(left)
+            new, splits = state[key], np.split(place.ravel(), np.cumsum([len(c) for c in codes])[:-1])
+            for (_, _, _, into, _), value, rows in zip(found, values, splits):
+                for j, c in enumerate(into):
+                    new[rows, c] += value[:, j]                              # one change per candidate, key and slot
+            here = {c: g[t, i] for i, c in enumerate(names)}
+            lp, dead = finite({c: new[:, i] for i, c in enumerate(cols)}, here)
+            lp0, dead0 = finite({c: state[key, i] for i, c in enumerate(cols)}, here)
+            total += np.bincount(t, mult[key] * (lp - lp0), len(ts))
+            zeros += np.bincount(t, mult[key] * (dead.astype(float) - dead0), len(ts))
+        return pd.DataFrame({"t": ts, "total": total, "dead": zeros.astype(np.int64)})
+
+    parts = left.groupBy("b", "bucket").cogroup(right.groupBy("b", "bucket")).applyInPandas(run, "t long, total double, dead long")
+    return parts.groupBy("t").agg(F.when(F.sum("dead") > 0, F.lit(float("-inf"))).otherwise(F.sum("total")).alias("total"))
 
 
 def total_log10(weights: DataFrame, globals_: DataFrame, method: Method, order: int, last: int) -> DataFrame:

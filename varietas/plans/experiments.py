@@ -204,8 +204,8 @@ def effective_paraphrases(base: DataFrame, candidates: DataFrame, dev: DataFrame
 
     No model is trained per candidate and no (candidate x dev key) table is built.  A candidate changes the
     totals of the empty history and of ``<s>`` and, for ``kneser_ney``, the count-of-counts and so the discounts, for every dev
-    key alike: its row of globals.  The keys that use its n-grams or histories are found by equi-joins and move to
-    other classes (:mod:`varietas.operators.states`).  The vocabulary is that of base and all candidates.
+    key alike: its row of globals.  Its n-grams and histories are joined to the distinct ones the dev set asks for; the keys
+    that use them are found inside the blocks (:func:`varietas.operators.states.candidate_totals`).  The vocabulary is that of base and all candidates.
     """
     from varietas.operators import states as ST
     from varietas.operators.rows import with_row_index
@@ -214,14 +214,10 @@ def effective_paraphrases(base: DataFrame, candidates: DataFrame, dev: DataFrame
     last = numbered.count()
     vocab, word, history, cc = ST.candidate_moves(base.select(F.col(text_col).alias("text")), numbered.select("t", "text"), m, order, "text")
     keys, grams = ST.dev_keys(dev, order, vocab, dev_key, text_col)
-    own, of_candidates = F.col("t") == 0, F.col("t") > 0
-    start = ST.key_moves(grams, word.where(own).drop("t"), history.where(own).drop("t"), m, order, [])
-    touched = ST.key_moves(grams, word.where(of_candidates), history.where(of_candidates), m, order, ["t"])
-    weights = ST.touched_weights(keys, start, touched, m, order, 0)
     glob = ST.dense_globals(0, last, word, history, m, vocab, cc, order, cumulative=False)
     n = keys.select(F.sum("mult")).scalar()
-    from varietas.session import checkpoint
-    ppl = checkpoint(ST.total_log10(weights, glob, m, order, last).select("t", F.pow(F.lit(10.0), -F.col("total") / n).alias("ppl")))
+    total = ST.candidate_totals(keys, grams, word, history, glob, m, order, last)
+    ppl = checkpoint(total.select("t", F.pow(F.lit(10.0), -F.col("total") / n).alias("ppl")))
     base_ppl = F.lit(float(baseline)) if baseline is not None else ppl.where("t = 0").select("ppl").scalar()
     return numbered.join(ppl, "t").select(cand_key, "ppl", (F.col("ppl") < base_ppl).alias("effective"))
 
