@@ -174,3 +174,18 @@ def test_candidates_whose_model_gives_probability_zero(spark):
     glob = spark.range(4).select(F.col("id").alias("t"), F.lit(1.0).alias("p0"))
     got = {r.t: r.total for r in ST.candidate_totals(keys, grams, word, history, glob, method, 1, 3).collect()}
     assert got == {0: -math.inf, 1: 3.0, 2: 4.0, 3: -math.inf}
+
+
+def test_cumulative_models_meet_keys_in_blocks(spark, monkeypatch):
+    """Sums carried from block to block; what is shuffled is a row per changed n-gram, not per key and change."""
+    from varietas.operators import states as ST
+    base = spark.createDataFrame([(t,) for t in BASE], "text string")
+    texts = [" ".join("abcd"[(i * j) % 4] for j in range(1, 2 + i % 4)) + f" x{i % 3}" for i in range(11)]
+    cands = spark.createDataFrame([(t,) for t in texts], "text string")
+    dev = spark.createDataFrame([(i, t) for i, t in enumerate(DEV + ["d d a b c a e a d b a", "x1 a"])], "sent_id long, text string")
+    whole = {r.i: r.ppl for r in X.cumulative_paraphrase_curve(base, cands, dev, seed=3).collect()}
+    for name, value in (("CANDS", 3), ("KEYS", 7), ("ROWS", 2)):
+        monkeypatch.setattr(ST, name, value)
+    got = {r.i: r.ppl for r in X.cumulative_paraphrase_curve(base, cands, dev, seed=3).collect()}
+    assert sorted(got) == sorted(whole) == list(range(len(set(texts)) + 1))
+    assert all(math.isclose(got[i], whole[i], rel_tol=1e-12) for i in got)

@@ -2,13 +2,13 @@
 
 A run of models t = first..last shares most of its statistics: adding one sentence changes the totals of the
 empty history and of ``<s>`` for every dev key, and anything else only for the keys that use the sentence's
-n-grams.  So a model is a row of *globals* (totals, discounts), and a dev key is a *class*: the tuple of its
-counts and of its longer histories' totals.  Keys with equal tuples are one class; a key that is touched moves from a
-class to another, as signed weights (class, t, +-mult).  The log probability of model t is then the sum over classes of weight times
-log p(class, globals of t), which :func:`total_log10` evaluates in blocks of ``BLOCK`` models x some thousand
-classes with numpy, one cogroup per (block, bucket of classes); nothing but change points, block carry-ins
-and partial sums is shuffled.  Candidates that are each added alone to one base (:func:`candidate_totals`) share the base's
-states: what is added is the difference their changes make to the keys they touch.
+n-grams.  So a model is a row of *globals* (totals, discounts), and a dev key is a *state*: its counts and its longer
+histories' totals.  What is shuffled are changes (n-gram or history, t), joined to the distinct ones that dev keys ask for
+(:func:`asked_moves`), and the keys once per block of ``CANDS`` models.  Inside a block numpy finds the keys a change touches:
+
+* :func:`cumulative_totals`: sentences come in one after another, states are running sums;
+* :func:`candidate_totals`: each sentence is added alone to one base; what is added to the base states' sum is the difference
+  its changes make to the keys they touch.
 
 :func:`witten_bell` and :func:`kneser_ney` give the columns and the formula of a method.
 """
@@ -28,10 +28,8 @@ from varietas.operators.ngrams import BOS, EOS, ngram_events
 from varietas.operators.rows import running_totals
 from varietas.session import checkpoint
 
-# Models per block, buckets of classes, classes per numpy step.
-BLOCK, BUCKETS, STEP = 256, 16, 2048
-# Candidates per block, dev keys per bucket (about), (candidate, key) pairs per numpy step.
-CANDS, KEYS, PAIRS = 1024, 8192, 1 << 18
+# Models per block, dev keys per bucket (about), (candidate, key) pairs, classes and keys per numpy step.
+CANDS, KEYS, PAIRS, STEP, ROWS = 1024, 8192, 1 << 18, 256, 256
 FLAGS = ["bos", "eos"]
 
 
@@ -119,25 +117,6 @@ def key_moves(grams: DataFrame, word_moves: DataFrame, history_moves: DataFrame,
         *[F.sum(F.when(F.col("ord") == m, F.col(x)).otherwise(0)).alias(f"{x}{m}") for x, m in cols])
 
 
-def class_weights(keys: DataFrame, moves: DataFrame, method: Method, order: int, first: int) -> DataFrame:
-    """(state columns, t, weight): signed weights of the classes when the changes ``moves`` (kid, t, ...) add up over t."""
-    cols = [c for c in state_columns(method, order) if c not in FLAGS]
-    start = keys.select("kid", F.lit(first).cast("long").alias("t"), *[F.lit(0).cast("long").alias(c) for c in cols])
-    moves = moves.select("kid", F.greatest(F.col("t"), F.lit(first)).cast("long").alias("t"), *cols)
-    steps = start.unionByName(moves).groupBy("kid", "t").agg(*[F.sum(c).alias(c) for c in cols])
-    line = Window.partitionBy("kid").orderBy("t")                     # a key's change points, at most one per model
-    states = steps.select("kid", "t", F.lead("t").over(line).alias("until"), *[F.sum(c).over(line).alias(c) for c in cols])
-    return _weights(states.join(keys, "kid"), method, order)
-
-
-def _weights(states: DataFrame, method: Method, order: int) -> DataFrame:
-    """Weights of (t, until, mult, state) rows, summed per class and t."""
-    cols = state_columns(method, order)
-    rows = states.select(*cols, F.inline(F.array(F.struct(F.col("t"), F.col("mult").alias("weight")),
-                                                 F.struct(F.col("until").alias("t"), (-F.col("mult")).alias("weight"))))).where(F.col("t").isNotNull())
-    return rows.groupBy(*cols, "t").agg(F.sum("weight").alias("weight")).where("weight <> 0")
-
-
 def asked_moves(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, history_moves: DataFrame, method: Method, order: int,
                 buckets: int) -> tuple[DataFrame, DataFrame]:
     """What candidates change of what the dev keys ask for, joined to the n-grams' numbers and not to the keys.
@@ -163,6 +142,77 @@ def asked_moves(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, histor
     return numbers, of_words.unionByName(of_histories)
 
 
+def _slots(method: Method, order: int) -> list[tuple[str, int, list[str]]]:
+    """A key's numbers (:func:`asked_moves`) with the order and the columns that their changes go to."""
+    return [(f"g{m}", m, method.word) for m in range(1, order + 1)] + [(f"x{m}", m, method.history) for m in range(2, order + 1)]
+
+
+def _global_rows(globals_: DataFrame, moves: DataFrame, method: Method, buckets: int) -> DataFrame:
+    """Rows of the globals (id -1) for every bucket, and the moves, in one table with the block ``b`` of their t."""
+    names, changes = [c for c in globals_.columns if c != "t"], method.word + method.history
+    zero, minus = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    rows = checkpoint(globals_).select("t", F.explode(F.sequence(zero, F.lit(buckets - 1).cast("long"))).alias("bucket"), minus.alias("id"),
+                                       *[F.col(c).cast("double").alias(f"_{c}") for c in names], *[zero.alias(c) for c in changes])
+    moves = moves.select("t", "bucket", "id", *[F.lit(None).cast("double").alias(f"_{c}") for c in names], *changes)
+    return rows.unionByName(moves).withColumn("b", F.floor(F.col("t") / CANDS))
+
+
+def cumulative_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, history_moves: DataFrame, globals_: DataFrame,
+                      method: Method, order: int, last: int) -> DataFrame:
+    """(t, total): sum over dev keys of mult x log10 p, when the moves up to t add up to model t.
+
+    ``CANDS`` models and a bucket of about ``KEYS`` dev keys meet in one cogroup, with the moves of these models and, per asked
+    n-gram, the sum of all moves before.  A key's states are running sums in numpy, ``ROWS`` keys at a time.
+    """
+    cols = state_columns(method, order)
+    buckets = max(1, -(-keys.count() // KEYS))
+    numbers, moves = asked_moves(keys, grams, word_moves, history_moves, method, order, buckets)
+    zero, minus, end = F.lit(0).cast("long"), F.lit(-1).cast("long"), F.lit(last // CANDS).cast("long")
+    slots, names, changes = _slots(method, order), [c for c in globals_.columns if c != "t"], method.word + method.history
+    left = keys.join(numbers, "kid").select("bucket", "mult", *FLAGS, *[F.coalesce(g, minus).alias(g) for g, _, _ in slots])
+    left = left.withColumn("b", F.explode(F.sequence(zero, end)))
+    per = moves.groupBy("bucket", "id", F.floor(F.col("t") / CANDS).alias("b")).agg(*[F.sum(c).alias(c) for c in changes])
+    line = Window.partitionBy("bucket", "id").orderBy("b")               # at most one row per block
+    sums = per.select("bucket", "id", "b", F.coalesce(F.lead("b").over(line), end).alias("next"), *[F.sum(c).over(line).alias(c) for c in changes])
+    carried = sums.where(F.col("b") < end).select("bucket", "id", F.explode(F.sequence(F.col("b") + 1, "next")).alias("b"), *changes)
+    carried = carried.select((F.col("b") * CANDS).alias("t"), "bucket", "id", *changes)
+    right = _global_rows(globals_, moves.unionByName(carried), method, buckets)
+    log10 = method.log10
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        glob = right[right["id"] < 0].sort_values("t")
+        ts = glob["t"].to_numpy(np.int64)
+        if len(left) == 0 or len(ts) == 0:
+            return pd.DataFrame({"t": pd.Series([], dtype="int64"), "total": pd.Series([], dtype="float64")})
+        g = {c: glob[f"_{c}"].to_numpy(np.float64)[None, :] for c in names}
+        moves = right[right["id"] >= 0].sort_values("id", kind="stable")
+        ids, at = moves["id"].to_numpy(np.int64), np.searchsorted(ts, moves["t"].to_numpy(np.int64))
+        change = {c: moves[c].to_numpy(np.float64) for c in changes}
+        # keys that ask for the same of what has moved so far are one
+        asked = left[[s for s, _, _ in slots]].to_numpy(np.int64)
+        asked = np.where(np.isin(asked, ids), asked, -1)
+        kinds, kind = np.unique(np.column_stack([left[FLAGS].to_numpy(np.int64), asked]), axis=0, return_inverse=True)
+        mult = np.bincount(kind.ravel(), left["mult"].to_numpy(np.float64))
+        total = np.zeros(len(ts))
+        for lo in range(0, len(kinds), ROWS):
+            part = kinds[lo:lo + ROWS]
+            state = {c: part[:, i, None].astype(np.float64) for i, c in enumerate(FLAGS)}
+            for i, (_, m, into) in enumerate(slots, start=len(FLAGS)):
+                start = np.searchsorted(ids, part[:, i], "left")
+                count = np.searchsorted(ids, part[:, i], "right") - start
+                row = np.repeat(np.arange(len(part)), count)
+                move = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                place = row * len(ts) + at[move]
+                for c in into:
+                    step = np.bincount(place, change[c][move], len(part) * len(ts)).reshape(len(part), len(ts))
+                    state[f"{c}{m}"] = np.cumsum(step, axis=1)
+            total += mult[lo:lo + ROWS] @ log10(state, g)
+        return pd.DataFrame({"t": ts, "total": total})
+
+    parts = left.groupBy("b", "bucket").cogroup(right.groupBy("b", "bucket")).applyInPandas(run, "t long, total double")
+    return parts.groupBy("t").agg(F.sum("total").alias("total"))
+
+
 def candidate_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, history_moves: DataFrame, globals_: DataFrame,
                      method: Method, order: int, last: int) -> DataFrame:
     """(t, total): sum over dev keys of mult x log10 p, when model t is the base (the moves of t = 0) with those of candidate t alone.
@@ -177,15 +227,12 @@ def candidate_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, h
     buckets = max(1, -(-keys.count() // KEYS))
     numbers, moves = asked_moves(keys, grams, word_moves.where(of_candidates), history_moves.where(of_candidates), method, order, buckets)
     zero, minus = F.lit(0).cast("long"), F.lit(-1).cast("long")
-    slots = [(f"g{m}", m, method.word) for m in range(1, order + 1)] + [(f"x{m}", m, method.history) for m in range(2, order + 1)]
+    slots = _slots(method, order)
     left = keys.join(base, "kid", "left").join(numbers, "kid").select(
         "bucket", "mult", *FLAGS, *[F.coalesce(c, zero).alias(c) for c in cols if c not in FLAGS], *[F.coalesce(g, minus).alias(g) for g, _, _ in slots])
     left = left.withColumn("b", F.explode(F.sequence(zero, F.lit(last // CANDS).cast("long"))))
-    names, changes = [c for c in globals_.columns if c != "t"], method.word + method.history
-    number = checkpoint(globals_).select("t", F.explode(F.sequence(zero, F.lit(buckets - 1).cast("long"))).alias("bucket"), minus.alias("id"),
-                             *[F.col(c).cast("double").alias(f"_{c}") for c in names], *[zero.alias(c) for c in changes])
-    moves = moves.select("t", "bucket", "id", *[F.lit(None).cast("double").alias(f"_{c}") for c in names], *changes)
-    right = number.unionByName(moves).withColumn("b", F.floor(F.col("t") / CANDS))
+    names = [c for c in globals_.columns if c != "t"]
+    right = _global_rows(globals_, moves, method, buckets)
     log10 = method.log10
 
     def finite(state: dict, glob: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -207,11 +254,11 @@ def candidate_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, h
         weight = np.bincount(of.ravel(), mult)
         kinds, kind = np.unique(g, axis=0, return_inverse=True)
         total, zeros = np.zeros(len(kinds)), np.zeros(len(kinds))
-        for lo in range(0, len(classes), STEP // 8):
-            part = classes[lo:lo + STEP // 8]
+        for lo in range(0, len(classes), STEP):
+            part = classes[lo:lo + STEP]
             lp, dead = finite({c: part[:, i, None] for i, c in enumerate(cols)}, {c: kinds[None, :, i] for i, c in enumerate(names)})
-            total += weight[lo:lo + STEP // 8] @ lp
-            zeros += weight[lo:lo + STEP // 8] @ dead
+            total += weight[lo:lo + STEP] @ lp
+            zeros += weight[lo:lo + STEP] @ dead
         total, zeros = total[kind.ravel()], zeros[kind.ravel()]
         # the keys a candidate touches: the difference between their changed and their base states
         moves = right[right["id"] >= 0].sort_values("t", kind="stable")
@@ -255,47 +302,6 @@ def candidate_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, h
     return parts.groupBy("t").agg(F.when(F.sum("dead") > 0, F.lit(float("-inf"))).otherwise(F.sum("total")).alias("total"))
 
 
-def total_log10(weights: DataFrame, globals_: DataFrame, method: Method, order: int, last: int) -> DataFrame:
-    """(t, total): sum over classes of weight x log10 p for every model t of ``globals_`` (t, p0, totals, discounts)."""
-    cols = state_columns(method, order)
-    block = F.floor(F.col("t") / BLOCK)
-    moves = weights.withColumn("b", block).groupBy(*cols, "b").agg(
-        F.array_sort(F.collect_list(F.struct("t", "weight"))).alias("moves"), F.sum("weight").alias("d"))
-    line = Window.partitionBy(*cols).orderBy("b")
-    spans = moves.select(*cols, "b", "moves", (F.sum("d").over(line) - F.col("d")).alias("carry"), F.sum("d").over(line).alias("after"),
-                         F.coalesce(F.lead("b").over(line), F.lit(last // BLOCK + 1)).alias("next"))
-    none = F.array().cast("array<struct<t:bigint,weight:bigint>>")
-    # blocks in which a class has weight but no change
-    quiet = spans.where((F.col("after") != 0) & (F.col("next") > F.col("b") + 1)).select(
-        *cols, F.explode(F.sequence(F.col("b") + 1, F.col("next") - 1)).alias("b"), F.col("after").alias("carry"), none.alias("moves"))
-    rows = spans.select(*cols, "b", "carry", "moves").unionByName(quiet.select(*cols, "b", "carry", "moves"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*cols), F.lit(BUCKETS)))
-    glob = globals_.withColumn("b", block).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long"))))
-    log10, names = method.log10, [c for c in globals_.columns if c != "t"]
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("t")
-        ts = right["t"].to_numpy(np.int64)
-        if len(left) == 0 or len(ts) == 0:
-            return pd.DataFrame({"t": pd.Series([], dtype="int64"), "total": pd.Series([], dtype="float64")})
-        g = {c: right[c].to_numpy(np.float64)[None, :] for c in names}
-        total = np.zeros(len(ts))
-        for lo in range(0, len(left), STEP):
-            part = left.iloc[lo:lo + STEP]
-            weight = np.zeros((len(part), len(ts) + 1))
-            weight[:, 0] = part["carry"].to_numpy(np.float64)
-            for i, changes in enumerate(part["moves"]):
-                for change in changes:
-                    weight[i, np.searchsorted(ts, change["t"])] += change["weight"]
-            weight = np.cumsum(weight, axis=1)[:, :len(ts)]
-            state = {c: part[c].to_numpy(np.float64)[:, None] for c in cols}
-            total += np.where(weight != 0, weight * log10(state, g), 0.0).sum(axis=0)
-        return pd.DataFrame({"t": ts, "total": total})
-
-    parts = rows.groupBy("b", "bucket").cogroup(glob.groupBy("b", "bucket")).applyInPandas(run, "t long, total double")
-    return parts.groupBy("t").agg(F.sum("total").alias("total"))
-
-
 def dense_globals(first: int, last: int, word_moves: DataFrame, history_moves: DataFrame, method: Method, vocab: DataFrame,
                   cc_moves: DataFrame | None = None, order: int = 3, cumulative: bool = True) -> DataFrame:
     """(t, p0, totals of the empty history and of ``<s>``, count of ``</s>``, discounts) for t = first..last.

@@ -130,10 +130,9 @@ def cumulative_paraphrase_curve(base: DataFrame, candidates: DataFrame, dev: Dat
     m = _state_method(method, order, k)
     vocab, word, history, cc = ST.curve_moves(tagged, m, order, "text")
     keys, grams = ST.dev_keys(dev, order, vocab, dev_key, text_col)
-    weights = ST.class_weights(keys, ST.key_moves(grams, word, history, m, order, ["t"]), m, order, 0)
     glob = ST.dense_globals(0, last, word, history, m, vocab, cc, order)
     n = keys.select(F.sum("mult")).scalar()
-    total = ST.total_log10(weights, glob, m, order, last)
+    total = ST.cumulative_totals(keys, grams, word, history, glob, m, order, last)
     return total.select(F.col("t").alias("i"), F.pow(F.lit(10.0), -F.col("total") / n).alias("ppl"), n.alias("n_words"))
 
 
