@@ -145,7 +145,7 @@ def test_candidates_meet_keys_in_blocks(spark, monkeypatch):
     moved = []
     keep = ST.asked_moves
     monkeypatch.setattr(ST, "asked_moves", lambda *a: moved.append(keep(*a)) or moved[-1])
-    for name, value in (("CANDS", 3), ("KEYS", 7), ("PAIRS", 5)):
+    for name, value in (("BLOCK", 3), ("KEYS", 7), ("PAIRS", 5)):
         monkeypatch.setattr(ST, name, value)
     base = spark.createDataFrame([(t,) for t in BASE], "text string")
     texts = CANDS + ["", "a", "b c d a b"]
@@ -184,7 +184,7 @@ def test_cumulative_models_meet_keys_in_blocks(spark, monkeypatch):
     cands = spark.createDataFrame([(t,) for t in texts], "text string")
     dev = spark.createDataFrame([(i, t) for i, t in enumerate(DEV + ["d d a b c a e a d b a", "x1 a"])], "sent_id long, text string")
     whole = {r.i: r.ppl for r in X.cumulative_paraphrase_curve(base, cands, dev, seed=3).collect()}
-    for name, value in (("CANDS", 3), ("KEYS", 7), ("ROWS", 2)):
+    for name, value in (("BLOCK", 3), ("KEYS", 7), ("STEP", 2)):
         monkeypatch.setattr(ST, name, value)
     got = {r.i: r.ppl for r in X.cumulative_paraphrase_curve(base, cands, dev, seed=3).collect()}
     assert sorted(got) == sorted(whole) == list(range(len(set(texts)) + 1))

@@ -4,7 +4,7 @@ A run of models t = first..last shares most of its statistics: adding one senten
 empty history and of ``<s>`` for every dev key, and anything else only for the keys that use the sentence's
 n-grams.  So a model is a row of *globals* (totals, discounts), and a dev key is a *state*: its counts and its longer
 histories' totals.  What is shuffled are changes (n-gram or history, t), joined to the distinct ones that dev keys ask for
-(:func:`asked_moves`), and the keys once per block of ``CANDS`` models.  Inside a block numpy finds the keys a change touches:
+(:func:`asked_moves`), and the keys once per block of ``BLOCK`` models.  Inside a block numpy finds the keys a change touches:
 
 * :func:`cumulative_totals`: sentences come in one after another, states are running sums;
 * :func:`candidate_totals`: each sentence is added alone to one base; what is added to the base states' sum is the difference
@@ -28,8 +28,8 @@ from varietas.operators.ngrams import BOS, EOS, ngram_events
 from varietas.operators.rows import running_totals
 from varietas.session import checkpoint
 
-# Models per block, dev keys per bucket (about), (candidate, key) pairs, classes and keys per numpy step.
-CANDS, KEYS, PAIRS, STEP, ROWS = 1024, 8192, 1 << 18, 256, 256
+# Models per block, dev keys per bucket (about), (candidate, key) pairs and key states per numpy step.
+BLOCK, KEYS, PAIRS, STEP = 1024, 8192, 1 << 18, 256
 FLAGS = ["bos", "eos"]
 
 
@@ -154,28 +154,28 @@ def _global_rows(globals_: DataFrame, moves: DataFrame, method: Method, buckets:
     rows = checkpoint(globals_).select("t", F.explode(F.sequence(zero, F.lit(buckets - 1).cast("long"))).alias("bucket"), minus.alias("id"),
                                        *[F.col(c).cast("double").alias(f"_{c}") for c in names], *[zero.alias(c) for c in changes])
     moves = moves.select("t", "bucket", "id", *[F.lit(None).cast("double").alias(f"_{c}") for c in names], *changes)
-    return rows.unionByName(moves).withColumn("b", F.floor(F.col("t") / CANDS))
+    return rows.unionByName(moves).withColumn("b", F.floor(F.col("t") / BLOCK))
 
 
 def cumulative_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, history_moves: DataFrame, globals_: DataFrame,
                       method: Method, order: int, last: int) -> DataFrame:
     """(t, total): sum over dev keys of mult x log10 p, when the moves up to t add up to model t.
 
-    ``CANDS`` models and a bucket of about ``KEYS`` dev keys meet in one cogroup, with the moves of these models and, per asked
-    n-gram, the sum of all moves before.  A key's states are running sums in numpy, ``ROWS`` keys at a time.
+    ``BLOCK`` models and a bucket of about ``KEYS`` dev keys meet in one cogroup, with the moves of these models and, per asked
+    n-gram, the sum of all moves before.  A key's states are running sums in numpy, ``STEP`` keys at a time.
     """
     cols = state_columns(method, order)
     buckets = max(1, -(-keys.count() // KEYS))
     numbers, moves = asked_moves(keys, grams, word_moves, history_moves, method, order, buckets)
-    zero, minus, end = F.lit(0).cast("long"), F.lit(-1).cast("long"), F.lit(last // CANDS).cast("long")
+    zero, minus, end = F.lit(0).cast("long"), F.lit(-1).cast("long"), F.lit(last // BLOCK).cast("long")
     slots, names, changes = _slots(method, order), [c for c in globals_.columns if c != "t"], method.word + method.history
     left = keys.join(numbers, "kid").select("bucket", "mult", *FLAGS, *[F.coalesce(g, minus).alias(g) for g, _, _ in slots])
     left = left.withColumn("b", F.explode(F.sequence(zero, end)))
-    per = moves.groupBy("bucket", "id", F.floor(F.col("t") / CANDS).alias("b")).agg(*[F.sum(c).alias(c) for c in changes])
+    per = moves.groupBy("bucket", "id", F.floor(F.col("t") / BLOCK).alias("b")).agg(*[F.sum(c).alias(c) for c in changes])
     line = Window.partitionBy("bucket", "id").orderBy("b")               # at most one row per block
     sums = per.select("bucket", "id", "b", F.coalesce(F.lead("b").over(line), end).alias("next"), *[F.sum(c).over(line).alias(c) for c in changes])
     carried = sums.where(F.col("b") < end).select("bucket", "id", F.explode(F.sequence(F.col("b") + 1, "next")).alias("b"), *changes)
-    carried = carried.select((F.col("b") * CANDS).alias("t"), "bucket", "id", *changes)
+    carried = carried.select((F.col("b") * BLOCK).alias("t"), "bucket", "id", *changes)
     right = _global_rows(globals_, moves.unionByName(carried), method, buckets)
     log10 = method.log10
 
@@ -194,8 +194,8 @@ def cumulative_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame,
         kinds, kind = np.unique(np.column_stack([left[FLAGS].to_numpy(np.int64), asked]), axis=0, return_inverse=True)
         mult = np.bincount(kind.ravel(), left["mult"].to_numpy(np.float64))
         total = np.zeros(len(ts))
-        for lo in range(0, len(kinds), ROWS):
-            part = kinds[lo:lo + ROWS]
+        for lo in range(0, len(kinds), STEP):
+            part = kinds[lo:lo + STEP]
             state = {c: part[:, i, None].astype(np.float64) for i, c in enumerate(FLAGS)}
             for i, (_, m, into) in enumerate(slots, start=len(FLAGS)):
                 start = np.searchsorted(ids, part[:, i], "left")
@@ -206,7 +206,7 @@ def cumulative_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame,
                 for c in into:
                     step = np.bincount(place, change[c][move], len(part) * len(ts)).reshape(len(part), len(ts))
                     state[f"{c}{m}"] = np.cumsum(step, axis=1)
-            total += mult[lo:lo + ROWS] @ log10(state, g)
+            total += mult[lo:lo + STEP] @ log10(state, g)
         return pd.DataFrame({"t": ts, "total": total})
 
     parts = left.groupBy("b", "bucket").cogroup(right.groupBy("b", "bucket")).applyInPandas(run, "t long, total double")
@@ -217,7 +217,7 @@ def candidate_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, h
                      method: Method, order: int, last: int) -> DataFrame:
     """(t, total): sum over dev keys of mult x log10 p, when model t is the base (the moves of t = 0) with those of candidate t alone.
 
-    ``CANDS`` candidates and a bucket of about ``KEYS`` dev keys meet in one cogroup: the base states' sum under each candidate's
+    ``BLOCK`` candidates and a bucket of about ``KEYS`` dev keys meet in one cogroup: the base states' sum under each candidate's
     globals, and for the keys it touches the difference its changes make.  A (key, candidate) pair exists in numpy only,
     ``PAIRS`` at a time.
     """
@@ -230,7 +230,7 @@ def candidate_totals(keys: DataFrame, grams: DataFrame, word_moves: DataFrame, h
     slots = _slots(method, order)
     left = keys.join(base, "kid", "left").join(numbers, "kid").select(
         "bucket", "mult", *FLAGS, *[F.coalesce(c, zero).alias(c) for c in cols if c not in FLAGS], *[F.coalesce(g, minus).alias(g) for g, _, _ in slots])
-    left = left.withColumn("b", F.explode(F.sequence(zero, F.lit(last // CANDS).cast("long"))))
+    left = left.withColumn("b", F.explode(F.sequence(zero, F.lit(last // BLOCK).cast("long"))))
     names = [c for c in globals_.columns if c != "t"]
     right = _global_rows(globals_, moves, method, buckets)
     log10 = method.log10
