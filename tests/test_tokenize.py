@@ -1,11 +1,14 @@
 import json
+import random
+import re
 from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from varietas.functions import split_whitespace, treebank_detokenize, treebank_tokens
+from varietas.functions import split_whitespace, treebank_detokenize, treebank_string, treebank_tokens
+from varietas.functions import treebank as TB
 from varietas.oracle import duck
 
 # Documented examples.
@@ -83,3 +86,51 @@ def test_detokenize_round_trip_parentheses(spark):
 def test_whitespace_split(spark, text):
     df = spark.createDataFrame([(text,)], "text string")
     assert df.select(split_whitespace(F.col("text")).alias("t")).first().t == text.split()
+
+
+def _python_chain(text, rules):
+    for pattern, replacement in rules:
+        text = re.sub(pattern.replace("(?#X)", ""), replacement, text)
+    return text
+
+
+def _python_string(text):
+    text = _python_chain(text, [*TB.STARTING_QUOTES, *TB.PUNCTUATION, TB.PARENS_BRACKETS, TB.DOUBLE_DASHES])
+    return _python_chain(f" {text} ", [*TB.ENDING_QUOTES, *[(p, TB.CONTRACTION_SPLIT) for p in TB.CONTRACTIONS2 + TB.CONTRACTIONS3]])
+
+
+def _python_detokenized(tokens, convert):
+    text = _python_chain(" ".join(tokens), [(p, TB.CONTRACTION_JOIN) for p in TB.DETOK_CONTRACTIONS3 + TB.DETOK_CONTRACTIONS2])
+    text = _python_chain(_python_chain(text, TB.DETOK_ENDING_QUOTES).strip(), [TB.DETOK_DOUBLE_DASHES])
+    if convert:
+        text = _python_chain(text, TB.DETOK_CONVERT_PARENTHESES)
+    rules = [*TB.DETOK_PARENS_BRACKETS, *TB.DETOK_PUNCTUATION, *[(p, r.replace('\\"', '\\\\"')) for p, r in TB.DETOK_STARTING_QUOTES]]
+    return _python_chain(text, rules).strip()
+
+
+def _random_lines(n, seed):
+    draw = random.Random(seed)
+    few = ["a", "b", "The", "x1", "7", " ", " ", " ", ",", ".", "-", "can", "not", "Wan", "na", "3,000", "U.S.", "\u00e9t\u00e9", "\u0130"]
+    marks = [*few, *":;@#$%&?!"]
+    more = [*few, "..", ",,", "--", "?", "!", ":", ";", "%", "$", "'", "''", "``", '"', "(", ")", "[", "cannot", "GIMME ", "g\u0131mme ", "n't ", "'s ",
+            "-LRB-", "LRB", "\n", "\t", "\xa0", "\u0663", "\u00e9", "\u2028", "*", "^", "|", "&"]
+    return ["".join(draw.choice(words) for _ in range(draw.randint(0, 14))) for words in (few, marks, more) for _ in range(n)]
+
+
+def test_all_chains_equal_python(spark):
+    lines = [*_random_lines(4000, 5), ".", " .", "a,.", "a .", "a, . ", ",", "a,", "a.  ", "a. .", "a , , b .", "-LRB -- y", "a,:b", "a?.", "a.?", "a;.", ":", "7:8,\u0663"]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, text string").select("i", "text", F.split("text", " ").alias("parts"))
+    out = df.select("i", treebank_string(F.col("text")).alias("s"), treebank_tokens(F.col("text")).alias("t"),
+                    *[treebank_detokenize(F.col("parts"), c).alias(f"d{c:d}") for c in (False, True)])
+    for r in out.collect():
+        want = _python_string(lines[r.i])
+        assert (r.s, r.t) == (want, want.split()), repr(lines[r.i])
+        assert [r.d0, r.d1] == [_python_detokenized(lines[r.i].split(" "), c) for c in (False, True)], repr(lines[r.i])
+
+
+def test_plain_lines_take_neither_chain(spark, monkeypatch):
+    for name in ("_full_chain", "_short_chain", "_full_detokenized", "_short_detokenized"):
+        monkeypatch.setattr(TB, name, lambda *a: F.raise_error(F.lit("a plain line went through the chain of rules")).cast("string"))
+    df = spark.createDataFrame([("On 3,000 jours, l\u00e0 it rained - and more.",)], "text string").select(treebank_tokens(F.col("text")).alias("t"))
+    got = df.select("t", treebank_detokenize(F.col("t")).alias("d")).first()
+    assert got.t == ["On", "3,000", "jours", ",", "l\u00e0", "it", "rained", "-", "and", "more", "."] and got.d == "On 3,000 jours, l\u00e0 it rained - and more."

@@ -53,8 +53,8 @@ def tokenize_ptb(spark, sf_dir):
 select doc_id, line_no, {duck.treebank_detokenize('toks')} as text from doc_toks""")
 def detokenize_corpus(spark, sf_dir):
     """Tokens of every corpus line joined back into text by the inverse cascade."""
-    return T.corpus_lines(spark, sf_dir).select(
-        "doc_id", "line_no", treebank_detokenize(treebank_tokens(F.col("text"))).alias("text"))
+    toks = T.corpus_lines(spark, sf_dir).select("doc_id", "line_no", treebank_tokens(F.col("text")).alias("t"))
+    return toks.select("doc_id", "line_no", treebank_detokenize(F.col("t")).alias("text"))
 
 
 @query("whitespace_tokens", S.with_(S.DOC_LINES) + f"""
