@@ -48,6 +48,16 @@ def test_models_built_together_equal_models_built_alone(spark, method, kw):
             assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
 
 
+@pytest.mark.parametrize("method, kw", [*METHODS, ("witten_bell", {}), ("absolute", {}), ("unsmoothed", {})])
+def test_weighted_rows_equal_the_join_of_the_tables(spark, method, kw):
+    lm = L.build_lm(G.ngram_counts(_lines(spark, A + B), 3), 3, method, store_counts=True, **kw)
+    joined = lm.probs.join(lm.gammas, ["ord", "h"]).select("ord", "h", "w", "p", "g")
+    assert lm.gammas.count() == lm.probs.select("ord", "h").distinct().count()
+    assert sorted(map(tuple, lm.weighted().collect())) == sorted(map(tuple, joined.collect())) == sorted(map(tuple, lm.materialize().weighted().collect()))
+    # the stored counts are read by column, not row by row
+    assert "FileScan parquet" in lm.probs._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("method, kw", [("absolute", {"bins": 3}), ("absolute", {"bins": 2}), ("absolute", {})])
 def test_absolute_discounts_sum_to_one(spark, method, kw):
     lm = L.build_lm(G.ngram_counts(_lines(spark, A * 2 + B), 3), 3, method, **kw)
