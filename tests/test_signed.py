@@ -80,6 +80,27 @@ def test_awer_curve_equals_awer_of_every_prefix(spark, generated, top_n):
         assert abs(got[i][0] - want.awer) < 1e-12 and got[i][1] == want.n_lines, i
 
 
+def test_awer_curve_asks_for_no_probability_per_prefix(spark, monkeypatch):
+    from varietas.operators import prefix_decode as PD
+
+    def dense(self, keys, by=()):
+        raise AssertionError("a row per asked n-gram and prefix")
+    monkeypatch.setattr(signed.PrefixModels, "lookup", dense)
+    chunks = spark.createDataFrame(_corpus(12, [2] * 7), "chunk_id int, sent_id long, text string")
+    long_line = " ".join(random.Random(13).choices("a b c d zz yy".split(), k=150))
+    dev = spark.createDataFrame([(1, "a b c zz"), (2, long_line), (3, "")], "sent_id long, text string")
+    uni = V.unigrams(V.tokens_of(chunks.select("text")))
+
+    def curve():
+        return {r.i: (r.awer, r.n_lines) for r in X.awer_curve(chunks, dev, uni, seed=4).collect()}
+    whole = curve()
+    monkeypatch.setattr(PD, "BLOCK", 3)
+    monkeypatch.setattr(PD, "POSITIONS", 20)
+    got = curve()
+    assert sorted(got) == sorted(whole) == list(range(7))
+    assert all(abs(got[i][0] - whole[i][0]) < 1e-12 and got[i][1] == 3 for i in whole) and len({w for w, _ in whole.values()}) > 1
+
+
 @pytest.mark.parametrize("generated", [False, True])
 def test_oov_curve_equals_counting_every_prefix(spark, generated):
     sizes = [3, 5, 1, 4, 2]

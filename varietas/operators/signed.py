@@ -24,7 +24,7 @@ from varietas.functions import split_whitespace
 from varietas.operators.lm import witten_bell_recursion
 from varietas.operators.ngrams import BOS, EOS, UNK
 from varietas.operators.rows import with_row_index
-from varietas.session import checkpoint
+from varietas.session import checkpoint, store
 
 
 def generated_stays(chunks: DataFrame) -> DataFrame:
@@ -121,6 +121,10 @@ class PrefixModels:
         flips = F.when(F.col(col).isin(EOS, UNK), F.array(F.lit(0).cast("long"))).otherwise(F.coalesce("_fl", F.array().cast("array<bigint>")))
         return out.withColumn(f"{col}_flips", flips).drop("_f", "_fl")
 
+    def vocabulary_events(self) -> DataFrame:
+        """(ord, h, t, d): changes of |V_i|, the types at order 1 without the two words that are always in."""
+        return type_events(self.events.where((F.col("ord") == 1) & ~F.col("w").isin(EOS, UNK)), ["ord", "h"])
+
     def _running(self, keys: DataFrame, moves: DataFrame, cols: list[str], name: str) -> DataFrame:
         """(cols, i, name): running sums of ``moves`` (cols, t, d) at every prefix, for ``keys``."""
         steps = keys.select(*cols, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.last).cast("long"))).alias("i"), F.lit(0).cast("long").alias("d"))
@@ -144,8 +148,7 @@ class PrefixModels:
         per = counts.join(totals, ["ord", "h", "i"]).join(types, ["ord", "h", "i"])
         per = per.select("ord", F.col("h").alias("hm"), "w", "i", "c", "c_h", "t_h").join(parts, ["ord", "hm", "w"])
         wide = per.groupBy("h", "w", "i").agg(*[F.max(F.when(F.col("ord") == m, F.struct("c", "c_h", "t_h"))).alias(f"o{m}") for m in range(1, self.order + 1)])
-        # |V_i|: types at order 1 without the two words that are always in
-        words1 = type_events(self.events.where((F.col("ord") == 1) & ~F.col("w").isin(EOS, UNK)), ["ord", "h"])
+        words1 = self.vocabulary_events()
         one = words1.sparkSession.range(1).select(F.lit(1).alias("ord"), F.lit("").alias("h"))
         sizes = self._running(one, words1, ["ord", "h"], "n").select("i", (F.col("n") + 2).alias("_nv"))
         wide = wide.join(sizes, "i")
@@ -157,10 +160,4 @@ def prefix_models(lines: DataFrame, order: int, last: int, rare_n: int = 1, k: f
     """Signed events of :func:`stays` lines, stored, as models of prefixes 0..``last``."""
     toks = lines.select("lid", "start", "stop", F.posexplode(split_whitespace(F.col("text"))).alias("pos", "tok"))
     flips = checkpoint(token_flips(toks, rare_n))
-    return PrefixModels(checkpoint(signed_events(toks, flips, order)), flips, order, last, k)
-
-
-def is_in(flips: str, i: str = "i"):
-    """Whether a word with these flips is in the vocabulary of prefix ``i``."""
-    return F.size(F.filter(flips, lambda f: f <= F.col(i))) % 2 == 1
-
+    return PrefixModels(store(signed_events(toks, flips, order)), flips, order, last, k)

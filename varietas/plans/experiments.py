@@ -24,7 +24,7 @@ from varietas.operators import vocab as Vo
 from varietas.operators.ngrams import BOS as BOS_
 from varietas.operators.ngrams import EOS, UNK, ngram_events
 from varietas.operators.rows import first_prefix, row_count
-from varietas.session import checkpoint
+from varietas.session import checkpoint, store
 
 # Fixed value: counted rows of what the dev set asks for up to which they are broadcast; a plain join beyond.
 ASKED_ROWS = 200_000
@@ -234,11 +234,12 @@ def awer_curve(chunks: DataFrame, dev: DataFrame, unigram_table: DataFrame, seed
     Each prefix model is built as the evaluation scripts build it — tokens seen at most ``rare_n``
     times *in that prefix* become ``<unk>``, then Witten–Bell of order ``order``.  All prefix models come
     from one table of signed n-gram events (:mod:`varietas.operators.signed`): no training line is copied per
-    prefix.  With ``generated`` (rn_col, text) prefix i also holds the first (i+1)·len(chunk i) generated lines.
+    prefix, and lattices meet the events in blocks of prefixes (:mod:`varietas.operators.prefix_decode`).  With ``generated`` (rn_col, text) prefix i also holds the first (i+1)·len(chunk i) generated lines.
     The unigram table (for the draws) is fixed, as in the reference.  Returns (i, awer, n_lines).
     """
     from varietas.operators import sampling as SMP
     from varietas.operators import signed
+    from varietas.operators.prefix_decode import error_sums
     from varietas.plans import paraphrase as P
     if top_n is not None:
         chunks = chunks.where(F.col("chunk_id") < F.lit(top_n))
@@ -246,23 +247,14 @@ def awer_curve(chunks: DataFrame, dev: DataFrame, unigram_table: DataFrame, seed
     if last is None:
         return dev.sparkSession.createDataFrame([], "i long, awer double, n_lines long")
     models = signed.prefix_models(signed.stays(chunks, generated, rn_col, text_col), order, last, rare_n)
-    # lattices: every dev token under every prefix model; the draw does not depend on the model
+    # lattices: the words a slot ever holds; the draw does not depend on the model
     toks = P.sentence_tokens(dev, dev_key, text_col)
     draws = SMP.draw_words(toks.withColumn("k", SMP.draw60(seed, F.col(dev_key), F.col("pos"))), SMP.cdf(unigram_table))
-    draws = models.known(models.known(draws, "word"), "alt")
-    prefixes = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
-    per_i = draws.select(dev_key, "pos", "word", "alt", "word_flips", "alt_flips", prefixes.alias("i"))
-    own = F.when(signed.is_in("word_flips"), F.col("word")).otherwise(F.lit(UNK))
-    other = F.when(signed.is_in("alt_flips") & (F.col("alt") != F.col("word")), F.col("alt"))
-    key = F.concat_ws(":", F.col("i").cast("string"), F.col(dev_key).cast("string")).alias("_key")
-    slots = per_i.select(key, "i", "pos", F.explode(F.array(own, other)).alias("word"), F.lit(0.0).alias("cost")).where(F.col("word").isNotNull())
-    best = P.nbest(slots, models, 1, key="_key", by=("i",))
-    words = toks.groupBy(dev_key).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_s"))
-    grid = dev.select(dev_key).join(words, dev_key, "left") \
-        .select(dev_key, F.coalesce(F.col("_s.word"), F.array().cast("array<string>")).alias("_words"), prefixes.alias("i"))
-    grid = grid.withColumn("_key", F.concat_ws(":", F.col("i").cast("string"), F.col(dev_key).cast("string")))
-    j = grid.join(best.select("_key", "sent"), "_key", "left")
-    return j.groupBy("i").agg(F.avg(P.error_rate(F.col("_words"), F.col("sent"))).alias("awer"), F.count(F.lit(1)).alias("n_lines"))
+    known = store(models.known(models.known(draws, "word"), "alt").select(dev_key, "pos", "word", "alt", "word_flips", "alt_flips"))
+    rates = error_sums(known, dev.groupBy(dev_key).agg(F.count(F.lit(1)).alias("mult")), models, dev_key)
+    n = row_count(dev)
+    grid = dev.sparkSession.range(0, last + 1).select(F.col("id").alias("i"), n.alias("n_lines")).where("n_lines > 0")
+    return grid.join(rates, "i", "left").select("i", (F.coalesce("rate", F.lit(0.0)) / F.col("n_lines")).alias("awer"), "n_lines")
 
 
 def _thresholds(deltas: DataFrame, key_cols: list[str], val: str, upto: int) -> DataFrame:
