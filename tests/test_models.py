@@ -89,6 +89,41 @@ def test_store_lists_reads_and_replaces_models(spark):
         M.load_model(spark, root, "none")
 
 
+def test_grouped_store_keeps_few_folders_and_replaces_ids(spark):
+    root = tempfile.mkdtemp(prefix="models-", dir=os.environ.get("TMPDIR", "/tmp"))
+    many = spark.createDataFrame([(str(i), 1, "", w, float(i + 1)) for i in range(100) for w in ("a", "</s>")], "model_id string, ord int, h string, w string, c double")
+    M.save_counts(many, root, 1, grouped=True)
+    M.save_counts(many.where("model_id = '7'").withColumn("c", F.lit(-1.0)).limit(1), root, 1, grouped=True)
+    got = M.load_counts(spark, root, grouped=True)
+    assert got.where("model_id <> '7'").count() == 198 and [r.c for r in got.where("model_id = '7'").collect()] == [-1.0]
+    assert M.list_models(spark, root, stage="counts", grouped=True).count() == 100
+    assert len(glob.glob(root + "/**/*.parquet", recursive=True)) <= 2 * M.GROUPS
+
+
+def test_scores_of_many_models_are_those_of_each_alone(spark, monkeypatch):
+    monkeypatch.setattr(L, "backoff_prob", lambda *a, **k: pytest.fail("a row per model and key"))
+    counts = _both(spark)
+    lm = L.build_lm(counts, 3, "witten_bell", vocab=L.vocabulary(counts), by=("model_id",))
+    whole = {r.model_id: (r.ppl, r.n_words) for r in L.score_models(lm, _dev(spark)).collect()}
+    monkeypatch.setattr(L, "MODELS", 1)
+    monkeypatch.setattr(L, "KEYS", 3)
+    got = {r.model_id: (r.ppl, r.n_words) for r in L.score_models(lm, _dev(spark)).collect()}
+    monkeypatch.undo()
+    for name, lines in (("one", A), ("two", B)):
+        alone = L.build_lm(G.ngram_counts(_lines(spark, lines), 3), 3, "witten_bell", vocab=L.vocabulary(counts))
+        want = L.perplexity(L.score(_dev(spark), alone)).first()
+        for rows in (whole, got):
+            assert math.isclose(rows[name][0], want.ppl, rel_tol=1e-9) and rows[name][1] == want.n_words
+
+
+def test_candidate_moves_are_stored_by_column(spark):
+    from varietas.operators import states as ST
+    cands = spark.createDataFrame([(1, "a b"), (2, "c c c")], "t long, text string")
+    word = ST.candidate_moves(_lines(spark, A), cands, ST.kneser_ney(3), 3, "text")[1]
+    assert "FileScan parquet" in word._jdf.queryExecution().toString()
+    assert {(r.h, r.w): r.aw for r in word.where("t = 2 and ord = 3").collect()} == {("<s> c", "c"): 1, ("c c", "c"): 1, ("c c", "</s>"): 1}
+
+
 def test_reading_one_model_and_order_prunes_partitions(spark):
     root = tempfile.mkdtemp(prefix="models-", dir=os.environ.get("TMPDIR", "/tmp"))
     M.save_models(L.build_lm(_both(spark), 3, "witten_bell", by=("model_id",)), root)

@@ -124,16 +124,16 @@ def _stored_models(spark, sf_dir, method):
     ch = R.chunk_ids(T.ordered_user_lines(spark, sf_dir), CHUNK, "sent_id")
     ev = G.ngram_events(ch, ORDER, keep=["chunk_id"])
     counts = ev.groupBy(F.col("chunk_id").cast("string").alias("model_id"), "ord", "h", "w").agg(F.count(F.lit(1)).alias("c"))
-    M.save_counts(counts, root, ORDER)
-    counts = M.load_counts(spark, root)
-    M.save_models(L.build_lm(counts, ORDER, method, discount_fallback=True, vocab=L.vocabulary(counts), by=("model_id",)), root)
+    M.save_counts(counts, root, ORDER, grouped=True)
+    counts = M.load_counts(spark, root, grouped=True)
+    M.save_models(L.build_lm(counts, ORDER, method, discount_fallback=True, vocab=L.vocabulary(counts), by=("model_id",)), root, grouped=True)
     return root
 
 
 def _evaluated(spark, sf_dir, method):
     from varietas.operators import lm as L
     from varietas.sources import models as M
-    out = L.score_models(M.load_models(spark, _stored_models(spark, sf_dir, method)), T.ordered_dev_lines(spark, sf_dir))
+    out = L.score_models(M.load_models(spark, _stored_models(spark, sf_dir, method), grouped=True), T.ordered_dev_lines(spark, sf_dir))
     return out.select(F.col("model_id").cast("long").alias("model_id"), F.round("ppl", 6).alias("ppl"), "n_words")
 
 
@@ -157,7 +157,7 @@ def evaluate_models_kneser_ney_q(spark, sf_dir):
 def list_models_q(spark, sf_dir):
     """Ids, order and method of the stored models."""
     from varietas.sources import models as M
-    found = M.list_models(spark, _stored_models(spark, sf_dir, "witten_bell"), "^[0-9]+$", "lm")
+    found = M.list_models(spark, _stored_models(spark, sf_dir, "witten_bell"), "^[0-9]+$", "lm", grouped=True)
     return found.select(F.col("model_id").cast("long").alias("model_id"), "ord", "method")
 
 
