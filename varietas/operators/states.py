@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from varietas.operators import lm as L
 from varietas.operators.ngrams import BOS, EOS, ngram_events
 from varietas.operators.rows import running_totals
-from varietas.session import checkpoint
+from varietas.session import checkpoint, store
 
 # Models per block, dev keys per bucket (about), (candidate, key) pairs and key states per numpy step.
 BLOCK, KEYS, PAIRS, STEP = 1024, 8192, 1 << 18, 256
@@ -349,7 +349,7 @@ def dense_globals(first: int, last: int, word_moves: DataFrame, history_moves: D
 def curve_moves(tagged: DataFrame, method: Method, order: int, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """Changes along t of lines (t, text) that come in one after another: (vocabulary, per n-gram, per history, count-of-counts)."""
     ev = ngram_events(tagged, order, text_col, keep=["t"])
-    raw = checkpoint(ev.groupBy("ord", "h", "w", "t").agg(F.count(F.lit(1)).alias("d")))
+    raw = store(ev.groupBy("ord", "h", "w", "t").agg(F.count(F.lit(1)).alias("d")))
     vocab = L.vocabulary(raw)
     first = raw.groupBy("ord", "h", "w").agg(F.min("t").alias("t"))
     zero = F.lit(0).cast("long")
@@ -361,11 +361,11 @@ def curve_moves(tagged: DataFrame, method: Method, order: int, text_col: str) ->
     cont = first.where(F.col("ord") >= 2).select((F.col("ord") - 1).alias("ord"), L.lower_history(F.col("h")).alias("h"), "w", "t") \
         .groupBy("ord", "h", "w", "t").agg(F.count(F.lit(1)).alias("d"))
     top = (F.col("ord") == order) | L.opens_sentence(F.col("h"))
-    a = checkpoint(raw.where(top).unionByName(cont.where(~top)))
+    a = store(raw.where(top).unionByName(cont.where(~top)))
     line = Window.partitionBy("ord", "h", "w").orderBy("t")
     run = a.withColumn("now", F.sum("d").over(line))
     run = run.withColumn("was", F.col("now") - F.col("d"))
-    counted = checkpoint(run.select("ord", "h", "w", "t", "d", *_bins("was", "now")))
+    counted = store(run.select("ord", "h", "w", "t", "d", *_bins("was", "now")))
     history = counted.groupBy("ord", "h", "t").agg(F.sum("d").alias("sh"), *[F.sum(f"k{j}").alias(f"k{j}") for j in (1, 2, 3)])
     cc = counted.groupBy("ord", "t").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in (1, 2, 3, 4)])
     return vocab, a.withColumnRenamed("d", "aw"), history, cc
@@ -384,8 +384,9 @@ def candidate_moves(base: DataFrame, candidates: DataFrame, method: Method, orde
     zero = F.lit(0).cast("long")
     nil = F.lit(0).cast("long").alias("t")
     bev = ngram_events(base.select(text_col), order, text_col)
-    b = checkpoint(bev.groupBy("ord", "h", "w").agg(F.count(F.lit(1)).alias("c")))
-    e = checkpoint(ngram_events(candidates, order, text_col, keep=["t"]).groupBy("t", "ord", "h", "w").agg(F.count(F.lit(1)).alias("e")))
+    b = store(bev.groupBy("ord", "h", "w").agg(F.count(F.lit(1)).alias("c")))
+    # dealt by line first: a line's n-grams are then counted where they are cut, and not shuffled
+    e = store(ngram_events(candidates.repartition("t"), order, text_col, keep=["t"]).groupBy("t", "ord", "h", "w").agg(F.count(F.lit(1)).alias("e")))
     vocab = L.vocabulary(b.select("ord", "w").unionByName(e.select("ord", "w")).distinct())
     new = e.join(b.select("ord", "h", "w"), ["ord", "h", "w"], "left_anti")
     if method.word == ["cw"]:
@@ -395,13 +396,13 @@ def candidate_moves(base: DataFrame, candidates: DataFrame, method: Method, orde
             .unionByName(new.select("ord", "h", "t", zero.alias("ch"), F.lit(1).cast("long").alias("th")))
         return vocab, word, history.groupBy("ord", "h", "t").agg(F.sum("ch").alias("ch"), F.sum("th").alias("th")), None
     top = (F.col("ord") == order) | L.opens_sentence(F.col("h"))
-    ab = checkpoint(L.kn_counts(b, order).select("ord", "h", "w", "a"))
+    ab = store(L.kn_counts(b, order).select("ord", "h", "w", "a"))
     cont = new.where(F.col("ord") >= 2).select("t", (F.col("ord") - 1).alias("ord"), L.lower_history(F.col("h")).alias("h"), "w") \
         .groupBy("t", "ord", "h", "w").agg(F.count(F.lit(1)).alias("d"))
     d = e.where(top).select("t", "ord", "h", "w", F.col("e").alias("d")).unionByName(cont.where(~top))
     moved = d.join(ab, ["ord", "h", "w"], "left").withColumn("was", F.coalesce("a", zero)).drop("a")
     moved = moved.unionByName(ab.select("ord", "h", "w", nil, F.col("a").alias("d"), zero.alias("was")))
-    counted = checkpoint(moved.withColumn("now", F.col("was") + F.col("d")).select("ord", "h", "w", "t", "d", *_bins("was", "now")))
+    counted = store(moved.withColumn("now", F.col("was") + F.col("d")).select("ord", "h", "w", "t", "d", *_bins("was", "now")))
     history = counted.groupBy("ord", "h", "t").agg(F.sum("d").alias("sh"), *[F.sum(f"k{j}").alias(f"k{j}") for j in (1, 2, 3)])
     cc = counted.groupBy("ord", "t").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in (1, 2, 3, 4)])
     return vocab, counted.select("ord", "h", "w", "t", F.col("d").alias("aw")), history, cc
