@@ -85,3 +85,10 @@ def test_query_digests(spark, sp):
         ids = sp.encode(texts[r.doc_id], add_bos=True, add_eos=True)
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest() and r.agrees
+
+
+def test_listed_and_heaped_agendas_leave_the_same_symbols(model):
+    e = pieces.Encoder(model)
+    r = random.Random(5)
+    for chunk in {"".join(r.choice("▁abetinghos.,é") for _ in range(r.randint(1, 40))) for _ in range(3000)}:
+        assert e.listed(chunk) == e.heaped(chunk)

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding of whole texts with a merge-type (BPE) vocabulary.
 
 *Method.*  The text is normalised by the model's own rules and starts as single characters.  An agenda
-(a heap) holds the adjacent symbol pairs that form a piece, best score first, the leftmost of equals
+(a heap, a list for short chunks) holds the adjacent symbol pairs that form a piece, best score first, the leftmost of equals
 first; the top pair is merged, pairs that no longer stand are skipped, and the merged symbol's two new
 neighbours enter the agenda.  What is left are the ids; a character outside the vocabulary becomes its
 UTF-8 bytes' ids where the model falls back to bytes, else the unknown id.
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
 CACHE, CACHE_CHARS = 500_000, 48
+#: Chunks of at most so many characters keep their agenda as a plain list, a pair per place.
+LISTED = 24
 SEGMENT = 1 << 20
 
 _encoders: dict = {}
@@ -106,19 +108,38 @@ class Encoder:
         self.pairs = {p[i:i + 2] for p in self.rank for i in range(len(p) - 1)}
         # where no piece holds another character behind a letter, a chunk ends with a run of letters
         closed = not any(LETTER.match(a) and not LETTER.match(b) for a, b in self.pairs)
-        other = f"(?:(?!{LETTER.pattern})[^{SPACE}{stop}])"
-        runs = f"{SPACE}*{other}*{LETTER.pattern}+|{SPACE}*{other}+" if closed else f"{SPACE}*[^{SPACE}{stop}]+"
+        other = f"[^{SPACE}{stop}{LETTER.pattern[1:]}"
+        runs = f"{SPACE}*+(?:{other}*+{LETTER.pattern}++|{other}++)" if closed else f"{SPACE}*[^{SPACE}{stop}]+"
         self.chunk = re.compile("(?s).+" if inner else f"(?s){runs}|{SPACE}+|\n")
         self.cache = _Cache(self.merge, self.split)
 
     def split(self, chunk: str) -> list[str]:
         """The chunk cut between characters that stand side by side in no piece."""
         pairs = self.pairs
-        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1:i + 1] not in pairs]
+        cuts = [i for i, (a, b) in enumerate(zip(chunk, chunk[1:]), 1) if a + b not in pairs]
         return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])] if cuts else [chunk]
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of a normalised chunk by the agenda of adjacent pairs."""
+        return self.numbers(self.listed(chunk) if len(chunk) <= LISTED else self.heaped(chunk))
+
+    def listed(self, chunk: str) -> list[str]:
+        """Symbols that merging leaves: the agenda holds the score of every adjacent pair, the first of the least is merged."""
+        rank, none = self.rank, (float("inf"), -1)
+        symbols = list(chunk)
+        agenda = [rank.get(a + b, none)[0] for a, b in zip(chunk, chunk[1:])]
+        while agenda and (best := min(agenda)) < none[0]:
+            at = agenda.index(best)
+            symbols[at] += symbols.pop(at + 1)
+            del agenda[at]
+            if at < len(agenda):
+                agenda[at] = rank.get(symbols[at] + symbols[at + 1], none)[0]
+            if at:
+                agenda[at - 1] = rank.get(symbols[at - 1] + symbols[at], none)[0]
+        return symbols
+
+    def heaped(self, chunk: str) -> list[str]:
+        """The same with the agenda as a heap, for long chunks."""
         rank, symbols, n = self.rank, list(chunk), len(chunk)
         before, behind = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(entry[0], i, i + 1, 2) for i in range(n - 1) if (entry := rank.get(chunk[i:i + 2])) is not None]
@@ -140,8 +161,12 @@ class Encoder:
                 piece = symbols[first] + a + b
                 if (entry := rank.get(piece)) is not None:
                     heapq.heappush(agenda, (entry[0], first, left, len(piece)))
+        return list(filter(None, symbols))
+
+    def numbers(self, symbols: list[str]) -> list[int]:
+        rank = self.rank
         out: list[int] = []
-        for symbol in filter(None, symbols):
+        for symbol in symbols:
             if (entry := rank.get(symbol)) is not None:
                 out.append(entry[1])
             elif self.bytes:
