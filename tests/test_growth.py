@@ -24,3 +24,84 @@ def test_blocks_of_vectors_grow_with_the_tables(spark):
     words = vec.select("word").where("word < 'w4'")
     found = {(r.query, r.rn): (r.word, r.sim) for r in N.near(words, vec, 4).collect()}
     assert found == {(r.query, r.rn): (r.word, r.sim) for r in N.near(words, vec, 4, block_rows=16).collect()}
+
+
+def _lattices(spark, n):
+    """Random lattices with a word that is in every slot, and a model over their words."""
+    import random
+
+    from varietas.operators import lm as L
+    from varietas.operators import ngrams as G
+    rng = random.Random(n)
+    lines = spark.createDataFrame([(" ".join(rng.choices("abcdef", weights=[9, 3, 2, 1, 1, 1], k=8)),) for _ in range(40)], "text string")
+    lm = L.build_lm(G.ngram_counts(lines, n), n, "witten_bell", materialize=True)
+    rows = [(s, p, w, round(rng.random() / 10, 6)) for s in range(12) for p in range(9) for w in {"a", *rng.sample(["b", "c", "d", "e", "f", "zz"], 2)}]
+    return lm, spark.createDataFrame(rows, "sent_id long, pos int, word string, cost double"), rows
+
+
+def test_windows_cost_what_the_model_says(spark, monkeypatch):
+    """Orders 1 to 4, with the words of a slot in many blocks: the same LM costs as one look-up per (history, word)."""
+    import itertools
+    import math
+
+    from varietas.operators import decode as D
+    for n, asked in ((1, 32_768), (2, 5), (3, 32_768), (3, 5), (4, 50)):
+        monkeypatch.setattr(D, "ASKED", asked)
+        lm, slots, rows = _lattices(spark, n)
+        own = {}
+        for s, p, w, _ in rows:
+            own.setdefault((s, p), set()).add(w)
+        at = lambda s, p: sorted(own[s, p]) if p >= 0 else ["<s>"] if p == -1 else [""]
+        want = {}
+        for s in range(12):
+            for p in range(10):
+                before = [at(s, p - i) for i in range(n - 1, 0, -1)]
+                words = at(s, p) if p < 9 else ["</s>"]
+                want[s, p] = [(" ".join(x for x in h if x), w) for h in itertools.product(*before) for w in words]
+        keys = spark.createDataFrame(sorted({x for pairs in want.values() for x in pairs}), "h string, w string")
+        p_of = {(r.h, r.w): r.p for r in lm.lookup(keys).collect()}
+        got = {(r.sent_id, r.pos): r.lm for r in D.lattice_windows(slots, lm).collect()}
+        assert got.keys() == want.keys()
+        for place, pairs in want.items():
+            assert got[place] == [math.floor(-math.log(p_of[x]) * D.UNIT + 0.5) for x in pairs], (n, place)
+
+
+def test_no_row_per_history_and_word_is_shuffled(spark, monkeypatch):
+    """A window asks for its n-grams by one row per word of the slot before, not by one per (history, word) pair."""
+    from varietas.operators import decode as D
+    lm, slots, rows = _lattices(spark, 3)
+    sent, real = [], D._window_costs
+    monkeypatch.setattr(D, "_window_costs", lambda n: sent.append(n) or real(n))
+    D.nbest(slots, lm, 3).collect()
+    assert sent == [3]
+
+
+def test_hashes_of_windows_see_where_a_slot_ends(spark):
+    from varietas.operators import decode as D
+    from varietas.operators import lm as L
+    from varietas.operators import ngrams as G
+    lines = spark.createDataFrame([("a b c",), ("a c b",)], "text string")
+    lm = L.build_lm(G.ngram_counts(lines, 3), 3, "witten_bell")
+    slots = [(1, 0, "a"), (1, 1, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "a"), (2, 1, "a"), (2, 2, "b"), (2, 2, "c")]
+    df = spark.createDataFrame([(*x, 0.0) for x in slots], "sent_id long, pos int, word string, cost double")
+    sizes = {(r.sent_id, r.pos): len(r.lm) for r in D.lattice_windows(df, lm).collect()}
+    assert sizes[1, 2] == 2 and sizes[2, 2] == 2 and sizes[1, 1] == 2 and sizes[1, 3] == 2 and sizes[2, 3] == 2
+
+
+def test_shuffle_files_of_finished_steps_are_released(spark, monkeypatch):
+    from varietas import session
+    monkeypatch.setattr(session, "RELEASE_S", 0)
+    ids = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    import time
+    for _ in range(20):                                                 # what earlier tests left
+        session.release(spark)
+        time.sleep(0.1)
+    before = ids()
+    kept = [session.store(spark.range(50).repartition(7).groupBy((F.col("id") % 5).alias("g")).count()) for _ in range(6)]
+    kept += [session.checkpoint(spark.range(50).repartition(7).groupBy((F.col("id") % 5).alias("g")).count()) for _ in range(6)]
+    for _ in range(50):
+        session.release(spark)
+        if ids() <= before + 2:
+            break
+        time.sleep(0.1)
+    assert ids() <= before + 2 and all(d.count() == 5 for d in kept)
