@@ -105,3 +105,41 @@ def test_shuffle_files_of_finished_steps_are_released(spark, monkeypatch):
             break
         time.sleep(0.1)
     assert ids() <= before + 2 and all(d.count() == 5 for d in kept)
+
+
+def test_lexical_alternatives_by_buckets_equal_one_query_at_a_time(spark, monkeypatch):
+    """A hot target in many buckets, unknown words, and queries that share a qid: the same scores as a loop over the definition."""
+    import math
+    import random
+
+    from varietas.operators import neighbours as N
+    rng = random.Random(2)
+    names = [f"w{i}" for i in range(30)]
+    raw = {w: [rng.gauss(0.4, 1) for _ in range(5)] for w in names}
+    unit = {w: [x / math.sqrt(sum(y * y for y in v)) for x in v] for w, v in raw.items()}
+    vec = spark.createDataFrame(list(unit.items()), "word string, u array<double>")
+    queries = [(f"q{i}", "w1" if i % 2 else rng.choice([*names, "zz"]), rng.choices([*names, "zz"], k=rng.randint(0, 4))) for i in range(60)]
+    queries += [queries[0], queries[1]]
+    df = spark.createDataFrame(queries, "qid string, target string, context array<string>")
+    sim = lambda a, b: round(sum(x * y for x, y in zip(unit[a], unit[b])), 6)
+    for dist in (False, True):
+        monkeypatch.setattr(N, "LEAST_QUERIES", 3)
+        monkeypatch.setattr(N, "QUERIES", 3)
+        got = {}
+        for r in N.lex_alternatives(df, vec, dist, num_alts=4, num_near=9).collect():
+            got.setdefault(r.qid, []).append((r.rn, r.word, r.score))
+        want = {}
+        for qid in {q[0] for q in queries}:
+            rows = [q for q in queries if q[0] == qid]
+            target, context = rows[0][1], sorted((i, w) for q in rows for i, w in enumerate(q[2]) if w in unit)
+            if target not in unit:
+                continue
+            best = []
+            for rn, w in enumerate(sorted(names, key=lambda w: (sim(target, w), w), reverse=True)[:9]):
+                s = sim(target, w)
+                for i, c in context:
+                    f = sim(c, w)
+                    s = None if s is None or dist and f < 0 else s * (f ** (1 / (i + 2)) if dist else f)
+                best.append((s is None, -round(s or 0, 6), rn, w))
+            want[qid] = [(i + 1, w, None if none else -s) for i, (none, s, _, w) in enumerate(sorted(best)[:4]) for _ in rows]
+        assert {q: sorted(v, key=lambda x: x[0]) for q, v in got.items()} == want, dist
